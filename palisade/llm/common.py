@@ -141,3 +141,9 @@ def sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     c = np.concatenate([[0.0], np.cumsum(values, dtype=np.float64)])
     ends = np.cumsum(counts)
     return c[ends] - c[ends - counts]
+
+
+def packed(values: np.ndarray, at: np.ndarray) -> pa.Array:
+    """A binary column whose row i holds values[at[i]:at[i + 1]]."""
+    width = values.dtype.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer((at * width).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])

@@ -68,12 +68,12 @@ def _features(batches):
             at = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=n))]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([
                 part.column(part.schema.get_field_index("lang")),
-                pa.ListArray.from_arrays(at, pa.array((np.asarray(keys, np.int64) & ((1 << BITS) - 1)).astype(np.int32))),
-                pa.ListArray.from_arrays(at, pa.array(np.asarray(counts, np.int32))),
+                C.packed((np.asarray(keys, np.int64) & ((1 << BITS) - 1)).astype(np.uint16), at),
+                C.packed(np.asarray(counts, np.int32), at),
             ], names=["lang", "buckets", "counts"])
 
 
-def train(docs: DataFrame, sample_rows: int = 6000, steps: int = 600, seed: int = 1, rejected: float = 0.0005) -> LanguageModel | None:
+def train(docs: DataFrame, sample_rows: int = 4000, steps: int = 600, seed: int = 1, rejected: float = 0.0005) -> LanguageModel | None:
     """Learn from rows with a text and a language. None if there are none.
 
     sample_rows bounds the rows that reach the driver (about sample_rows / languages of each language, chosen by
@@ -87,17 +87,20 @@ def train(docs: DataFrame, sample_rows: int = 6000, steps: int = 600, seed: int
     each = max(1, sample_rows // len(counts))
     parts = F.coalesce(*[F.when(F.col("lang") == k, F.lit(C.share(docs.sparkSession, n, each))) for k, n in counts.items()])
     chosen = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 30)) < parts * (1 << 30))
-    got = C.with_text_only(chosen, "doc_id", "lang").mapInArrow(_features, "lang string, buckets array<int>, counts array<int>").select("lang", "buckets", "counts").toPandas()
-    got = got[got["buckets"].map(len) > 0]
+    got = C.with_text_only(chosen, "doc_id", "lang").mapInArrow(_features, "lang string, buckets binary, counts binary").where("length(buckets) > 0").collect()
     languages = tuple(sorted(counts))
-    if got.empty:
+    if not got:
         return None
     code = {k: i for i, k in enumerate(languages)}
-    y = got["lang"].map(code).to_numpy()
+    y = np.array([code[r["lang"]] for r in got])
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(y))
     kept, fit = (order[: len(y) // 5], order[len(y) // 5:]) if len(y) >= 50 else (order, order)
-    sparse = [(np.asarray(b), (np.asarray(c) / np.sum(c)).astype(np.float32)) for b, c in zip(got["buckets"], got["counts"])]
+    sparse = []
+    for r in got:
+        c = np.frombuffer(r["counts"], np.int32)
+        sparse.append((np.frombuffer(r["buckets"], np.uint16), (c / c.sum()).astype(np.float32)))
+    del got
 
     def dense(rows):
         x = np.zeros((len(rows), 1 << BITS), np.float32)

@@ -49,7 +49,7 @@ def _features(batches):
             at = np.concatenate([[0], np.cumsum(np.bincount(keys >> BITS, minlength=n))]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([
                 part.column(part.schema.get_field_index("label")),
-                pa.ListArray.from_arrays(at, pa.array((keys & ((1 << BITS) - 1)).astype(np.int32))),
+                C.packed((keys & ((1 << BITS) - 1)).astype(np.int32), at),
             ], names=["label", "buckets"])
 
 
@@ -79,15 +79,15 @@ def fit_ftrl(rows: list[np.ndarray], y: np.ndarray, alpha=3.0, beta=1.0, l1=5.0,
     return ToxicityModel(w.astype(np.float32), float(bias))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 12000, **options) -> ToxicityModel:
+def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 8000, **options) -> ToxicityModel:
     """Learn from `labels` (doc_id, label 0/1). About sample_rows of them, chosen by a hash of doc_id, are used;
     so many ids are broadcast and so many rows reach the driver. Without any row the model scores 0.5."""
     labels = labels.where(F.col("label").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col("label").cast("int").alias("label"))
     chosen = labels.where(C.by_hash(F.col("doc_id"), C.share(docs.sparkSession, labels.count(), sample_rows)))
-    got = C.with_text_only(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), "label").mapInArrow(_features, "label int, buckets array<int>").toPandas()
-    if got.empty:
+    got = C.with_text_only(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), "label").mapInArrow(_features, "label int, buckets binary").collect()
+    if not got:
         return ToxicityModel(np.zeros(1 << BITS, np.float32), 0.0)
-    return fit_ftrl([np.asarray(x, np.int64) for x in got["buckets"]], got["label"].to_numpy(float), **options)
+    return fit_ftrl([np.frombuffer(r["buckets"], np.int32) for r in got], np.array([float(r["label"]) for r in got]), **options)
 
 
 def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
