@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from . import common as C
-from . import langid, quality, toxicity
+from . import embed_dedup, langid, mixing, ngram_join, quality, suffix_dedup, toxicity, warc
 
 
 def op1_quality(spark, sf_dir):
@@ -15,6 +15,18 @@ def op1_quality(spark, sf_dir):
     return out.select("doc_id", (C.fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op2_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.remove_repeats(C.table(spark, sf_dir, "documents").select("doc_id", "text"), with_bytes=False).drop("kept")
+
+
+def op3_ngram_join(spark, sf_dir):
+    return ngram_join.jaccard_components(C.table(spark, sf_dir, "documents").select("doc_id", "text"), shingle_words=4, percent=85)
+
+
+def op6_embed_dedup(spark, sf_dir):
+    return embed_dedup.near_duplicates(C.table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def op7_toxicity(spark, sf_dir):
     docs, labels = C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "labels")
     known = labels.select("doc_id", F.col("toxic").alias("label")).where(C.fold(F.col("doc_id"), 4) != 2)
@@ -22,6 +34,16 @@ def op7_toxicity(spark, sf_dir):
     return out.select("doc_id", (C.fold(F.col("doc_id"), 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op8_mixing(spark, sf_dir):
+    mixed = mixing.pareto_mix(C.table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op9_warc(spark, sf_dir):
+    index = warc.write(C.table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return warc.read(index, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op10_langid(spark, sf_dir):
     docs = C.table(spark, sf_dir, "documents")
     model = langid.train(docs.select("doc_id", "text", "lang").where(C.fold(F.col("doc_id"), 4) != 2))
@@ -29,5 +51,5 @@ def op10_langid(spark, sf_dir):
     return out.select("doc_id", (C.fold(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {"op1_quality": op1_quality, "op7_toxicity": op7_toxicity, "op10_langid": op10_langid}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_suffix_dedup, op3_ngram_join, op6_embed_dedup, op7_toxicity, op8_mixing, op9_warc, op10_langid)}
 ORACLE_SQL: dict[str, str] = {}
