@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from . import common as C
-from . import embed_dedup, langid, mixing, ngram_join, quality, suffix_dedup, toxicity, warc
+from . import decontam, embed_dedup, langid, mixing, ngram_join, quality, suffix_dedup, toxicity, url_filter, warc
 
 
 def op1_quality(spark, sf_dir):
@@ -23,6 +23,31 @@ def op3_ngram_join(spark, sf_dir):
     return ngram_join.jaccard_components(C.table(spark, sf_dir, "documents").select("doc_id", "text"), shingle_words=4, percent=85)
 
 
+def op4_decontam(spark, sf_dir):
+    return decontam.contaminated(C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "benchmark"))
+
+
+#: Minutes of a year; fetch times and list dates are derived from the pages themselves, as the tables carry none.
+YEAR = 527040
+
+
+def _md5_int(col):
+    return F.conv(F.substring(F.md5(col.cast("binary")), 1, 7), 16, 10).cast("long")
+
+
+def op5_url_filter(spark, sf_dir):
+    """Fetch time: page_id * 7919 mod a year, in minutes. Listed: a third of all hosts, parent domains and sections,
+    by a hash of the key; each is added, removed and, for some, added again at dates from that hash."""
+    captures = C.table(spark, sf_dir, "pages").select("page_id", "url", (F.col("page_id") * 7919 % YEAR).alias("fetched_at"))
+    keys = captures.select(F.explode(url_filter.keys_of(F.col("url"))).alias("key")).distinct().withColumn("n", _md5_int(F.col("key"))).where("n % 3 = 0")
+    event = lambda action, at: F.struct(F.lit(action).alias("action"), at.cast("long").alias("at"))
+    start = F.col("n") % 200000
+    events = F.array(event("add", start), event("remove", start + 150000), F.when(F.col("n") % 2 == 0, event("add", start + 300000)))
+    entries = keys.withColumn("e", F.explode(events)).where("e is not null").select(
+        F.when(F.col("n") % 5 == 0, "trusted").otherwise("adult").alias("list"), "key", F.when(F.col("n") % 5 == 0, "allow").otherwise("block").alias("verdict"), "e.action", "e.at")
+    return url_filter.as_of(captures, entries)
+
+
 def op6_embed_dedup(spark, sf_dir):
     return embed_dedup.near_duplicates(C.table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
@@ -51,5 +76,52 @@ def op10_langid(spark, sf_dir):
     return out.select("doc_id", (C.fold(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_suffix_dedup, op3_ngram_join, op6_embed_dedup, op7_toxicity, op8_mixing, op9_warc, op10_langid)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_suffix_dedup, op3_ngram_join, op4_decontam, op5_url_filter, op6_embed_dedup, op7_toxicity, op8_mixing, op9_warc, op10_langid)}
+
+WORD = r"[^\x20\x09-\x0D]+"
+
+_MIX = rf"""
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS BIGINT) AS size FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1 AS w FROM d GROUP BY source),
+f AS (SELECT *, 3.0::DOUBLE * source_size / w AS full_at, sum(source_size) OVER () AS total, sum(w) OVER () AS all_w FROM s),
+g AS (SELECT *, total::DOUBLE - 3.0::DOUBLE * coalesce(sum(source_size) OVER p, 0)::DOUBLE AS left_words, (all_w - coalesce(sum(w) OVER p, 0))::DOUBLE AS left_w, row_number() OVER (ORDER BY full_at, source IS NULL, source) AS nth FROM f WINDOW p AS (ORDER BY full_at, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+l AS (SELECT arg_min(left_words / left_w, nth) AS level FROM g WHERE full_at * left_w > left_words),
+t AS (SELECT source, source_size, w, coalesce(least(3.0::DOUBLE * source_size, level * w), 3.0::DOUBLE * source_size) AS target FROM g, l),
+r AS (SELECT d.doc_id, d.source, size, source_size, target, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS whole,
+  CASE WHEN source_size > 0 THEN target / source_size - floor(target / source_size) ELSE 0 END AS p,
+  CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 12) AS BIGINT)::DOUBLE / 281474976710656.0::DOUBLE AS u
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+q AS (SELECT *, target - whole * source_size AS rest, CASE WHEN p > 0 THEN (u / (1 - u)) / (p / (1 - p)) END AS q FROM r),
+c AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY q, doc_id ROWS UNBOUNDED PRECEDING) AS cum FROM q WHERE q IS NOT NULL AND size > 0),
+m AS (SELECT source, max(cum) FILTER (WHERE cum <= rest) AS got0 FROM c GROUP BY source),
+x AS (SELECT c.source, c.doc_id, c.size, c.q, c.cum <= c.rest AS inside, c.rest - coalesce(m.got0, 0) AS missing FROM c JOIN m ON c.source IS NOT DISTINCT FROM m.source),
+e AS (SELECT source, arg_min(doc_id, (abs(missing - size), q, doc_id)) AS extra FROM x WHERE NOT inside AND abs(missing - size) < missing GROUP BY source),
+k AS (SELECT x.doc_id, (x.inside OR x.doc_id = e.extra) AS chosen FROM x LEFT JOIN e ON x.source IS NOT DISTINCT FROM e.source)
+SELECT q.doc_id, q.size, q.source_size, q.target, CAST(q.size * (q.whole + CASE WHEN coalesce(k.chosen, false) AND q.rest > 0 THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM q LEFT JOIN k ON q.doc_id = k.doc_id
+"""
+
+_WARC = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+d AS (SELECT page_id, CAST(octet_length(b) AS BIGINT) AS payload_bytes, sha256(b) AS payload_digest FROM p),
+f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first FROM d)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN first <> page_id THEN first END AS refers_to FROM f
+"""
+
+_URLS = rf"""
+WITH c AS (SELECT DISTINCT page_id, url, page_id * 7919 % {YEAR} AS fetched_at,
+  lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)) AS host,
+  regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)[^/?#]*/([^/?#]+)', 2) AS section FROM pages),
+h AS (SELECT *, string_split(host, '.') AS labels FROM c),
+k AS (SELECT page_id, url, fetched_at, unnest([array_to_string(labels[i:], '.') for i in range(1, greatest(len(labels) - 1, 1) + 1)]) AS key FROM h WHERE host <> ''
+  UNION ALL SELECT page_id, url, fetched_at, host || '/' || section FROM h WHERE host <> '' AND section <> ''),
+n AS (SELECT key, CAST('0x' || substr(md5(key), 1, 7) AS BIGINT) AS n FROM (SELECT DISTINCT key FROM k)),
+e AS (SELECT key, CASE WHEN n % 5 = 0 THEN 'trusted' ELSE 'adult' END AS list, CASE WHEN n % 5 = 0 THEN 'allow' ELSE 'block' END AS verdict, n % 200000 AS s, n FROM n WHERE n % 3 = 0),
+i AS (SELECT key, list, verdict, s AS start, s + 150000 AS stop FROM e UNION ALL SELECT key, list, verdict, s + 300000, NULL FROM e WHERE n % 2 = 0),
+m AS (SELECT k.page_id, k.url, k.fetched_at, i.list, lower(k.key) AS key, i.verdict FROM k JOIN i ON lower(k.key) = lower(i.key) AND i.start <= k.fetched_at AND (i.stop IS NULL OR k.fetched_at < i.stop)),
+b AS (SELECT *, row_number() OVER (PARTITION BY page_id, url, fetched_at ORDER BY length(key) DESC, key DESC, verdict, list) AS nth, count(*) OVER (PARTITION BY page_id, url, fetched_at) AS n_active FROM m)
+SELECT c.page_id, c.url, c.fetched_at, coalesce(b.verdict, 'none') AS decision, b.key AS matched_key, b.list AS matched_list, CAST(coalesce(b.n_active, 0) AS BIGINT) AS n_active
+FROM c LEFT JOIN b ON c.page_id IS NOT DISTINCT FROM b.page_id AND c.url IS NOT DISTINCT FROM b.url AND b.nth = 1
+"""
+
+ORACLE_SQL: dict[str, str] = {"op5_url_filter": _URLS, "op8_mixing": _MIX, "op9_warc": _WARC}
