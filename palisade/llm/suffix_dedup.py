@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from . import common as C
 
 WIDTH, GRAM = 100, 32
+#: Bytes of text and anchors handled at once inside a task; they bound numpy's memory.
+PIECE, SLICE = 1 << 19, 512
 SPAN = WIDTH - GRAM  # an anchor lies 0..SPAN bytes after the start of its window
 _U = np.uint64
 ANCHOR = "bucket int, h long, doc_id long, c long, at long"
@@ -115,7 +117,7 @@ def _emit(splitters):
     def run(batches):
         cut = splitters.value
         for batch in batches:
-            for part, raw, offsets in C.chunks(batch):
+            for part, raw, offsets in C.chunks(batch, limit=PIECE):
                 ids = part.column(part.schema.get_field_index("doc_id")).to_numpy(zero_copy_only=False)
                 row, anchor, first, last, h, whole = anchors(raw, offsets)
                 if not len(row):
@@ -260,7 +262,7 @@ def multikey_sort(words: np.ndarray) -> np.ndarray:
 def _windows(batches):
     """Anchors sorted by head -> windows that start earlier elsewhere under the same head.
 
-    Heads are handled a few thousand rows at a time. Of a head that goes on in the next batch every window is carried
+    Heads are handled SLICE rows at a time. Of a head that goes on in the next batch every window is carried
     once, with its first place.
     """
     held: dict[tuple, tuple] = {}
@@ -270,7 +272,7 @@ def _windows(batches):
         data, offsets = C.flat(batch.column(3))
         lo = 0
         while lo < len(hs):
-            hi = min(lo + 4096, len(hs))
+            hi = min(lo + SLICE, len(hs))
             h, d, a = hs[lo:hi], doc[lo:hi], at[lo:hi]
             place, before, after = a >> 14, (a >> 7) & 127, a & 127
             count = before - after + 1
