@@ -1,0 +1 @@
+"""Security-telemetry analytics as Spark DataFrame operators and Structured Streaming jobs."""
