@@ -61,9 +61,8 @@ def ip_number(ip: Column) -> Column:
 
 def cidr_range(scope: DataFrame) -> DataFrame:
     """scope (cidr, kind) -> plus lo, hi and the /16 blocks it touches."""
-    bits = F.split_part("cidr", F.lit("/"), F.lit(2)).try_cast("int")
-    size = F.shiftleft(F.lit(1).cast("bigint"), 32 - bits)
-    base = ip_number(F.split_part("cidr", F.lit("/"), F.lit(1)))
+    size = F.expr("shiftleft(cast(1 as bigint), 32 - cast(split_part(cidr, '/', 2) as int))")
+    base = ip_number(F.split_part(F.col("cidr"), F.lit("/"), F.lit(1)))
     d = scope.withColumn("lo", base - F.pmod(base, size)).withColumn("hi", F.col("lo") + size - 1)
     return d.withColumn("b16", F.explode(F.sequence(F.expr("lo div 65536"), F.expr("hi div 65536"))))
 

@@ -1,4 +1,754 @@
-"""Registered queries and their SQL."""
+"""Registered queries: every operator over the given tables, and the same in SQL for DuckDB."""
 
+from __future__ import annotations
+
+from dataclasses import replace
+
+from pyspark.sql import functions as F
+
+from palisade.functions import scalars as S
+from palisade.operators import audit as A
+from palisade.operators import detect as D
+from palisade.operators import observations as O
+from palisade.operators import policy as P
+from palisade.operators import registry as R
+from palisade.operators import respond as Q
+from palisade.sources import adapters as T
+from palisade.sources import io
+from palisade.thresholds import DEFAULTS
+
+#: The detectors' limits for the test tables, which lie far below real traffic.
+TH = replace(DEFAULTS, exfil_volume=100, exfil_ratio=1000.0, load=0.7, spawn_rate=0.0005)
+DAY = "1 day"
 QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str, *arrays: str):
+    """Register a query and its SQL. The named array columns are compared as text, joined by commas."""
+    def add(f):
+        def run(spark, sf_dir):
+            out = f(spark, sf_dir)
+            return out.withColumns({c: F.array_join(F.col(c).cast("array<string>"), ",") for c in arrays}) if arrays else out
+
+        QUERIES[f.__name__] = run
+        text = ", ".join(f"coalesce(array_to_string(CAST({c} AS VARCHAR[]), ','), '') AS {c}" for c in arrays)
+        ORACLE_SQL[f.__name__] = f"SELECT * REPLACE ({text}) FROM ({sql})" if arrays else sql
+        return f
+    return add
+
+
+# --- shared parts ---------------------------------------------------------------------------------
+
+def observed(spark, d):
+    return O.aggregate_windows(T.access_log(spark, d), DAY)
+
+
+def scored(spark, d, **options):
+    return O.rolling_score(observed(spark, d), TH, **options)
+
+
+_EV = """ev AS (SELECT *, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events)"""
+_LOG = _EV + """,
+log AS (SELECT event_id, user_id, event_type, '10.0.' || (user_id // 256) || '.' || (user_id % 256) AS source, CASE k % 5 WHEN 0 THEN 'app.example' WHEN 1 THEN 'app.example:8443' WHEN 2 THEN 'db.example:22' WHEN 3 THEN 'db.example:23' ELSE 'db.example:bad' END AS host,
+  '/' || event_type || '/' || (k % 10) AS uri, CASE event_type WHEN 'purchase' THEN 'POST' WHEN 'signup' THEN 'PUT' ELSE 'GET' END AS method, CASE WHEN event_type = 'error' AND k < 50 THEN 404 WHEN event_type = 'error' THEN 500 ELSE 200 END AS status,
+  CAST(round(value * 100) AS BIGINT) * 1000 AS size, value / 1000 AS duration, ts, CASE WHEN k % 5 = 1 THEN 8443 WHEN k % 5 = 2 THEN 22 WHEN k % 5 = 3 THEN 23 ELSE 443 END AS port FROM ev)"""
+_OBS = _LOG + """,
+obs AS (SELECT source, date_trunc('day', ts) AS ts, count(*) / 86400.0::DOUBLE AS connection_rate, CAST(sum(size) // 86400 AS BIGINT) AS traffic_volume, list_sort(list(DISTINCT port)) AS ports_accessed, count(*) / 86400.0::DOUBLE AS request_rate,
+  count(*) FILTER (status BETWEEN 400 AND 499) / count(*)::DOUBLE AS error_rate_4xx, count(*) FILTER (status >= 500) / count(*)::DOUBLE AS error_rate_5xx, CAST(count(DISTINCT uri) AS INT) AS path_diversity, CAST(sum(size) // count(*) AS BIGINT) AS avg_payload_bytes,
+  CAST(count(DISTINCT method) AS INT) AS method_diversity, round(avg(duration) * 1000, 6) AS avg_duration_ms, count(*) AS n_requests FROM log GROUP BY ALL)"""
+
+
+def _dims(frame: str, key: str = "PARTITION BY source") -> str:
+    cols = ", ".join(f"avg({d}) OVER w AS {d}_mean, CASE WHEN min({d}) OVER w = max({d}) OVER w THEN 0.0 ELSE stddev_pop({d}) OVER w END AS {d}_std" for d in O.DIMENSIONS)
+    long = " UNION ALL ".join(f"SELECT source, ts, n, '{d}' AS dimension, CAST({d} AS DOUBLE) AS observed, {d}_mean AS mean, {d}_std AS std_dev FROM win" for d in O.DIMENSIONS)
+    return f""",
+wide AS (SELECT *, CAST(len(ports_accessed) AS DOUBLE) AS port_diversity FROM obs),
+win AS (SELECT *, count(*) OVER w AS n, {cols} FROM wide WINDOW w AS ({key} ORDER BY ts, source ROWS BETWEEN {frame})),
+long AS ({long}),
+z AS (SELECT *, CASE WHEN std_dev = 0 THEN CASE WHEN observed <> mean THEN 1e300 END ELSE abs(observed - mean) / std_dev END AS z FROM long WHERE n >= 10),
+an AS (SELECT source, ts, dimension, observed, mean, std_dev, CASE WHEN z = 1e300 THEN -1.0 ELSE z END AS deviation, z = 1e300 AS is_infinite, least(z / 5.0, 1.0) AS confidence, CASE WHEN round(z, 9) > 5 THEN 'High' WHEN round(z, 9) > 3 THEN 'Medium' ELSE 'Low' END AS severity FROM z WHERE z IS NOT NULL AND round(z, 9) > 2.5)"""
+
+
+_AN = _OBS + _dims("99 PRECEDING AND CURRENT ROW")
+_R6 = "round(observed, 6) AS observed, round(mean, 6) AS mean, round(std_dev, 6) AS std_dev, round(deviation, 6) AS deviation, round(confidence, 6) AS confidence"
+
+
+def rounded(df, *columns):
+    return df.withColumns({c: F.round(c, 6) for c in columns})
+
+
+NUMBERS = ("observed", "mean", "std_dev", "deviation", "confidence")
+
+
+# --- sources, projections -------------------------------------------------------------------------
+
+def _lines(spark, d):
+    """The log as JSON lines; every 40th broken, every 41st blank."""
+    log = T.access_log(spark, d)
+    j = F.to_json(F.struct(F.struct(F.col("source").alias("remote_ip"), "host", "uri", "method").alias("request"), "status", "size", "duration", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("ts")))
+    return log.select("event_id", F.when(F.col("event_id") % 40 == 0, "not json").when(F.col("event_id") % 41 == 0, "  ").otherwise(j).alias("value"))
+
+
+_GOOD = _LOG + ", good AS (SELECT * FROM log WHERE event_id % 40 <> 0 AND event_id % 41 <> 0)"
+
+
+@query(f"WITH {_GOOD} SELECT source, host, uri, method, status, size, round(duration, 9) AS duration, ts FROM good")
+def s1_access_log_scan(spark, d):
+    out = io.split_malformed(_lines(spark, d))[0]
+    return out.withColumns({"ts": F.col("ts").cast("timestamp_ntz"), "duration": F.round("duration", 9)})
+
+
+@query("SELECT count(*) FILTER (event_id % 40 <> 0 AND event_id % 41 <> 0) AS n_good, count(*) FILTER (event_id % 40 = 0) AS n_bad FROM events")
+def s2_malformed_split(spark, d):
+    p = io.parse_log(_lines(spark, d))
+    return p.agg(F.count("entry").alias("n_good"), F.sum(F.when(F.col("entry").isNull(), 1).otherwise(0)).cast("bigint").alias("n_bad"))
+
+
+@query(f"WITH {_OBS} SELECT source, round(connection_rate, 9) AS connection_rate, traffic_volume, ports_accessed, ts, error_rate_4xx FROM obs", "ports_accessed")
+def s4_observation_round_trip(spark, d):
+    o = observed(spark, d).withColumn("http", F.struct("request_rate", "error_rate_4xx", "error_rate_5xx", "path_diversity", "avg_payload_bytes", "method_diversity"))
+    back, _ = io.observations_from_json(io.observations_to_json(o))
+    return back.select("source", F.round("connection_rate", 9).alias("connection_rate"), "traffic_volume", "ports_accessed", F.col("ts").cast("timestamp_ntz").alias("ts"), F.col("http.error_rate_4xx").alias("error_rate_4xx"))
+
+
+@query("SELECT 'cdn' AS origin, count(*) AS n, CAST(0 AS BIGINT) AS n_hosts FROM events UNION ALL SELECT 'log', count(*), count(*) FROM events")
+def s9_union_sources(spark, d):
+    log = T.access_log(spark, d)
+    return io.union_sources(log=log, cdn=log.drop("host")).groupBy("origin").agg(F.count(F.lit(1)).alias("n"), F.count("host").alias("n_hosts"))
+
+
+_MET = _EV + """, met AS (SELECT event_id, CAST(user_id AS VARCHAR) AS host, ts, value / 100 AS load1, 4 AS cpus, CAST(sum(k) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS forks_total FROM ev)"""
+
+
+@query(f"WITH {_MET} SELECT * FROM met")
+def s10_host_metrics(spark, d):
+    return T.host_metrics(spark, d)
+
+
+@query(f"WITH {_LOG} SELECT event_id, port, CASE WHEN status BETWEEN 400 AND 499 THEN '4xx' WHEN status >= 500 THEN '5xx' ELSE 'ok' END AS class FROM log")
+def p1_p2_port_and_status(spark, d):
+    return T.access_log(spark, d).select("event_id", S.port_of(F.col("host")).alias("port"), S.status_class(F.col("status")).alias("class"))
+
+
+_CALLS = _EV + """, calls AS (SELECT event_id, ts, CASE event_type WHEN 'view' THEN 'security.scan' WHEN 'click' THEN 'health.check' WHEN 'signup' THEN 'baseline.query' WHEN 'purchase' THEN 'defense.quarantine' ELSE 'custom.call' END AS method, CASE k % 3 WHEN 0 THEN 'Unix' WHEN 1 THEN 'Loopback' ELSE 'Remote' END AS origin,
+  '10.0.' || (user_id // 256) || '.' || (user_id % 256) || ':' || k AS source_addr, k FROM ev),
+gate AS (SELECT *, CASE WHEN method IN ('health.check', 'baseline.query') THEN 'public' ELSE 'protected' END AS access, regexp_replace(source_addr, ':[^:]*$', '') AS src FROM calls)"""
+
+
+@query(f"WITH {_CALLS} SELECT event_id, src AS source, access, k % 4 = 0 AS token, CASE origin WHEN 'Unix' THEN [0] WHEN 'Loopback' THEN [1] ELSE [2, 3] END AS layers FROM gate", "layers")
+def p4_p5_p6_p9_call_fields(spark, d):
+    return T.rpc_calls(spark, d).select("event_id", S.host_of(F.col("source_addr")).alias("source"), S.classify_method(F.col("method")).alias("access"), S.has_token(F.col("params")).alias("token"), S.origin_path(F.col("origin")).alias("layers"))
+
+
+def _gate_sql(last: str) -> str:
+    return f"WITH {_CALLS} SELECT access, origin, decision, count(*) AS n FROM (SELECT *, CASE WHEN access = 'public' OR k % 4 = 0 OR origin <> 'Remote' THEN 'allow' ELSE '{last}' END AS decision FROM gate) GROUP BY ALL"
+
+
+@query(_gate_sql("reject"))
+def p7_gate_enforced(spark, d):
+    return A.gate_audit(T.rpc_calls(spark, d), True).groupBy("access", "origin", "decision").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(_gate_sql("allow-audit"))
+def p7_gate_permissive(spark, d):
+    return A.gate_audit(T.rpc_calls(spark, d), False).groupBy("access", "origin", "decision").agg(F.count(F.lit(1)).alias("n"))
+
+
+_AUD = _EV + """, aud AS (SELECT event_id, ts, CAST(user_id AS VARCHAR) AS source, CASE WHEN event_type = 'error' AND k >= 50 THEN 'Error' WHEN event_type IN ('error', 'signup') THEN 'Warn' ELSE 'Info' END AS severity,
+  CASE event_type WHEN 'error' THEN 'ThreatDetected' WHEN 'purchase' THEN 'DefenseAction' WHEN 'signup' THEN 'GateRejection' WHEN 'click' THEN 'BaselineObservation' ELSE 'LifecycleTransition' END AS kind, 't-' || user_id || '-' || k AS subject,
+  CASE WHEN event_type = 'purchase' THEN CASE k % 3 WHEN 0 THEN 'Quarantine' WHEN 1 THEN 'QuarantineAndAlert' ELSE 'MonitorAndAlert' END END AS detail, 't-' || user_id AS correlation_id FROM ev),
+seqd AS (SELECT *, row_number() OVER (ORDER BY ts, event_id) AS seq FROM aud)"""
+
+
+@query(f"WITH {_AUD} SELECT event_id, severity FROM aud WHERE severity = 'Error'")
+def p10_min_severity(spark, d):
+    return A.min_severity(T.audit_events(spark, d), "critical").select("event_id", "severity")
+
+
+@query(f"WITH {_OBS}{_dims('99 PRECEDING AND CURRENT ROW')} SELECT source, ts, dimension, round(observed, 9) AS value FROM long")
+def p11_melt_dimensions(spark, d):
+    return O.melt_dimensions(observed(spark, d)).withColumn("value", F.round("value", 9))
+
+
+@query(f"WITH {_AN} SELECT source, ts, dimension, {_R6}, severity, is_infinite FROM an WHERE dimension IN ('request_rate', 'path_diversity', 'error_rate_4xx')")
+def p12_http_anomalies(spark, d):
+    return rounded(O.http_anomalies(O.anomalies(scored(spark, d), TH)), *NUMBERS)
+
+
+# --- aggregates -------------------------------------------------------------------------------------
+
+@query(f"WITH {_OBS} SELECT * FROM obs", "ports_accessed")
+def a1_window_aggregate(spark, d):
+    return observed(spark, d)
+
+
+@query(f"""WITH RECURSIVE {_LOG}, l AS (SELECT *, user_id % 4 AS log_id FROM log), st AS (SELECT log_id, min(ts) AS start FROM l GROUP BY log_id UNION SELECT st.log_id, (SELECT min(l.ts) FROM l WHERE l.log_id = st.log_id AND l.ts >= st.start + INTERVAL 5 DAY) FROM st WHERE st.start IS NOT NULL),
+s AS (SELECT log_id, start, lead(start) OVER (PARTITION BY log_id ORDER BY start) AS stop FROM st WHERE start IS NOT NULL)
+SELECT l.log_id, source, start AS ts, count(*) AS n_requests, CAST(count(DISTINCT uri) AS INT) AS path_diversity FROM l JOIN s ON l.log_id = s.log_id AND l.ts >= start AND (stop IS NULL OR l.ts < stop) GROUP BY ALL""")
+def a2_anchored_windows(spark, d):
+    log = T.access_log(spark, d).join(T.table(spark, d, "events").select("event_id", (F.col("user_id") % 4).alias("log_id")), "event_id")
+    return O.anchored_windows(log, 5 * 86400.0).select("log_id", "source", "ts", "n_requests", "path_diversity")
+
+
+@query("SELECT user_id, round(avg(value), 6) AS mean, round(CASE WHEN min(value) = max(value) THEN 0 ELSE stddev_pop(value) END, 6) AS std_dev, count(*) AS n FROM events GROUP BY user_id")
+def a3_moments(spark, d):
+    return rounded(O.moments(T.table(spark, d, "events"), "value", "user_id"), "mean", "std_dev")
+
+
+_BASE = _OBS + """, recent AS (SELECT *, CAST(len(ports_accessed) AS DOUBLE) AS port_diversity FROM obs QUALIFY row_number() OVER (PARTITION BY source ORDER BY ts DESC) <= 100),
+cnt AS (SELECT source, count(*) AS observation_count FROM recent GROUP BY source),
+rl AS (""" + " UNION ALL ".join(f"SELECT source, ts, '{x}' AS dimension, CAST({x} AS DOUBLE) AS value FROM recent" for x in O.DIMENSIONS) + """),
+base AS (SELECT rl.source, dimension, observation_count, CASE WHEN observation_count >= 10 THEN avg(value) END AS mean, CASE WHEN observation_count >= 10 THEN CASE WHEN min(value) = max(value) THEN 0 ELSE stddev_pop(value) END END AS std_dev, count(*) AS n, quantile_cont(value, 0.95) AS p95 FROM rl JOIN cnt USING (source) GROUP BY rl.source, dimension, observation_count)"""
+
+
+@query(f"WITH {_BASE} SELECT source, dimension, observation_count, round(mean, 6) AS mean, round(std_dev, 6) AS std_dev, n FROM base")
+def a4_baseline_stats(spark, d):
+    return rounded(O.baseline_stats(observed(spark, d), TH), "mean", "std_dev")
+
+
+@query(f"WITH {_BASE} SELECT source, dimension, round(p95, 6) AS p95 FROM base")
+def z2_baseline_percentiles(spark, d):
+    return rounded(O.baseline_stats(observed(spark, d), TH, percentiles=(0.95,)), "p95").select("source", "dimension", "p95")
+
+
+_METRICS = """SELECT count(*) FILTER (kind = 'ThreatDetected') AS detected, count(*) FILTER (kind = 'DefenseAction') AS mitigated, count(*) FILTER (kind = 'DefenseAction' AND detail IN ('Quarantine', 'QuarantineAndAlert')) AS quarantined,
+count(*) FILTER (kind = 'DefenseAction' AND detail IN ('QuarantineAndAlert', 'MonitorAndAlert')) AS alerts, CAST(0 AS BIGINT) AS scans, max(ts) AS last_updated FROM aud"""
+
+
+@query(f"WITH {_AUD} {_METRICS}")
+def a5_security_metrics(spark, d):
+    return A.security_metrics(T.audit_events(spark, d))
+
+
+_REG = """a AS (SELECT l_suppkey, date_trunc('month', l_shipdate) AS m, list_sort(list(DISTINCT p_brand)) AS caps FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL),
+reg AS (SELECT CAST(l_suppkey AS VARCHAR) AS primal_id, caps AS capabilities, 'tcp://s' || l_suppkey AS endpoint, m AS ts FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY m DESC) AS rn FROM a) WHERE rn = 1 AND month(m) % 7 <> 0)"""
+
+
+@query(f"WITH {_REG} SELECT count(*) AS providers, (SELECT count(DISTINCT c) FROM (SELECT unnest(capabilities) AS c FROM reg)) AS capabilities, round(coalesce(avg(len(capabilities)), 0), 6) AS avg_per_provider FROM reg")
+def a7_registry_stats(spark, d):
+    return rounded(R.registry_stats(R.registry_state(T.announcements(spark, d))), "avg_per_provider")
+
+
+_CON = """con AS (SELECT CAST(doc_id AS VARCHAR) AS address, CASE WHEN doc_id % 77 = 0 THEN NULL WHEN doc_id % 50 = 0 THEN 'x' || md5(text) ELSE md5(text) END AS hash, md5(text) AS expected_hash FROM documents)"""
+
+
+@query(f"WITH {_CON}, bad AS (SELECT address FROM con WHERE coalesce(hash, '') <> expected_hash) SELECT (SELECT count(*) FROM con) AS checked, (SELECT count(*) FROM bad) AS violations, (SELECT list(address ORDER BY address) FROM (SELECT address FROM bad ORDER BY address LIMIT 1000)) AS addresses", "addresses")
+def a8_integrity_sweep(spark, d):
+    return R.integrity_sweep(T.content(spark, d))
+
+
+def _health(spark, d):
+    s = T.table(spark, d, "supplier")
+    deps = F.explode(F.array(*[F.struct(F.lit(n).alias("dependency"), (F.pmod(F.col("s_suppkey"), F.lit(m)) != 0).alias("healthy")) for n, m in (("recon", 5), ("detector", 7), ("defense", 11))]))
+    return s.select(F.col("s_suppkey").cast("string").alias("service"), (F.col("s_acctbal") >= 0).alias("running"), deps.alias("x")).select("service", "running", "x.*")
+
+
+@query("SELECT CAST(s_suppkey AS VARCHAR) AS service, CASE WHEN s_acctbal < 0 THEN 'Unhealthy' WHEN s_suppkey % 5 <> 0 AND s_suppkey % 7 <> 0 AND s_suppkey % 11 <> 0 THEN 'Healthy' ELSE 'Degraded' END AS status, list_filter([CASE WHEN s_suppkey % 11 = 0 THEN 'defense' END, CASE WHEN s_suppkey % 7 = 0 THEN 'detector' END, CASE WHEN s_suppkey % 5 = 0 THEN 'recon' END], lambda x: x IS NOT NULL) AS failing FROM supplier", "failing")
+def a10_health_rollup(spark, d):
+    return R.health_rollup(_health(spark, d))
+
+
+# --- windows ------------------------------------------------------------------------------------------
+
+@query(f"WITH {_AN} SELECT source, ts, dimension, {_R6}, severity, is_infinite FROM an")
+def w1_rolling_inclusive(spark, d):
+    return rounded(O.anomalies(scored(spark, d), TH), *NUMBERS)
+
+
+@query(f"WITH {_OBS}{_dims('100 PRECEDING AND 1 PRECEDING')} SELECT source, ts, dimension, {_R6}, severity, is_infinite FROM an")
+def w2_rolling_exclusive(spark, d):
+    return rounded(O.anomalies(scored(spark, d, include_self=False), TH), *NUMBERS)
+
+
+@query(f"WITH {_OBS}{_dims('99 PRECEDING AND CURRENT ROW', '')} SELECT source, ts, dimension, {_R6}, severity, is_infinite FROM an")
+def w1_global_profile(spark, d):
+    return rounded(O.anomalies(scored(spark, d, key=[], order=("ts", "source"), block=500), TH), *NUMBERS)
+
+
+_RATE = _MET + """, pr AS (SELECT *, forks_total - lag(forks_total) OVER w AS dv, (epoch_us(ts) - lag(epoch_us(ts)) OVER w) / 1e6 AS dt FROM met WINDOW w AS (PARTITION BY host ORDER BY ts, event_id)), rate AS (SELECT *, CASE WHEN dv >= 0 AND dt > 0 THEN dv / dt ELSE 0 END AS rate FROM pr)"""
+
+
+@query(f"WITH {_RATE} SELECT event_id, host, round(rate, 9) AS rate FROM rate")
+def w4_counter_rate(spark, d):
+    return O.counter_rate(T.host_metrics(spark, d), order=("ts", "event_id")).select("event_id", "host", F.round("rate", 9).alias("rate"))
+
+
+_FAIL = "fail AS (SELECT event_id, CAST(user_id AS VARCHAR) AS channel, ts, CAST(sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER w AS INT) AS failures, CAST(count(*) OVER w AS INT) AS probes FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 19 PRECEDING AND CURRENT ROW))"
+
+
+@query(f"WITH {_FAIL} SELECT event_id, channel, failures, probes, round(failures / probes, 9) AS failure_rate FROM fail")
+def w5_failure_rate(spark, d):
+    return O.failure_rate(T.probes(spark, d), TH, order=("ts", "event_id")).select("event_id", "channel", "failures", "probes", F.round("failure_rate", 9).alias("failure_rate"))
+
+
+def _numbered(spark, d):
+    return A.with_seq(T.audit_events(spark, d), "ts", "event_id")
+
+
+@query(f"WITH {_AUD} SELECT seq, event_id, kind FROM seqd")
+def w6_sequence(spark, d):
+    return _numbered(spark, d).select("seq", "event_id", "kind")
+
+
+@query(f"WITH {_OBS} SELECT source, ts, traffic_volume FROM obs QUALIFY row_number() OVER (PARTITION BY source ORDER BY ts DESC) = 1")
+def w7_latest(spark, d):
+    return O.latest(observed(spark, d), "source").select("source", "ts", "traffic_volume")
+
+
+@query(f"WITH {_REG} SELECT * FROM reg", "capabilities")
+def w8_registry_state(spark, d):
+    return R.registry_state(T.announcements(spark, d))
+
+
+_QINT = _LOG + """, ch AS (SELECT event_id, source, ts, CASE event_type WHEN 'purchase' THEN 'enter' ELSE 'release' END AS op, 't-' || event_id AS threat_id FROM log WHERE event_type IN ('purchase', 'signup')),
+qint AS (SELECT source, ts AS start, stop AS "end", threat_id FROM (SELECT *, lead(ts) OVER (PARTITION BY source ORDER BY ts, event_id) AS stop FROM ch) WHERE op = 'enter')"""
+
+
+@query(f"WITH {_QINT} SELECT * FROM qint")
+def w9_quarantine_intervals(spark, d):
+    return Q.quarantine_intervals(T.quarantine_changes(spark, d))
+
+
+# --- joins --------------------------------------------------------------------------------------------
+
+def held(spark, d):
+    """Sources in quarantine at the end."""
+    return Q.quarantine_intervals(T.quarantine_changes(spark, d)).where("end is null").select("source", F.col("start").alias("started_at"), F.lit("history").alias("reason"), "threat_id")
+
+
+_HELD = _QINT + """, held AS (SELECT source, start AS started_at, 'history' AS reason, threat_id FROM qint WHERE "end" IS NULL)"""
+
+
+@query(f"WITH {_HELD} SELECT event_id, log.source, held.source IS NOT NULL AS quarantined, threat_id FROM log LEFT JOIN held ON log.source = held.source")
+def j1_quarantine_lookup(spark, d):
+    return Q.with_quarantine(T.access_log(spark, d).select("event_id", "source"), held(spark, d)).select("event_id", "source", "quarantined", "threat_id")
+
+
+_BOTH = _HELD + ", " + _CALLS.removeprefix(_EV + ", ")
+
+
+@query(f"WITH {_BOTH}, m AS (SELECT g.*, h.source IS NOT NULL AND method <> 'health.check' AS bad FROM gate g LEFT JOIN held h ON g.src = h.source) SELECT CASE WHEN bad THEN 'rejected' ELSE 'passed' END AS outcome, method, count(*) AS n FROM m GROUP BY ALL")
+def j2_drop_quarantined(spark, d):
+    ok, bad = Q.drop_quarantined(T.rpc_calls(spark, d), held(spark, d))
+    return ok.withColumn("outcome", F.lit("passed")).unionByName(bad.withColumn("outcome", F.lit("rejected"))).groupBy("outcome", "method").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH {_QINT} SELECT event_id, log.source, q.source IS NOT NULL AS quarantined, q.threat_id AS q_threat FROM log LEFT JOIN qint q ON log.source = q.source AND q.start <= log.ts AND (q."end" IS NULL OR log.ts < q."end")""")
+def j3_quarantined_at(spark, d):
+    return Q.quarantined_at(T.access_log(spark, d), Q.quarantine_intervals(T.quarantine_changes(spark, d))).select("event_id", "source", "quarantined", "q_threat")
+
+
+_LIN = """peers AS (SELECT DISTINCT CAST(CASE WHEN o_custkey % 50 = 0 THEN o_custkey + 100000000 ELSE o_custkey END AS VARCHAR) AS peer_id FROM orders),
+roster AS (SELECT CAST(c_custkey AS VARCHAR) AS peer_id, CASE WHEN c_acctbal >= 0 THEN c_mktsegment IN ('BUILDING', 'AUTOMOBILE') END AS is_family FROM customer),
+lin AS (SELECT p.peer_id, CASE WHEN is_family IS NULL THEN 'Medium' ELSE 'Critical' END AS severity, CASE WHEN is_family IS NULL THEN 0.5 ELSE 0.95 END AS confidence FROM peers p LEFT JOIN roster USING (peer_id) WHERE is_family IS NULL OR NOT is_family)"""
+
+
+@query(f"WITH {_LIN} SELECT peer_id, severity, CAST(confidence AS DOUBLE) AS confidence FROM lin")
+def j4_lineage_check(spark, d):
+    return D.lineage_check(T.peers(spark, d), T.lineage_roster(spark, d)).select("peer_id", "severity", "confidence")
+
+
+_AGAINST = _BASE + """, zz AS (SELECT rl.source, rl.ts, rl.dimension, value AS observed, mean, std_dev, CASE WHEN std_dev = 0 THEN CASE WHEN value <> mean THEN 1e300 END ELSE abs(value - mean) / std_dev END AS z FROM rl JOIN base USING (source, dimension) WHERE mean IS NOT NULL)"""
+
+
+@query(f"WITH {_AGAINST} SELECT source, ts, dimension, round(observed, 6) AS observed, round(z, 6) AS deviation FROM zz WHERE z IS NOT NULL AND round(z, 9) > 2.5")
+def j5_score_against_baseline(spark, d):
+    o = observed(spark, d)
+    return rounded(O.score_against(o, O.baseline_stats(o, TH), TH), "observed", "deviation").select("source", "ts", "dimension", "observed", "deviation")
+
+
+_DRIFT = """o AS (SELECT o_orderkey, o_orderdate, o_orderpriority AS f1, nullif(o_orderstatus, 'P') AS f2, o_totalprice > 150000 AS f3, CAST(CAST(floor(o_totalprice / 100000) AS BIGINT) AS VARCHAR) AS f4, lag(o_orderkey) OVER w AS prev, lag(o_orderpriority) OVER w AS e1, lag(nullif(o_orderstatus, 'P')) OVER w AS e2, lag(o_totalprice > 150000) OVER w AS e3, lag(CAST(CAST(floor(o_totalprice / 100000) AS BIGINT) AS VARCHAR)) OVER w AS e4 FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)),
+p AS (SELECT * FROM o WHERE prev IS NOT NULL), drift AS (SELECT o_orderkey, 'features_json' AS field, e1 AS expected, f1 AS observed FROM p WHERE e1 IS DISTINCT FROM f1 UNION ALL SELECT o_orderkey, 'lineage_id', CASE WHEN e2 IS NULL THEN 'None' ELSE 'Some("' || e2 || '")' END, CASE WHEN f2 IS NULL THEN 'None' ELSE 'Some("' || f2 || '")' END FROM p WHERE e2 IS DISTINCT FROM f2
+UNION ALL SELECT o_orderkey, 'topology_configured', CAST(e3 AS VARCHAR), CAST(f3 AS VARCHAR) FROM p WHERE e3 IS DISTINCT FROM f3 UNION ALL SELECT o_orderkey, 'threshold_fingerprint', e4, f4 FROM p WHERE e4 IS DISTINCT FROM f4)"""
+
+
+@query(f"WITH {_DRIFT} SELECT CAST(o_orderkey AS VARCHAR) AS component_id, field, expected, observed FROM drift")
+def j6_config_drift(spark, d):
+    return D.config_drift(*T.config_snapshots(spark, d)).select("component_id", "field", "expected", "observed")
+
+
+@query(f"WITH {_CON} SELECT address, coalesce(hash, '') <> expected_hash AS violated FROM con")
+def j7_verify_integrity(spark, d):
+    c = T.content(spark, d)
+    return R.verify_integrity(c.where("hash is not null"), c)
+
+
+@query(f"WITH {_REG} SELECT c AS capability, primal_id, endpoint FROM (SELECT unnest(capabilities) AS c, primal_id, endpoint FROM reg) WHERE c IN ('Brand#1', 'Brand#2', 'none')")
+def j8_discover(spark, d):
+    wanted = spark.createDataFrame([("Brand#1",), ("Brand#2",), ("none",)], "capability string")
+    return R.discover(R.registry_state(T.announcements(spark, d)), wanted)
+
+
+_FLOW = """fl AS (SELECT 's' || l_suppkey AS "from", 'p' || l_partkey AS "to", lower(l_returnflag) AS protocol, l_quantity AS bytes, l_shipdate AS day FROM lineitem), nd AS (SELECT 's' || s_suppkey AS id FROM supplier UNION ALL SELECT 'p' || p_partkey FROM part WHERE p_partkey % 10 <> 0)"""
+
+
+@query(f"""WITH {_FLOW} SELECT "from", "to", protocol, count(*) AS n_flows FROM fl WHERE "from" IN (SELECT id FROM nd) AND "to" IN (SELECT id FROM nd) GROUP BY ALL""")
+def j10_map_connections(spark, d):
+    return R.map_connections(T.nodes(spark, d), T.flows(spark, d))
+
+
+# --- detectors and response -----------------------------------------------------------------------------
+
+def _found(spark, d):
+    """All detectors over the given tables."""
+    o, m = observed(spark, d), T.host_metrics(spark, d)
+    s = O.rolling_score(o, TH)
+    expected, seen = T.config_snapshots(spark, d)
+    peers = T.peers(spark, d).withColumn("ts", F.lit("2024-01-31").cast("timestamp_ntz"))
+    return {
+        "genetic": D.detect_genetic(peers, T.lineage_roster(spark, d), TH), "behavioral": D.detect_behavioral(s, TH), "http": D.detect_http(s, TH), "scan": D.detect_port_scan(o, TH), "exfil": D.detect_exfiltration(o, TH), "resource": D.detect_resource(m, TH),
+        "spawn": D.detect_spawn(m, TH, ("ts", "event_id")), "connectivity": D.detect_connectivity(T.probes(spark, d), TH, ("ts", "event_id")), "topology": D.detect_topology(T.connection_paths(spark, d), TH), "drift": D.detect_drift(expected.withColumn("ts", F.lit(None).cast("timestamp_ntz")), seen, TH)}
+
+
+def _all(spark, d):
+    return D.detect_all(list(_found(spark, d).values()))
+
+
+_PATH = """pth AS (SELECT user_id || '-' || strftime(date_trunc('day', ts), '%Y%m%d') AS conn_id, date_trunc('day', ts) AS ts, list(CASE event_type WHEN 'view' THEN 0 WHEN 'click' THEN 1 WHEN 'signup' THEN 2 ELSE 3 END ORDER BY ts, event_id) AS path FROM events WHERE event_type IN ('view', 'click', 'signup', 'purchase') GROUP BY user_id, date_trunc('day', ts)),
+topo AS (SELECT *, list_filter([0, 1, 2, 3], lambda x: NOT list_contains(path, x)) AS missed FROM pth WHERE path <> [0, 1, 2, 3])"""
+_DET = _AN + ", " + _RATE.removeprefix(_EV + ", ") + f", {_FAIL}, {_LIN}, {_DRIFT}, {_PATH}" + """,
+th AS (SELECT 'GeneticViolation' AS category, severity, peer_id AS source, CAST(confidence AS DOUBLE) AS confidence, TIMESTAMP '2024-01-31' AS detected_at FROM lin
+UNION ALL SELECT 'BehavioralAnomaly', severity, source, confidence, ts FROM an UNION ALL SELECT 'HttpBehavioralAnomaly', severity, source, confidence, ts FROM an WHERE dimension IN ('request_rate', 'path_diversity', 'error_rate_4xx')
+UNION ALL SELECT 'IntrusionAttempt', 'High', source, 0.75, ts FROM obs WHERE list_contains(ports_accessed, 22) AND list_contains(ports_accessed, 23)
+UNION ALL SELECT 'IntrusionAttempt', 'Medium', source, 0.6, ts FROM obs WHERE traffic_volume > 100 AND round(traffic_volume / connection_rate, 9) > 1000
+UNION ALL SELECT 'DenialOfService', 'High', host, 0.8, ts FROM met WHERE least(load1 / cpus, 1.0) > 0.7 UNION ALL SELECT 'ProcessSpawnAnomaly', 'High', host, 0.85, ts FROM rate WHERE rate > 0.0005
+UNION ALL SELECT 'ConnectivityAnomaly', CASE WHEN failures / probes > 0.8 THEN 'Critical' ELSE 'High' END, channel, 0.8, ts FROM fail WHERE probes >= 3 AND failures / probes > 0.5
+UNION ALL SELECT 'TopologyViolation', CASE WHEN len(missed) > 0 THEN 'High' ELSE 'Medium' END, conn_id, 0.9, ts FROM topo
+UNION ALL SELECT 'ConfigurationDrift', CASE WHEN field IN ('features_json', 'lineage_id') THEN 'High' ELSE 'Medium' END, CAST(drift.o_orderkey AS VARCHAR), 0.85, o_orderdate FROM drift JOIN orders ON drift.o_orderkey = orders.o_orderkey)"""
+
+
+def _detector(key: str, category: str, extra: str = "TRUE"):
+    def run(spark, d):
+        return _found(spark, d)[key].select("category", "severity", "source", F.round("confidence", 6).alias("confidence"), "detected_at")
+    run.__doc__ = f"The {key} detector over the given tables."
+    QUERIES[f"d_{key}"] = run
+    ORACLE_SQL[f"d_{key}"] = f"WITH {_DET} SELECT category, severity, source, round(confidence, 6) AS confidence, detected_at FROM th WHERE category = '{category}' AND {extra}"
+
+
+for _k, _c, *_x in (("genetic", "GeneticViolation"), ("behavioral", "BehavioralAnomaly"), ("http", "HttpBehavioralAnomaly"), ("scan", "IntrusionAttempt", "severity = 'High'"), ("exfil", "IntrusionAttempt", "severity = 'Medium'"), ("resource", "DenialOfService"), ("spawn", "ProcessSpawnAnomaly"), ("connectivity", "ConnectivityAnomaly"), ("topology", "TopologyViolation"), ("drift", "ConfigurationDrift")):
+    _detector(_k, _c, *_x)
+
+
+@query(f"WITH {_DET} SELECT category, severity, count(*) AS n FROM th GROUP BY ALL")
+def u1_detect_all(spark, d):
+    return A.threat_breakdown(_all(spark, d))
+
+
+@query(f"WITH {_DET} SELECT category, severity, count(*) AS n FROM th WHERE FALSE GROUP BY ALL")
+def p13_detection_off(spark, d):
+    return A.threat_breakdown(D.detect_all(list(_found(spark, d).values()), enabled=False))
+
+
+@query(f"WITH {_DET} SELECT category AS type, severity, source, round(confidence, 6) AS confidence FROM th WHERE category = 'BehavioralAnomaly'")
+def p14_threat_summary(spark, d):
+    return D.threat_summary(_found(spark, d)["behavioral"]).select("type", "severity", "source", F.round("confidence", 6).alias("confidence"))
+
+
+@query(f"WITH {_PATH} SELECT conn_id, path, missed FROM topo", "path", "missed")
+def u2_bypassed_layers(spark, d):
+    t = _found(spark, d)["topology"]
+    return t.select(F.col("source").alias("conn_id"), F.col("detail.topology.actual").alias("path"), F.col("detail.topology.bypassed").alias("missed"))
+
+
+@query(f"WITH {_OBS} SELECT source, ts, list_filter(ports_accessed, lambda x: x IN (22, 23, 3389, 445, 135)) AS hits FROM obs", "hits")
+def u3_suspicious_ports(spark, d):
+    return observed(spark, d).select("source", "ts", S.suspicious_ports(F.col("ports_accessed"), TH).alias("hits"))
+
+
+_DEC = "CASE WHEN severity = 'Critical' AND confidence > 0.9 THEN 'Quarantine' WHEN severity = 'High' AND confidence > 0.7 THEN 'QuarantineAndAlert' ELSE 'MonitorAndAlert' END"
+
+
+@query(f"WITH {_DET}, act AS (SELECT *, {_DEC} AS action_type FROM th) SELECT category, severity, action_type, action_type = 'MonitorAndAlert' AS requires_approval, count(*) AS n FROM act GROUP BY ALL")
+def r1_evaluate(spark, d):
+    t = _all(spark, d)
+    act = Q.evaluate(t, TH)
+    return act.join(t.select(F.col("id").alias("threat_id"), "category", "severity").distinct(), "threat_id").groupBy("category", "severity", "action_type", "requires_approval").agg(F.count(F.lit(1)).alias("n"))
+
+
+def flagship(spark, d):
+    """Access log to daily observations, rolling scores, behavioral threats and actions."""
+    t = D.detect_behavioral(scored(spark, d), TH)
+    a = Q.evaluate(t, TH).select(F.col("threat_id").alias("id"), "action_type")
+    return t.join(a, "id").select("source", "detected_at", F.col("detail.deviation.dimension").alias("dimension"), "severity", F.round("confidence", 6).alias("confidence"), "action_type")
+
+
+query(f"WITH {_AN} SELECT source, ts AS detected_at, dimension, severity, round(confidence, 6) AS confidence, {_DEC} AS action_type FROM an")(flagship)
+
+
+@query(f"WITH {_HELD}, {_LIN}, new AS (SELECT peer_id AS source FROM lin WHERE severity = 'Critical' AND confidence > 0.9) SELECT source, reason FROM (SELECT source, reason FROM held WHERE source NOT IN (SELECT source FROM new) UNION ALL SELECT source, 'Critical GeneticViolation' FROM new)")
+def r2_apply_actions(spark, d):
+    return Q.apply_actions(Q.evaluate(_found(spark, d)["genetic"], TH), held(spark, d)).select("source", "reason")
+
+
+def _requests(spark, d):
+    return T.table(spark, d, "customer").select(F.when(F.col("c_custkey") % 10 == 0, "").otherwise(F.concat(F.lit("10.0.0."), (F.col("c_custkey") % 256).cast("string"))).alias("source"), F.lit("2024-02-01").cast("timestamp_ntz").alias("started_at"), F.lit(None).cast("string").alias("reason"), F.lit(None).cast("string").alias("threat_id")).distinct()
+
+
+_REQ = "req AS (SELECT DISTINCT CASE WHEN c_custkey % 10 = 0 THEN '' ELSE '10.0.0.' || (c_custkey % 256) END AS source FROM customer)"
+
+
+@query(f"WITH {_HELD}, {_REQ} SELECT source, reason, threat_id FROM held WHERE source NOT IN (SELECT source FROM req) UNION ALL SELECT source, 'manual quarantine', 'manual' FROM req WHERE source <> ''")
+def r3_manual_quarantine(spark, d):
+    return Q.quarantine(held(spark, d), _requests(spark, d)).select("source", "reason", "threat_id")
+
+
+@query(f"WITH {_HELD}, {_REQ} SELECT source, source IN (SELECT source FROM held) AS released FROM req")
+def r4_release(spark, d):
+    return Q.release(held(spark, d), _requests(spark, d))[1]
+
+
+_VER = _AGAINST + ", " + _HELD.removeprefix(_LOG + ", ") + """, httpa AS (SELECT source, ts, list_sort(list(dimension)) AS anomalies FROM zz WHERE z IS NOT NULL AND round(z, 9) > 2.5 AND dimension IN ('request_rate', 'path_diversity', 'error_rate_4xx') GROUP BY ALL),
+ver AS (SELECT obs.source, obs.ts, CASE WHEN held.source IS NOT NULL THEN 'block' WHEN anomalies IS NOT NULL THEN 'warn' ELSE 'allow' END AS verdict, CASE WHEN held.source IS NOT NULL THEN 'source is quarantined' WHEN anomalies IS NOT NULL THEN len(anomalies) || ' HTTP anomal' || CASE WHEN len(anomalies) = 1 THEN 'y' ELSE 'ies' END || ' detected for source' ELSE 'no threats detected for source' END AS reason,
+CASE WHEN held.source IS NOT NULL THEN [threat_id] ELSE [] END AS threat_ids, CASE WHEN held.source IS NULL AND anomalies IS NOT NULL THEN anomalies ELSE [] END AS anomalies FROM obs LEFT JOIN held USING (source) LEFT JOIN httpa ON obs.source = httpa.source AND obs.ts = httpa.ts)"""
+
+
+def _verdicts(spark, d):
+    o = observed(spark, d)
+    return Q.advise(o, held(spark, d), O.baseline_stats(o, TH), TH)
+
+
+@query(f"WITH {_VER} SELECT * FROM ver", "threat_ids", "anomalies")
+def r5_advise(spark, d):
+    return _verdicts(spark, d)
+
+
+@query(f"WITH {_VER} SELECT count(*) AS screened, count(*) FILTER (verdict = 'allow') AS allows, count(*) FILTER (verdict = 'warn') AS warns, count(*) FILTER (verdict = 'block') AS blocks FROM ver")
+def a6_http_metrics(spark, d):
+    return A.http_metrics(_verdicts(spark, d))
+
+
+@query(f"WITH {_HELD} SELECT count(*) AS quarantined, min(started_at) AS oldest, max(started_at) AS newest FROM held")
+def a9_defense_status(spark, d):
+    return Q.defense_status(held(spark, d))
+
+
+@query(f"WITH {_DET}, {_AUD.removeprefix(_EV + ', ')}, {_HELD.removeprefix(_LOG + ', ')} SELECT n_threats, low, medium, high, critical, m.*, held FROM (SELECT count(*) AS n_threats, count(*) FILTER (severity = 'Low') AS low, count(*) FILTER (severity = 'Medium') AS medium, count(*) FILTER (severity = 'High') AS high, count(*) FILTER (severity = 'Critical') AS critical FROM th), ({_METRICS}) m, (SELECT count(*) AS held FROM held)")
+def a11_threat_report(spark, d):
+    return A.threat_report(_all(spark, d), A.security_metrics(T.audit_events(spark, d)), held(spark, d))
+
+
+@query(f"WITH {_DET}, b AS (SELECT severity, {_DEC} AS action FROM th WHERE category = 'BehavioralAnomaly'), {_CALLS.removeprefix(_EV + ', ')} SELECT 'ThreatDetected' AS kind, 'Warn' AS severity, count(*) AS n FROM b HAVING count(*) > 0 UNION ALL SELECT 'DefenseAction', 'Info', count(*) FROM b HAVING count(*) > 0 UNION ALL SELECT 'GateRejection', 'Warn', count(*) FROM gate WHERE access = 'protected' AND k % 4 <> 0 AND origin = 'Remote' HAVING count(*) > 0 UNION ALL SELECT 'BaselineObservation', 'Info', count(*) FROM obs")
+def r6_audit_events(spark, d):
+    o = observed(spark, d)
+    t = D.detect_behavioral(O.rolling_score(o, TH), TH)
+    parts = [A.threat_events(t), A.action_events(Q.evaluate(t, TH)), A.gate_events(A.gate_audit(T.rpc_calls(spark, d))), A.observation_events(o)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.groupBy("kind", "severity").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {_OBS}, kept AS (SELECT source, traffic_volume FROM obs WHERE ts > TIMESTAMP '2024-01-15' OR source >= '10.0.0.5') SELECT source, count(*) + 12 AS n, CAST(sum(traffic_volume) + 31744 AS BIGINT) AS total FROM kept GROUP BY source")
+def r7_reset_baseline(spark, d):
+    """Sources below 10.0.0.5 are reset in the middle of the month; all get seed rows."""
+    o = observed(spark, d)
+    resets = o.where("source < '10.0.0.5'").select("source", F.lit("2024-01-15").cast("timestamp_ntz").alias("reset_at"))
+    kept = O.reset_baseline(o, resets)
+    out = kept.unionByName(O.seed_observations(spark, kept), allowMissingColumns=True)
+    return out.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum("traffic_volume").cast("bigint").alias("total"))
+
+
+# --- audit ------------------------------------------------------------------------------------------
+
+@query(f"WITH {_AUD} SELECT seq, event_id, kind FROM seqd WHERE seq > 40 ORDER BY seq LIMIT 100")
+def k1_audit_page(spark, d):
+    return A.audit_page(_numbered(spark, d), 40, 100).select("seq", "event_id", "kind")
+
+
+@query(f"WITH {_AUD} SELECT seq, event_id FROM seqd WHERE seq > (SELECT max(seq) FROM seqd) - 1024")
+def k2_retain_latest(spark, d):
+    return A.retain_latest(_numbered(spark, d)).select("seq", "event_id")
+
+
+@query("SELECT count(*) AS latest_seq FROM events")
+def k3_latest_seq(spark, d):
+    return A.latest_seq(_numbered(spark, d))
+
+
+@query(f"WITH {_AUD}, b AS (SELECT seq, severity, event_id % 101 <> 0 AS delivered FROM seqd), f AS (SELECT min(seq) AS ff FROM b WHERE severity <> 'Info' AND NOT delivered) SELECT ff AS first_failed, max(CASE WHEN ff IS NULL OR seq < ff THEN seq END) AS cursor FROM b, f GROUP BY ff")
+def k4_advance_cursor(spark, d):
+    return A.advance_cursor(_numbered(spark, d).withColumn("delivered", F.col("event_id") % 101 != 0))
+
+
+@query(f"WITH {_OBS} SELECT source, ts FROM obs QUALIFY row_number() OVER (PARTITION BY source ORDER BY ts DESC) <= 5")
+def k5_window_trim(spark, d):
+    return O.last_n(observed(spark, d), 5, ["source"], ["ts"]).select("source", "ts")
+
+
+@query(f"WITH {_AUD} SELECT 'node-1' AS source_node, source AS threat_source, severity, subject AS description, ts AS detected_at FROM aud WHERE kind = 'ThreatDetected' AND severity <> 'Info'")
+def s8_threat_intel(spark, d):
+    return A.threat_intel(T.audit_events(spark, d), "node-1").select("source_node", "threat_source", "severity", "description", "detected_at")
+
+
+@query(f"WITH {_AUD} SELECT 't-' || user_id AS id, count(*) AS n_events, min(ts) AS first_event FROM events GROUP BY user_id")
+def j9_correlate(spark, d):
+    a = T.audit_events(spark, d)
+    t = a.select(F.col("correlation_id").alias("id"), F.lit("High").alias("severity"), "source").distinct()
+    act = a.where("kind = 'DefenseAction'").groupBy(F.col("correlation_id").alias("threat_id")).agg(F.max("detail").alias("action_type"))
+    return A.correlate(t, act, a).select("id", "n_events", "first_event")
+
+
+@query(f"WITH {_AUD}, m AS ({_METRICS}) SELECT 'palisade_' || x.metric || '_total ' || x.v AS value FROM m, LATERAL (SELECT unnest(['detected', 'mitigated', 'quarantined', 'alerts', 'scans']) AS metric, unnest([detected, mitigated, quarantined, alerts, scans]) AS v) x")
+def z14_exposition(spark, d):
+    return A.exposition(A.security_metrics(T.audit_events(spark, d)))
+
+
+# --- registry, topology, policy -----------------------------------------------------------------------
+
+@query(f"WITH {_FLOW} SELECT id FROM nd")
+def u4_all_nodes(spark, d):
+    n = T.nodes(spark, d)
+    return R.all_nodes(n.where("node_type = 'primal'"), n.where("node_type <> 'primal'").drop("node_type")).select("id")
+
+
+@query(f"""WITH {_FLOW} SELECT (SELECT count(*) FROM nd) AS n_nodes, count(*) AS n_edges FROM (SELECT DISTINCT "from", "to", protocol FROM fl WHERE "from" IN (SELECT id FROM nd) AND "to" IN (SELECT id FROM nd))""")
+def u5_scan(spark, d):
+    n = T.nodes(spark, d)
+    nodes, edges = R.scan(n.where("node_type = 'primal'"), n.where("node_type <> 'primal'"), T.flows(spark, d))
+    return nodes.agg(F.count(F.lit(1)).alias("n_nodes")).join(F.broadcast(edges.agg(F.count(F.lit(1)).alias("n_edges"))))
+
+
+@query(f"""WITH {_FLOW}, a AS (SELECT DISTINCT "from", "to", protocol FROM fl WHERE day < TIMESTAMP '1998-01-01'), b AS (SELECT DISTINCT "from", "to", protocol FROM fl WHERE day >= TIMESTAMP '1998-01-01') SELECT *, 'added' AS change FROM (SELECT * FROM b EXCEPT SELECT * FROM a) UNION ALL SELECT *, 'removed' FROM (SELECT * FROM a EXCEPT SELECT * FROM b)""")
+def z16_topology_diff(spark, d):
+    f = T.flows(spark, d)
+    return R.topology_diff(f.where("day < '1998-01-01'"), f.where("day >= '1998-01-01'"))
+
+
+_NEG = """neg AS (SELECT CAST(o_orderkey AS VARCHAR) AS session_id, o_orderdate AS created_at, o_orderkey % 7 <> 0 AS has_key, o_orderkey % 4 IN (0, 3) AS strong, CASE WHEN o_orderkey % 3 = 0 THEN 'Covalent' WHEN o_orderkey % 3 = 1 THEN 'Metallic' WHEN o_orderkey % 5 = 0 THEN NULL ELSE 'Ionic' END AS bond_type FROM orders)"""
+
+
+@query(f"WITH {_NEG} SELECT session_id, CASE WHEN has_key AND strong THEN 'chacha20-poly1305' ELSE 'null' END AS cipher FROM neg")
+def f12_cipher_policy(spark, d):
+    return P.cipher_policy(T.negotiations(spark, d)).select("session_id", "cipher")
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN ['null', 'chacha20-poly1305'] WHEN o_orderkey % 3 = 1 THEN ['hmac-plain'] ELSE ['null'] END AS offered FROM orders""", "offered")
+def f13_offered_ciphers(spark, d):
+    n = F.col("o_orderkey")
+    p = F.when(n % 3 == 0, '{"ciphers":["null","chacha20-poly1305"]}').when(n % 3 == 1, '{"preferred_cipher":"hmac-plain"}').otherwise("{}")
+    return T.table(spark, d, "orders").select("o_orderkey", S.offered_ciphers(p).alias("offered"))
+
+
+@query("""WITH e AS (SELECT event_id, value, avg(value) OVER () AS m, stddev_pop(value) OVER () AS s FROM events) SELECT event_id, round(abs(value - m) / s, 6) AS z, round(least(abs(value - m) / s / 5, 1), 6) AS confidence, CASE WHEN round(abs(value - m) / s, 9) > 5 THEN 'High' WHEN round(abs(value - m) / s, 9) > 3 THEN 'Medium' ELSE 'Low' END AS severity,
+round(least(value / 4, 1), 6) AS norm_load, round(CASE WHEN event_id > 0 THEN value / event_id END, 6) AS bytes_per_conn, 'sigma=2.50;dos=0.90;genetic=0.95' AS fingerprint, 'Some("' || event_id || '")' AS opt, '2 HTTP anomalies detected for source' AS reason, make_timestamp(event_id * 1000000 + 500000) AS at FROM e""")
+def f_scalar_functions(spark, d):
+    e = T.table(spark, d, "events")
+    stats = e.agg(F.avg("value").alias("m"), F.stddev_pop("value").alias("s"))
+    j = e.join(F.broadcast(stats)).withColumn("zz", S.z_score(F.col("value"), F.col("m"), F.col("s")))
+    return j.select("event_id", F.round("zz", 6).alias("z"), F.round(S.confidence(F.col("zz")), 6).alias("confidence"), S.severity_of(F.col("zz")).alias("severity"), F.round(S.norm_load(F.col("value"), F.lit(4)), 6).alias("norm_load"),
+                    F.round(S.bytes_per_conn(F.col("value"), F.col("event_id")), 6).alias("bytes_per_conn"), S.threshold_fingerprint(DEFAULTS).alias("fingerprint"), S.debug_option(F.col("event_id").cast("string")).alias("opt"), S.advisory_reason(F.lit(2)).alias("reason"), S.epoch_to_ts(F.col("event_id") + 0.5).cast("timestamp_ntz").alias("at"))
+
+
+@query(f"WITH {_NEG} SELECT session_id FROM neg WHERE created_at > (SELECT max(o_orderdate) FROM orders) - INTERVAL 30 DAY")
+def t8_expire_sessions(spark, d):
+    n = T.negotiations(spark, d)
+    now = n.agg(F.max("created_at").alias("now"))
+    return R.expire_sessions(n.join(F.broadcast(now)), F.col("now"), 30 * 86400).select("session_id")
+
+
+_GEN = """WITH w AS (SELECT event_id, user_id, value, count(*) OVER w AS n, avg(value) OVER w AS mean, CASE WHEN min(value) OVER w = max(value) OVER w THEN 0.0 ELSE stddev_pop(value) OVER w END AS sd FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 100 PRECEDING AND 1 PRECEDING))
+SELECT event_id, user_id, round(abs(value - mean) / sd, 6) AS z FROM w WHERE n >= 10 AND sd > 0 AND round(abs(value - mean) / sd, 9) > 2.5"""
+
+
+@query(_GEN)
+def z1_metric_baseline(spark, d):
+    m = O.metric_baseline(T.table(spark, d, "events"), "user_id", "value", ("ts", "event_id"), TH)
+    return m.where("anomalous and std_dev > 0").select("event_id", "user_id", F.round("z", 6).alias("z"))
+
+
+@query("SELECT event_type, CAST(hour(ts) AS INT) AS hour, CAST(dayofweek(ts) + 1 AS INT) AS weekday, round(avg(value), 6) AS mean, round(CASE WHEN min(value) = max(value) THEN 0 ELSE stddev_pop(value) END, 6) AS std_dev, count(*) AS n FROM events GROUP BY ALL")
+def z3_seasonal_baseline(spark, d):
+    return rounded(O.seasonal_baseline(T.table(spark, d, "events"), "value", "event_type"), "mean", "std_dev")
+
+
+@query(f"WITH {_DET} SELECT severity, count(*) AS n FROM th GROUP BY severity")
+def z4_threats_by_severity(spark, d):
+    return A.threat_breakdown(_all(spark, d)).groupBy("severity").agg(F.sum("n").cast("bigint").alias("n"))
+
+
+@query(f"WITH {_LOG} SELECT event_id, sha256('salt' || source) AS source FROM log")
+def z5_anonymize(spark, d):
+    return P.anonymize(T.access_log(spark, d).select("event_id", "source"), ["source"], "salt")
+
+
+@query(f"""WITH {_FLOW} SELECT "from", "to", protocol, count(*) AS packets, sum(bytes) AS total_bytes, min(day) AS first_seen, max(day) AS last_seen FROM fl GROUP BY ALL""")
+def z6_aggregate_flows(spark, d):
+    return P.aggregate_flows(T.flows(spark, d))
+
+
+@query("WITH t AS (SELECT DISTINCT user_id FROM events) SELECT '10.0.' || (user_id // 256) || '.' || (user_id % 256) AS address FROM t WHERE user_id < 65536 AND NOT (user_id BETWEEN 8 AND 15)")
+def z7_in_scope(spark, d):
+    scope = spark.createDataFrame([("10.0.0.0/16", "owned"), ("10.0.0.8/29", "excluded")], "cidr string, kind string")
+    return P.in_scope(T.access_log(spark, d).select(F.col("source").alias("address")).distinct(), scope)
+
+
+@query("SELECT event_id FROM events WHERE ts > (SELECT max(ts) FROM events) - INTERVAL 24 HOUR")
+def z8_prune(spark, d):
+    e = T.table(spark, d, "events")
+    return P.prune(e.join(F.broadcast(e.agg(F.max("ts").alias("now")))), "ts", F.col("now")).select("event_id")
+
+
+@query(f"WITH {_AN} SELECT severity, 'BehavioralAnomaly' AS threat_type, ts AS detected_at FROM an")
+def z9_shareable(spark, d):
+    return A.shareable(_found(spark, d)["behavioral"]).select("severity", "threat_type", "detected_at")
+
+
+@query(f"WITH {_LIN} SELECT peer_id AS target, CASE WHEN severity = 'Critical' THEN 'Quarantine' ELSE 'MonitorAndAlert' END AS action_type, CASE WHEN severity = 'Critical' THEN 1 ELSE 100 END AS packets_per_second, CASE WHEN severity = 'Critical' THEN TIMESTAMP '2024-01-31 01:00:00' END AS expires_at FROM lin")
+def z10_response_plan(spark, d):
+    t = _found(spark, d)["genetic"]
+    return Q.response_plan(Q.evaluate(t, TH), t).select("target", "action_type", "packets_per_second", "expires_at")
+
+
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS threat_id, CASE WHEN o_orderkey % 5 = 0 THEN 'denied' WHEN o_orderdate + INTERVAL 5 MINUTE <= TIMESTAMP '1998-01-01' THEN 'auto-approved' ELSE 'pending' END AS status FROM orders")
+def z11_resolve_approvals(spark, d):
+    o = T.table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("threat_id"), F.col("o_orderdate").cast("timestamp_ntz").alias("requested_at"), "o_orderkey")
+    decided = o.where("o_orderkey % 5 = 0").select("threat_id", F.col("requested_at").alias("decided_at"), F.lit("denied").alias("decision"))
+    return Q.resolve_approvals(o, decided, F.lit("1998-01-01").cast("timestamp_ntz")).select("threat_id", "status")
+
+
+def _rules(spark, d):
+    """Rules from the data: an upper and a lower bound on size and quantity around each part's values."""
+    p = T.table(spark, d, "part").where("p_partkey % 40 = 0")
+    return p.select(F.col("p_partkey").alias("rule_id"), F.lit("value").alias("field"), (F.col("p_size") * 10.0).alias("lo"), (F.col("p_size") * 10.0 + 60.0).alias("hi"))
+
+
+_RULES = "rules AS (SELECT p_partkey AS rule_id, p_size * 10.0 AS lo, p_size * 10.0 + 60.0 AS hi FROM part WHERE p_partkey % 40 = 0)"
+
+
+@query(f"WITH {_RULES} SELECT event_id, rule_id FROM events JOIN rules ON value >= lo AND value < hi")
+def z20_match_signatures(spark, d):
+    return P.match_signatures(T.table(spark, d, "events"), _rules(spark, d), ["event_id"], ["value"])
+
+
+@query(f"WITH {_RULES} SELECT rule_id FROM rules WHERE NOT EXISTS (SELECT 1 FROM events WHERE event_type = 'error' AND value >= lo AND value < hi)")
+def z12_select_detectors(spark, d):
+    return P.select_detectors(_rules(spark, d), T.table(spark, d, "events").where("event_type = 'error'"), ["event_id"], ["value"]).select("rule_id")
+
+
+@query(f"WITH {_RULES} SELECT event_id, count(*) AS n_rules FROM events JOIN rules ON value >= lo AND value < hi GROUP BY event_id HAVING count(*) >= 3")
+def z13_patrol(spark, d):
+    return P.patrol(T.table(spark, d, "events"), _rules(spark, d), ["event_id"], ["value"], 3)
+
+
+@query("SELECT count(*) AS n_threats, round(avg(CASE WHEN user_id % 3 = 0 THEN 1.0 ELSE 0.0 END), 6) AS false_positive_rate, round(avg(event_id % 60)::DOUBLE, 6) AS mean_delay_s FROM events WHERE event_type = 'error'")
+def z17_detection_quality(spark, d):
+    e = T.table(spark, d, "events").where("event_type = 'error'")
+    t = e.select(F.col("event_id").cast("string").alias("id"), F.col("ts").alias("detected_at"))
+    f = e.select(F.col("event_id").cast("string").alias("threat_id"), (F.col("user_id") % 3 == 0).alias("false_positive"), (F.col("ts") - F.make_dt_interval(secs=F.col("event_id") % 60)).alias("occurred_at"))
+    return rounded(A.detection_quality(t, f), "false_positive_rate", "mean_delay_s")
+
+
+@query("SELECT event_id FROM events WHERE NOT (event_type = 'view' OR (event_type = 'click' AND user_id % 2 = 0))")
+def z18_role_violations(spark, d):
+    e = T.table(spark, d, "events").select("event_id", F.col("user_id").alias("entity"), F.col("event_type").alias("class"))
+    ids = e.select("entity").distinct()
+    roles = ids.withColumn("class", F.lit("view")).unionByName(ids.where("entity % 2 = 0").withColumn("class", F.lit("click")))
+    return P.role_violations(e, roles).select("event_id")
+
+
+@query(f"WITH {_AN} SELECT source, ts AS detected_at, dimension FROM an WHERE NOT (source < '10.0.0.3' AND ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-20')")
+def z19_grace(spark, d):
+    t = _found(spark, d)["behavioral"]
+    m = observed(spark, d).where("source < '10.0.0.3'").select("source").distinct().select("source", F.lit("2024-01-10").cast("timestamp_ntz").alias("joined_at"), F.lit("2024-01-20").cast("timestamp_ntz").alias("grace_until"))
+    return P.apply_grace(t, m).select("source", "detected_at", F.col("detail.deviation.dimension").alias("dimension"))
