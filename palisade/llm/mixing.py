@@ -34,10 +34,8 @@ def targets(sizes: DataFrame, cap: float = 3.0, cycle: int = 3) -> DataFrame:
     t = t.withColumns({
         "_left": F.sum("source_size").over(W.partitionBy(one)) - F.lit(cap) * (F.sum("source_size").over(by.rowsBetween(W.unboundedPreceding, 0)) - F.col("source_size")),
         "_w": F.sum("w").over(W.partitionBy(one)) - F.sum("w").over(by.rowsBetween(W.unboundedPreceding, 0)) + F.col("w")})
-    level = F.min(F.when(F.col("_full") * F.col("_w") > F.col("_left"), F.col("_left") / F.col("_w"))).over(W.partitionBy(one))
     # the first source that is not full sets the level; if all are full, each stops at its cap
     t = t.withColumn("_first", F.min(F.when(F.col("_full") * F.col("_w") > F.col("_left"), F.struct("_full", F.col("source").isNull().alias("n"), "source", (F.col("_left") / F.col("_w")).alias("level")))).over(W.partitionBy(one)))
-    del level
     target = F.least(F.lit(cap) * F.col("source_size"), F.col("_first.level") * F.col("w"))
     return t.select("source", "source_size", target.cast("double").alias("target"))
 
@@ -59,7 +57,7 @@ def pareto_mix(docs: DataFrame, cap: float = 3.0, cycle: int = 3) -> DataFrame:
     d = docs.withColumn("size", words(F.col("text")))
     key = F.col("source")
     sizes = targets(d.groupBy("source").agg(F.sum("size").alias("source_size")), cap, cycle)
-    d = d.join(F.broadcast(sizes) if False else sizes.withColumnRenamed("source", "_s"), key.eqNullSafe(F.col("_s"))).drop("_s")
+    d = d.join(sizes.withColumnRenamed("source", "_s"), key.eqNullSafe(F.col("_s"))).drop("_s")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     whole = F.floor(ratio)
     p, u = ratio - whole, uniform(F.col("doc_id"))

@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from . import common as C
 
 WIDTH, GRAM = 100, 32
-#: Bytes of text and anchors handled at once inside a task; they bound numpy's memory.
-PIECE, SLICE = 1 << 19, 512
+#: Anchors whose windows are sorted at once inside a task; bounds numpy's memory.
+SLICE = 512
 SPAN = WIDTH - GRAM  # an anchor lies 0..SPAN bytes after the start of its window
 _U = np.uint64
 ANCHOR = "bucket int, h long, doc_id long, c long, at long"
@@ -117,7 +117,7 @@ def _emit(splitters):
     def run(batches):
         cut = splitters.value
         for batch in batches:
-            for part, raw, offsets in C.chunks(batch, limit=PIECE):
+            for part, raw, offsets in C.chunks(batch):
                 ids = part.column(part.schema.get_field_index("doc_id")).to_numpy(zero_copy_only=False)
                 row, anchor, first, last, h, whole = anchors(raw, offsets)
                 if not len(row):
