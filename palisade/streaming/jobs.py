@@ -96,16 +96,16 @@ class Previous(StatefulProcessor):
     """Increase per second since the previous sample of a key."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "ts double, value double")
+        self.last = handle.getValueState("last", "ts long, value double")
 
     def handleInputRows(self, key, rows, timerValues):
         before = self.last.get() if self.last.exists() else None
         for pdf in sorted_frames(rows):
             rates = []
             for ts, v in zip(pdf["ts"], pdf["value"], strict=True):
-                t = pd.Timestamp(ts).value / 1e9
+                t = pd.Timestamp(ts).as_unit("us").value
                 ok = before is not None and v >= before[1] and t > before[0]
-                rates.append((v - before[1]) / (t - before[0]) if ok else 0.0)
+                rates.append((v - before[1]) / ((t - before[0]) / 1e6) if ok else 0.0)
                 before = (t, float(v))
             yield pd.DataFrame({"key": str(key[0]), "id": pdf["id"].to_numpy(), "ts": pdf["ts"].to_numpy(), "rate": rates})
         if before is not None:
