@@ -103,7 +103,7 @@ class Previous(StatefulProcessor):
         for pdf in sorted_frames(rows):
             rates = []
             for ts, v in zip(pdf["ts"], pdf["value"], strict=True):
-                t = pd.Timestamp(ts).as_unit("us").value
+                t = pd.Timestamp(ts).value // 1000  # microseconds
                 ok = before is not None and v >= before[1] and t > before[0]
                 rates.append((v - before[1]) / ((t - before[0]) / 1e6) if ok else 0.0)
                 before = (t, float(v))
