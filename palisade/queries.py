@@ -380,7 +380,7 @@ def j8_discover(spark, d):
     return R.discover(R.registry_state(T.announcements(spark, d)), wanted)
 
 
-_FLOW = """fl AS (SELECT 's' || l_suppkey AS "from", 'p' || l_partkey AS "to", lower(l_returnflag) AS protocol, l_quantity AS bytes, l_shipdate AS day FROM lineitem), nd AS (SELECT 's' || s_suppkey AS id FROM supplier UNION ALL SELECT 'p' || p_partkey FROM part WHERE p_partkey % 10 <> 0)"""
+_FLOW = """fl AS (SELECT 's' || l_suppkey AS "from", 'p' || l_partkey AS "to", lower(l_returnflag) AS protocol, l_quantity AS bytes, l_shipdate AS day FROM lineitem), nd AS (SELECT 's' || s_suppkey AS id FROM supplier UNION ALL SELECT 'p' || p_partkey FROM part WHERE p_size <= 45)"""
 
 
 @query(f"""WITH {_FLOW} SELECT "from", "to", protocol, count(*) AS n_flows FROM fl WHERE "from" IN (SELECT id FROM nd) AND "to" IN (SELECT id FROM nd) GROUP BY ALL""")
@@ -708,12 +708,12 @@ def z11_resolve_approvals(spark, d):
 
 
 def _rules(spark, d):
-    """Rules from the data: an upper and a lower bound on size and quantity around each part's values."""
-    p = T.table(spark, d, "part").where("p_partkey % 40 = 0")
-    return p.select(F.col("p_partkey").alias("rule_id"), F.lit("value").alias("field"), (F.col("p_size") * 10.0).alias("lo"), (F.col("p_size") * 10.0 + 60.0).alias("hi"))
+    """One rule for each part size: a band of values."""
+    p = T.table(spark, d, "part").groupBy("p_size").agg(F.lit(1))
+    return p.select(F.col("p_size").alias("rule_id"), F.lit("value").alias("field"), (F.col("p_size") * 10.0).alias("lo"), (F.col("p_size") * 10.0 + 60.0).alias("hi"))
 
 
-_RULES = "rules AS (SELECT p_partkey AS rule_id, p_size * 10.0 AS lo, p_size * 10.0 + 60.0 AS hi FROM part WHERE p_partkey % 40 = 0)"
+_RULES = "rules AS (SELECT DISTINCT p_size AS rule_id, p_size * 10.0 AS lo, p_size * 10.0 + 60.0 AS hi FROM part)"
 
 
 @query(f"WITH {_RULES} SELECT event_id, rule_id FROM events JOIN rules ON value >= lo AND value < hi")

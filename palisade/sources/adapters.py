@@ -112,7 +112,7 @@ def negotiations(spark, sf_dir) -> DataFrame:
 
 def nodes(spark, sf_dir) -> DataFrame:
     s = table(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("id"), F.lit("primal").alias("node_type"))
-    p = table(spark, sf_dir, "part").where("p_partkey % 10 <> 0").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("id"), F.lit("service").alias("node_type"))
+    p = table(spark, sf_dir, "part").where("p_size <= 45").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("id"), F.lit("service").alias("node_type"))
     return s.unionByName(p)
 
 
