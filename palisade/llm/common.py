@@ -47,6 +47,15 @@ def save(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete a table written by save() that nothing will read again."""
+    files = df.inputFiles()
+    if files:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def fold(col: Column, n: int) -> Column:
     """crc32 of an id as text, modulo n: the split of learning and held-out rows."""
     return F.crc32(col.cast("string").cast("binary")) % n

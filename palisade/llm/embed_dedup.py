@@ -63,7 +63,7 @@ def _places(cells):
 
 
 def _compare(threshold: float):
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         _, cell, i, j = key
         ids, many = pdf["id"].to_numpy(np.int64), pdf["m"].to_numpy(np.int64)
         x = np.stack(pdf["v"].to_numpy()).astype(float)

@@ -253,6 +253,8 @@ def jaccard_components(docs: DataFrame, shingle_words: int = 4, percent: int = 8
     rest = one.join(two, ["token", "size"]).where(may).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
     more = verified(pairs(rest), "rest")
     comp = components(stars.unionByName(more))
+    for done in (left, groups, packed):  # the largest scratch tables; nothing below reads them
+        C.discard(done)
     linked = of.select("doc_id", F.col("rep").alias("id")).join(comp, "id", "left").select(F.col("doc_id").alias("_d"), F.coalesce("component_id", "id").alias("_c")).distinct()
     return sets.select("doc_id", F.col("n").alias("n_shingles")).join(linked, F.col("doc_id") == F.col("_d"), "left").select("doc_id", "n_shingles", F.coalesce("_c", "doc_id").alias("component_id"))
 
