@@ -1,16 +1,20 @@
-"""Tables in the shared scratch folder, to cut lineage."""
+"""Tables in the shared scratch folder, to cut lineage and to feed streams."""
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def save(df: DataFrame, name: str) -> DataFrame:
-    """Write below spark.checkpoint.dir and read again; a local folder is used only where that is unset (tests)."""
-    spark = df.sparkSession
+def folder(spark: SparkSession, name: str) -> str:
+    """A new folder below spark.checkpoint.dir; a local one is used only where that is unset (tests)."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file:///tmp/spark-scratch"
-    path = f"{base.rstrip('/')}/{uuid.uuid4().hex}/{name}"
+    return f"{base.rstrip('/')}/{uuid.uuid4().hex}/{name}"
+
+
+def save(df: DataFrame, name: str) -> DataFrame:
+    """Write and read again."""
+    path = folder(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -15,6 +15,7 @@ from palisade.operators import registry as R
 from palisade.operators import respond as Q
 from palisade.sources import adapters as T
 from palisade.sources import io
+from palisade.streaming import queries as SQ
 from palisade.thresholds import DEFAULTS
 
 #: The detectors' limits for the test tables, which lie far below real traffic.
@@ -83,7 +84,7 @@ NUMBERS = ("observed", "mean", "std_dev", "deviation", "confidence")
 
 # --- sources, projections -------------------------------------------------------------------------
 
-def _lines(spark, d):
+def json_lines(spark, d):
     """The log as JSON lines; every 40th broken, every 41st blank."""
     log = T.access_log(spark, d)
     j = F.to_json(F.struct(F.struct(F.col("source").alias("remote_ip"), "host", "uri", "method").alias("request"), "status", "size", "duration", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("ts")))
@@ -95,13 +96,13 @@ _GOOD = _LOG + ", good AS (SELECT * FROM log WHERE event_id % 40 <> 0 AND event_
 
 @query(f"WITH {_GOOD} SELECT source, host, uri, method, status, size, round(duration, 9) AS duration, ts FROM good")
 def s1_access_log_scan(spark, d):
-    out = io.split_malformed(_lines(spark, d))[0]
+    out = io.split_malformed(json_lines(spark, d))[0]
     return out.withColumns({"ts": F.col("ts").cast("timestamp_ntz"), "duration": F.round("duration", 9)})
 
 
 @query("SELECT count(*) FILTER (event_id % 40 <> 0 AND event_id % 41 <> 0) AS n_good, count(*) FILTER (event_id % 40 = 0) AS n_bad FROM events")
 def s2_malformed_split(spark, d):
-    p = io.parse_log(_lines(spark, d))
+    p = io.parse_log(json_lines(spark, d))
     return p.agg(F.count("entry").alias("n_good"), F.sum(F.when(F.col("entry").isNull(), 1).otherwise(0)).cast("bigint").alias("n_bad"))
 
 
@@ -752,3 +753,31 @@ def z19_grace(spark, d):
     t = _found(spark, d)["behavioral"]
     m = observed(spark, d).where("source < '10.0.0.3'").select("source").distinct().select("source", F.lit("2024-01-10").cast("timestamp_ntz").alias("joined_at"), F.lit("2024-01-20").cast("timestamp_ntz").alias("grace_until"))
     return P.apply_grace(t, m).select("source", "detected_at", F.col("detail.deviation.dimension").alias("dimension"))
+
+
+@query("SELECT event_id, CASE event_type WHEN 'error' THEN 'DenialOfService' ELSE 'ProcessSpawnAnomaly' END AS category, value / 1000 AS confidence FROM events WHERE event_type <> 'view'")
+def s5_threat_ingest(spark, d):
+    """Threat records as JSON; those of views have no kind and are split off."""
+    e = T.table(spark, d, "events")
+    kind = F.when(F.col("event_type") == "error", F.struct(F.struct(F.lit(0.95).alias("current_load"), F.lit(0.9).alias("threshold")).alias("DenialOfService"), F.lit(None).cast("struct<rate: double, threshold: double>").alias("ProcessSpawnAnomaly")))
+    kind = kind.when(F.col("event_type") != "view", F.struct(F.lit(None).cast("struct<current_load: double, threshold: double>").alias("DenialOfService"), F.struct(F.lit(60.0).alias("rate"), F.lit(50.0).alias("threshold")).alias("ProcessSpawnAnomaly")))
+    at = F.struct(F.unix_seconds(F.col("ts").cast("timestamp")).alias("secs_since_epoch"), F.lit(0).alias("nanos_since_epoch"))
+    text = F.to_json(F.struct(F.col("event_id").cast("string").alias("id"), kind.alias("threat_type"), F.lit("High").alias("severity"), F.lit("s").alias("source"), F.lit("t").alias("target"), at.alias("detected_at"), F.lit("d").alias("description"), (F.col("value") / 1000).alias("confidence")))
+    good, _ = io.threats_from_json(e.select(text.alias("value")))
+    return good.select(F.col("id").cast("bigint").alias("event_id"), "category", "confidence")
+
+
+# --- streams and files ----------------------------------------------------------------------------------
+
+QUERIES |= SQ.QUERIES
+ORACLE_SQL |= {
+    "s3_stream_log_tail": f"WITH {_GOOD} SELECT source, uri, status, size, ts FROM good",
+    "s6_quarantine_snapshot": f"WITH {_HELD} SELECT * FROM held",
+    "s7_forward_audit": f"WITH {_AUD} SELECT sink, seq, severity FROM seqd, (VALUES ('provenance'), ('attestation')) v(sink) WHERE severity <> 'Info'",
+    "t1_t2_stream_windows": f"WITH {_OBS} SELECT source, ts, traffic_volume, path_diversity, method_diversity, round(error_rate_4xx, 6) AS error_rate_4xx FROM obs WHERE ts + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR",
+    "t4_stream_profile": "SELECT event_id, CAST(count(*) OVER w AS INT) AS n, round(avg(value) OVER w, 8) AS mean, round(CASE WHEN min(value) OVER w = max(value) OVER w THEN 0.0 ELSE stddev_pop(value) OVER w END, 8) AS std_dev FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 99 PRECEDING AND CURRENT ROW)",
+    "t5_stream_connectivity": f"WITH {_FAIL} SELECT event_id, channel, probes, round(failures / probes, 6) AS failure_rate, CASE WHEN failures / probes > 0.8 THEN 'Critical' ELSE 'High' END AS severity FROM fail WHERE probes >= 3 AND failures / probes > 0.5",
+    "t6_stream_counter_rate": f"WITH {_RATE} SELECT event_id, host, round(rate, 6) AS rate FROM rate",
+    "t7_stream_quarantine": f"WITH {_QINT} SELECT event_id, source, coalesce(lag(op) OVER (PARTITION BY source ORDER BY ts, event_id) = 'enter', false) AS was_held, op = 'enter' AS held FROM ch",
+    "z15_export": "SELECT event_id, event_type, value FROM events",
+}
