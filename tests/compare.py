@@ -1,6 +1,9 @@
 """Order-free comparison of a Spark result with a DuckDB result."""
 
+import numbers
+
 import duckdb
+import numpy as np
 import pandas as pd
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -15,9 +18,11 @@ def duck(sf):
 
 def rows(df: pd.DataFrame) -> list[tuple]:
     def plain(v):
-        if v is None or v is pd.NaT or (isinstance(v, float) and v != v):
+        if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and v != v):
             return ""
-        return repr(round(float(v), 6)) if isinstance(v, float) else str(v)
+        if isinstance(v, numbers.Number) and not isinstance(v, (bool, np.bool_)):  # a whole number may come as a float
+            return repr(round(float(v), 6))
+        return str(v)
 
     return sorted(tuple(plain(v) for v in r) for r in df[sorted(df.columns)].itertuples(index=False))
 
