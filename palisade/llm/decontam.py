@@ -3,8 +3,8 @@
 Words are canonicalised: numbers, names (a capitalised word inside a sentence) and units become typed placeholders.
 Windows of template words are joined by hash between documents and benchmark items. Windows that lie on one diagonal
 (same shift between document and item) form a match; a match counts if it is long enough and if its slots agree: one
-value in the item always stands for one value in the document, so a question with other numbers is found, and a
-text that merely has the same shape is not.
+value in the item always stands for one value in the document (or most values are the item's own), so a question with
+other numbers is found, and a text that merely has the same shape is not.
 """
 
 from __future__ import annotations
@@ -63,11 +63,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     runs = runs.join(F.broadcast(sizes) if few else sizes, "item_id").where("n_windows >= need").drop("need")
     words = docs.select("doc_id", "text").join(runs, "doc_id").withColumn("dt", tokens(F.col("text"))).drop("text")
     span = F.sequence(F.col("lo"), F.col("hi") - 1)
-    pairs = F.filter(F.transform(span, lambda i: F.struct(F.get("it", i).alias("a"), F.get("dt", i + F.col("shift")).alias("b"))), lambda p: is_slot(p["a"]))
+    pairs = F.filter(F.transform(span, lambda i: F.struct(F.get("it", i).alias("a"), F.get("dt", i + F.col("shift")).alias("b"))), lambda p: is_slot(p["a"]) & is_slot(p["b"]))
     words = words.withColumn("slots", pairs)
-    # a slot outside the shared windows may hold any word; values must still map one to one
+    # one value of the item stands for one value of the document, unless most values are the item's own
     one = F.size(F.array_distinct("slots")) == F.size(F.array_distinct(F.col("slots")["a"]))
-    words = words.withColumns({"n_slots": F.size("slots"), "exact": F.forall("slots", lambda p: p["a"].eqNullSafe(p["b"]))}).where(one)
+    own = F.size(F.filter("slots", lambda p: p["a"] == p["b"]))
+    words = words.withColumns({"n_slots": F.size("slots"), "exact": own == F.size("slots")}).where(one | (2 * own > F.size("slots")))
     best = words.groupBy("doc_id", "item_id").agg(F.max(F.struct("n_windows", "n_slots", "exact")).alias("m"))
     return best.select("doc_id", "item_id", "m.n_windows", "m.n_slots", "m.exact")
 

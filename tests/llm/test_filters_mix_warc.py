@@ -75,8 +75,8 @@ def test_targets(spark):
 
 def test_mix(make_docs):
     docs = make_docs([(i, "w " * (i % 30 + 1), None, ("a", "b", None)[i % 3]) for i in range(600)] + [(900, None, None, "a"), (901, "", None, "b"), (902, " \n", None, "z")])
-    out = mixing.pareto_mix(docs).collect()
-    assert len(out) == 603 and out == mixing.pareto_mix(docs).collect()
+    out = mixing.pareto_mix(docs).orderBy("doc_id").collect()
+    assert len(out) == 603 and out == mixing.pareto_mix(docs.repartition(7)).orderBy("doc_id").collect()
     for source in ("a", "b", None):
         own = [r for r in out if r["source"] == source]
         assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 2
