@@ -23,9 +23,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Bytes of 100-byte strings that also start earlier go; characters cut in half go too, and documents left empty."""
-    cut = suffix_dedup.remove_repeats(docs).where("n_removed > 0").select(F.col("doc_id").alias("_d"), F.regexp_replace(F.make_valid_utf8(F.col("kept").cast("string")), "\ufffd", "").alias("_t"))
-    out = docs.join(cut, F.col("doc_id") == F.col("_d"), "left").where("_t is null or trim(_t) <> ''")
-    return out.select("doc_id", F.coalesce("_t", "text").alias("text"), "lang", "source", F.coalesce(F.length("_t").cast("long"), F.col("n_chars")).alias("n_chars"))
+    cut = suffix_dedup.remove_repeats(docs, along=("lang", "source", "n_chars"))
+    changed = F.col("n_removed") > 0
+    left = F.regexp_replace(F.make_valid_utf8(F.col("kept").cast("string")), "\\ufffd", "")
+    out = cut.withColumn("text", F.when(changed, left).otherwise(F.col("kept").cast("string"))).where(~changed | (F.trim("text") != ""))
+    return out.select("doc_id", "text", "along.lang", "along.source", F.when(changed, F.length("text").cast("long")).otherwise(F.col("along.n_chars")).alias("n_chars"))
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

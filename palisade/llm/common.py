@@ -47,6 +47,20 @@ def save(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows up to which a table of ids or other narrow rows (at most some 50 bytes each) is broadcast.
+SMALL_ROWS = 500_000
+
+
+def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
+    """The narrow table `df` (read from a file) with a broadcast hint if it has few rows; else as it is, for a shuffle join."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Documents whose doc_id is not in `ids`; rows with a null id stay. Texts are only shuffled if the ids are many."""
+    return docs.join(small(save(ids.select("doc_id").distinct(), "ids")), "doc_id", "left_anti")
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table written by save() that nothing will read again."""
     files = df.inputFiles()

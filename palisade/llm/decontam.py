@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import common as C
+
 WINDOW = 8  # words hashed together
 LEAST = 13  # matched words that make a match, or the whole item if it is shorter
 #: Words that count as units of measure.
@@ -60,8 +62,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     runs = hits.select("doc_id", "item_id", (F.col("pos") - F.col("at")).alias("shift"), "at").distinct()
     runs = runs.groupBy("doc_id", "item_id", "shift").agg(F.count("*").alias("n_windows"), F.min("at").alias("lo"), (F.max("at") + WINDOW).alias("hi"))
     sizes = items.select("item_id", tokens(F.col("text")).alias("it")).withColumn("need", F.least(F.lit(LEAST - WINDOW + 1), F.size("it") - WINDOW + 1))
-    runs = runs.join(F.broadcast(sizes) if few else sizes, "item_id").where("n_windows >= need").drop("need")
-    words = docs.select("doc_id", "text").join(runs, "doc_id").withColumn("dt", tokens(F.col("text"))).drop("text")
+    runs = runs.join(F.broadcast(sizes) if few else sizes, "item_id").where("n_windows >= need").drop("need", "it")
+    runs = C.small(C.save(runs, "runs"))
+    words = docs.select("doc_id", "text").join(runs.select("doc_id", "item_id", "shift", "n_windows", "lo", "hi"), "doc_id").join(F.broadcast(sizes) if few else sizes, "item_id").withColumn("dt", tokens(F.col("text"))).drop("text")
     span = F.sequence(F.col("lo"), F.col("hi") - 1)
     pairs = F.filter(F.transform(span, lambda i: F.struct(F.get("it", i).alias("a"), F.get("dt", i + F.col("shift")).alias("b"))), lambda p: is_slot(p["a"]) & is_slot(p["b"]))
     words = words.withColumn("slots", pairs)
@@ -75,4 +78,4 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that match no item; rows with a null id stay."""
-    return docs.join(contaminated(docs, benchmark).select("doc_id").distinct(), "doc_id", "left_anti")
+    return C.without(docs, contaminated(docs, benchmark))

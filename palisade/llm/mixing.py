@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import common as C
+
 WORD = r"[^\x20\x09-\x0D]+"
 BINS = 4096
 
@@ -52,46 +54,58 @@ def pareto_mix(docs: DataFrame, cap: float = 3.0, cycle: int = 3) -> DataFrame:
     told apart by doc_id only, so they share their random number. The document that would go over its source's
     target is not taken; of those after it, the one whose size is nearest to what is missing is, if that brings the
     source nearer to its target. A source's rows are never gathered: sums by bin of the rank find the bin in which
-    the target is reached, and only that bin (1 / BINS of the source) is ordered exactly.
+    the target is reached, and only that bin (1 / BINS of the source) is ordered exactly. All of that runs on
+    (doc_id, source, size); the documents themselves only meet two tables of one row a source.
     """
-    d = docs.withColumn("size", words(F.col("text")))
-    key = F.col("source")
-    sizes = targets(d.groupBy("source").agg(F.sum("size").alias("source_size")), cap, cycle)
-    d = d.join(sizes.withColumnRenamed("source", "_s"), key.eqNullSafe(F.col("_s"))).drop("_s")
-    ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    whole = F.floor(ratio)
-    p, u = ratio - whole, uniform(F.col("doc_id"))
-    # random odds over inclusion odds; v is the same order on [0, 1], which bins evenly enough
-    q = F.when(p > 0, (u / (1 - u)) / (p / (1 - p)))
-    d = d.withColumns({"_whole": whole, "_q": q, "_rest": F.col("target") - whole * F.col("source_size")})
-    d = d.withColumn("_bin", F.floor(F.col("_q") / (1 + F.col("_q")) * BINS))
-    live = d.where((F.col("_q").isNotNull()) & (F.col("size") > 0)).select("source", "doc_id", "size", "_rest", "_q", "_bin")
+    counted = docs.withColumn("size", words(F.col("text")))
+    narrow = C.save(counted.select("doc_id", "source", "size"), "sizes")
+    sizes = C.save(targets(narrow.groupBy("source").agg(F.sum("size").alias("source_size")), cap, cycle), "targets")
+    live = _ranked(narrow, sizes).where(F.col("_q").isNotNull() & (F.col("size") > 0)).select("source", "doc_id", "size", "_rest", "_q")
+    live = live.withColumn("_bin", F.floor(F.col("_q") / (1 + F.col("_q")) * BINS))  # the same order on [0, 1]
     bins = live.groupBy("source", "_bin").agg(F.sum("size").alias("s"))
     upto = W.partitionBy("source").orderBy("_bin").rowsBetween(W.unboundedPreceding, 0)
-    bins = bins.withColumn("_before", F.sum("s").over(upto) - F.col("s")).select(F.col("source").alias("_s"), F.col("_bin").alias("_b"), "_before", F.col("s").alias("_sum"))
-    same = F.col("source").eqNullSafe(F.col("_s")) & (F.col("_bin") == F.col("_b"))
-    placed = live.join(bins, same).drop("_s", "_b")
-    border = placed.where((F.col("_before") <= F.col("_rest")) & (F.col("_before") + F.col("_sum") > F.col("_rest")))
+    bins = bins.withColumn("_before", F.sum("s").over(upto) - F.col("s"))
+    # the bin in which the target is reached, one a source
+    edge = bins.join(C.small(_rest(sizes)), F.col("source").eqNullSafe(F.col("_s"))).where((F.col("_before") <= F.col("_rest")) & (F.col("_before") + F.col("s") > F.col("_rest")))
+    edge = C.save(edge.select(F.col("source").alias("_s"), F.col("_bin").alias("_b"), "_before"), "edges")
+    border = live.join(C.small(edge), F.col("source").eqNullSafe(F.col("_s")) & (F.col("_bin") == F.col("_b")))
     run = W.partitionBy("source").orderBy("_q", "doc_id").rowsBetween(W.unboundedPreceding, 0)
     border = border.withColumn("_cum", F.col("_before") + F.sum("size").over(run))
+    inside = F.col("_cum") <= F.col("_rest")
     cut = border.groupBy("source").agg(
-        F.max(F.when(F.col("_cum") <= F.col("_rest"), F.struct("_q", "doc_id"))).alias("_last"),
-        F.coalesce(F.max(F.when(F.col("_cum") <= F.col("_rest"), F.col("_cum"))), F.min("_before")).alias("_got"),
-        F.min(F.struct("_q", "doc_id")).alias("_first"))
-    cut = cut.select(F.col("source").alias("_s"), "_last", "_got", "_first")
-    return _take(d, live, cut)
+        F.max(F.when(inside, F.struct("_q", "doc_id"))).alias("_last"), F.coalesce(F.max(F.when(inside, F.col("_cum"))), F.min("_before")).alias("_got"), F.min(F.struct("_q", "doc_id")).alias("_first"))
+    cut = C.save(cut.select(F.col("source").alias("_s"), "_last", "_got", "_first"), "cuts")
+    missing = F.col("_rest") - F.col("_got")
+    away = F.abs(missing - F.col("size"))
+    extra = live.join(C.small(cut), F.col("source").eqNullSafe(F.col("_s"))).where(~_before_cut() & (away < missing))
+    extra = extra.groupBy("source").agg(F.min(F.struct(away.alias("a"), "_q", "doc_id")).alias("_e")).select(F.col("source").alias("_x"), F.col("_e.doc_id").alias("_extra"))
+    cut = C.save(cut.join(extra, F.col("_s").eqNullSafe(F.col("_x")), "left").drop("_x"), "cuts")
+    out = _ranked(counted, sizes).join(C.small(cut), F.col("source").eqNullSafe(F.col("_s")), "left")
+    # a source without a cut reaches its target with no document too many: all of it is inside
+    chosen = F.col("_q").isNotNull() & (F.col("_first").isNull() | _before_cut() | (F.col("doc_id") == F.col("_extra")))
+    once = F.when(F.coalesce(chosen, F.lit(False)) & (F.col("_rest") > 0), 1).otherwise(0)
+    taken = (F.col("size") * (F.col("_whole") + once)).cast("long")
+    return out.withColumn("taken", taken).drop("_s", "_whole", "_q", "_rest", "_last", "_got", "_first", "_extra")
+
+
+def _whole_and_rest() -> tuple[Column, Column]:
+    ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    return F.floor(ratio), F.col("target") - F.floor(ratio) * F.col("source_size")
+
 
+def _rest(sizes: DataFrame) -> DataFrame:
+    return C.save(sizes.select(F.col("source").alias("_s"), _whole_and_rest()[1].alias("_rest")), "rests")
 
-def _take(d: DataFrame, live: DataFrame, cut: DataFrame) -> DataFrame:
-    of = F.col("source").eqNullSafe(F.col("_s"))
+
+def _ranked(d: DataFrame, sizes: DataFrame) -> DataFrame:
+    """d plus source_size, target, whole copies, what is left to sample, and the rank: random odds over inclusion odds."""
+    d = d.join(C.small(sizes).withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+    whole, rest = _whole_and_rest()
+    ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    p, u = ratio - whole, uniform(F.col("doc_id"))
+    return d.withColumns({"_whole": whole, "_q": F.when(p > 0, (u / (1 - u)) / (p / (1 - p))), "_rest": rest})
+
+
+def _before_cut() -> Column:
     rank = F.struct(F.col("_q"), F.col("doc_id"))
-    inside = F.when(F.col("_last").isNotNull(), rank <= F.col("_last")).otherwise(rank < F.col("_first"))
-    missing = F.col("_rest") - F.col("_got")
-    extra = live.join(cut, of).where(~inside & (F.abs(missing - F.col("size")) < missing))
-    extra = extra.groupBy("source").agg(F.min(F.struct(F.abs(missing - F.col("size")), "_q", "doc_id")).alias("_e")).select(F.col("source").alias("_x"), F.col("_e.doc_id").alias("_extra"))
-    cut = cut.join(extra, F.col("_s").eqNullSafe(F.col("_x")), "left").drop("_x")
-    out = d.join(cut, of, "left")
-    chosen = F.col("_q").isNotNull() & (F.col("_s_missing") | inside | (F.col("doc_id") == F.col("_extra")))
-    out = out.withColumn("_s_missing", F.col("_first").isNull())
-    taken = F.col("size") * (F.col("_whole") + F.when(F.coalesce(chosen, F.lit(False)) & (F.col("_rest") > 0), 1).otherwise(0))
-    return out.withColumn("taken", taken.cast("long")).drop("_s", "_whole", "_q", "_rest", "_bin", "_last", "_got", "_first", "_extra", "_s_missing")
+    return F.when(F.col("_last").isNotNull(), rank <= F.col("_last")).otherwise(rank < F.col("_first"))

@@ -274,5 +274,5 @@ def _suffix_filter(percent: int):
 
 def representative(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFrame:
     """The documents that are the smallest id of their component; a row with a null id stays."""
-    keep = jaccard_components(docs, shingle_words, percent).where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_anti")
+    later = jaccard_components(docs, shingle_words, percent).where(F.col("doc_id") != F.col("component_id"))
+    return C.without(docs, later)

@@ -315,13 +315,17 @@ def _pack(batches):
     for batch in batches:
         for part, raw, offsets in C.chunks(batch):
             data = memoryview(np.ascontiguousarray(raw))
-            yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("doc_id")), pa.array([press.compress(data[a:b]) for a, b in zip(offsets, offsets[1:])], pa.binary())], names=["doc_id", "z"])
+            arrays, names = [part.column(part.schema.get_field_index("doc_id")), pa.array([press.compress(data[a:b]) for a, b in zip(offsets, offsets[1:])], pa.binary())], ["doc_id", "z"]
+            if "along" in part.schema.names:
+                arrays, names = [*arrays, part.column(part.schema.get_field_index("along"))], [*names, "along"]
+            yield pa.RecordBatch.from_arrays(arrays, names=names)
 
 
 CUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 
 
 def _cut(with_bytes: bool):
+    """Cut the runs out; column 3, if any, goes along as it is."""
     def run(batches):
         un = zstandard.ZstdDecompressor()
         for batch in batches:
@@ -341,20 +345,25 @@ def _cut(with_bytes: bool):
                 rows.append((doc, len(text), gone, spans, hashlib.sha256(rest).hexdigest(), rest if with_bytes else None))
             cols = list(zip(*rows, strict=True)) if rows else [()] * 6
             kinds = [pa.int64()] * 4 + [pa.string(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in CUT.split(", ")])
+            arrays, names = [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], [x.split()[0] for x in CUT.split(", ")]
+            if batch.num_columns > 3:
+                arrays, names = [*arrays, batch.column(3)], [*names, "along"]
+            yield pa.RecordBatch.from_arrays(arrays, names=names)
     return run
 
 
-def remove_repeats(docs: DataFrame, with_bytes: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, with_bytes: bool = True, along: tuple[str, ...] = ()) -> DataFrame:
     """CUT for every document: sizes, removed bytes and maximal removed runs, digest of what is left, and those bytes.
 
     A null text is empty. Order is by doc_id, then start; doc_id should be unique and not null (rows with a null id
-    come last in order and are returned with their text whole). Windows never cross documents.
+    come last in order and are returned with their text whole). Windows never cross documents. The columns named in
+    `along` (narrow ones) come back as a struct of that name, so that nothing need be joined to the texts again.
     """
     spark = docs.sparkSession
     n = C.partitions(spark)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
-    known = texts.where("doc_id is not null")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"), *([F.struct(*along).alias("along")] if along else []))
+    more = f", along {texts.schema['along'].dataType.simpleString()}" if along else ""
+    known = texts.select("doc_id", "text").where("doc_id is not null")
     cut = spark.sparkContext.broadcast(sample_splitters(known, 8 * n))
     rows = known.mapInArrow(_emit(cut), ANCHOR)
     deal = F.when(F.col("bucket") < 0, -1 - F.pmod(F.xxhash64("doc_id"), F.lit(8 * n))).otherwise(F.col("bucket")).cast("int")
@@ -363,10 +372,11 @@ def remove_repeats(docs: DataFrame, with_bytes: bool = True) -> DataFrame:
     first = C.save(sorted_.mapInArrow(_neighbours, RUN), "runs")
 
     # both joins below read this one exchange; the filter is the one that a join would add
-    packed = texts.mapInArrow(_pack, "doc_id long, z binary").where("doc_id is not null").repartition(n, "doc_id")
+    packed = texts.mapInArrow(_pack, "doc_id long, z binary" + more).where("doc_id is not null").repartition(n, "doc_id")
     asked = first.where("h is not null").groupBy("doc_id").agg(F.collect_list(F.struct(F.col("first").alias("at"), "h")).alias("asked"))
-    contents = packed.join(asked, "doc_id").select("doc_id", "z", "asked").mapInArrow(_contents, "h long, doc_id long, at long, bytes binary")
+    contents = packed.join(asked, "doc_id").select("doc_id", "z", "asked", *(["along"] if along else [])).mapInArrow(_contents, "h long, doc_id long, at long, bytes binary")
     second = contents.repartition(n, "h").sortWithinPartitions("h", "doc_id", "at").mapInArrow(_windows, RUN)
     gone = first.where("h is null").unionByName(second).groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
-    whole = texts.where("doc_id is null").mapInArrow(_pack, "doc_id long, z binary").withColumn("runs", F.lit(None).cast("array<struct<first: long, last: long>>"))
-    return packed.join(gone, "doc_id", "left").select("doc_id", "z", "runs").unionByName(whole).mapInArrow(_cut(with_bytes), CUT)
+    whole = texts.where("doc_id is null").mapInArrow(_pack, "doc_id long, z binary" + more).withColumn("runs", F.lit(None).cast("array<struct<first: long, last: long>>"))
+    columns = ["doc_id", "z", "runs", *(["along"] if along else [])]
+    return packed.join(gone, "doc_id", "left").select(*columns).unionByName(whole.select(*columns)).mapInArrow(_cut(with_bytes), CUT + more)
