@@ -32,11 +32,15 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 0) -> n
 
 
 def fit_cells(vectors: DataFrame, rows: int, sample_rows: int = 16384, per_cell: int = 256, most_cells: int = 2048) -> dict[int, np.ndarray]:
-    """Centroids for each vector length, from about sample_rows rows chosen by a hash of the id."""
-    got = vectors.where(C.by_hash(F.col("id"), C.share(vectors.sparkSession, rows, sample_rows))).select("v").collect()
+    """Centroids for each vector length, from about sample_rows rows chosen by a hash of the id (packed as floats)."""
+    def pack(batches):
+        for pdf in batches:
+            yield pd.DataFrame({"x": [np.asarray(v, np.float32).tobytes() for v in pdf["v"]]})
+
+    got = vectors.where(C.by_hash(F.col("id"), C.share(vectors.sparkSession, rows, sample_rows))).select("v").mapInPandas(pack, "x binary").collect()
     out: dict[int, list] = {}
     for r in got:
-        out.setdefault(len(r["v"]), []).append(r["v"])
+        out.setdefault(len(r["x"]) // 4, []).append(np.frombuffer(r["x"], np.float32))
     cells = {}
     for d, vs in out.items():
         x = np.asarray(vs, float)
@@ -49,15 +53,18 @@ def _places(cells):
     """Rows with the places (cells) they are written to; a length that the sample lacks has one cell."""
     def run(batches):
         for pdf in batches:
-            near = []
-            for v in pdf["v"]:
-                c = cells.value.get(len(v))
+            near = [[0]] * len(pdf)
+            sizes = pdf["v"].map(len).to_numpy()
+            for d in np.unique(sizes):
+                c, rows = cells.value.get(int(d)), np.flatnonzero(sizes == d)
                 if c is None:
-                    near.append([0])
                     continue
-                s = c @ np.asarray(v, float)
-                top = np.argpartition(-s, min(PROBES, len(s)) - 1)[:PROBES]
-                near.append([int(i) for i in top[np.argsort(-s[top], kind="stable")]])
+                for at in range(0, len(rows), 512):
+                    part = rows[at:at + 512]
+                    s = np.stack(pdf["v"].iloc[part].to_numpy()).astype(float) @ c.T
+                    top = np.argsort(-s, axis=1, kind="stable")[:, :PROBES]
+                    for r, places in zip(part, top.tolist(), strict=True):
+                        near[r] = places
             yield pdf.assign(near=near)
     return run
 
