@@ -91,6 +91,7 @@ def train(docs: DataFrame, sample_rows: int = 4000, steps: int = 600, seed: int
     languages = tuple(sorted(counts))
     if not got:
         return None
+    got.sort(key=lambda r: (r["lang"], r["buckets"], r["counts"]))  # the same model however the rows were partitioned
     code = {k: i for i, k in enumerate(languages)}
     y = np.array([code[r["lang"]] for r in got])
     rng = np.random.default_rng(seed)

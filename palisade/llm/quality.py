@@ -168,6 +168,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 12000) -> RuleM
     labels = labels.where(F.col("label").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col("label").cast("int").alias("label"))
     chosen = labels.where(C.by_hash(F.col("doc_id"), C.share(docs.sparkSession, labels.count(), sample_rows)))
     got = add_statistics(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")).select("label", "stats.*").toPandas()
+    got = got.sort_values(["label", *STATS])  # the same model however the rows were partitioned
     y = got["label"].to_numpy(float)
     if not len(y) or y.min() == y.max():
         return RuleModel((), (), float(np.clip(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)), -9, 9)))
