@@ -114,6 +114,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     Null, empty or zero vectors, and those with null or non-finite components, link with nothing; vectors of
     different lengths never link. Rows that repeat an id count as one more equal vector.
     """
+    C.narrow_batches(vectors.sparkSession)
     v = F.col(vector_col)
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.transform(v, lambda x: x.cast("double") + F.lit(0.0)).alias("v"))
     odd = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))

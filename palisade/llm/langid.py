@@ -80,6 +80,7 @@ def train(docs: DataFrame, sample_rows: int = 4000, steps: int = 600, seed: int
     a hash of doc_id); each carries at most 2^14 buckets, so the driver's share is bounded too. `rejected` is the
     share of good texts that the rejection threshold may turn away.
     """
+    C.narrow_batches(docs.sparkSession)
     docs = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull())
     counts = {r["lang"]: r["count"] for r in docs.groupBy("lang").count().collect()}  # one row a language
     if not counts:
@@ -149,6 +150,7 @@ def predict(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
     A null text or one without any letter gets `und` and score 0; so does every row if there is no model.
     Ties between languages go to the first in alphabetical order.
     """
+    C.narrow_batches(docs.sparkSession)
     if model is None:
         return docs.withColumns({"lang_pred": F.lit("und"), "score": F.lit(0.0)})
     sent = docs.sparkSession.sparkContext.broadcast(model)  # 2^14 x languages floats

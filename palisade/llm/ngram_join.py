@@ -208,6 +208,7 @@ def jaccard_components(docs: DataFrame, shingle_words: int = 4, percent: int = 8
     rows that repeat an id count as that one document, a null id forms a row of its own with component null.
     """
     spark = docs.sparkSession
+    C.narrow_batches(spark)
     n_parts = C.partitions(spark)
     texts = C.with_text_only(docs.withColumn("doc_id", F.col("doc_id").cast("long")), "doc_id")
     seen = C.save(texts.mapInArrow(_summaries(shingle_words), PASS1), "sets")

@@ -75,6 +75,7 @@ def statistics(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 def add_statistics(docs: DataFrame) -> DataFrame:
     """docs plus a struct column `stats` of doubles."""
+    C.narrow_batches(docs.sparkSession)
     @F.pandas_udf(", ".join(f"{s} double" for s in STATS))
     def stats(texts):
         import pandas as pd

@@ -360,6 +360,7 @@ def remove_repeats(docs: DataFrame, with_bytes: bool = True, along: tuple[str, .
     `along` (narrow ones) come back as a struct of that name, so that nothing need be joined to the texts again.
     """
     spark = docs.sparkSession
+    C.narrow_batches(spark)
     n = C.partitions(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"), *([F.struct(*along).alias("along")] if along else []))
     more = f", along {texts.schema['along'].dataType.simpleString()}" if along else ""

@@ -82,6 +82,7 @@ def fit_ftrl(rows: list[np.ndarray], y: np.ndarray, alpha=3.0, beta=1.0, l1=5.0,
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 8000, **options) -> ToxicityModel:
     """Learn from `labels` (doc_id, label 0/1). About sample_rows of them, chosen by a hash of doc_id, are used;
     so many ids are broadcast and so many rows reach the driver. Without any row the model scores 0.5."""
+    C.narrow_batches(docs.sparkSession)
     labels = labels.where(F.col("label").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col("label").cast("int").alias("label"))
     chosen = labels.where(C.by_hash(F.col("doc_id"), C.share(docs.sparkSession, labels.count(), sample_rows)))
     got = C.with_text_only(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), "label").mapInArrow(_features, "label int, buckets binary").collect()
@@ -93,6 +94,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 8000, **options
 
 def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """All columns of docs plus score. Each distinct n-gram of the whole text counts once; null or empty: the bias alone."""
+    C.narrow_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)  # 2^BITS floats
 
     @F.pandas_udf("double")

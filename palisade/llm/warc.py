@@ -66,6 +66,7 @@ def write(pages: DataFrame, folder: str | None = None) -> DataFrame:
     LEAST bytes are always responses. page_id should be unique; if it is not, equal ids with equal payloads are
     all responses.
     """
+    C.narrow_batches(pages.sparkSession)
     folder = folder or f"{C.scratch_dir(pages.sparkSession)}/warc"
 
     def run(batches):
