@@ -43,8 +43,9 @@ def is_slot(w: Column) -> Column:
 
 def windows(texts: DataFrame, key: str) -> DataFrame:
     """(key, pos, w): the hash of every WINDOW template words. Texts with fewer words have none."""
-    h = texts.select(key, F.transform(tokens(F.col("text")), lambda w: F.xxhash64(template(w))).alias("_h")).where(F.size("_h") >= WINDOW)
-    starts = F.sequence(F.lit(0), F.size("_h") - WINDOW)
+    h = texts.select(key, F.transform(tokens(F.col("text")), lambda w: F.xxhash64(template(w))).alias("_h"))
+    # no filter on the length: it would be pushed below and make the words twice
+    starts = F.when(F.size("_h") >= WINDOW, F.sequence(F.lit(0), F.size("_h") - WINDOW))
     return h.select(key, F.posexplode(F.transform(starts, lambda i: F.xxhash64(*[F.get("_h", i + k) for k in range(WINDOW)]))).alias("pos", "w"))
 
 
@@ -64,14 +65,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     sizes = items.select("item_id", tokens(F.col("text")).alias("it")).withColumn("need", F.least(F.lit(LEAST - WINDOW + 1), F.size("it") - WINDOW + 1))
     runs = runs.join(F.broadcast(sizes) if few else sizes, "item_id").where("n_windows >= need").drop("need", "it")
     runs = C.small(C.save(runs, "runs"))
-    words = docs.select("doc_id", "text").join(runs.select("doc_id", "item_id", "shift", "n_windows", "lo", "hi"), "doc_id").join(F.broadcast(sizes) if few else sizes, "item_id").withColumn("dt", tokens(F.col("text"))).drop("text")
-    span = F.sequence(F.col("lo"), F.col("hi") - 1)
-    pairs = F.filter(F.transform(span, lambda i: F.struct(F.get("it", i).alias("a"), F.get("dt", i + F.col("shift")).alias("b"))), lambda p: is_slot(p["a"]) & is_slot(p["b"]))
-    words = words.withColumn("slots", pairs)
+    words = docs.select("doc_id", "text").join(runs.select("doc_id", "item_id", "shift", "n_windows", "lo", "hi"), "doc_id").join(F.broadcast(sizes) if few else sizes, "item_id")
+    length = F.col("hi") - F.col("lo")
+    item, own = F.slice("it", F.col("lo") + 1, length), F.slice(tokens(F.col("text")), F.col("lo") + F.col("shift") + 1, length)
+    # zip_with makes both arrays once a row; inside a transform the words would be made again for every element
+    pairs = F.filter(F.zip_with(item, own, lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda p: is_slot(p["a"]) & is_slot(p["b"]))
+    words = words.select("doc_id", "item_id", "n_windows", pairs.alias("slots"))
     # one value of the item stands for one value of the document, unless most values are the item's own
     one = F.size(F.array_distinct("slots")) == F.size(F.array_distinct(F.col("slots")["a"]))
-    own = F.size(F.filter("slots", lambda p: p["a"] == p["b"]))
-    words = words.withColumns({"n_slots": F.size("slots"), "exact": own == F.size("slots")}).where(one | (2 * own > F.size("slots")))
+    kept = F.size(F.filter("slots", lambda p: p["a"] == p["b"]))
+    words = words.withColumns({"n_slots": F.size("slots"), "exact": kept == F.size("slots")}).where(one | (2 * kept > F.size("slots")))
     best = words.groupBy("doc_id", "item_id").agg(F.max(F.struct("n_windows", "n_slots", "exact")).alias("m"))
     return best.select("doc_id", "item_id", "m.n_windows", "m.n_slots", "m.exact")
 
