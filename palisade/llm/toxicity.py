@@ -88,7 +88,6 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 8000, **options
     got = C.with_text_only(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), "label").mapInArrow(_features, "label int, buckets binary").collect()
     if not got:
         return ToxicityModel(np.zeros(1 << BITS, np.float32), 0.0)
-    got.sort(key=lambda r: (r["label"], r["buckets"]))  # the same model however the rows were partitioned
     return fit_ftrl([np.frombuffer(r["buckets"], np.int32) for r in got], np.array([float(r["label"]) for r in got]), **options)
 
 
