@@ -1,8 +1,8 @@
 """Embedding near-dedup: spherical k-means cells, blocked cosine products inside cells, one representative a group.
 
 Equal vectors are folded into one row with a count first. Centroids are fitted on a bounded sample; every vector is
-then written to its nearest cell and the next PROBES - 1, so a pair on two sides of a border still meets. A cell of
-more than BLOCK rows is split into blocks and every pair of blocks is one small task, so a hot cell is spread out.
+then written to its nearest cells, the more the more cells there are, so a pair on two sides of a border still meets; it
+counts in the smallest cell that both are written to. A cell of more than BLOCK rows is split into blocks and every pair of blocks is one small task, so a hot cell is spread out.
 """
 
 from __future__ import annotations
@@ -18,6 +18,11 @@ from .components import components
 BLOCK, PROBES = 1024, 3
 
 
+def probes(cells: int) -> int:
+    """Cells a vector is written to: PROBES up to 16 cells, one more for every fourfold number."""
+    return PROBES + max(0, int(np.ceil(np.log2(max(cells, 1) / 16) / 2)))
+
+
 def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 0) -> np.ndarray:
     """Unit centroids of unit rows; an empty cell keeps its old centroid."""
     rng = np.random.default_rng(seed)
@@ -62,7 +67,7 @@ def _places(cells):
                 for at in range(0, len(rows), 512):
                     part = rows[at:at + 512]
                     s = np.stack(pdf["v"].iloc[part].to_numpy()).astype(float) @ c.T
-                    top = np.argsort(-s, axis=1, kind="stable")[:, :PROBES]
+                    top = np.argsort(-s, axis=1, kind="stable")[:, :probes(len(c))]
                     for r, places in zip(part, top.tolist(), strict=True):
                         near[r] = places
             yield pdf.assign(near=near)
@@ -75,21 +80,24 @@ def _compare(threshold: float):
         ids, many = pdf["id"].to_numpy(np.int64), pdf["m"].to_numpy(np.int64)
         x = np.stack(pdf["v"].to_numpy()).astype(float)
         x /= np.linalg.norm(x, axis=1, keepdims=True)
-        near = np.full((len(ids), PROBES), -1)
+        near = np.full((len(ids), pdf["near"].map(len).max()), -1)
         for r, places in enumerate(pdf["near"]):
             near[r, : len(places)] = places
         block = pdf["block"].to_numpy()
         left = np.flatnonzero(block == i)
         right = np.flatnonzero(block == j)
         link = x[left] @ x[right].T >= threshold
-        # a pair that meets in several cells counts only in the first that both share, in the order of home cells
         a, b = np.nonzero(link & (ids[left][:, None] != ids[right][None, :]))
         a, b = left[a], right[b]
-        low = np.minimum(near[a, 0], near[b, 0])
-        high = np.maximum(near[a, 0], near[b, 0])
-        at = lambda r, c: (near[r] == c[:, None]).any(1)
-        first = np.where(at(a, low) & at(b, low), low, high)
-        fair = (first == cell) & at(a, first) & at(b, first)
+        # a pair that meets in several cells counts only in the smallest that both are written to
+        fair = np.zeros(len(a), bool)
+        for at in range(0, len(a), 1 << 17):
+            p, q = near[a[at:at + (1 << 17)]], near[b[at:at + (1 << 17)]]
+            first = np.full(len(p), np.iinfo(p.dtype).max)
+            for c in p.T:
+                both = (c >= 0) & (q == c[:, None]).any(1)
+                first[both] = np.minimum(first, c)[both]
+            fair[at:at + (1 << 17)] = first == cell
         a, b = a[fair], b[fair]
         if i == j:
             links = np.bincount(a, many[b], minlength=len(ids))

@@ -93,3 +93,19 @@ def test_embeddings_blocks_and_empty(spark, monkeypatch):
     assert all(r["n_links"] == 89 and r["component_id"] == 0 for r in got)
     assert embed_dedup.near_duplicates(vectors(spark, [])).count() == 0
     assert [r["n_links"] for r in embed_dedup.near_duplicates(vectors(spark, [(1, None)])).collect()] == [0]
+
+
+@pytest.mark.parametrize("cells", [512, 2048])
+def test_embeddings_recall_with_many_cells(spark, monkeypatch, cells):
+    rng = np.random.default_rng(3)
+    unit = lambda y: y / np.linalg.norm(y, axis=1, keepdims=True)
+    a, g = unit(rng.normal(size=(2000, 64))), rng.normal(size=(2000, 64))
+    c = rng.uniform(0.951, 0.97, (2000, 1))
+    b = c * a + np.sqrt(1 - c * c) * unit(g - (g * a).sum(1, keepdims=True) * a)
+    # cells of other vectors, as when a sample of a large table is fitted
+    fitted = {64: embed_dedup.spherical_kmeans(unit(rng.normal(size=(8192, 64))), cells)}
+    monkeypatch.setattr(embed_dedup, "fit_cells", lambda *args: fitted)
+    got = embed_dedup.near_duplicates(vectors(spark, [(i, v.tolist()) for i, v in enumerate(np.concatenate([a, b]))])).collect()
+    found = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in got}
+    assert all(n in (0, 1) for n, _ in found.values())
+    assert sum(found[i + 2000] == (1, i) for i in range(2000)) >= 0.99 * 2000
