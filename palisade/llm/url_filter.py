@@ -32,24 +32,27 @@ def keys_of(url: Column) -> Column:
 def intervals(entries: DataFrame) -> DataFrame:
     """entries (list, key, verdict, action, at) -> (list, key, verdict, start, end): half open, end null if still active.
 
+    Entries are of one key if only the case of the host differs; the keys that come back are in lower case throughout.
+
     An `add` holds until the next entry of the same list and key, whatever that is; `remove` only ends one. Entries of
     one instant: the last of remove < add, then the greater verdict, wins. Rows with a null key, list or date are left out.
     """
-    e = entries.where("key is not null and list is not null and at is not null").select("list", F.lower("key").alias("key"), "verdict", "action", "at").distinct()
+    host = F.substring_index("key", "/", 1)
+    e = entries.where("key is not null and list is not null and at is not null").select("list", F.concat(F.lower(host), F.expr("substr(key, length(substring_index(key, '/', 1)) + 1)")).alias("key"), "verdict", "action", "at").distinct()
     e = e.groupBy("list", "key", "at").agg(F.max(F.struct(F.when(F.col("action") == "add", 1).otherwise(0).alias("add"), "verdict")).alias("s"))
     nxt = F.lead("at").over(W.partitionBy("list", "key").orderBy("at"))
-    return e.withColumn("end", nxt).where("s.add = 1").select("list", "key", "s.verdict", F.col("at").alias("start"), "end")
+    return e.withColumn("end", nxt).where("s.add = 1").select("list", F.lower("key").alias("key"), "s.verdict", F.col("at").alias("start"), "end")
 
 
 def as_of(captures: DataFrame, entries: DataFrame) -> DataFrame:
     """captures (page_id, url, fetched_at) -> page_id, url, fetched_at, decision, matched_key, matched_list, n_active.
 
-    The most specific active key decides (the longest, then the last by code point); within it `allow` beats `block`,
+    Keys match whatever their case. The most specific active key decides (the longest, then the last by code point); within it `allow` beats `block`,
     then the smallest list. Without one the decision is `none`; so it is for a null url or fetch time. Rows that are
     equal come back as one, with the entries counted once. Joins are on the key with the interval as condition, so a
     host with a third of all captures is a skewed join that can be split, not a group.
     """
-    c = captures.select("page_id", "url", "fetched_at").distinct().withColumn("key", F.explode_outer(keys_of(F.col("url"))))
+    c = captures.select("page_id", "url", "fetched_at").distinct().withColumn("key", F.explode_outer(keys_of(F.col("url")))).withColumn("key", F.lower("key"))
     i = intervals(entries)
     hit = c.join(i, (c["key"] == i["key"]) & (i["start"] <= c["fetched_at"]) & (i["end"].isNull() | (c["fetched_at"] < i["end"])), "left").select(c["page_id"], c["url"], c["fetched_at"], i["list"], i["key"].alias("key"), i["verdict"])
     # max of a struct: longest key first, then the greatest key; allow over block; the smallest list through its own pass

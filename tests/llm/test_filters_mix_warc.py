@@ -2,6 +2,7 @@ import datetime as dt
 import re
 from collections import defaultdict
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -65,6 +66,19 @@ def test_url_lists_in_time(spark):
     assert {r["decision"] for r in url_filter.as_of(cap, ent.limit(0)).collect()} == {"none"}
 
 
+def test_url_lists_in_any_case(spark, tmp_path):
+    cap = spark.createDataFrame([(1, "http://A.example/Wiki/x", 5), (2, "http://a.example/wiki", 5), (3, "http://a.example/WIKI", 15), (4, "http://a.example/Casino", 5)], "page_id long, url string, fetched_at long")
+    ent = spark.createDataFrame([("l", "A.Example/Wiki", "block", "add", 0), ("l", "a.example/Wiki", "block", "remove", 10), ("m", "a.example/casino", "allow", "add", 0)], "list string, key string, verdict string, action string, at long")
+    got = {r["page_id"]: (r["decision"], r["matched_key"], r["n_active"]) for r in url_filter.as_of(cap, ent).collect()}
+    assert got == {1: ("block", "a.example/wiki", 1), 2: ("block", "a.example/wiki", 1), 3: ("none", None, 0), 4: ("allow", "a.example/casino", 1)}
+    # the registered query against its SQL, on pages whose sections have capitals, some beside the same word without
+    urls = [f"https://h{i % 40}.example/{('Wiki', 'wiki', 'WIKI', 'Casino%d' % (i % 7), 'news')[i % 5]}/{i}" for i in range(600)]
+    spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").write.parquet(f"file://{tmp_path}/pages.parquet")
+    pages = duckdb.connect()
+    pages.execute(f"create view pages as select * from read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    same(Q.op5_url_filter(spark, f"file://{tmp_path}"), pages.execute(Q.ORACLE_SQL["op5_url_filter"]).df())
+
+
 def test_targets(spark):
     s = spark.createDataFrame([("a", 100), ("b", 1), ("c", 100), (None, 50)], "source string, source_size long")
     got = {r["source"]: r["target"] for r in mixing.targets(s).collect()}
