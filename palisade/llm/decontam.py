@@ -1,7 +1,8 @@
 """Benchmark decontamination by templates, with DataFrame functions only.
 
 Words are canonicalised: numbers, names (a capitalised word inside a sentence) and units become typed placeholders.
-Windows of template words are joined by hash between documents and benchmark items. Windows that lie on one diagonal
+Windows of template words are joined by hash between documents and benchmark items, and beside them windows in which
+names are plain words, so that a copy in other letter case is found too. Windows that lie on one diagonal
 (same shift between document and item) form a match; a match counts if it is long enough and if its slots agree: one
 value in the item always stands for one value in the document (or most values are the item's own), so a question with
 other numbers is found, and a text that merely has the same shape is not.
@@ -27,7 +28,7 @@ BROADCAST_ROWS = 500_000
 def tokens(text: Column) -> Column:
     """Words in lower case; a name keeps a mark in front, a number with inner points stays one word."""
     t = F.regexp_replace(F.coalesce(text, F.lit("")), r"(\d)[.,](?=\d)", "$1" + _MARK)
-    t = F.regexp_replace(t, r"\p{Lu}(?<=[\p{Ll}\d,;] .)\p{L}*", _NAME + "$0")
+    t = F.regexp_replace(t, r"([\p{Ll}\d,;]\s+[\"'`(\[{<]*)(?=\p{Lu})", "$1" + _NAME)
     return F.filter(F.split(F.lower(t), r"[\s\p{Punct}]+"), lambda w: w != "")
 
 
@@ -36,17 +37,24 @@ def template(w: Column) -> Column:
     return F.when(c == _NAME, _NAME).when(c.between("0", "9"), _NUM).when(w.isin(*UNITS), _UNIT).otherwise(w)
 
 
+def plain(w: Column) -> Column:
+    """The template of a word that is no name: what it would be in small letters."""
+    return template(F.when(F.substring(w, 1, 1) == _NAME, F.substring(w, 2, 1 << 30)).otherwise(w))
+
+
 def is_slot(w: Column) -> Column:
     c = F.substring(w, 1, 1)
     return (c == _NAME) | c.between("0", "9") | w.isin(*UNITS)
 
 
 def windows(texts: DataFrame, key: str) -> DataFrame:
-    """(key, pos, w): the hash of every WINDOW template words. Texts with fewer words have none."""
-    h = texts.select(key, F.transform(tokens(F.col("text")), lambda w: F.xxhash64(template(w))).alias("_h"))
+    """(key, pos, w): the hashes of every WINDOW template words, and of the plain words where one is a name. Texts with fewer words have none."""
+    h = texts.select(key, F.transform(tokens(F.col("text")), lambda w: F.struct(F.xxhash64(template(w)).alias("t"), F.xxhash64(plain(w)).alias("p"))).alias("_h"))
     # no filter on the length: it would be pushed below and make the words twice
     starts = F.when(F.size("_h") >= WINDOW, F.sequence(F.lit(0), F.size("_h") - WINDOW))
-    return h.select(key, F.posexplode(F.transform(starts, lambda i: F.xxhash64(*[F.get("_h", i + k) for k in range(WINDOW)]))).alias("pos", "w"))
+    both = lambda i: F.array(*[F.xxhash64(*[F.get("_h", i + k)[side] for k in range(WINDOW)]) for side in "tp"])
+    at = h.select(key, F.posexplode(F.transform(starts, both)).alias("pos", "_w"))
+    return at.select(key, "pos", F.explode(F.array_distinct("_w")).alias("w"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -31,6 +31,17 @@ def test_templates(spark, make_docs):
     assert decontam.contaminated(make_docs([]), bench).count() == 0 and decontam.contaminated(docs, bench.limit(0)).count() == 0
 
 
+def test_copies_in_other_case_and_lines(spark, make_docs):
+    item = "Natalia sold clips to 48 of her friends in April, and then Natalia sold half as many clips in May. How many clips did Natalia sell altogether in April and May?"
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    wrapped = [item.replace("in ", "in\n"), item.replace("in ", "in  "), item.replace("in ", "in (").replace("then ", 'then "')]
+    docs = make_docs([(i, t) for i, t in enumerate([item, item.lower(), item.upper(), *wrapped])] + [(9, "Nobody sold clips in April, and then Maria came in May to see how many friends were there.")])
+    got = {r["doc_id"]: r["exact"] for r in decontam.contaminated(docs, bench).collect()}
+    assert got == dict.fromkeys(range(6), True)
+    # other names on wrapped lines are still names
+    assert {r["doc_id"] for r in decontam.contaminated(make_docs([(1, wrapped[0].replace("April", "June").replace("May", "July"))]), bench).collect()} == {1}
+
+
 def test_slots_must_agree(spark, make_docs):
     item = "Buy 7 apples and sell 7 apples then count 7 apples again before the shop closes for good"
     bench = spark.createDataFrame([(1, item)], "item_id long, text string")
