@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import pytest
 
@@ -20,6 +22,32 @@ def test_repeats_empty_table_null_id_and_bytes(spark, make_docs):
     assert {r["doc_id"]: bytes(r["kept"]) for r in got} == {None: b"a" * 200, 1: b"b c"}
 
 
+def test_repeats_of_repeated_rows(make_docs):
+    t, u = "".join(random.Random(1).choices("abcdef", k=300)), "other text " * 20
+    got = sorted((r["doc_id"], r["n_bytes"], r["n_removed"]) for r in suffix_dedup.remove_repeats(make_docs([(1, t), (1, t), (2, t), (1, u), (3, u), (1, "short"), (1, "short")])).collect())
+    want = helpers.remove_repeats([(2, u)])[2][1]  # u repeats itself
+    assert got == [(1, 5, 0), (1, 5, 0), (1, 220, want), (1, 300, 0), (1, 300, 300), (2, 300, 300), (3, 220, 220)]
+
+
+def test_repeats_of_frequent_heads(make_docs):
+    """A phrase in every document, with few and with many surroundings; one text that holds a phrase thousands of times."""
+    rng = random.Random(3)
+    word = lambda n: "".join(rng.choices("abcdefgh ", k=n))
+    phrase, lefts, rights = word(64), [word(40) for _ in range(4)], [word(40) for _ in range(4)]
+    rows = [(i, word(rng.randint(0, 60)) + phrase + word(rng.randint(30, 60))) for i in range(400)]
+    rows += [(i, word(20) + rng.choice(lefts)[-rng.randint(5, 40):] + phrase + rng.choice(rights)[: rng.randint(5, 40)] + word(20)) for i in range(400, 800)]
+    other = word(70)
+    rows += [(900, "".join(rng.choice(lefts)[-rng.randint(0, 20):] + other + rng.choice(rights)[: rng.randint(0, 30)] for _ in range(2600)))]
+    assert repeats(suffix_dedup.remove_repeats(make_docs(rows))) == helpers.remove_repeats(rows)
+
+
+def test_repeats_in_a_text_of_many_pieces(make_docs):
+    rng = random.Random(4)
+    text = "".join(rng.choices("abcdefghij", k=600_000))
+    rows = [(1, text[:300_000] + text[100_000:300_500] + text[299_000:]), (2, text[250_000:270_000]), (3, "z" * 700_000)]
+    assert repeats(suffix_dedup.remove_repeats(make_docs(rows))) == helpers.remove_repeats(rows)
+
+
 def test_repeats_of_real_rows(spark, sf):
     from palisade.llm import queries as Q
 
