@@ -87,11 +87,16 @@ f AS (SELECT *, 3.0::DOUBLE * source_size / w AS full_at, sum(source_size) OVER
 g AS (SELECT *, total::DOUBLE - 3.0::DOUBLE * coalesce(sum(source_size) OVER p, 0)::DOUBLE AS left_words, (all_w - coalesce(sum(w) OVER p, 0))::DOUBLE AS left_w, row_number() OVER (ORDER BY full_at, source IS NULL, source) AS nth FROM f WINDOW p AS (ORDER BY full_at, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 l AS (SELECT arg_min(left_words / left_w, nth) AS level FROM g WHERE full_at * left_w > left_words),
 t AS (SELECT source, source_size, w, coalesce(least(3.0::DOUBLE * source_size, level * w), 3.0::DOUBLE * source_size) AS target FROM g, l),
-r AS (SELECT d.doc_id, d.source, size, source_size, target, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS whole,
-  CASE WHEN source_size > 0 THEN target / source_size - floor(target / source_size) ELSE 0 END AS p,
+n AS (SELECT source, CASE WHEN size > 0 THEN length(bin(size)) ELSE 0 END AS bits, CAST(sum(size) AS BIGINT) AS words FROM d WHERE size > 0 GROUP BY ALL),
+h AS (SELECT n.source, bits, words, target, 1024 // bits AS g FROM n JOIN t ON n.source IS NOT DISTINCT FROM t.source),
+i AS (SELECT *, target - 3.0::DOUBLE * (sum(words) OVER p - words)::DOUBLE AS rem, (sum(words * g) OVER (PARTITION BY source) - sum(words * g) OVER p + words * g)::DOUBLE AS rem_w FROM h WINDOW p AS (PARTITION BY source ORDER BY bits ROWS UNBOUNDED PRECEDING)),
+v AS (SELECT source, arg_min(rem / rem_w, bits) AS level FROM i WHERE 3.0::DOUBLE * rem_w > rem * g GROUP BY source),
+z AS (SELECT h.source, bits, words, least(3.0::DOUBLE, level * g) AS e FROM h LEFT JOIN v ON h.source IS NOT DISTINCT FROM v.source),
+y AS (SELECT t.source, target - coalesce(sum(words * floor(e)), 0) AS rest FROM t LEFT JOIN z ON t.source IS NOT DISTINCT FROM z.source GROUP BY t.source, target),
+r AS (SELECT d.doc_id, d.source, size, source_size, target, y.rest, coalesce(floor(e), 0) AS whole, e - floor(e) AS p,
   CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 12) AS BIGINT)::DOUBLE / 281474976710656.0::DOUBLE AS u
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
-q AS (SELECT *, target - whole * source_size AS rest, CASE WHEN p > 0 THEN (u / (1 - u)) / (p / (1 - p)) END AS q FROM r),
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source JOIN y ON d.source IS NOT DISTINCT FROM y.source LEFT JOIN z ON d.source IS NOT DISTINCT FROM z.source AND CASE WHEN size > 0 THEN length(bin(size)) ELSE 0 END = z.bits),
+q AS (SELECT *, CASE WHEN p > 0 THEN (u / (1 - u)) / (p / (1 - p)) END AS q FROM r),
 c AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY q, doc_id ROWS UNBOUNDED PRECEDING) AS cum FROM q WHERE q IS NOT NULL AND size > 0),
 m AS (SELECT source, max(cum) FILTER (WHERE cum <= rest) AS got0 FROM c GROUP BY source),
 x AS (SELECT c.source, c.doc_id, c.size, c.q, c.cum <= c.rest AS inside, c.rest - coalesce(m.got0, 0) AS missing FROM c JOIN m ON c.source IS NOT DISTINCT FROM m.source),
