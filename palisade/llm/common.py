@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -39,15 +40,49 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Folders made inside tidy(), the innermost last.
+_made: list[list[str]] = []
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """A new folder name below the shared folder named by spark.checkpoint.dir.
 
-    Only where that setting is missing (tests on one machine) is a local folder used.
+    A local folder is used only if that is unset and the master is this machine alone (tests).
     """
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         base = "file:///tmp/spark-scratch"
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    if _made:
+        _made[-1].append(path)
+    return path
+
+
+@contextmanager
+def tidy(spark: SparkSession):
+    """Delete, at the end, the scratch folders made inside, and restore the Arrow batch size. Gives a save() whose
+    table stays."""
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        out = save(df, name)
+        _made[-1].pop()  # the folder of that table: nothing is made while it is written
+        return out
+
+    _made.append([])
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    try:
+        yield keep
+    finally:
+        spark.conf.set(key, before)
+        for path in _made.pop():
+            _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def save(df: DataFrame, name: str) -> DataFrame:
@@ -76,9 +111,15 @@ def discard(df: DataFrame) -> None:
     """Delete a table written by save() that nothing will read again."""
     files = df.inputFiles()
     if files:
-        spark = df.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(df.sparkSession, files[0].rsplit("/", 1)[0])
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """`name` with as many underscores in front as it takes to be no column of df."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
 
 def fold(col: Column, n: int) -> Column:

@@ -176,11 +176,12 @@ def predict(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
         return pd.DataFrame({"lang": names[np.concatenate(best)] if best else [], "score": np.concatenate(score) if score else []})
 
     has_letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    out = docs.withColumn("_p", classify(F.col("text").cast("binary")))
+    p = C.fresh(docs, "p")
+    out = docs.withColumn(p, classify(F.col("text").cast("binary")))
     return out.withColumns({
-        "lang_pred": F.when(has_letter, F.col("_p.lang")).otherwise("und"),
-        "score": F.when(has_letter, F.col("_p.score")).otherwise(0.0),
-    }).drop("_p")
+        "lang_pred": F.when(has_letter, F.col(f"{p}.lang")).otherwise("und"),
+        "score": F.when(has_letter, F.col(f"{p}.score")).otherwise(0.0),
+    }).drop(p)
 
 
 def rejected(model: LanguageModel | None) -> Column:

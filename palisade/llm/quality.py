@@ -73,8 +73,8 @@ def statistics(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.column_stack([np.asarray(c, np.float64) for c in cols])
 
 
-def add_statistics(docs: DataFrame) -> DataFrame:
-    """docs plus a struct column `stats` of doubles."""
+def add_statistics(docs: DataFrame, name: str = "stats") -> DataFrame:
+    """docs plus a struct column of doubles, called `name`."""
     C.narrow_batches(docs.sparkSession)
     @F.pandas_udf(", ".join(f"{s} double" for s in STATS))
     def stats(texts):
@@ -84,7 +84,7 @@ def add_statistics(docs: DataFrame) -> DataFrame:
         parts = [statistics(raw, offsets) for _, raw, offsets in C.chunks(batch)]
         return pd.DataFrame(np.concatenate(parts) if parts else np.zeros((0, len(STATS))), columns=list(STATS))
 
-    return docs.withColumn("stats", stats(F.col("text").cast("binary")))
+    return docs.withColumn(name, stats(F.col("text").cast("binary")))
 
 
 # --- rules -------------------------------------------------------------------------------------
@@ -165,7 +165,8 @@ def fit_lasso(r: np.ndarray, y: np.ndarray, penalty: float = 0.0005, steps: int
 
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 12000) -> RuleModel:
     """Learn from `labels` (doc_id, label 0/1). About sample_rows rows, chosen by a hash of doc_id, reach the driver
-    as statistics (17 doubles each). Without rows, or with one class only, the model is a constant."""
+    as statistics (17 doubles each), sorted by them. Rows that repeat an id all count. Without rows, or with one class
+    only, the model is a constant."""
     labels = labels.where(F.col("label").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col("label").cast("int").alias("label"))
     chosen = labels.where(C.by_hash(F.col("doc_id"), C.share(docs.sparkSession, labels.count(), sample_rows)))
     got = add_statistics(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")).select("label", "stats.*").toPandas()
@@ -183,18 +184,20 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 12000) -> RuleM
     return RuleModel(tuple(rules[i] for i in kept), tuple(float(w[i]) for i in kept), bias)
 
 
-def compile_rules(model: RuleModel) -> Column:
-    """The model as one column expression over `stats`."""
+def compile_rules(model: RuleModel, name: str = "stats") -> Column:
+    """The model as one column expression over the struct `name`."""
     total = F.lit(model.bias)
     for rule, weight in zip(model.rules, model.weights, strict=True):
         test = F.lit(True)
         for j, above, t in rule:
-            stat = F.col(f"stats.{STATS[j]}")
+            stat = F.col(f"{name}.{STATS[j]}")
             test = test & ((stat > F.lit(t)) if above else (stat <= F.lit(t)))
         total = total + F.when(test, F.lit(weight)).otherwise(F.lit(0.0))
     return 1 / (1 + F.exp(-total))
 
 
 def score(docs: DataFrame, model: RuleModel) -> DataFrame:
-    """All columns of docs plus score; a null text counts as empty."""
-    return add_statistics(docs).withColumn("score", compile_rules(model)).drop("stats")
+    """All columns of docs plus score (which replaces one of that name); a null text counts as empty, and rows with
+    the same text have the same score."""
+    name = C.fresh(docs, "stats")
+    return add_statistics(docs, name).withColumn("score", compile_rules(model, name)).drop(name)
