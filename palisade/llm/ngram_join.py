@@ -6,7 +6,12 @@ Two sets with Jaccard >= t share one of their first n - ceil(t n) + 1 shingles,
 
 Documents that share a prefix shingle are first compared with one document each (the smallest id): in a group of
 copies that links all of them with as many comparisons as copies. Only documents that are still in different
-components are then compared with each other, so no link between different sets is lost, and a pair is verified once.
+components are then compared with each other, so no link between different sets is lost, and a pair of sets is verified
+once. There the smaller set of a pair meets the larger one in its first n - ceil(2 t n / (1 + t)) + 1 shingles, which
+keeps documents of one template whose own parts are too long for a link from meeting at all.
+
+A shingle that the sketch counts more than HOT times is dealt out by shingle and document; the first documents of its
+parts are then compared with the first of all.
 """
 
 from __future__ import annotations
@@ -21,6 +26,8 @@ from . import common as C
 from .components import components
 
 SKETCH_BITS, PARTS, RANGES = 18, 64, 64
+#: Rows of one shingle (or of one shingle and size class) that one task may get.
+HOT = 1 << 16
 PASS1 = "doc_id long, n long, s1 long, s2 long, ranges binary, part int, counts binary"
 
 
@@ -105,8 +112,9 @@ def _add_up(batches):
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], names=["part", "counts"])
 
 
-def _prefixes(n: int, percent: int, sketch):
-    """(token, doc_id, n | position) for the prefix shingles of each document; of equal sets in one task, the first only."""
+def _prefixes(n: int, percent: int, sketch, hot: int):
+    """(token, salt, doc_id, n | position) for the prefix shingles of each document; of equal sets in one task, the first
+    only. salt is 0 unless the shingle is a frequent one."""
     def run(batches):
         counts, seen = sketch.value, set()
         for batch in batches:
@@ -127,7 +135,9 @@ def _prefixes(n: int, percent: int, sketch):
                 pos = np.arange(len(row)) - at[row]
                 first = (pos < size[row] - _needed_self(size[row], percent) + 1) & fresh[row]
                 row, key, pos = row[first], key[first], pos[first]
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids[row], pa.int64()), pa.array((size[row] << 16) | np.minimum(pos, 65535))], names=["token", "doc_id", "np"])
+                parts = counts[(key >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)] // hot + 1
+                salt = np.where(parts > 1, C.mix(ids[row].astype(np.int64).view(np.uint64)) % parts.astype(np.uint64) + np.uint64(1), 0).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(salt), pa.array(ids[row], pa.int64()), pa.array((size[row] << 16) | np.minimum(pos, 65535))], names=["token", "salt", "doc_id", "np"])
     return run
 
 
@@ -141,30 +151,35 @@ def _may(na, pa_, nb, pb, percent: int):
     return (100 * low >= percent * high) & (1 + np.minimum(na - pa_, nb - pb) - 1 >= _needed(na, nb, percent))
 
 
+GROUP = "token long, salt int, doc_id long, np long, hub long, may boolean"
+
+
 def _groups(percent: int):
     """Rows of tokens that two documents share, with the first document of the token and whether the two may link.
 
-    Input is sorted by token and doc_id; one row is carried from batch to batch, so a token may be of any size.
+    Input is sorted by token, salt and doc_id; one row is carried from batch to batch, so a token may be of any size.
+    Rows with a salt are all returned, as another part of the token may hold its other documents.
     """
     def run(batches):
-        last = None  # token, hub id, hub np, whether the hub's own row is still to be written
+        last = None  # token, salt, hub id, hub np, whether the hub's own row is still to be written
         for batch in batches:
-            t, d, v = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+            t, s, d, v = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
             if not len(t):
                 continue
             if last is not None:
-                t, d, v = np.append(last[0], t), np.append(last[1], d), np.append(last[2], v)
+                t, s, d, v = (np.append(np.array(x, y.dtype), y) for x, y in zip(last, (t, s, d, v)))
             new = np.ones(len(t), bool)
-            new[1:] = t[1:] != t[:-1]
+            new[1:] = (t[1:] != t[:-1]) | (s[1:] != s[:-1])
             at = np.flatnonzero(new)
             hub = at[np.cumsum(new) - 1]
             count = np.diff(np.append(at, len(t)))
             out = (count > 1)[np.cumsum(new) - 1]
-            if last is not None and last[3]:
+            out |= s > 0
+            if last is not None and last[4]:
                 out[0] = False  # written with an earlier batch
             may = _may(v[hub] >> 16, v[hub] & 65535, v >> 16, v & 65535, percent) & (d != d[hub])
-            last = (t[hub[-1]], d[hub[-1]], v[hub[-1]], bool(count[-1] > 1))
-            yield pa.RecordBatch.from_arrays([pa.array(t[out]), pa.array(d[out]), pa.array(v[out]), pa.array(d[hub][out]), pa.array(may[out])], names=["token", "doc_id", "np", "hub", "may"])
+            last = (t[hub[-1]], s[hub[-1]], d[hub[-1]], v[hub[-1]], bool(count[-1] > 1 or s[-1] > 0))
+            yield pa.RecordBatch.from_arrays([pa.array(t[out]), pa.array(s[out]), pa.array(d[out]), pa.array(v[out]), pa.array(d[hub][out]), pa.array(may[out])], names=["token", "salt", "doc_id", "np", "hub", "may"])
     return run
 
 
@@ -201,11 +216,12 @@ def _verify(n: int, percent: int):
     return run
 
 
-def jaccard_components(docs: DataFrame, shingle_words: int = 4, percent: int = 85) -> DataFrame:
+def jaccard_components(docs: DataFrame, shingle_words: int = 4, percent: int = 85, hot: int = HOT) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row: documents link at Jaccard >= percent / 100.
 
     A text without words, or null, has an empty set and links with nothing. doc_id should be unique and not null;
-    rows that repeat an id count as that one document, a null id forms a row of its own with component null.
+    rows that repeat an id count as that one document, a null id forms a row of its own with component null. `hot` is the
+    number of rows of one shingle above which they are spread over tasks.
     """
     spark = docs.sparkSession
     C.narrow_batches(spark)
@@ -217,11 +233,20 @@ def jaccard_components(docs: DataFrame, shingle_words: int = 4, percent: int = 8
     width = (1 << SKETCH_BITS) // PARTS
     shared = spark.sparkContext.broadcast(np.concatenate([sums.get(k, np.zeros(width, np.int64)) for k in range(PARTS)]))
     sets = seen.where("part is null").select("doc_id", "n", "s1", "s2", "ranges")
-    reps = sets.where("n > 0 and doc_id is not null").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"))
-    of = C.save(sets.where("n > 0 and doc_id is not null").join(reps, ["n", "s1", "s2"]).select("doc_id", "rep", "n", F.when(F.col("doc_id") == F.col("rep"), F.col("ranges")).alias("ranges")), "classes")
-    rows = texts.where("doc_id is not null").mapInArrow(_prefixes(shingle_words, percent, shared), "token long, doc_id long, np long")
-    rows = rows.repartition(n_parts, "token").sortWithinPartitions("token", "doc_id")
-    groups = C.save(rows.mapInArrow(_groups(percent), "token long, doc_id long, np long, hub long, may boolean"), "groups")
+    # only sets that occur twice are joined back, so that all copies of one text need not meet in one task
+    full = sets.where("n > 0 and doc_id is not null")
+    reps = full.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("m")).where("m > 1").drop("m")
+    reps = C.small(C.save(reps, "copies"))
+    of = full.join(reps, ["n", "s1", "s2"], "left").withColumn("rep", F.coalesce("rep", "doc_id"))
+    of = C.save(of.select("doc_id", "rep", "n", F.when(F.col("doc_id") == F.col("rep"), F.col("ranges")).alias("ranges")), "classes")
+    rows = texts.where("doc_id is not null").mapInArrow(_prefixes(shingle_words, percent, shared, hot), "token long, salt int, doc_id long, np long")
+    rows = rows.repartition(n_parts, "token", "salt").sortWithinPartitions("token", "salt", "doc_id")
+    groups = C.save(rows.mapInArrow(_groups(percent), GROUP), "groups")
+    met = groups.where("may").select(F.col("hub").alias("a"), F.col("doc_id").alias("b"))
+    if shared.value.max() > hot:
+        hubs = groups.where("salt > 0 and doc_id = hub").select("token", F.lit(0).alias("salt"), "doc_id", "np").distinct()
+        hubs = hubs.repartition(n_parts, "token").sortWithinPartitions("token", "doc_id").mapInArrow(_groups(percent), GROUP)
+        met = met.unionByName(hubs.where("may").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")))
 
     busy = groups.select("doc_id").distinct().join(of.select("doc_id", "rep"), "doc_id").select(F.col("rep").alias("doc_id")).distinct()
     packed = texts.where("doc_id is not null").mapInArrow(_pack, "doc_id long, z binary")
@@ -229,30 +254,35 @@ def jaccard_components(docs: DataFrame, shingle_words: int = 4, percent: int = 8
     ids, ranges = of.select("doc_id", "rep"), of.where("ranges is not null").select(F.col("doc_id").alias("rep"), "n", "ranges")
 
     def pairs(found: DataFrame) -> DataFrame:
-        """Distinct pairs of classes (a < b) that pass the suffix filter: counts by hash range bound the intersection."""
+        """Distinct pairs of classes, a < b."""
         p = found.select("a", "b").distinct()
         p = p.join(ids.withColumnRenamed("doc_id", "a").withColumnRenamed("rep", "ra"), "a").join(ids.withColumnRenamed("doc_id", "b").withColumnRenamed("rep", "rb"), "b")
-        p = p.where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
-        p = p.join(ranges.toDF("a", "na", "ka"), "a").join(ranges.toDF("b", "nb", "kb"), "b")
-        return p.mapInArrow(_suffix_filter(percent), "a long, b long")
+        return p.where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
 
     def verified(p: DataFrame, name: str) -> DataFrame:
+        """Those that pass the suffix filter (counts by hash range bound the intersection) and then the exact test."""
+        p = p.join(ranges.toDF("a", "na", "ka"), "a").join(ranges.toDF("b", "nb", "kb"), "b").mapInArrow(_suffix_filter(percent), "a long, b long")
         both = p.join(packed.toDF("a", "za"), "a").join(packed.toDF("b", "zb"), "b")
         return C.save(both.select("a", "b", "za", "zb").mapInArrow(_verify(shingle_words, percent), "a long, b long"), name)
 
-    stars = verified(pairs(groups.where("may").select(F.col("hub").alias("a"), F.col("doc_id").alias("b"))), "stars")
+    tried = C.save(pairs(met), "tried")
+    stars = verified(tried, "stars")
     comp = C.save(components(stars), "star_components")
     # what is left: documents of different components under one token, in size classes that a link cannot skip
     left = groups.join(ids, "doc_id").select("token", F.col("rep").alias("doc_id"), "np").distinct()
     left = left.join(comp.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("component_id", "doc_id")).drop("component_id")
     mixed = left.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
-    left = C.save(left.join(mixed, "token").withColumns({"n": F.shiftright("np", 16), "pos": F.col("np").bitwiseAND(F.lit(65535))}).withColumn("size", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent))).cast("int")), "left")
-    one = left.select("token", "size", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("comp").alias("ca"))
-    two = left.select("token", F.explode(F.array(F.col("size") - 1, F.col("size"), F.col("size") + 1)).alias("size"), F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("comp").alias("cb"))
-    may = (F.col("ca") < F.col("cb")) & (F.lit(100) * F.least("na", "nb") >= F.lit(percent) * F.greatest("na", "nb")) & (F.lit(100 + percent) * F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= F.lit(percent) * (F.col("na") + F.col("nb")))
-    tried = groups.where("may").select(F.least("hub", "doc_id").alias("a"), F.greatest("hub", "doc_id").alias("b")).distinct()
-    rest = one.join(two, ["token", "size"]).where(may).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    more = verified(pairs(rest), "rest")
+    left = C.save(left.join(mixed, "token").withColumns({"n": F.shiftright("np", 16), "pos": F.col("np").bitwiseAND(F.lit(65535))}).withColumn("size", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent)) + 1e-9).cast("int")), "left")
+    # the smaller set of a pair meets in its short prefix; hot keys are dealt out by a salt of the smaller set
+    short = left.where(F.lit(100 + percent) * (F.col("n") - F.col("pos")) >= F.lit(2 * percent) * F.col("n"))
+    many = short.groupBy("token", "size").count().where(F.col("count") > hot)
+    many = C.small(C.save(many.select("token", "size", F.floor(F.col("count") / hot).cast("int").alias("parts")), "hot"))
+    one = short.join(many, ["token", "size"], "left").select("token", "size", F.coalesce(F.pmod(F.xxhash64("doc_id"), F.col("parts") + 1), F.lit(0)).cast("int").alias("salt"), F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("comp").alias("ca"))
+    two = left.select("token", F.explode(F.array(F.col("size") - 1, F.col("size"))).alias("size"), F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("comp").alias("cb"))
+    two = two.join(many, ["token", "size"], "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(0))))).drop("parts")
+    may = (F.col("ca") != F.col("cb")) & (F.col("na") <= F.col("nb")) & (F.lit(100) * F.col("na") >= F.lit(percent) * F.col("nb")) & (F.lit(100 + percent) * F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= F.lit(percent) * (F.col("na") + F.col("nb")))
+    rest = one.join(two, ["token", "size", "salt"]).where(may).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    more = verified(rest.join(tried, ["a", "b"], "left_anti"), "rest")
     comp = components(stars.unionByName(more))
     for done in (left, groups, packed):  # the largest scratch tables; nothing below reads them
         C.discard(done)
