@@ -16,6 +16,8 @@ from . import common as C
 from .components import components
 
 BLOCK, PROBES = 1024, 3
+#: Vectors that occur twice up to which they are broadcast (8 bytes a component).
+COPIES = 20_000
 
 
 def probes(cells: int) -> int:
@@ -36,8 +38,10 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 0) -> n
     return c
 
 
-def fit_cells(vectors: DataFrame, rows: int, sample_rows: int = 16384, per_cell: int = 256, most_cells: int = 2048) -> dict[int, np.ndarray]:
-    """Centroids for each vector length, from about sample_rows rows chosen by a hash of the id (packed as floats)."""
+def fit_cells(vectors: DataFrame, rows: int, sample_rows: int = 16384, per_cell: int = 256, most_cells: int = 8192) -> dict[int, np.ndarray]:
+    """Centroids for each vector length: one for every per_cell rows, at most most_cells, from about sample_rows rows, or
+    eight a cell if that is more, chosen by a hash of the id and packed as floats. That many reach the driver."""
+    sample_rows = max(sample_rows, 8 * min(rows // per_cell, most_cells))
     def pack(batches):
         for pdf in batches:
             yield pd.DataFrame({"x": [np.asarray(v, np.float32).tobytes() for v in pdf["v"]]})
@@ -116,11 +120,13 @@ def _compare(threshold: float):
     return run
 
 
-def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.95) -> DataFrame:
+def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.95, per_cell: int = 256, most_cells: int = 8192, sample_rows: int = 16384) -> DataFrame:
     """(id_col, n_links, component_id, kept) for every row.
 
     Null, empty or zero vectors, and those with null or non-finite components, link with nothing; vectors of
-    different lengths never link. Rows that repeat an id count as one more equal vector.
+    different lengths never link. Rows that repeat an id count as one more equal vector. Cells grow in number with the
+    rows up to most_cells (2 million rows at the defaults); beyond, raise it (centroids are 8 bytes a component, sent to
+    every executor), or cells grow in size and pairs with their square.
     """
     C.narrow_batches(vectors.sparkSession)
     v = F.col(vector_col)
@@ -133,7 +139,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     if n == 0:
         return rows.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
     spark = vectors.sparkSession
-    cells = spark.sparkContext.broadcast(fit_cells(folded, n))  # at most most_cells centroids
+    cells = spark.sparkContext.broadcast(fit_cells(folded, n, sample_rows, per_cell, most_cells))  # at most most_cells centroids
     placed = folded.mapInPandas(_places(cells), "v array<double>, id long, m long, near array<int>")
     placed = placed.withColumn("len", F.size("v")).withColumn("cell", F.explode("near"))
     placed = C.save(placed, "cells")
@@ -144,8 +150,10 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     found = C.save(spread.select("len", "cell", "i", "j", "id", "m", "v", "near", "block").groupBy("len", "cell", "i", "j").applyInPandas(_compare(threshold), "id long, links long, low long"), "links")
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     groups = components(found.select(F.col("id").alias("a"), F.col("low").alias("b"))).withColumnRenamed("component_id", "comp")
-    reps = folded.select("v", F.col("id").alias("rep"), "m").join(links.withColumnRenamed("id", "rep"), "rep", "left").join(groups.withColumnRenamed("id", "rep"), "rep", "left")
-    of = reps.select("v", "m", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("comp", "rep").alias("comp"))
-    joined = rows.where("good").join(of, "v").select("id", (F.col("links") + F.col("m") - 1).alias("n_links"), F.col("comp").alias("component_id"))
+    # only vectors that occur twice are joined back to their copies, and only rows with a link to what was found
+    copies = C.small(C.save(folded.where("m > 1").select("v", F.col("id").alias("rep"), "m"), "copies"), COPIES)
+    named = rows.where("good").join(copies, "v", "left").select("id", F.coalesce("rep", "id").alias("rep"), F.coalesce("m", F.lit(1)).alias("m"))
+    of = links.withColumnRenamed("id", "rep").join(groups.withColumnRenamed("id", "rep"), "rep", "left")
+    joined = named.join(C.small(C.save(of, "linked")), "rep", "left").select("id", (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("comp", "rep").alias("component_id"))
     rest = rows.where("not good").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     return joined.unionByName(rest).select(F.col("id").alias(id_col), "n_links", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
