@@ -1,6 +1,7 @@
 """WARC archives with an index: write records, index them, read selected records back by coalesced byte ranges.
 
-Every record is a gzip member of its own, so any one can be read alone. Each task writes one archive under a new name
+Every record is a gzip member of its own, so any one can be read alone. Responses hold an HTTP response whose body is
+the payload; revisits hold its head only, with the length and digest of the payload that they leave out. Each task writes one archive under a new name
 in the shared folder and returns the index rows of that file; the index is written as Parquet, so only files of tasks
 that succeeded are ever referred to. Reading goes through the index: records are sorted by offset, neighbours are
 read together, and each file is cut into ranges that are separate rows of work.
@@ -31,28 +32,41 @@ def _filesystem(path: str):
     return fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
 
 
-def record(kind: str, page_id: int, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
-    """One WARC/1.1 record as a gzip member; a revisit has no payload but keeps its length and digest."""
-    clean = " ".join((url or "").split())
-    head = [f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>", f"WARC-Target-URI: {clean}", f"WARC-Payload-Digest: sha256:{digest}", f"WARC-Payload-Length: {len(payload)}"]
-    body = b"" if kind == "revisit" else payload
+#: Date of pages that have none of their own: the same in every run.
+NO_DATE = "1970-01-01T00:00:00Z"
+
+
+def record_id(page_id: int | None, digest: str) -> str:
+    """A URI for the capture of a page with this payload: the same whenever it is written."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}:{digest}')}>"
+
+
+def record(kind: str, page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, date: str | None = None) -> bytes:
+    """One WARC/1.1 record as a gzip member. A page without a url is named by its id; fields that the format lacks
+    begin with X-."""
+    clean = "".join((url or "").split()) or f"urn:page:{'' if page_id is None else page_id}"
+    body = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+    head = [f"WARC-Type: {kind}", f"WARC-Record-ID: {record_id(page_id, digest)}", f"WARC-Date: {date or NO_DATE}", f"WARC-Target-URI: {clean}", f"WARC-Payload-Digest: sha256:{digest}"]
     if kind == "revisit":
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers_to}>"]
-    head += ["Content-Type: text/html", f"Content-Length: {len(body)}"]
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_id(refers_to, digest)}", f"X-Refers-To-Page: {refers_to}"]
+    else:
+        body += payload
+    head += [f"X-Page: {'' if page_id is None else page_id}", f"X-Url: {'null' if url is None else 'text'}", f"X-Payload-Length: {len(payload)}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(body)}"]
     pack = zlib.compressobj(1, zlib.DEFLATED, 31)
     return pack.compress(("WARC/1.1\r\n" + "\r\n".join(head) + "\r\n\r\n").encode() + body + b"\r\n\r\n") + pack.flush()
 
 
 def parse(member: bytes) -> tuple[dict[str, str], bytes]:
-    """Headers and body of a record."""
+    """Headers of a record and the payload in it (of a revisit: nothing)."""
     head, _, rest = zlib.decompress(member, 31).partition(b"\r\n\r\n")
     fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:] if ": " in line)
-    return fields, rest[: int(fields["Content-Length"])]
+    return fields, rest[: int(fields["Content-Length"])].partition(b"\r\n\r\n")[2]
 
 
 def classify(pages: DataFrame) -> DataFrame:
-    """pages plus digest, refers_to (null for a response). Only digests that occur twice are joined back."""
-    p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"))
+    """(page_id, url, payload, date, digest, refers_to); refers_to is null for a response. Only digests that occur twice are joined back."""
+    date = F.date_format(F.col("date").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss'Z'") if "date" in pages.columns else F.lit(None).cast("string")
+    p = pages.select(date.alias("date"), F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"))
     p = p.withColumn("digest", F.sha2("payload", 256))
     first = p.where(F.octet_length("payload") >= LEAST).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
     first = C.save(first, "repeated")  # a table, so that its size is known when the join is planned
@@ -62,9 +76,10 @@ def classify(pages: DataFrame) -> DataFrame:
 def write(pages: DataFrame, folder: str | None = None) -> DataFrame:
     """Write archives and return their index (a table in the scratch folder).
 
-    A null url is written as empty and read back as empty; a null html is an empty payload. Payloads of fewer than
-    LEAST bytes are always responses. page_id should be unique; if it is not, equal ids with equal payloads are
-    all responses.
+    pages: page_id, url, html, and if there is one, a timestamp `date` (UTC in the session's time zone), else NO_DATE.
+    A null url is read back as null, white space inside one is left out; a null html is an empty payload. Payloads of
+    fewer than LEAST bytes are always responses. page_id should be unique; if it is not, equal ids with equal payloads are
+    all responses, with the same record id.
     """
     C.narrow_batches(pages.sparkSession)
     folder = folder or f"{C.scratch_dir(pages.sparkSession)}/warc"
@@ -80,10 +95,10 @@ def write(pages: DataFrame, folder: str | None = None) -> DataFrame:
                     base = f"{uuid.uuid4().hex}.warc.gz"
                     name = f"{folder}/{base}"
                     out, at = fs.open_output_stream(f"{root}/{base}", compression=None), 0
-                for r in zip(*(batch.column(batch.schema.get_field_index(c)) for c in ("page_id", "url", "payload", "digest", "refers_to")), strict=True):
-                    page, url, payload, digest, refers = (x.as_py() for x in r)
+                for r in zip(*(batch.column(batch.schema.get_field_index(c)) for c in ("page_id", "url", "payload", "digest", "refers_to", "date")), strict=True):
+                    page, url, payload, digest, refers, date = (x.as_py() for x in r)
                     kind = "response" if refers is None else "revisit"
-                    data = record(kind, page, url, payload, digest, refers)
+                    data = record(kind, page, url, payload, digest, refers, date)
                     out.write(data)
                     rows.append((page, url, kind, refers, digest, len(payload), name, at, len(data)))
                     at += len(data)
@@ -92,7 +107,7 @@ def write(pages: DataFrame, folder: str | None = None) -> DataFrame:
             if out is not None:
                 out.close()
 
-    return C.save(classify(pages).select("page_id", "url", "payload", "digest", "refers_to").mapInArrow(run, INDEX), "index")
+    return C.save(classify(pages).select("page_id", "url", "payload", "digest", "refers_to", "date").mapInArrow(run, INDEX), "index")
 
 
 def _batch(rows: list[tuple], ddl: str) -> pa.RecordBatch:
@@ -132,12 +147,14 @@ def read(index: DataFrame, with_payload: bool = True, stretch: int = 8 << 20, ga
                 rows = []
                 for i in range(a, b):
                     h, body = parse(data[offset[i] - offset[a]: ends[i] - offset[a]])
-                    page = h["WARC-Record-ID"][len("<urn:page:"):-1]
-                    page = int(page) if page else None
+                    page = int(h["X-Page"]) if h["X-Page"] else None
+                    url = h["WARC-Target-URI"]
+                    if url.startswith("urn:page:"):
+                        url = None if h["X-Url"] == "null" else ""
                     if h["WARC-Type"] == "revisit":
-                        rows.append((page, h["WARC-Target-URI"], "revisit", int(h["WARC-Refers-To"][len("<urn:page:"):-1]), int(h["WARC-Payload-Length"]), h["WARC-Payload-Digest"][7:], None))
+                        rows.append((page, url, "revisit", int(h["X-Refers-To-Page"]), int(h["X-Payload-Length"]), h["WARC-Payload-Digest"][7:], None))
                     else:
-                        rows.append((page, h.get("WARC-Target-URI", ""), "response", None, len(body), hashlib.sha256(body).hexdigest(), body if with_payload else None))
+                        rows.append((page, url, "response", None, len(body), hashlib.sha256(body).hexdigest(), body if with_payload else None))
                 yield _batch(rows, READ)
 
     work = index.select("file", "offset", "length").withColumn("_s", F.floor(F.col("offset") / stretch))
