@@ -2,7 +2,9 @@
 
 Words are canonicalised: numbers, names (a capitalised word inside a sentence) and units become typed placeholders.
 Windows of template words are joined by hash between documents and benchmark items, and beside them windows in which
-names are plain words, so that a copy in other letter case is found too. Windows that lie on one diagonal
+names are plain words, so that a copy in other letter case is found too. A window must have literal words to count; one
+that is all placeholders counts only with its own values, so numbers in a row do not match other numbers in a row. An
+item shorter than a window is looked for whole, word for word. Windows that lie on one diagonal
 (same shift between document and item) form a match; a match counts if it is long enough and if its slots agree: one
 value in the item always stands for one value in the document (or most values are the item's own), so a question with
 other numbers is found, and a text that merely has the same shape is not.
@@ -17,6 +19,8 @@ from . import common as C
 
 WINDOW = 8  # words hashed together
 LEAST = 13  # matched words that make a match, or the whole item if it is shorter
+LITERAL = 2  # words of a window that are no placeholders
+SHORT = 4  # words of the shortest item that is looked for
 #: Words that count as units of measure.
 UNITS = ("mm", "cm", "m", "km", "inch", "inches", "foot", "feet", "mile", "miles", "mg", "g", "kg", "ounce", "ounces", "pound", "pounds", "ton", "tons", "ml", "l", "liter", "liters", "gallon", "gallons", "second", "seconds", "minute", "minutes", "hour", "hours", "day", "days", "week", "weeks", "month", "months", "year", "years", "percent", "dollar", "dollars", "euro", "euros", "cent", "cents", "degree", "degrees", "volt", "volts", "watt", "watts")
 #: Characters of the private use area: marks of names, numbers, units, and of a point inside a number.
@@ -47,31 +51,69 @@ def is_slot(w: Column) -> Column:
     return (c == _NAME) | c.between("0", "9") | w.isin(*UNITS)
 
 
-def windows(texts: DataFrame, key: str) -> DataFrame:
-    """(key, pos, w): the hashes of every WINDOW template words, and of the plain words where one is a name. Texts with fewer words have none."""
-    h = texts.select(key, F.transform(tokens(F.col("text")), lambda w: F.struct(F.xxhash64(template(w)).alias("t"), F.xxhash64(plain(w)).alias("p"))).alias("_h"))
+def word(w: Column) -> Column:
+    return F.when(F.substring(w, 1, 1) == _NAME, F.substring(w, 2, 1 << 30)).otherwise(w)
+
+
+def hashed(text: Column) -> Column:
+    """Of every word: hashes of its template, of what that would be in small letters, and of the word itself."""
+    return F.transform(tokens(text), lambda w: F.struct(F.xxhash64(template(w)).alias("t"), F.xxhash64(plain(w)).alias("p"), F.xxhash64(F.lit("="), word(w)).alias("x")))
+
+
+def _window(i: Column, side: str, n: int = WINDOW) -> Column:
+    return F.xxhash64(*[F.get("_h", i + k)[side] for k in range(n)])
+
+
+def windows(texts: DataFrame, exact: bool, lengths: list[int]) -> DataFrame:
+    """(doc_id, pos, w): hashes of every WINDOW template words, of plain words where they differ, and if asked for, of
+    the words themselves, also of so many words as `lengths` says. Texts with fewer words have none."""
+    h = texts.select("doc_id", hashed(F.col("text")).alias("_h"))
     # no filter on the length: it would be pushed below and make the words twice
-    starts = F.when(F.size("_h") >= WINDOW, F.sequence(F.lit(0), F.size("_h") - WINDOW))
-    both = lambda i: F.array(*[F.xxhash64(*[F.get("_h", i + k)[side] for k in range(WINDOW)]) for side in "tp"])
-    at = h.select(key, F.posexplode(F.transform(starts, both)).alias("pos", "_w"))
-    return at.select(key, "pos", F.explode(F.array_distinct("_w")).alias("w"))
+    least, n = min([WINDOW, *lengths]), F.size("_h")
+    starts = F.when(n >= least, F.sequence(F.lit(0), n - least))
+
+    def all_(i):
+        whole = [_window(i, side) for side in ("tpx" if exact else "tp")]
+        if least < WINDOW:
+            whole = [F.when(i + WINDOW <= n, w) for w in whole] + [F.when(i + k <= n, _window(i, "x", k)) for k in lengths]
+        return F.array(*whole)
+
+    at = h.select("doc_id", F.posexplode(F.transform(starts, all_)).alias("pos", "_w"))
+    return at.select("doc_id", "pos", F.explode(F.array_distinct("_w")).alias("w"))
+
+
+def item_windows(items: DataFrame) -> DataFrame:
+    """(item_id, at, n, exact, w): the windows of n words by which an item is found. Template and plain windows need
+    LITERAL words; where the plain one lacks them, or the item is shorter than a window, the words themselves count."""
+    t = items.select("item_id", tokens(F.col("text")).alias("_t"), hashed(F.col("text")).alias("_h")).where(F.size("_t") >= SHORT)
+    literal = lambda f: lambda i: F.size(F.filter(F.slice("_t", i + 1, WINDOW), lambda w: ~F.substring(f(w), 1, 1).isin(_NAME, _NUM, _UNIT)))
+    row = lambda i, ok, side: F.when(ok, F.struct(F.lit(side == "x").alias("exact"), _window(i, side).alias("w")))
+    at = lambda i: F.array_compact(F.array(row(i, literal(template)(i) >= LITERAL, "t"), row(i, literal(plain)(i) >= LITERAL, "p"), row(i, literal(plain)(i) < LITERAL, "x")))
+    long = t.where(F.size("_t") >= WINDOW).select("item_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.size("_t") - WINDOW), at)).alias("at", "_w"))
+    long = long.select("item_id", "at", F.lit(WINDOW).alias("n"), F.explode(F.array_distinct("_w")).alias("_w")).select("item_id", "at", "n", "_w.*").dropDuplicates(["item_id", "at", "w"])
+    whole = F.coalesce(*[F.when(F.size("_t") == k, _window(F.lit(0), "x", k)) for k in range(SHORT, WINDOW)])
+    return long.unionByName(t.where(F.size("_t") < WINDOW).select("item_id", F.lit(0).alias("at"), F.size("_t").alias("n"), F.lit(True).alias("exact"), whole.alias("w")))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, n_windows, n_slots, exact): one row for each document and item that match.
 
-    n_windows and n_slots are those of the longest match of the pair; exact is false where a slot has another value.
-    Null or empty texts, items of fewer than WINDOW words and null ids match nothing; a repeated row changes nothing.
+    n_windows and n_slots are those of the longest match of the pair (the one with more slots at ties); exact is false
+    where a slot has another value. Items of SHORT to WINDOW - 1 words match word for word. Null or empty texts, items
+    of fewer words and null ids match nothing; a repeated row changes nothing.
     """
     items = benchmark.where("item_id is not null").select("item_id", "text").distinct()
-    bench = windows(items, "item_id").withColumnRenamed("pos", "at")
-    few = bench.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    bench = C.save(item_windows(items), "items")
+    n, exact, lengths = bench.agg(F.count("*"), F.max(F.col("exact") & (F.col("n") == WINDOW)), F.collect_set(F.when(F.col("n") < WINDOW, F.col("n")))).first()
+    few = n <= BROADCAST_ROWS
+    bench = bench.select("item_id", "at", "w")
     docs = docs.where("doc_id is not null")
-    hits = windows(docs.select("doc_id", "text"), "doc_id").join(F.broadcast(bench) if few else bench, "w")
+    hits = windows(docs.select("doc_id", "text"), bool(exact), sorted(lengths)).join(F.broadcast(bench) if few else bench, "w")
     runs = hits.select("doc_id", "item_id", (F.col("pos") - F.col("at")).alias("shift"), "at").distinct()
     runs = runs.groupBy("doc_id", "item_id", "shift").agg(F.count("*").alias("n_windows"), F.min("at").alias("lo"), (F.max("at") + WINDOW).alias("hi"))
-    sizes = items.select("item_id", tokens(F.col("text")).alias("it")).withColumn("need", F.least(F.lit(LEAST - WINDOW + 1), F.size("it") - WINDOW + 1))
-    runs = runs.join(F.broadcast(sizes) if few else sizes, "item_id").where("n_windows >= need").drop("need", "it")
+    # every item here has a window, so there are at most WINDOW - 1 words more than windows for each
+    sizes = items.select("item_id", tokens(F.col("text")).alias("it")).where(F.size("it") >= SHORT).withColumn("need", F.greatest(F.lit(1), F.least(F.lit(LEAST - WINDOW + 1), F.size("it") - WINDOW + 1)))
+    runs = runs.join(F.broadcast(sizes) if few else sizes, "item_id").where("n_windows >= need").withColumn("hi", F.least("hi", F.size("it"))).drop("need", "it")
     runs = C.small(C.save(runs, "runs"))
     words = docs.select("doc_id", "text").join(runs.select("doc_id", "item_id", "shift", "n_windows", "lo", "hi"), "doc_id").join(F.broadcast(sizes) if few else sizes, "item_id")
     length = F.col("hi") - F.col("lo")

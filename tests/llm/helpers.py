@@ -4,6 +4,8 @@ import hashlib
 import re
 from collections import defaultdict
 
+import regex
+
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -59,3 +61,60 @@ def jaccard_components(rows, n, percent):
     links = [p for p, c in both.items() if 100 * c >= percent * (len(sets[p[0]]) + len(sets[p[1]]) - c)]
     comp = groups(sets, links)
     return {d: (len(s), comp[d]) for d, s in sets.items()}
+
+
+NAME, NUM, UNIT = "<name>", "<num>", "<unit>"
+
+
+def template_matches(docs, items, units, window=8, least=13, literal=2, short=4):
+    """{(doc, item): (windows, slots, exact)} by comparing every window of every document with every window of every item."""
+    def words(text):
+        t = regex.sub(r"([0-9])[.,](?=[0-9])", "\\1\ue003", text or "")
+        names = {m.end() for m in regex.finditer(r"[\p{Ll}0-9,;][ \t\n\x0b\f\r]+[\"'`(\[{<]*(?=\p{Lu})", t)}
+        return [(m[0].lower(), m.start() in names) for m in regex.finditer(r"[^ \t\n\x0b\f\r!-/:-@\[-`{-~]+", t)]
+
+    def kind(w, named):
+        return NAME if named else NUM if w[0] in "0123456789" else UNIT if w in units else w
+
+    def slot(x):
+        return x[1] or kind(*x) in (NUM, UNIT)
+
+    def keys(w, item):
+        out = defaultdict(set)
+        for i in range(len(w) - window + 1):
+            part = w[i:i + window]
+            t, p, x = (tuple(kind(*v) for v in part), tuple(kind(v[0], False) for v in part), tuple(v[0] for v in part))
+            enough = lambda k: sum(v not in (NAME, NUM, UNIT) for v in k) >= literal
+            if not item or enough(t):
+                out[t].add(i)
+            if not item or enough(p):
+                out[p].add(i)
+            if not item or not enough(p):
+                out["=", x].add(i)
+        return out
+
+    found = {}
+    whole = {k: words(t) for k, t in items}
+    index = {k: keys(w, True) for k, w in whole.items()}
+    for d, text in docs:
+        w = words(text)
+        mine = keys(w, False)
+        for k, it in whole.items():
+            at = defaultdict(set)
+            if short <= len(it) < window:
+                for i in range(len(w) - len(it) + 1):
+                    if [v[0] for v in w[i:i + len(it)]] == [v[0] for v in it]:
+                        at[i].add(0)
+            for key, places in index[k].items():
+                for j in mine.get(key, ()):
+                    for i in places:
+                        at[j - i].add(i)
+            for shift, places in at.items():
+                if len(places) < max(1, min(least - window + 1, len(it) - window + 1)):
+                    continue
+                lo, hi = min(places), min(max(places) + window, len(it))
+                pairs = [(a[0] if not a[1] else NAME + a[0], b[0] if not b[1] else NAME + b[0]) for a, b in zip(it[lo:hi], w[lo + shift:hi + shift]) if slot(a) and slot(b)]
+                same = sum(a == b for a, b in pairs)
+                if len(set(pairs)) == len({a for a, _ in pairs}) or 2 * same > len(pairs):
+                    found[d, k] = max(found.get((d, k), (0, 0, False)), (len(places), len(pairs), same == len(pairs)))
+    return found

@@ -69,6 +69,19 @@ def test_jaccard_equals_brute_force(make_docs, corpus, n, percent):
     assert sum(c != d for d, (_, c) in want.items()) > 5
 
 
+def test_jaccard_of_frequent_shingles_and_repeated_ids(make_docs, corpus):
+    """Shingles in many documents are spread over tasks; documents of one template meet only if they may link."""
+    rng = random.Random(6)
+    common = [f"c{i}" for i in range(100)]
+    rows = [*corpus, *[(i, " ".join([f"o{i}x{k}" for k in range(own)] + common)) for i in range(100, 220) for own in [rng.randint(3, 14)]]]
+    want = helpers.jaccard_components(rows, 4, 85)
+    for hot in (4, 50):
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.jaccard_components(make_docs(rows), 4, 85, hot=hot).collect()}
+        assert got == want
+    twice = ngram_join.jaccard_components(make_docs([*rows[5:12], *rows[9:12]]), 4, 85).collect()
+    assert len(twice) == 10 and all(r["component_id"] == (9 if r["doc_id"] in (9, 10, 11) else r["doc_id"]) for r in twice)
+
+
 def test_jaccard_of_real_rows(spark, sf):
     from palisade.llm import queries as Q
 

@@ -1,4 +1,4 @@
-import datetime as dt
+import random
 import re
 from collections import defaultdict
 
@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from palisade.llm import decontam, mixing, url_filter, warc
 from palisade.llm import queries as Q
 from tests.compare import duck, same
+from tests.llm import helpers
 
 
 @pytest.mark.parametrize("name", sorted(Q.ORACLE_SQL))
@@ -65,6 +66,24 @@ def test_real_leaks_equal_brute_force(spark, sf):
     assert {(r["doc_id"], r["item_id"]) for r in Q.op4_decontam(spark, sf).collect()} == want
 
 
+def test_templates_equal_brute_force(spark, sf, make_docs):
+    """All documents of the table and copies of items with other numbers, names, letter case and lines; short items; numbers in a row."""
+    rng = random.Random(8)
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    ask = [(10_000 + i, t) for i, t in enumerate([ITEM, "Tom has 12 apples and Anna has 7 pears, so how many kg do Tom and Anna carry home in 3 days", " ".join(str(i) for i in range(14)), "what is the answer here", "one two three", "A 5 km, 6 km, 7 km, 8 km, 9 km run takes Max 3 hours", ""])]
+    texts = [r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    for _, t in rng.sample(items, 20) + ask:
+        fresh = re.sub("[0-9]+", lambda m: str(rng.randint(1, 99)), t)
+        texts += [f"Before it. {fresh} After it.", t.upper(), t.replace(" ", "\n"), t[: len(t) // 2], fresh.replace("Tom", "Ben").replace("Anna", "Eva").replace("Maria", "Olaf"), "5 " + t + " " + t]
+    texts += [" ".join(str(rng.randint(0, 50)) for _ in range(3000)), "So what is THE answer, here?", None]
+    rows = list(enumerate(texts))
+    bench = spark.createDataFrame([*items, *ask, *ask[:1], (None, ITEM), (77, None)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): (r["n_windows"], r["n_slots"], r["exact"]) for r in decontam.contaminated(make_docs([*rows, rows[-2]]), bench).collect()}
+    want = helpers.template_matches(rows, [*items, *ask], decontam.UNITS)
+    assert got == want
+    assert {k for _, k in want} >= {10_000, 10_001, 10_002, 10_003, 10_005} and not {k for _, k in want} & {10_004, 10_006}
+
+
 T0 = 1000
 
 
@@ -109,6 +128,26 @@ def test_mix(make_docs):
     assert mixing.pareto_mix(make_docs([])).count() == 0
 
 
+def test_mix_has_unequal_odds(make_docs):
+    """Long documents are taken less often than short ones of the same source, also beside certain copies."""
+    sizes = [2, 60, 900]
+    docs = make_docs([(i, "w " * sizes[i % 3], None, "ab"[i % 7 == 0]) for i in range(3000)])
+    out = mixing.pareto_mix(docs).collect()
+    for source in "ab":
+        own = [r for r in out if r["source"] == source]
+        mean = [sum(r["taken"] for r in own if r["size"] == n) / (n * sum(r["size"] == n for r in own)) for n in sizes]
+        assert mean == sorted(mean, reverse=True) and (source == "b" and mean[2] == 3 or mean[0] > 1.5 * mean[2])
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 900
+
+
+def test_mix_odd_rows(make_docs):
+    docs = make_docs([(None, "a b c", None, "s"), (1, "x y", None, "s"), (1, "x y", None, "s"), *[(i, "p q r s", None, "t") for i in range(10, 60)]])
+    own = docs.withColumns({"source_size": F.lit("own"), "target": F.lit("own"), "taken": F.lit("own"), "size": F.lit("own"), "bits": F.lit("own"), "words": F.lit("own")})
+    out = mixing.pareto_mix(own).collect()
+    assert len(out) == 53 and {r["bits"] for r in out} == {"own"} and {r["source_size"] for r in out} == {7, 200}
+    assert len({r["taken"] for r in out if r["doc_id"] == 1}) == 1
+
+
 def pages(spark):
     big = "<p>é" * 60
     return spark.createDataFrame([(5, "http://a/", big), (3, "http://b/", big), (9, None, big), (1, "u", "short"), (2, "u", "short"), (4, "x\r\nInjected: 1", None), (6, "u", ""), (7, "http://long/", "z" * 400000)], "page_id long, url string, html string").withColumn("digest", F.lit("own"))
@@ -137,3 +176,40 @@ def test_warc_files_are_plain_warc(spark, tmp_path):
     text = b"".join(gzip.decompress(f.read_bytes()) for f in sorted((tmp_path / "w").iterdir()))
     assert text.count(b"WARC/1.1\r\n") == len(index) == 8
     assert b"\r\nInjected" not in text
+
+
+def test_warc_records_by_the_format(spark, tmp_path):
+    """Every record has the fields that WARC/1.1 asks for, a block of the length it names, and an id of its own."""
+    import gzip
+    import hashlib
+
+    p = pages(spark).withColumn("date", F.when(F.col("page_id") != 9, F.lit("2024-03-01 10:20:30").cast("timestamp")))
+    index = warc.write(p, f"file://{tmp_path}/w")
+    ids, refers = {}, []
+    for r in index.collect():
+        with open(r["file"].removeprefix("file://"), "rb") as f:
+            f.seek(r["offset"])
+            text = gzip.decompress(f.read(r["length"]))
+        head, _, rest = text.partition(b"\r\n\r\n")
+        lines = head.decode().split("\r\n")
+        fields = dict(x.split(": ", 1) for x in lines[1:])
+        assert lines[0] == "WARC/1.1" and re.fullmatch(r"<urn:uuid:[0-9a-f-]{36}>", fields["WARC-Record-ID"])
+        assert re.fullmatch(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ", fields["WARC-Date"]) and fields["WARC-Date"].startswith("1970" if r["page_id"] == 9 else "2024-03-01T10:20:30")
+        assert fields["Content-Type"] == "application/http; msgtype=response" and len(rest) == int(fields["Content-Length"]) + 4 and rest.endswith(b"\r\n\r\n")
+        http, _, body = rest[:-4].partition(b"\r\n\r\n")
+        assert http.startswith(b"HTTP/1.1 200 OK\r\n") and fields["WARC-Target-URI"]
+        if r["record_type"] == "response":
+            assert fields["WARC-Payload-Digest"] == "sha256:" + hashlib.sha256(body).hexdigest()
+        else:
+            assert body == b""
+            refers.append((fields["WARC-Refers-To"], r["refers_to"]))
+        ids[r["page_id"]] = fields["WARC-Record-ID"]
+    assert len(set(ids.values())) == len(ids) == 8 and refers and all(ids[k] == u for u, k in refers)
+    assert {r["url"] for r in warc.read(index).where("page_id = 9").collect()} == {None}
+    assert warc.read(index.limit(0)).count() == 0
+
+
+def test_warc_repeated_ids(spark):
+    p = spark.createDataFrame([(1, "u", "x" * 200), (1, "u", "x" * 200), (2, "u", "x" * 200), (1, "v", "y" * 200)], "page_id long, url string, html string")
+    got = sorted((r["page_id"], r["record_type"], r["refers_to"], bytes(r["payload"] or b"")[:1]) for r in warc.read(warc.write(p)).collect())
+    assert got == [(1, "response", None, b"x"), (1, "response", None, b"x"), (1, "response", None, b"y"), (2, "revisit", 1, b"")]
