@@ -2,8 +2,9 @@
 
 Each text is the mean of the embeddings of its hashed byte 3- and 4-grams; a linear softmax on that mean
 gives the language. Both are trained together by stochastic gradient descent in numpy on a bounded sample;
-a temperature fitted on rows kept out of the descent calibrates the probabilities, and a low quantile of
-theirs is the rejection threshold.
+a temperature fitted on rows kept out of the descent calibrates the probabilities. Text of no learned language, or of
+letters at random, has a probability far below theirs: it is rejected where its log-odds are under half of what nearly
+all of those rows reach.
 """
 
 from __future__ import annotations
@@ -73,12 +74,13 @@ def _features(batches):
             ], names=["lang", "buckets", "counts"])
 
 
-def train(docs: DataFrame, sample_rows: int = 4000, steps: int = 600, seed: int = 1, rejected: float = 0.0005) -> LanguageModel | None:
+def train(docs: DataFrame, sample_rows: int = 4000, steps: int = 600, seed: int = 1, rejected: float = 0.005) -> LanguageModel | None:
     """Learn from rows with a text and a language. None if there are none.
 
     sample_rows bounds the rows that reach the driver (about sample_rows / languages of each language, chosen by
     a hash of doc_id); each carries at most 2^14 buckets, so the driver's share is bounded too. `rejected` is the
-    share of good texts that the rejection threshold may turn away.
+    share of good texts whose log-odds may lie below the value of which half is the threshold. Rows that repeat an id
+    all count.
     """
     C.narrow_batches(docs.sparkSession)
     docs = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull())
@@ -139,9 +141,10 @@ def train(docs: DataFrame, sample_rows: int = 4000, steps: int = 600, seed: int
         s = s - s.max(1, keepdims=True)
         loss.append(float(np.mean(np.log(np.exp(s).sum(1)) - s[np.arange(len(kept)), y[kept]])))
     t = float(temperatures[int(np.argmin(loss))])
-    s = z / t
-    top = 1 / np.exp(s - s.max(1, keepdims=True)).sum(1)
-    return LanguageModel(languages, weights.astype(np.float32), bias, t, float(min(0.5, np.quantile(top, rejected))))
+    s = np.sort(z.astype(float) / t, axis=1)
+    others = np.exp(s[:, :-1] - s[:, -1:]).sum(1)  # odds against the best language
+    low = float(np.quantile(-np.log(np.maximum(others, 1e-300)), rejected))
+    return LanguageModel(languages, weights.astype(np.float32), bias, t, float(1 / (1 + np.exp(-low / 2))))
 
 
 def predict(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
