@@ -55,9 +55,10 @@ def word(w: Column) -> Column:
     return F.when(F.substring(w, 1, 1) == _NAME, F.substring(w, 2, 1 << 30)).otherwise(w)
 
 
-def hashed(text: Column) -> Column:
-    """Of every word: hashes of its template, of what that would be in small letters, and of the word itself."""
-    return F.transform(tokens(text), lambda w: F.struct(F.xxhash64(template(w)).alias("t"), F.xxhash64(plain(w)).alias("p"), F.xxhash64(F.lit("="), word(w)).alias("x")))
+def hashed(text: Column, sides: str) -> Column:
+    """Of every word: hashes of its template (t), of what that would be in small letters (p), and of the word itself (x)."""
+    made = {"t": lambda w: F.xxhash64(template(w)), "p": lambda w: F.xxhash64(plain(w)), "x": lambda w: F.xxhash64(F.lit("="), word(w))}
+    return F.transform(tokens(text), lambda w: F.struct(*[made[s](w).alias(s) for s in sides]))
 
 
 def _window(i: Column, side: str, n: int = WINDOW) -> Column:
@@ -67,7 +68,7 @@ def _window(i: Column, side: str, n: int = WINDOW) -> Column:
 def windows(texts: DataFrame, exact: bool, lengths: list[int]) -> DataFrame:
     """(doc_id, pos, w): hashes of every WINDOW template words, of plain words where they differ, and if asked for, of
     the words themselves, also of so many words as `lengths` says. Texts with fewer words have none."""
-    h = texts.select("doc_id", hashed(F.col("text")).alias("_h"))
+    h = texts.select("doc_id", hashed(F.col("text"), "tpx" if exact or lengths else "tp").alias("_h"))
     # no filter on the length: it would be pushed below and make the words twice
     least, n = min([WINDOW, *lengths]), F.size("_h")
     starts = F.when(n >= least, F.sequence(F.lit(0), n - least))
@@ -85,7 +86,7 @@ def windows(texts: DataFrame, exact: bool, lengths: list[int]) -> DataFrame:
 def item_windows(items: DataFrame) -> DataFrame:
     """(item_id, at, n, exact, w): the windows of n words by which an item is found. Template and plain windows need
     LITERAL words; where the plain one lacks them, or the item is shorter than a window, the words themselves count."""
-    t = items.select("item_id", tokens(F.col("text")).alias("_t"), hashed(F.col("text")).alias("_h")).where(F.size("_t") >= SHORT)
+    t = items.select("item_id", tokens(F.col("text")).alias("_t"), hashed(F.col("text"), "tpx").alias("_h")).where(F.size("_t") >= SHORT)
     literal = lambda f: lambda i: F.size(F.filter(F.slice("_t", i + 1, WINDOW), lambda w: ~F.substring(f(w), 1, 1).isin(_NAME, _NUM, _UNIT)))
     row = lambda i, ok, side: F.when(ok, F.struct(F.lit(side == "x").alias("exact"), _window(i, side).alias("w")))
     at = lambda i: F.array_compact(F.array(row(i, literal(template)(i) >= LITERAL, "t"), row(i, literal(plain)(i) >= LITERAL, "p"), row(i, literal(plain)(i) < LITERAL, "x")))
