@@ -22,11 +22,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bytes of 100-byte strings that also start earlier go; characters cut in half go too, and documents left empty."""
-    cut = suffix_dedup.remove_repeats(docs, along=("lang", "source", "n_chars"))
+    """Bytes of 100-byte strings that also start earlier go; characters cut in half go too, and documents left empty.
+    A text that was not changed stays as it is, null included."""
+    cut = suffix_dedup.remove_repeats(docs.select(*COLUMNS, F.col("text").isNull().alias("no_text")), along=("lang", "source", "n_chars", "no_text"))
     changed = F.col("n_removed") > 0
     left = F.regexp_replace(F.make_valid_utf8(F.col("kept").cast("string")), "\\ufffd", "")
-    out = cut.withColumn("text", F.when(changed, left).otherwise(F.col("kept").cast("string"))).where(~changed | (F.trim("text") != ""))
+    text = F.when(changed, left).when(~F.col("along.no_text"), F.col("kept").cast("string"))
+    out = cut.withColumn("text", text).where(~changed | (F.trim("text") != ""))
     return out.select("doc_id", "text", "along.lang", "along.source", F.when(changed, F.length("text").cast("long")).otherwise(F.col("along.n_chars")).alias("n_chars"))
 
 
@@ -46,7 +48,12 @@ ORACLE_SQL = None  # a trained model and byte positions are not expressible in S
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.table(spark, sf_dir, "documents")
+    """All stages; a stage's scratch tables and its predecessor's result are deleted when its own is written."""
+    docs, before = common.table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = common.save(stage(spark, docs, sf_dir), name)
+        with common.tidy(spark) as kept:
+            docs = kept(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            common.discard(before)
+        before = docs
     return docs
