@@ -26,7 +26,7 @@ def rank_of(col: Column, order: tuple[str, ...]) -> Column:
 
 def port_of(host: Column) -> Column:
     """Number after the last colon if it is a whole port number, else 443."""
-    n = F.regexp_extract(host, r":\+?([0-9]{1,9})$", 1).try_cast("int")
+    n = F.regexp_extract(host, r":\+?0*([0-9]{1,5})$", 1).try_cast("int")
     return F.when(n.between(0, 65535), n).otherwise(F.lit(DEFAULT_PORT))
 
 

@@ -16,9 +16,14 @@ DETAIL = {
     "connectivity": "struct<failure_rate: double, failures: int, probes: int>", "topology": "struct<expected: array<int>, actual: array<int>, bypassed: array<int>>", "drift": "struct<field: string, expected: string, observed: string>"}
 
 
-def threats(df: DataFrame, category: str, prefix: str, keys: list[str], severity: Column, confidence: Column, source: Column, description: Column, child: str, detail: Column, ts: str = "ts", target: str = "local") -> DataFrame:
+def threat(category: str, prefix: str, keys: list[Column], severity: Column, confidence: Column, source: Column, description: Column, child: str, detail: Column, ts: Column, target: str = "local") -> Column:
+    """One row of the threat table as a struct."""
     parts = [(detail if k == child else F.lit(None)).cast(t).alias(k) for k, t in DETAIL.items()]
-    return df.select(S.threat_id(prefix, *[F.col(k) for k in keys]).alias("id"), F.lit(category).alias("category"), severity.alias("severity"), S.rank_of(severity, S.SEVERITY).alias("severity_rank"), source.cast("string").alias("source"), F.lit(target).alias("target"), F.col(ts).alias("detected_at"), description.alias("description"), confidence.cast("double").alias("confidence"), F.struct(*parts).alias("detail"))
+    return F.struct(S.threat_id(prefix, *keys).alias("id"), F.lit(category).alias("category"), severity.alias("severity"), S.rank_of(severity, S.SEVERITY).alias("severity_rank"), source.cast("string").alias("source"), F.lit(target).alias("target"), ts.alias("detected_at"), description.alias("description"), confidence.cast("double").alias("confidence"), F.struct(*parts).alias("detail"))
+
+
+def threats(df: DataFrame, category: str, prefix: str, keys: list[str], severity: Column, confidence: Column, source: Column, description: Column, child: str, detail: Column, ts: str = "ts", target: str = "local") -> DataFrame:
+    return df.select(threat(category, prefix, [F.col(k) for k in keys], severity, confidence, source, description, child, detail, F.col(ts), target).alias("t")).select("t.*")
 
 
 def lineage_check(peers: DataFrame, roster: DataFrame, th: Thresholds = DEFAULTS) -> DataFrame:
@@ -46,30 +51,70 @@ def detect_http(scored: DataFrame, th: Thresholds = DEFAULTS) -> DataFrame:
     return _deviations(O.http_anomalies(O.anomalies(scored, th)), "HttpBehavioralAnomaly", "http", "http")
 
 
+def _scan_detail(ports: Column) -> tuple[Column, str, Column]:
+    return F.concat(F.lit("sensitive ports "), ports.cast("string")), "intrusion", F.struct(F.lit("port scan").alias("pattern"), ports.alias("ports"), F.lit(None).cast("double").alias("ratio"))
+
+
+def _exfil_detail(ratio: Column) -> tuple[Column, str, Column]:
+    return F.format_string("%.0f bytes a connection", ratio), "intrusion", F.struct(F.lit("data exfiltration").alias("pattern"), F.lit(None).cast("array<int>").alias("ports"), ratio.alias("ratio"))
+
+
 def detect_port_scan(obs: DataFrame, th: Thresholds = DEFAULTS) -> DataFrame:
     """Two sensitive ports or more in one observation."""
     d = obs.withColumn("hit", S.suspicious_ports(F.col("ports_accessed"), th)).where(F.size("hit") >= 2)
-    return threats(d, "IntrusionAttempt", "port-scan", ["source", "ts"], F.lit("High"), F.lit(th.port_scan_confidence), F.col("source"), F.concat(F.lit("sensitive ports "), F.col("hit").cast("string")), "intrusion", F.struct(F.lit("port scan"), "hit", F.lit(None).cast("double")))
+    return threats(d, "IntrusionAttempt", "port-scan", ["source", "ts"], F.lit("High"), F.lit(th.port_scan_confidence), F.col("source"), *_scan_detail(F.col("hit")))
 
 
 def detect_exfiltration(obs: DataFrame, th: Thresholds = DEFAULTS) -> DataFrame:
     ratio = S.bytes_per_conn(F.col("traffic_volume"), F.col("connection_rate"))
     d = obs.withColumn("ratio", ratio).where((F.col("traffic_volume") > th.exfil_volume) & (F.round("ratio", 9) > th.exfil_ratio))
-    return threats(d, "IntrusionAttempt", "exfil", ["source", "ts"], F.lit("Medium"), F.lit(th.exfil_confidence), F.col("source"), F.format_string("%.0f bytes a connection", F.col("ratio")), "intrusion", F.struct(F.lit("data exfiltration"), F.lit(None).cast("array<int>"), "ratio"))
+    return threats(d, "IntrusionAttempt", "exfil", ["source", "ts"], F.lit("Medium"), F.lit(th.exfil_confidence), F.col("source"), *_exfil_detail(F.col("ratio")))
+
+
+def detect_observations(scored: DataFrame, th: Thresholds = DEFAULTS) -> DataFrame:
+    """All detectors of scored observations in one pass over them: behavioral, http, port scan and exfiltration."""
+    source, ts = F.col("source"), F.col("ts")
+    found = []
+    for k in O.DIMENSIONS:
+        value, mean, std, z = F.col(k).cast("double"), F.col(f"{k}_mean"), F.col(f"{k}_std"), F.col(f"{k}_z")
+        hit = z.isNotNull() & S.exceeds(z, th.sigma)
+        away = F.when(z == float("inf"), -1.0).otherwise(z)
+        detail = F.struct(F.lit(k).alias("dimension"), value.alias("observed"), mean.alias("mean"), std.alias("std_dev"), away.alias("deviation"))
+        for category, prefix, target in (("BehavioralAnomaly", "behavioral", "network"), ("HttpBehavioralAnomaly", "http", "http"))[: 2 if k in O.HTTP else 1]:
+            found.append(F.when(hit, threat(category, prefix, [source, ts, F.lit(k)], S.severity_of(z, th), S.confidence(z, th), source, S.behavior_text(F.lit(k), value, mean, std), "deviation", detail, ts, target)))
+    ports, ratio = S.suspicious_ports(F.col("ports_accessed"), th), S.bytes_per_conn(F.col("traffic_volume"), F.col("connection_rate"))
+    found.append(F.when(F.size(ports) >= 2, threat("IntrusionAttempt", "port-scan", [source, ts], F.lit("High"), F.lit(th.port_scan_confidence), source, *_scan_detail(ports), ts)))
+    found.append(F.when((F.col("traffic_volume") > th.exfil_volume) & (F.round(ratio, 9) > th.exfil_ratio), threat("IntrusionAttempt", "exfil", [source, ts], F.lit("Medium"), F.lit(th.exfil_confidence), source, *_exfil_detail(ratio), ts)))
+    return scored.select(F.explode(F.array_compact(F.array(*found))).alias("t")).select("t.*")
+
+
+def _resource(load: Column, th: Thresholds) -> Column:
+    return threat("DenialOfService", "dos", [F.col("host"), F.col("ts")], F.lit("High"), F.lit(th.load_confidence), F.col("host"), F.format_string("load %.2f", load), "load", F.struct(load.alias("current"), F.lit(th.load).alias("limit")), F.col("ts"))
+
+
+def _spawn(th: Thresholds, order: tuple[str, ...]) -> Column:
+    rate = F.col("rate")
+    return threat("ProcessSpawnAnomaly", "spawn-rate", [F.col(c) for c in ("host", *order)], F.lit("High"), F.lit(th.spawn_confidence), F.col("host"), F.format_string("%.1f new processes a second", rate), "spawn", F.struct(rate.alias("rate"), F.lit(th.spawn_rate).alias("limit")), F.col("ts"))
 
 
 def detect_resource(metrics: DataFrame, th: Thresholds = DEFAULTS) -> DataFrame:
-    d = metrics.withColumn("load", S.norm_load(F.col("load1"), F.col("cpus"))).where(F.col("load") > th.load)
-    return threats(d, "DenialOfService", "dos", ["host", "ts"], F.lit("High"), F.lit(th.load_confidence), F.col("host"), F.format_string("load %.2f", F.col("load")), "load", F.struct("load", F.lit(th.load)))
+    load = S.norm_load(F.col("load1"), F.col("cpus"))
+    return metrics.where(load > th.load).select(_resource(load, th).alias("t")).select("t.*")
+
+
+def detect_spawn(metrics: DataFrame, th: Thresholds = DEFAULTS, order: tuple[str, ...] = ("ts",), block: int | None = None) -> DataFrame:
+    return O.counter_rate(metrics, order=order, block=block).where(F.col("rate") > th.spawn_rate).select(_spawn(th, order).alias("t")).select("t.*")
 
 
-def detect_spawn(metrics: DataFrame, th: Thresholds = DEFAULTS, order: tuple[str, ...] = ("ts",)) -> DataFrame:
-    d = O.counter_rate(metrics, order=order).where(F.col("rate") > th.spawn_rate)
-    return threats(d, "ProcessSpawnAnomaly", "spawn-rate", ["host", *order], F.lit("High"), F.lit(th.spawn_confidence), F.col("host"), F.format_string("%.1f new processes a second", F.col("rate")), "spawn", F.struct("rate", F.lit(th.spawn_rate)))
+def detect_host(metrics: DataFrame, th: Thresholds = DEFAULTS, order: tuple[str, ...] = ("ts",), block: int | None = None) -> DataFrame:
+    """Resource and spawn-rate detectors in one pass over host samples."""
+    load = S.norm_load(F.col("load1"), F.col("cpus"))
+    both = F.array(F.when(load > th.load, _resource(load, th)), F.when(F.col("rate") > th.spawn_rate, _spawn(th, order)))
+    return O.counter_rate(metrics, order=order, block=block).select(F.explode(F.array_compact(both)).alias("t")).select("t.*")
 
 
-def detect_connectivity(probes: DataFrame, th: Thresholds = DEFAULTS, order: tuple[str, ...] = ("ts",)) -> DataFrame:
-    d = O.failure_rate(probes, th, order=order).where((F.col("probes") >= th.failure_min_probes) & (F.col("failure_rate") > th.failure_rate))
+def detect_connectivity(probes: DataFrame, th: Thresholds = DEFAULTS, order: tuple[str, ...] = ("ts",), block: int | None = None) -> DataFrame:
+    d = O.failure_rate(probes, th, order=order, block=block).where((F.col("probes") >= th.failure_min_probes) & (F.col("failure_rate") > th.failure_rate))
     text = F.format_string("%.0f%% of %d calls failed", F.col("failure_rate") * 100, F.col("probes"))
     return threats(d, "ConnectivityAnomaly", "connectivity", ["channel", *order], F.when(F.col("failure_rate") > th.failure_critical, "Critical").otherwise("High"), F.lit(th.failure_confidence), F.col("channel"), text, "connectivity", F.struct("failure_rate", "failures", "probes"))
 

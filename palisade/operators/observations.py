@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -80,7 +82,9 @@ def rolling_score(obs: DataFrame, th: Thresholds = DEFAULTS, include_self: bool
 
     include_self scores a row against a window that holds it (z is then at most sqrt(n - 1)); without, the row is
     judged before it is learned. Nothing is scored until min_observations rows are known. `order` must be unique
-    within a key. key=[] is one global profile. With `block`, keys of any size are cut into parallel blocks.
+    within a key. key=[] is one global profile. Windowed observations have at most one row a window for each source,
+    so a source's rows are bounded by the time that the table spans; where a key may hold more, give `block`: keys of
+    any size are then cut into parallel blocks.
     """
     key = ["source"] if key is None else key
     d = with_dimensions(obs)
@@ -89,6 +93,11 @@ def rolling_score(obs: DataFrame, th: Thresholds = DEFAULTS, include_self: bool
         d = halo(d, key, list(order), th.window, lambda w: _stats(w.rowsBetween(*frame)), block or 100_000)
     else:
         d = d.withColumns(_stats(W.partitionBy(*key).orderBy(*order).rowsBetween(*frame)))
+    return with_z(d, th)
+
+
+def with_z(d: DataFrame, th: Thresholds = DEFAULTS) -> DataFrame:
+    """Rows with count (_n), mean and spread -> plus `established` and the z-score of each dimension."""
     known = F.col("_n") >= th.min_observations
     z = {f"{k}_z": F.when(known & F.col(k).isNotNull(), S.z_score(F.col(k).cast("double"), F.col(f"{k}_mean"), F.col(f"{k}_std"))) for k in DIMENSIONS}
     return d.withColumn("established", known).withColumns(z)
@@ -148,26 +157,30 @@ def latest(df: DataFrame, key: str, order: tuple[str, ...] = ("ts",)) -> DataFra
     return g.select("r.*")
 
 
-def counter_rate(df: DataFrame, key: str = "host", counter: str = "forks_total", order: tuple[str, ...] = ("ts",)) -> DataFrame:
+def over_last(df: DataFrame, key: str, order: tuple[str, ...], frame: tuple[int, int], columns: Callable[[W], dict[str, Column]], block: int | None) -> DataFrame:
+    """df plus columns over the last rows of each key: one task a key, or with `block` in parallel within a key."""
+    over = lambda w: columns(w.rowsBetween(*frame))
+    return halo(df, [key], list(order), -frame[0], over, block) if block else df.withColumns(over(W.partitionBy(key).orderBy(*order)))
+
+
+def counter_rate(df: DataFrame, key: str = "host", counter: str = "forks_total", order: tuple[str, ...] = ("ts",), block: int | None = None) -> DataFrame:
     """Increase per second since the previous sample; 0 for the first, after a reset, and if no time has passed."""
-    w = W.partitionBy(key).orderBy(*order)
-    delta = F.col(counter) - F.lag(counter).over(w)
-    dt = (F.unix_micros(F.col("ts").cast("timestamp")) - F.lag(F.unix_micros(F.col("ts").cast("timestamp"))).over(w)) / 1_000_000
-    return df.withColumns({"_d": delta, "_t": dt}).withColumn("rate", F.when((F.col("_d") >= 0) & (F.col("_t") > 0), F.col("_d") / F.nullif(F.col("_t"), F.lit(0.0))).otherwise(0.0)).drop("_d", "_t")
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    d = over_last(df, key, order, (-1, -1), lambda w: {"_d": F.col(counter) - F.first(counter).over(w), "_t": (at - F.first(at).over(w)) / 1_000_000}, block)
+    return d.withColumn("rate", F.when((F.col("_d") >= 0) & (F.col("_t") > 0), F.col("_d") / F.nullif(F.col("_t"), F.lit(0.0))).otherwise(0.0)).drop("_d", "_t")
 
 
-def failure_rate(probes: DataFrame, th: Thresholds = DEFAULTS, key: str = "channel", order: tuple[str, ...] = ("ts",)) -> DataFrame:
+def failure_rate(probes: DataFrame, th: Thresholds = DEFAULTS, key: str = "channel", order: tuple[str, ...] = ("ts",), block: int | None = None) -> DataFrame:
     """Failures, probes and failure rate over the last failure_window probes of a channel."""
-    w = W.partitionBy(key).orderBy(*order).rowsBetween(-(th.failure_window - 1), 0)
     bad = F.when(F.col("success"), 0).otherwise(1)
-    return probes.withColumns({"failures": F.sum(bad).over(w).cast("int"), "probes": F.count(F.lit(1)).over(w).cast("int")}).withColumn("failure_rate", F.col("failures") / F.col("probes"))
+    d = over_last(probes, key, order, (-(th.failure_window - 1), 0), lambda w: {"failures": F.sum(bad).over(w).cast("int"), "probes": F.count(F.lit(1)).over(w).cast("int")}, block)
+    return d.withColumn("failure_rate", F.col("failures") / F.col("probes"))
 
 
-def metric_baseline(df: DataFrame, domain: str, value: str, order: tuple[str, ...], th: Thresholds = DEFAULTS, include_self: bool = False) -> DataFrame:
+def metric_baseline(df: DataFrame, domain: str, value: str, order: tuple[str, ...], th: Thresholds = DEFAULTS, include_self: bool = False, block: int | None = None) -> DataFrame:
     """Any metric with one value, profiled by domain."""
     frame = (-(th.window - 1), 0) if include_self else (-th.window, -1)
-    w = W.partitionBy(domain).orderBy(*order).rowsBetween(*frame)
-    d = df.withColumns({"n": F.count(F.lit(1)).over(w), "mean": F.avg(value).over(w), "std_dev": F.stddev_pop(value).over(w)})
+    d = over_last(df, domain, order, frame, lambda w: {"n": F.count(F.lit(1)).over(w), "mean": F.avg(value).over(w), "std_dev": F.stddev_pop(value).over(w)}, block)
     z = F.when(F.col("n") >= th.min_observations, S.z_score(F.col(value).cast("double"), F.col("mean"), F.col("std_dev")))
     return d.withColumn("z", z).withColumn("anomalous", F.coalesce(S.exceeds(F.col("z"), th.sigma), F.lit(False)))
 

@@ -17,10 +17,11 @@ def decide(severity: Column, confidence: Column, th: Thresholds = DEFAULTS, enab
     return F.when((severity == "Critical") & (confidence > th.quarantine_critical_confidence), "Quarantine").when((severity == "High") & (confidence > th.quarantine_high_confidence), "QuarantineAndAlert").otherwise("MonitorAndAlert")
 
 
-def evaluate(threats: DataFrame, th: Thresholds = DEFAULTS, enabled: bool = True) -> DataFrame:
-    """One action for each threat; monitoring needs approval."""
+def evaluate(threats: DataFrame, th: Thresholds = DEFAULTS, enabled: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One action for each threat; monitoring needs approval. The threat columns named in `keep` come along, so that
+    actions need not be joined to their threats again."""
     action = decide(F.col("severity"), F.col("confidence"), th, enabled)
-    return threats.select(F.col("id").alias("threat_id"), action.alias("action_type"), F.col("source").alias("target"), (action == "MonitorAndAlert").alias("requires_approval"), F.concat_ws(" ", F.col("severity"), F.col("category")).alias("reason"), F.col("detected_at").alias("decided_at"))
+    return threats.select(F.col("id").alias("threat_id"), action.alias("action_type"), F.col("source").alias("target"), (action == "MonitorAndAlert").alias("requires_approval"), F.concat_ws(" ", F.col("severity"), F.col("category")).alias("reason"), F.col("detected_at").alias("decided_at"), *keep)
 
 
 def apply_actions(actions: DataFrame, quarantine: DataFrame, auto: bool = True) -> DataFrame:
@@ -76,8 +77,19 @@ def quarantined_at(df: DataFrame, intervals: DataFrame) -> DataFrame:
     return df.join(i, on, "left").withColumn("quarantined", F.col("_s").isNotNull()).drop("_s", "_a", "_b")
 
 
-def defense_status(q: DataFrame) -> DataFrame:
-    """One row: how many sources are held, and since when. Entries themselves are the table."""
+def defense_status(q: DataFrame, enabled: bool = True, auto_response: bool = True) -> DataFrame:
+    """One row for each held source (source, reason, threat_id, started_at), each with whether the engine is enabled and
+    responds by itself, and how many sources are held; one row without a source if there are none. A table of any size
+    stays distributed: the count is a table of one row."""
+    n = q.agg(F.count(F.lit(1)).alias("quarantined_count"))
+    state = n.select(F.lit(enabled).alias("enabled"), F.lit(auto_response).alias("auto_response"), "quarantined_count")
+    entries = q.select("source", "reason", "threat_id", "started_at").join(F.broadcast(state))
+    none = state.where("quarantined_count = 0").select(*[F.lit(None).cast(q.schema[c].dataType).alias(c) for c in ("source", "reason", "threat_id", "started_at")], *state.columns)
+    return entries.unionByName(none)
+
+
+def defense_summary(q: DataFrame) -> DataFrame:
+    """One row: how many sources are held, and since when."""
     return q.agg(F.count(F.lit(1)).alias("quarantined"), F.min("started_at").alias("oldest"), F.max("started_at").alias("newest"))
 
 

@@ -7,7 +7,7 @@ from typing import Protocol
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palisade.operators import detect, observations
+from palisade.operators import detect, observations, registry
 from palisade.thresholds import DEFAULTS, Thresholds
 
 
@@ -78,6 +78,19 @@ class TableRoster:
         return self.table.join(peers.select("peer_id").distinct(), "peer_id", "left_semi")
 
 
+class TableTopology:
+    """Nodes from a table of peers and one of services, edges from flows between known nodes."""
+
+    def __init__(self, peers: DataFrame, services: DataFrame):
+        self.peers, self.services = peers, services
+
+    def nodes(self) -> DataFrame:
+        return registry.all_nodes(self.peers, self.services)
+
+    def edges(self, nodes: DataFrame, flows: DataFrame) -> DataFrame:
+        return registry.map_connections(nodes, flows)
+
+
 class FileSink:
     """Writes each batch once below a folder: a repeated batch overwrites its own folder."""
 

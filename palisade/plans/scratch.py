@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir; a local one is used only where that is unset (tests)."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file:///tmp/spark-scratch"
+    """A new folder below spark.checkpoint.dir; a local one only if that is unset and the master is this machine alone."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base and spark.sparkContext.master.split("[")[0] != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+    base = base or "file:///tmp/spark-scratch"
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}/{name}"
 
 

@@ -13,6 +13,7 @@ from palisade.operators import observations as O
 from palisade.operators import policy as P
 from palisade.operators import registry as R
 from palisade.operators import respond as Q
+from palisade.plans.scratch import folder
 from palisade.sources import adapters as T
 from palisade.sources import io
 from palisade.streaming import queries as SQ
@@ -21,6 +22,8 @@ from palisade.thresholds import DEFAULTS
 #: The detectors' limits for the test tables, which lie far below real traffic.
 TH = replace(DEFAULTS, exfil_volume=100, exfil_ratio=1000.0, load=0.7, spawn_rate=0.0005)
 DAY = "1 day"
+#: Rows of a block where a key may hold any number of rows.
+BLOCK = 20_000
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 
@@ -55,7 +58,7 @@ log AS (SELECT event_id, user_id, event_type, '10.0.' || (user_id // 256) || '.'
   '/' || event_type || '/' || (k % 10) AS uri, CASE event_type WHEN 'purchase' THEN 'POST' WHEN 'signup' THEN 'PUT' ELSE 'GET' END AS method, CASE WHEN event_type = 'error' AND k < 50 THEN 404 WHEN event_type = 'error' THEN 500 ELSE 200 END AS status,
   CAST(round(value * 100) AS BIGINT) * 1000 AS size, value / 1000 AS duration, ts, CASE WHEN k % 5 = 1 THEN 8443 WHEN k % 5 = 2 THEN 22 WHEN k % 5 = 3 THEN 23 ELSE 443 END AS port FROM ev)"""
 _OBS = _LOG + """,
-obs AS (SELECT source, date_trunc('day', ts) AS ts, count(*) / 86400.0::DOUBLE AS connection_rate, CAST(sum(size) // 86400 AS BIGINT) AS traffic_volume, list_sort(list(DISTINCT port)) AS ports_accessed, count(*) / 86400.0::DOUBLE AS request_rate,
+obs AS MATERIALIZED (SELECT source, date_trunc('day', ts) AS ts, count(*) / 86400.0::DOUBLE AS connection_rate, CAST(sum(size) // 86400 AS BIGINT) AS traffic_volume, list_sort(list(DISTINCT port)) AS ports_accessed, count(*) / 86400.0::DOUBLE AS request_rate,
   count(*) FILTER (status BETWEEN 400 AND 499) / count(*)::DOUBLE AS error_rate_4xx, count(*) FILTER (status >= 500) / count(*)::DOUBLE AS error_rate_5xx, CAST(count(DISTINCT uri) AS INT) AS path_diversity, CAST(sum(size) // count(*) AS BIGINT) AS avg_payload_bytes,
   CAST(count(DISTINCT method) AS INT) AS method_diversity, round(avg(duration) * 1000, 6) AS avg_duration_ms, count(*) AS n_requests FROM log GROUP BY ALL)"""
 
@@ -122,9 +125,12 @@ def s9_union_sources(spark, d):
 _MET = _EV + """, met AS (SELECT event_id, CAST(user_id AS VARCHAR) AS host, ts, value / 100 AS load1, 4 AS cpus, CAST(sum(k) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS forks_total FROM ev)"""
 
 
-@query(f"WITH {_MET} SELECT * FROM met")
+@query(f"WITH {_MET} SELECT host, ts, round(load1, 9) AS load1, cpus, forks_total FROM met")
 def s10_host_metrics(spark, d):
-    return T.host_metrics(spark, d)
+    """Samples written as JSON lines and read by the reader of host metrics."""
+    path = folder(spark, "samples")
+    T.host_metrics(spark, d).select("host", F.col("ts").cast("timestamp").alias("ts"), "load1", "cpus", "forks_total").write.json(path)
+    return io.read_host_metrics(spark, path, "json").select("host", F.col("ts").cast("timestamp_ntz").alias("ts"), F.round("load1", 9).alias("load1"), "cpus", "forks_total")
 
 
 @query(f"WITH {_LOG} SELECT event_id, port, CASE WHEN status BETWEEN 400 AND 499 THEN '4xx' WHEN status >= 500 THEN '5xx' ELSE 'ok' END AS class FROM log")
@@ -197,10 +203,10 @@ def a3_moments(spark, d):
     return rounded(O.moments(T.table(spark, d, "events"), "value", "user_id"), "mean", "std_dev")
 
 
-_BASE = _OBS + """, recent AS (SELECT *, CAST(len(ports_accessed) AS DOUBLE) AS port_diversity FROM obs QUALIFY row_number() OVER (PARTITION BY source ORDER BY ts DESC) <= 100),
+_BASE = _OBS + """, recent AS MATERIALIZED (SELECT *, CAST(len(ports_accessed) AS DOUBLE) AS port_diversity FROM obs QUALIFY row_number() OVER (PARTITION BY source ORDER BY ts DESC) <= 100),
 cnt AS (SELECT source, count(*) AS observation_count FROM recent GROUP BY source),
-rl AS (""" + " UNION ALL ".join(f"SELECT source, ts, '{x}' AS dimension, CAST({x} AS DOUBLE) AS value FROM recent" for x in O.DIMENSIONS) + """),
-base AS (SELECT rl.source, dimension, observation_count, CASE WHEN observation_count >= 10 THEN avg(value) END AS mean, CASE WHEN observation_count >= 10 THEN CASE WHEN min(value) = max(value) THEN 0 ELSE stddev_pop(value) END END AS std_dev, count(*) AS n, quantile_cont(value, 0.95) AS p95 FROM rl JOIN cnt USING (source) GROUP BY rl.source, dimension, observation_count)"""
+rl AS MATERIALIZED (""" + " UNION ALL ".join(f"SELECT source, ts, '{x}' AS dimension, CAST({x} AS DOUBLE) AS value FROM recent" for x in O.DIMENSIONS) + """),
+base AS MATERIALIZED (SELECT rl.source, dimension, observation_count, CASE WHEN observation_count >= 10 THEN avg(value) END AS mean, CASE WHEN observation_count >= 10 THEN CASE WHEN min(value) = max(value) THEN 0 ELSE stddev_pop(value) END END AS std_dev, count(*) AS n, quantile_cont(value, 0.95) AS p95 FROM rl JOIN cnt USING (source) GROUP BY rl.source, dimension, observation_count)"""
 
 
 @query(f"WITH {_BASE} SELECT source, dimension, observation_count, round(mean, 6) AS mean, round(std_dev, 6) AS std_dev, n FROM base")
@@ -272,7 +278,7 @@ _RATE = _MET + """, pr AS (SELECT *, forks_total - lag(forks_total) OVER w AS dv
 
 @query(f"WITH {_RATE} SELECT event_id, host, round(rate, 9) AS rate FROM rate")
 def w4_counter_rate(spark, d):
-    return O.counter_rate(T.host_metrics(spark, d), order=("ts", "event_id")).select("event_id", "host", F.round("rate", 9).alias("rate"))
+    return O.counter_rate(T.host_metrics(spark, d), order=("ts", "event_id"), block=BLOCK).select("event_id", "host", F.round("rate", 9).alias("rate"))
 
 
 _FAIL = "fail AS (SELECT event_id, CAST(user_id AS VARCHAR) AS channel, ts, CAST(sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER w AS INT) AS failures, CAST(count(*) OVER w AS INT) AS probes FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 19 PRECEDING AND CURRENT ROW))"
@@ -280,7 +286,7 @@ _FAIL = "fail AS (SELECT event_id, CAST(user_id AS VARCHAR) AS channel, ts, CAST
 
 @query(f"WITH {_FAIL} SELECT event_id, channel, failures, probes, round(failures / probes, 9) AS failure_rate FROM fail")
 def w5_failure_rate(spark, d):
-    return O.failure_rate(T.probes(spark, d), TH, order=("ts", "event_id")).select("event_id", "channel", "failures", "probes", F.round("failure_rate", 9).alias("failure_rate"))
+    return O.failure_rate(T.probes(spark, d), TH, order=("ts", "event_id"), block=BLOCK).select("event_id", "channel", "failures", "probes", F.round("failure_rate", 9).alias("failure_rate"))
 
 
 def _numbered(spark, d):
@@ -341,8 +347,8 @@ def j3_quarantined_at(spark, d):
 
 
 _LIN = """peers AS (SELECT DISTINCT CAST(CASE WHEN o_custkey % 50 = 0 THEN o_custkey + 100000000 ELSE o_custkey END AS VARCHAR) AS peer_id FROM orders),
-roster AS (SELECT CAST(c_custkey AS VARCHAR) AS peer_id, CASE WHEN c_acctbal >= 0 THEN c_mktsegment IN ('BUILDING', 'AUTOMOBILE') END AS is_family FROM customer),
-lin AS (SELECT p.peer_id, CASE WHEN is_family IS NULL THEN 'Medium' ELSE 'Critical' END AS severity, CASE WHEN is_family IS NULL THEN 0.5 ELSE 0.95 END AS confidence FROM peers p LEFT JOIN roster USING (peer_id) WHERE is_family IS NULL OR NOT is_family)"""
+roster AS (SELECT CAST(c_custkey AS VARCHAR) AS peer_id, CASE WHEN c_acctbal >= 0 THEN c_mktsegment IN ('BUILDING', 'AUTOMOBILE') END AS is_family, c_mktsegment AS lineage FROM customer),
+lin AS (SELECT p.peer_id, CASE WHEN is_family IS NULL THEN 'Medium' ELSE 'Critical' END AS severity, CASE WHEN is_family IS NULL THEN 0.5 ELSE 0.95 END AS confidence, lineage FROM peers p LEFT JOIN roster USING (peer_id) WHERE is_family IS NULL OR NOT is_family)"""
 
 
 @query(f"WITH {_LIN} SELECT peer_id, severity, CAST(confidence AS DOUBLE) AS confidence FROM lin")
@@ -398,37 +404,71 @@ def _found(spark, d):
     expected, seen = T.config_snapshots(spark, d)
     peers = T.peers(spark, d).withColumn("ts", F.lit("2024-01-31").cast("timestamp_ntz"))
     return {
-        "genetic": D.detect_genetic(peers, T.lineage_roster(spark, d), TH), "behavioral": D.detect_behavioral(s, TH), "http": D.detect_http(s, TH), "scan": D.detect_port_scan(o, TH), "exfil": D.detect_exfiltration(o, TH), "resource": D.detect_resource(m, TH),
+        "genetic": D.detect_genetic(peers, T.lineage_roster(spark, d), TH), "behavioral": D.detect_behavioral(s, TH), "http": D.detect_http(s, TH), "scan": D.detect_port_scan(o, TH), "exfil": D.detect_exfiltration(o, TH), "observed": D.detect_observations(s, TH), "resource": D.detect_resource(m, TH), "host": D.detect_host(m, TH, ("ts", "event_id")),
         "spawn": D.detect_spawn(m, TH, ("ts", "event_id")), "connectivity": D.detect_connectivity(T.probes(spark, d), TH, ("ts", "event_id")), "topology": D.detect_topology(T.connection_paths(spark, d), TH), "drift": D.detect_drift(expected.withColumn("ts", F.lit(None).cast("timestamp_ntz")), seen, TH)}
 
 
-def _all(spark, d):
-    return D.detect_all(list(_found(spark, d).values()))
+#: The detectors of a full run: those of observations in one pass over them, those of host samples in another, then the others.
+FULL = ("genetic", "observed", "host", "connectivity", "topology", "drift")
+
+
+def _all(spark, d, enabled=True):
+    found = _found(spark, d)
+    return D.detect_all([found[k] for k in FULL], enabled)
 
 
 _PATH = """pth AS (SELECT user_id || '-' || strftime(date_trunc('day', ts), '%Y%m%d') AS conn_id, date_trunc('day', ts) AS ts, list(CASE event_type WHEN 'view' THEN 0 WHEN 'click' THEN 1 WHEN 'signup' THEN 2 ELSE 3 END ORDER BY ts, event_id) AS path FROM events WHERE event_type IN ('view', 'click', 'signup', 'purchase') GROUP BY user_id, date_trunc('day', ts)),
 topo AS (SELECT *, list_filter([0, 1, 2, 3], lambda x: NOT list_contains(path, x)) AS missed FROM pth WHERE path <> [0, 1, 2, 3])"""
-_DET = _AN + ", " + _RATE.removeprefix(_EV + ", ") + f", {_FAIL}, {_LIN}, {_DRIFT}, {_PATH}" + """,
-th AS (SELECT 'GeneticViolation' AS category, severity, peer_id AS source, CAST(confidence AS DOUBLE) AS confidence, TIMESTAMP '2024-01-31' AS detected_at FROM lin
-UNION ALL SELECT 'BehavioralAnomaly', severity, source, confidence, ts FROM an UNION ALL SELECT 'HttpBehavioralAnomaly', severity, source, confidence, ts FROM an WHERE dimension IN ('request_rate', 'path_diversity', 'error_rate_4xx')
-UNION ALL SELECT 'IntrusionAttempt', 'High', source, 0.75, ts FROM obs WHERE list_contains(ports_accessed, 22) AND list_contains(ports_accessed, 23)
-UNION ALL SELECT 'IntrusionAttempt', 'Medium', source, 0.6, ts FROM obs WHERE traffic_volume > 100 AND round(traffic_volume / connection_rate, 9) > 1000
-UNION ALL SELECT 'DenialOfService', 'High', host, 0.8, ts FROM met WHERE least(load1 / cpus, 1.0) > 0.7 UNION ALL SELECT 'ProcessSpawnAnomaly', 'High', host, 0.85, ts FROM rate WHERE rate > 0.0005
-UNION ALL SELECT 'ConnectivityAnomaly', CASE WHEN failures / probes > 0.8 THEN 'Critical' ELSE 'High' END, channel, 0.8, ts FROM fail WHERE probes >= 3 AND failures / probes > 0.5
-UNION ALL SELECT 'TopologyViolation', CASE WHEN len(missed) > 0 THEN 'High' ELSE 'Medium' END, conn_id, 0.9, ts FROM topo
-UNION ALL SELECT 'ConfigurationDrift', CASE WHEN field IN ('features_json', 'lineage_id') THEN 'High' ELSE 'Medium' END, CAST(drift.o_orderkey AS VARCHAR), 0.85, o_orderdate FROM drift JOIN orders ON drift.o_orderkey = orders.o_orderkey)"""
-
-
-def _detector(key: str, category: str, extra: str = "TRUE"):
+
+
+def _id(prefix: str, *keys: str) -> str:
+    text = " || '|' || ".join(f"CAST({k} AS VARCHAR)" for k in keys)
+    return f"'{prefix}-' || substr(sha256({text}), 1, 16) AS id"
+
+
+def _th(category: str, severity: str, source: str, confidence: str, at: str, ident: str, frame: str, s1: str = "NULL", x1: str = "NULL", x2: str = "NULL", x3: str = "NULL") -> str:
+    """Threats of one detector in SQL; s1, x1, x2 and x3 are what its detail says, as text and numbers."""
+    return f"SELECT '{category}' AS category, {severity} AS severity, {source} AS source, CAST({confidence} AS DOUBLE) AS confidence, {at} AS detected_at, {ident}, CAST({s1} AS VARCHAR) AS s1, CAST({x1} AS DOUBLE) AS x1, CAST({x2} AS DOUBLE) AS x2, CAST({x3} AS DOUBLE) AS x3 FROM {frame}"
+
+
+_BEHAVIOR = ("dimension", "observed", "mean", "std_dev")
+_TH = [
+    _th("GeneticViolation", "severity", "peer_id", "confidence", "TIMESTAMP '2024-01-31'", _id("genetic", "peer_id", "TIMESTAMP '2024-01-31'"), "lin", "lineage"),
+    _th("BehavioralAnomaly", "severity", "source", "confidence", "ts", _id("behavioral", "source", "ts", "dimension"), "an", *_BEHAVIOR),
+    _th("HttpBehavioralAnomaly", "severity", "source", "confidence", "ts", _id("http", "source", "ts", "dimension"), "an WHERE dimension IN ('request_rate', 'path_diversity', 'error_rate_4xx')", *_BEHAVIOR),
+    _th("IntrusionAttempt", "'High'", "source", "0.75", "ts", _id("port-scan", "source", "ts"), "obs WHERE list_contains(ports_accessed, 22) AND list_contains(ports_accessed, 23)", "array_to_string(list_filter(ports_accessed, lambda x: x IN (22, 23)), ',')"),
+    _th("IntrusionAttempt", "'Medium'", "source", "0.6", "ts", _id("exfil", "source", "ts"), "obs WHERE traffic_volume > 100 AND round(traffic_volume / connection_rate, 9) > 1000", "NULL", "traffic_volume / connection_rate"),
+    _th("DenialOfService", "'High'", "host", "0.8", "ts", _id("dos", "host", "ts"), "met WHERE least(load1 / cpus, 1.0) > 0.7", "NULL", "least(load1 / cpus, 1.0)", "0.7"),
+    _th("ProcessSpawnAnomaly", "'High'", "host", "0.85", "ts", _id("spawn-rate", "host", "ts", "event_id"), "rate WHERE rate > 0.0005", "NULL", "rate", "0.0005"),
+    _th("ConnectivityAnomaly", "CASE WHEN failures / probes > 0.8 THEN 'Critical' ELSE 'High' END", "channel", "0.8", "ts", _id("connectivity", "channel", "ts", "event_id"), "fail WHERE probes >= 3 AND failures / probes > 0.5", "NULL", "failures / probes", "failures", "probes"),
+    _th("TopologyViolation", "CASE WHEN len(missed) > 0 THEN 'High' ELSE 'Medium' END", "conn_id", "0.9", "ts", _id("topology", "conn_id", "ts"), "topo", "array_to_string(path, ',') || ';' || array_to_string(missed, ',')"),
+    _th("ConfigurationDrift", "CASE WHEN field IN ('features_json', 'lineage_id') THEN 'High' ELSE 'Medium' END", "CAST(drift.o_orderkey AS VARCHAR)", "0.85", "o_orderdate", _id("drift", "drift.o_orderkey", "o_orderdate", "field"), "drift JOIN orders ON drift.o_orderkey = orders.o_orderkey", "concat_ws('|', field, expected, observed)"),
+]
+_DET = _AN + ", " + _RATE.removeprefix(_EV + ", ") + f", {_FAIL}, {_LIN}, {_DRIFT}, {_PATH}, th AS ({' UNION ALL '.join(_TH)})"
+
+
+def _details(t):
+    """The detail of a threat as text and numbers."""
+    x = lambda c: F.col(f"detail.{c}")
+    ints = lambda c: F.array_join(x(c).cast("array<string>"), ",")
+    number = lambda *cs: F.round(F.coalesce(*[x(c).cast("double") for c in cs]), 6)
+    return t.select(
+        "id", "category", "severity", "source", F.round("confidence", 6).alias("confidence"), "detected_at",
+        F.coalesce(x("genetic.lineage"), x("deviation.dimension"), ints("intrusion.ports"), F.when(x("topology").isNotNull(), F.concat(ints("topology.actual"), F.lit(";"), ints("topology.bypassed"))), F.when(x("drift").isNotNull(), F.concat_ws("|", x("drift.field"), x("drift.expected"), x("drift.observed")))).alias("s1"),
+        number("deviation.observed", "intrusion.ratio", "load.current", "spawn.rate", "connectivity.failure_rate").alias("x1"), number("deviation.mean", "load.limit", "spawn.limit", "connectivity.failures").alias("x2"), number("deviation.std_dev", "connectivity.probes").alias("x3"))
+
+
+def _detector(key: str, where: str):
     def run(spark, d):
-        return _found(spark, d)[key].select("category", "severity", "source", F.round("confidence", 6).alias("confidence"), "detected_at")
+        return _details(_found(spark, d)[key])
     run.__doc__ = f"The {key} detector over the given tables."
     QUERIES[f"d_{key}"] = run
-    ORACLE_SQL[f"d_{key}"] = f"WITH {_DET} SELECT category, severity, source, round(confidence, 6) AS confidence, detected_at FROM th WHERE category = '{category}' AND {extra}"
+    ORACLE_SQL[f"d_{key}"] = f"WITH {_DET} SELECT * REPLACE (round(confidence, 6) AS confidence, round(x1, 6) AS x1, round(x2, 6) AS x2, round(x3, 6) AS x3) FROM th WHERE {where}"
 
 
-for _k, _c, *_x in (("genetic", "GeneticViolation"), ("behavioral", "BehavioralAnomaly"), ("http", "HttpBehavioralAnomaly"), ("scan", "IntrusionAttempt", "severity = 'High'"), ("exfil", "IntrusionAttempt", "severity = 'Medium'"), ("resource", "DenialOfService"), ("spawn", "ProcessSpawnAnomaly"), ("connectivity", "ConnectivityAnomaly"), ("topology", "TopologyViolation"), ("drift", "ConfigurationDrift")):
-    _detector(_k, _c, *_x)
+for _k, _c in (("genetic", "GeneticViolation"), ("behavioral", "BehavioralAnomaly"), ("http", "HttpBehavioralAnomaly"), ("scan", "IntrusionAttempt' AND severity = 'High"), ("exfil", "IntrusionAttempt' AND severity = 'Medium"), ("resource", "DenialOfService"), ("spawn", "ProcessSpawnAnomaly"), ("connectivity", "ConnectivityAnomaly"), ("topology", "TopologyViolation"), ("drift", "ConfigurationDrift")):
+    _detector(_k, f"category = '{_c}'")
+_detector("observed", "category IN ('BehavioralAnomaly', 'HttpBehavioralAnomaly', 'IntrusionAttempt')")
 
 
 @query(f"WITH {_DET} SELECT category, severity, count(*) AS n FROM th GROUP BY ALL")
@@ -438,12 +478,12 @@ def u1_detect_all(spark, d):
 
 @query(f"WITH {_DET} SELECT category, severity, count(*) AS n FROM th WHERE FALSE GROUP BY ALL")
 def p13_detection_off(spark, d):
-    return A.threat_breakdown(D.detect_all(list(_found(spark, d).values()), enabled=False))
+    return A.threat_breakdown(_all(spark, d, enabled=False))
 
 
-@query(f"WITH {_DET} SELECT category AS type, severity, source, round(confidence, 6) AS confidence FROM th WHERE category = 'BehavioralAnomaly'")
+@query(f"WITH {_DET} SELECT id, category AS type, severity, source, round(confidence, 6) AS confidence FROM th WHERE category = 'BehavioralAnomaly'")
 def p14_threat_summary(spark, d):
-    return D.threat_summary(_found(spark, d)["behavioral"]).select("type", "severity", "source", F.round("confidence", 6).alias("confidence"))
+    return D.threat_summary(_found(spark, d)["behavioral"]).select("id", "type", "severity", "source", F.round("confidence", 6).alias("confidence"))
 
 
 @query(f"WITH {_PATH} SELECT conn_id, path, missed FROM topo", "path", "missed")
@@ -462,16 +502,13 @@ _DEC = "CASE WHEN severity = 'Critical' AND confidence > 0.9 THEN 'Quarantine' W
 
 @query(f"WITH {_DET}, act AS (SELECT *, {_DEC} AS action_type FROM th) SELECT category, severity, action_type, action_type = 'MonitorAndAlert' AS requires_approval, count(*) AS n FROM act GROUP BY ALL")
 def r1_evaluate(spark, d):
-    t = _all(spark, d)
-    act = Q.evaluate(t, TH)
-    return act.join(t.select(F.col("id").alias("threat_id"), "category", "severity").distinct(), "threat_id").groupBy("category", "severity", "action_type", "requires_approval").agg(F.count(F.lit(1)).alias("n"))
+    return Q.evaluate(_all(spark, d), TH, keep=("category", "severity")).groupBy("category", "severity", "action_type", "requires_approval").agg(F.count(F.lit(1)).alias("n"))
 
 
 def flagship(spark, d):
     """Access log to daily observations, rolling scores, behavioral threats and actions."""
-    t = D.detect_behavioral(scored(spark, d), TH)
-    a = Q.evaluate(t, TH).select(F.col("threat_id").alias("id"), "action_type")
-    return t.join(a, "id").select("source", "detected_at", F.col("detail.deviation.dimension").alias("dimension"), "severity", F.round("confidence", 6).alias("confidence"), "action_type")
+    a = Q.evaluate(D.detect_behavioral(scored(spark, d), TH), TH, keep=("source", "severity", "confidence", "detail"))
+    return a.select("source", F.col("decided_at").alias("detected_at"), F.col("detail.deviation.dimension").alias("dimension"), "severity", F.round("confidence", 6).alias("confidence"), "action_type")
 
 
 query(f"WITH {_AN} SELECT source, ts AS detected_at, dimension, severity, round(confidence, 6) AS confidence, {_DEC} AS action_type FROM an")(flagship)
@@ -519,21 +556,31 @@ def a6_http_metrics(spark, d):
     return A.http_metrics(_verdicts(spark, d))
 
 
-@query(f"WITH {_HELD} SELECT count(*) AS quarantined, min(started_at) AS oldest, max(started_at) AS newest FROM held")
+@query(f"WITH {_HELD} SELECT source, reason, threat_id, started_at, TRUE AS enabled, TRUE AS auto_response, (SELECT count(*) FROM held) AS quarantined_count FROM held")
 def a9_defense_status(spark, d):
     return Q.defense_status(held(spark, d))
 
 
+@query(f"WITH {_HELD} SELECT count(*) AS quarantined, min(started_at) AS oldest, max(started_at) AS newest FROM held")
+def a9_defense_summary(spark, d):
+    return Q.defense_summary(held(spark, d))
+
+
 @query(f"WITH {_DET}, {_AUD.removeprefix(_EV + ', ')}, {_HELD.removeprefix(_LOG + ', ')} SELECT n_threats, low, medium, high, critical, m.*, held FROM (SELECT count(*) AS n_threats, count(*) FILTER (severity = 'Low') AS low, count(*) FILTER (severity = 'Medium') AS medium, count(*) FILTER (severity = 'High') AS high, count(*) FILTER (severity = 'Critical') AS critical FROM th), ({_METRICS}) m, (SELECT count(*) AS held FROM held)")
 def a11_threat_report(spark, d):
     return A.threat_report(_all(spark, d), A.security_metrics(T.audit_events(spark, d)), held(spark, d))
 
 
-@query(f"WITH {_DET}, b AS (SELECT severity, {_DEC} AS action FROM th WHERE category = 'BehavioralAnomaly'), {_CALLS.removeprefix(_EV + ', ')} SELECT 'ThreatDetected' AS kind, 'Warn' AS severity, count(*) AS n FROM b HAVING count(*) > 0 UNION ALL SELECT 'DefenseAction', 'Info', count(*) FROM b HAVING count(*) > 0 UNION ALL SELECT 'GateRejection', 'Warn', count(*) FROM gate WHERE access = 'protected' AND k % 4 <> 0 AND origin = 'Remote' HAVING count(*) > 0 UNION ALL SELECT 'BaselineObservation', 'Info', count(*) FROM obs")
+def _transitions(spark, d):
+    """Orders as services that go from open to their status."""
+    return T.table(spark, d, "orders").select(F.col("o_orderdate").cast("timestamp_ntz").alias("ts"), F.col("o_orderkey").cast("string").alias("service"), F.lit("O").alias("from_state"), F.col("o_orderstatus").alias("to_state"))
+
+
+@query(f"WITH {_DET}, b AS (SELECT severity, {_DEC} AS action FROM th WHERE category = 'BehavioralAnomaly'), {_CALLS.removeprefix(_EV + ', ')} SELECT 'ThreatDetected' AS kind, 'Warn' AS severity, count(*) AS n FROM b HAVING count(*) > 0 UNION ALL SELECT 'DefenseAction', 'Info', count(*) FROM b HAVING count(*) > 0 UNION ALL SELECT 'GateRejection', 'Warn', count(*) FROM gate WHERE access = 'protected' AND k % 4 <> 0 AND origin = 'Remote' HAVING count(*) > 0 UNION ALL SELECT 'GatePermissiveAllow', 'Warn', count(*) FROM gate WHERE access = 'protected' AND k % 4 <> 0 AND origin = 'Remote' HAVING count(*) > 0 UNION ALL SELECT 'BaselineObservation', 'Info', count(*) FROM obs UNION ALL SELECT 'LifecycleTransition', 'Info', count(*) FROM orders")
 def r6_audit_events(spark, d):
     o = observed(spark, d)
     t = D.detect_behavioral(O.rolling_score(o, TH), TH)
-    parts = [A.threat_events(t), A.action_events(Q.evaluate(t, TH)), A.gate_events(A.gate_audit(T.rpc_calls(spark, d))), A.observation_events(o)]
+    parts = [A.threat_events(t), A.action_events(Q.evaluate(t, TH)), A.gate_events(A.gate_audit(T.rpc_calls(spark, d))), A.gate_events(A.gate_audit(T.rpc_calls(spark, d), False)), A.observation_events(o), A.lifecycle_events(_transitions(spark, d))]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -582,12 +629,12 @@ def s8_threat_intel(spark, d):
     return A.threat_intel(T.audit_events(spark, d), "node-1").select("source_node", "threat_source", "severity", "description", "detected_at")
 
 
-@query(f"WITH {_AUD} SELECT 't-' || user_id AS id, count(*) AS n_events, min(ts) AS first_event FROM events GROUP BY user_id")
+@query(f"WITH {_AUD} SELECT correlation_id AS id, count(*) AS n_events, min(ts) AS first_event, max(CASE WHEN kind = 'DefenseAction' THEN detail END) AS action_type FROM aud GROUP BY correlation_id")
 def j9_correlate(spark, d):
     a = T.audit_events(spark, d)
     t = a.select(F.col("correlation_id").alias("id"), F.lit("High").alias("severity"), "source").distinct()
     act = a.where("kind = 'DefenseAction'").groupBy(F.col("correlation_id").alias("threat_id")).agg(F.max("detail").alias("action_type"))
-    return A.correlate(t, act, a).select("id", "n_events", "first_event")
+    return A.correlate(t, act, a).select("id", "n_events", "first_event", "action_type")
 
 
 @query(f"WITH {_AUD}, m AS ({_METRICS}) SELECT 'palisade_' || x.metric || '_total ' || x.v AS value FROM m, LATERAL (SELECT unnest(['detected', 'mitigated', 'quarantined', 'alerts', 'scans']) AS metric, unnest([detected, mitigated, quarantined, alerts, scans]) AS v) x")
@@ -654,7 +701,7 @@ SELECT event_id, user_id, round(abs(value - mean) / sd, 6) AS z FROM w WHERE n >
 
 @query(_GEN)
 def z1_metric_baseline(spark, d):
-    m = O.metric_baseline(T.table(spark, d, "events"), "user_id", "value", ("ts", "event_id"), TH)
+    m = O.metric_baseline(T.table(spark, d, "events"), "user_id", "value", ("ts", "event_id"), TH, block=BLOCK)
     return m.where("anomalous and std_dev > 0").select("event_id", "user_id", F.round("z", 6).alias("z"))
 
 
@@ -775,6 +822,9 @@ ORACLE_SQL |= {
     "s6_quarantine_snapshot": f"WITH {_HELD} SELECT * FROM held",
     "s7_forward_audit": f"WITH {_AUD} SELECT sink, seq, severity FROM seqd, (VALUES ('provenance'), ('attestation')) v(sink) WHERE severity <> 'Info'",
     "t1_t2_stream_windows": f"WITH {_OBS} SELECT source, ts, traffic_volume, path_diversity, method_diversity, round(error_rate_4xx, 6) AS error_rate_4xx FROM obs WHERE ts + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR",
+    "t2_late_rows": f"WITH {_OBS} SELECT CAST(0 AS BIGINT) AS before, count(*) AS late FROM obs WHERE ts < TIMESTAMP '2024-01-10'",
+    "t3_stream_flush": f"WITH {_OBS} SELECT * EXCLUDE (avg_duration_ms, n_requests) REPLACE (array_to_string(CAST(ports_accessed AS VARCHAR[]), ',') AS ports_accessed) FROM obs",
+    "t4_stream_observations": f"WITH {_OBS}{_dims('100 PRECEDING AND 1 PRECEDING')} SELECT source, ts, dimension, {_R6}, severity, is_infinite FROM an",
     "t4_stream_profile": "SELECT event_id, CAST(count(*) OVER w AS INT) AS n, round(avg(value) OVER w, 8) AS mean, round(CASE WHEN min(value) OVER w = max(value) OVER w THEN 0.0 ELSE stddev_pop(value) OVER w END, 8) AS std_dev FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 99 PRECEDING AND CURRENT ROW)",
     "t5_stream_connectivity": f"WITH {_FAIL} SELECT event_id, channel, probes, round(failures / probes, 6) AS failure_rate, CASE WHEN failures / probes > 0.8 THEN 'Critical' ELSE 'High' END AS severity FROM fail WHERE probes >= 3 AND failures / probes > 0.5",
     "t6_stream_counter_rate": f"WITH {_RATE} SELECT event_id, host, round(rate, 6) AS rate FROM rate",

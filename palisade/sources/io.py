@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import logging
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -92,27 +94,33 @@ def read_host_metrics(spark: SparkSession, path: str, fmt: str = "parquet", stre
 # --- quarantine snapshots: a new version folder each time, and a pointer table of versions --------
 
 def save_quarantine(q: DataFrame, path: str) -> str:
-    """Write a new version; the one being read is never overwritten. The pointer is written last."""
+    """Write a new version; the one being read is never overwritten. The pointer is written last and names the time of
+    writing, so of two writers the later one counts."""
     spark, version = q.sparkSession, uuid.uuid4().hex
     q.select("source", "started_at", "reason", "threat_id").write.parquet(f"{path}/versions/{version}")
-    nth = _versions(spark, path).count() + 1
-    spark.createDataFrame([(nth, version)], "nth int, version string").coalesce(1).write.mode("append").json(f"{path}/pointer")
+    spark.createDataFrame([(time.time_ns(), version)], VERSIONS).coalesce(1).write.mode("append").json(f"{path}/pointer")
     return version
 
 
-def _versions(spark: SparkSession, path: str) -> DataFrame:
-    from pyspark.errors import AnalysisException
-
-    try:
-        return spark.read.schema("nth int, version string").json(f"{path}/pointer")
-    except AnalysisException:  # nothing saved yet
-        return spark.createDataFrame([], "nth int, version string")
+VERSIONS = "at long, version string"
 
 
 def load_quarantine(spark: SparkSession, path: str) -> DataFrame:
-    """The newest version, or an empty table if there is none."""
-    last = _versions(spark, path).orderBy("nth", ascending=False).first()
-    return spark.createDataFrame([], schemas.QUARANTINE) if last is None else spark.read.schema(schemas.QUARANTINE).parquet(f"{path}/versions/{last['version']}")
+    """The newest version, or an empty table if there is none or it cannot be read (a warning is logged then)."""
+    from py4j.protocol import Py4JJavaError
+    from pyspark.errors import PySparkException
+
+    empty = spark.createDataFrame([], schemas.QUARANTINE)
+    try:
+        last = spark.read.schema(VERSIONS).json(f"{path}/pointer").orderBy(F.desc("at"), "version").first()
+        if last is None:
+            return empty
+        q = spark.read.schema(schemas.QUARANTINE).parquet(f"{path}/versions/{last['version']}")
+        q.agg(*[F.count(c) for c in q.columns]).first()  # every column can be read
+        return q
+    except (PySparkException, Py4JJavaError) as e:
+        logging.getLogger(__name__).warning("quarantine at %s cannot be read, starting empty: %s", path, str(e).split("\n")[0])
+        return empty
 
 
 def export(df: DataFrame, fmt: str, path: str) -> None:

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.types import StructType
 
 from palisade.functions import scalars as S
 from palisade.operators import audit as A
+from palisade.operators import observations as O
 from palisade.operators.observations import seconds_of
 from palisade.sources import io
 from palisade.thresholds import DEFAULTS, Thresholds
@@ -20,7 +24,8 @@ def stream_observations(log: DataFrame, window: str = "60 seconds", delay: str =
     """Tumbling windows of each source; rows later than `delay` behind the watermark are dropped.
 
     Streams allow no exact distinct count, so paths are counted as the size of a set, or approximately.
-    A watermark never closes the last window: with an availableNow trigger the tail comes with the next run.
+    A watermark never closes the last windows: with an availableNow trigger they come with the next run, or, at the end
+    of a stream, when end_of_stream() has been written. late_rows() counts what came too late.
     """
     sec = float(seconds_of(window))
     n, total, status = F.count(F.lit(1)), F.sum("size"), S.status_class(F.col("status"))
@@ -33,30 +38,63 @@ def stream_observations(log: DataFrame, window: str = "60 seconds", delay: str =
     return out.withColumn("ts", F.col("w.start")).drop("w")
 
 
+#: Date of the row that ends a stream.
+END = "2200-01-01"
+
+
+def end_of_stream(spark: SparkSession, schema: StructType, path: str, ts: str = "ts") -> None:
+    """Add the last row of a stream of Parquet files to its folder. It is dated after everything else, so the next run
+    closes all open windows; its own window never closes, and rows that come after it are late."""
+    row = [F.lit(END).cast(f.dataType).alias(f.name) if f.name == ts else F.lit(None).cast(f.dataType).alias(f.name) for f in schema]
+    spark.range(1).select(*row).write.mode("append").parquet(path)
+
+
+def late_rows(query: StreamingQuery) -> int:
+    """How many rows the watermark has turned away, over the progress that the query still holds. A windowed stream
+    counts what is left of them after grouping: one for each source and window of a batch."""
+    return sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"])
+
+
+def over_ring(ring: np.ndarray, rows: np.ndarray, size: int, include_self: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(n, mean, spread) of the last `size` rows before each of `rows` (with itself, if include_self), column by column.
+
+    `ring` holds the rows before the first; NaN is no value. All windows of a block are views of one array.
+    """
+    n = np.minimum(np.arange(len(rows)) + len(ring) + include_self, size)
+    mean, std = np.empty(rows.shape), np.empty(rows.shape)
+    ext = np.concatenate([np.full((size, rows.shape[1]), np.nan), ring, rows])
+    for at in range(0, len(rows), 2048):
+        to = min(at + 2048, len(rows))
+        first = len(ring) + include_self + at
+        view = np.lib.stride_tricks.sliding_window_view(ext[first: first + to - at + size - 1], size, axis=0)
+        with warnings.catch_warnings(), np.errstate(invalid="ignore"):
+            warnings.simplefilter("ignore", RuntimeWarning)  # windows without any value
+            mean[at:to], std[at:to] = np.nanmean(view, axis=2), np.nanstd(view, axis=2)
+            std[at:to][np.nanmin(view, axis=2) == np.nanmax(view, axis=2)] = 0.0
+    return n, mean, std
+
+
 class Ring(StatefulProcessor):
-    """Mean, spread and count of the last `size` values of a key, with each value judged with or before its learning."""
+    """Mean, spread and count of the last `size` rows of a key for each of `dims`, judged with or before their learning."""
 
-    def __init__(self, size: int, include_self: bool):
-        self.size, self.include_self = size, include_self
+    def __init__(self, size: int, include_self: bool, dims: tuple[str, ...]):
+        self.size, self.include_self, self.dims = size, include_self, dims
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.values = handle.getListState("values", "value double")
+        self.ring = handle.getValueState("ring", "v array<double>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        kept = [v[0] for v in self.values.get()] if self.values.exists() else []
+        kept = np.array(self.ring.get()[0], float).reshape(-1, len(self.dims)) if self.ring.exists() else np.zeros((0, len(self.dims)))
         for pdf in sorted_frames(rows):
-            n, mean, std = [], [], []
-            for x in pdf["value"]:
-                if self.include_self:
-                    kept = (kept + [x])[-self.size:]
-                s = pd.Series(kept, dtype="float64")
-                n.append(len(kept))
-                mean.append(s.mean() if kept else None)
-                std.append(s.std(ddof=0) if kept else None)
-                if not self.include_self:
-                    kept = (kept + [x])[-self.size:]
-            yield pd.DataFrame({"key": str(key[0]), "id": pdf["id"].to_numpy(), "ts": pdf["ts"].to_numpy(), "value": pdf["value"].to_numpy(), "n": n, "mean": mean, "std_dev": std})
-        self.values.put([(float(v),) for v in kept]) if kept else None
+            new = pdf[list(self.dims)].to_numpy(float)
+            n, mean, std = over_ring(kept, new, self.size, self.include_self)
+            kept = np.concatenate([kept, new])[-self.size:]
+            out = {"key": str(key[0]), "id": pdf["id"].to_numpy(), "ts": pdf["ts"].to_numpy(), "n": n.astype(np.int32)}
+            for k, d in enumerate(self.dims):
+                out |= {d: new[:, k], f"{d}_mean": mean[:, k], f"{d}_std": std[:, k]}
+            yield pd.DataFrame(out)
+        if len(kept):
+            self.ring.update((kept.ravel().tolist(),))
 
     def close(self) -> None:
         pass
@@ -68,13 +106,18 @@ def sorted_frames(rows: Iterator[pd.DataFrame]) -> list[pd.DataFrame]:
     return [pd.concat(frames).sort_values(["ts", "id"])] if frames else []
 
 
-PROFILE = "key string, id long, ts timestamp, value double, n int, mean double, std_dev double"
+def stream_profiles(values: DataFrame, dims: tuple[str, ...], size: int, include_self: bool = True) -> DataFrame:
+    """values (key, id, ts, dims) -> key, id, ts, n, and value, mean and spread of each dimension. Needs the RocksDB state
+    store; the state of a key is its last `size` rows."""
+    d = values.select(F.col("key").cast("string").alias("key"), F.col("id").cast("long").alias("id"), F.col("ts").cast("timestamp").alias("ts"), *[F.col(k).cast("double").alias(k) for k in dims])
+    out = "key string, id long, ts timestamp, n int, " + ", ".join(f"{k} double, {k}_mean double, {k}_std double" for k in dims)
+    return d.groupBy("key").transformWithStateInPandas(Ring(size, include_self, dims), out, "Append", "None")
 
 
 def stream_profile(values: DataFrame, size: int, include_self: bool = True) -> DataFrame:
-    """values (key, id, ts, value) -> PROFILE. Needs the RocksDB state store."""
-    d = values.select(F.col("key").cast("string").alias("key"), F.col("id").cast("long").alias("id"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").cast("double").alias("value"))
-    return d.groupBy("key").transformWithStateInPandas(Ring(size, include_self), PROFILE, "Append", "None")
+    """The same of one value: key, id, ts, value, n, mean, std_dev."""
+    p = stream_profiles(values, ("value",), size, include_self)
+    return p.select("key", "id", "ts", "value", "n", F.col("value_mean").alias("mean"), F.col("value_std").alias("std_dev"))
 
 
 def stream_score(values: DataFrame, th: Thresholds = DEFAULTS, include_self: bool = True) -> DataFrame:
@@ -84,6 +127,14 @@ def stream_score(values: DataFrame, th: Thresholds = DEFAULTS, include_self: boo
     return p.withColumn("z", z).withColumn("anomalous", F.coalesce(S.exceeds(F.col("z"), th.sigma), F.lit(False)))
 
 
+def stream_observation_scores(obs: DataFrame, th: Thresholds = DEFAULTS, include_self: bool = False) -> DataFrame:
+    """Observations of a stream, scored in all six dimensions against the rolling profile of their source, then learned.
+    The rows are those of observations.rolling_score, so anomalies() and the detectors take them."""
+    d = O.with_dimensions(obs).withColumns({"key": F.col("source"), "id": F.lit(0)})
+    p = stream_profiles(d, O.DIMENSIONS, th.window, include_self).withColumnsRenamed({"key": "source", "n": "_n"}).drop("id")
+    return O.with_z(p, th)
+
+
 def stream_connectivity(probes: DataFrame, th: Thresholds = DEFAULTS, id_col: str = "event_id") -> DataFrame:
     """Failure rate of the last probes of each channel, where it is above the limit."""
     bad = F.when(F.col("success"), 0.0).otherwise(1.0)
@@ -152,6 +203,33 @@ def stream_quarantine(changes: DataFrame, id_col: str = "event_id", ttl_ms: int
     return d.groupBy("source").transformWithStateInPandas(Held(ttl_ms), "source string, id long, ts timestamp, was_held boolean, held boolean", "Append", mode)
 
 
+class Session(StatefulProcessor):
+    """Whether a session is known at each of its calls; it is forgotten when its time to live is over."""
+
+    def __init__(self, ttl_ms: int):
+        self.ttl_ms = ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getValueState("seen", "ts long", self.ttl_ms)
+
+    def handleInputRows(self, key, rows, timerValues):
+        for pdf in sorted_frames(rows):
+            known = self.seen.exists()
+            self.seen.update((pd.Timestamp(pdf["ts"].iloc[-1]).value // 1000,))
+            yield pd.DataFrame({"session_id": str(key[0]), "id": pdf["id"].to_numpy(), "ts": pdf["ts"].to_numpy(), "known": [known] + [True] * (len(pdf) - 1)})
+
+    def close(self) -> None:
+        pass
+
+
+def stream_sessions(calls: DataFrame, ttl_ms: int) -> DataFrame:
+    """calls (session_id, id, ts) -> whether the session was known before each. State lives for ttl_ms of processing time
+    after the last call. A stream whose state expires by the clock does not end by itself: run it with a processing-time
+    trigger and stop it."""
+    d = calls.select(F.col("session_id").cast("string").alias("session_id"), F.col("id").cast("long").alias("id"), F.col("ts").cast("timestamp").alias("ts"))
+    return d.groupBy("session_id").transformWithStateInPandas(Session(ttl_ms), "session_id string, id long, ts timestamp, known boolean", "Append", "ProcessingTime")
+
+
 def forward_audit(stream: DataFrame, sink_a: Callable[[DataFrame, int], None], sink_b: Callable[[DataFrame, int], None], checkpoint: str, level: str = "warn"):
     """Both projections of each batch to both sinks. If one raises, the batch comes again; sinks overwrite by batch id,
     so an event counts as delivered only when both have it. Returns the writer; call start()."""

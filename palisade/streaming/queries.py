@@ -6,8 +6,10 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from palisade.operators import audit as A
+from palisade.operators import observations as O
 from palisade.plans.protocols import FileSink
 from palisade.plans.scratch import folder
 from palisade.sources import adapters as T
@@ -42,12 +44,19 @@ def as_stream(df: DataFrame, name: str) -> DataFrame:
     return spark.readStream.schema(df.schema).parquet(path)
 
 
+def run(stream: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+    """Run a stream over all that is there since the checkpoint."""
+    with settings(stream.sparkSession, **{"spark.sql.streaming.stateStore.providerClass": ROCKS, "spark.sql.shuffle.partitions": str(STATE_PARTITIONS)}):
+        q = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        q.awaitTermination()
+    return q
+
+
 def to_end(stream: DataFrame) -> DataFrame:
     """Run a stream over all that is there and read what it wrote."""
     spark = stream.sparkSession
     out = folder(spark, "out")
-    with settings(spark, **{"spark.sql.streaming.stateStore.providerClass": ROCKS, "spark.sql.shuffle.partitions": str(STATE_PARTITIONS)}):
-        stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", folder(spark, "checkpoint")).trigger(availableNow=True).start().awaitTermination()
+    run(stream, out, folder(spark, "checkpoint"))
     return spark.read.schema(stream.schema).parquet(out)
 
 
@@ -80,6 +89,39 @@ def t1_t2_stream_windows(spark, d):
     return ntz(out, "ts").select("source", "ts", "traffic_volume", "path_diversity", "method_diversity", F.round("error_rate_4xx", 6).alias("error_rate_4xx"))
 
 
+def t3_stream_flush(spark, d):
+    """Daily windows of a stream that ends: those behind the watermark, then the open ones. All windows of the log."""
+    log = T.access_log(spark, d).withColumn("ts", F.col("ts").cast("timestamp"))
+    path, out, checkpoint = folder(spark, "log"), folder(spark, "out"), folder(spark, "checkpoint")
+    log.write.parquet(path)
+    stream = jobs.stream_observations(spark.readStream.schema(log.schema).parquet(path), "1 day", "1 hour")
+    run(stream, out, checkpoint)
+    jobs.end_of_stream(spark, log.schema, path)
+    run(stream, out, checkpoint)
+    return ntz(spark.read.schema(stream.schema).parquet(out), "ts").withColumn("ports_accessed", F.array_join(F.col("ports_accessed").cast("array<string>"), ","))
+
+
+def t2_late_rows(spark, d):
+    """Days before the 10th arrive after the end of the month: the watermark turns them away and counts them."""
+    log = T.access_log(spark, d).withColumn("ts", F.col("ts").cast("timestamp"))
+    path, out, checkpoint = folder(spark, "log"), folder(spark, "out"), folder(spark, "checkpoint")
+    stream = jobs.stream_observations(spark.readStream.schema(log.schema).parquet(path), "1 day", "1 hour")
+    late = []
+    for when in ("ts >= '2024-01-10'", "ts < '2024-01-10'"):
+        log.where(when).write.mode("append").parquet(path)
+        late.append(jobs.late_rows(run(stream, out, checkpoint)))
+    return spark.createDataFrame([tuple(late)], "before long, late long")
+
+
+def t4_stream_observations(spark, d):
+    """Six dimensions of each source, scored against its rolling profile before they are learned."""
+    from palisade.queries import TH, observed, rounded
+
+    obs = as_stream(observed(spark, d), "observations")
+    found = O.anomalies(to_end(jobs.stream_observation_scores(obs, TH)), TH)
+    return rounded(ntz(found, "ts"), "observed", "mean", "std_dev", "deviation", "confidence")
+
+
 def t4_stream_profile(spark, d):
     e = T.table(spark, d, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("id"), "ts", "value")
     p = to_end(jobs.stream_profile(as_stream(e, "values"), 100))
@@ -117,4 +159,4 @@ def z15_export(spark, d):
     return spark.read.schema(e.schema).option("header", "true").csv(path)
 
 
-QUERIES = {f.__name__: f for f in (s3_stream_log_tail, s6_quarantine_snapshot, s7_forward_audit, t1_t2_stream_windows, t4_stream_profile, t5_stream_connectivity, t6_stream_counter_rate, t7_stream_quarantine, z15_export)}
+QUERIES = {f.__name__: f for f in (s3_stream_log_tail, s6_quarantine_snapshot, s7_forward_audit, t1_t2_stream_windows, t2_late_rows, t3_stream_flush, t4_stream_observations, t4_stream_profile, t5_stream_connectivity, t6_stream_counter_rate, t7_stream_quarantine, z15_export)}

@@ -157,3 +157,51 @@ def test_median_profiler_and_protocols(spark):
     assert TableRoster(spark.createDataFrame([("a", True), ("b", True)], "peer_id string, is_family boolean")).roster(peers).count() == 1
     p = spark.createDataFrame([("c", T0, [0, 1, 2, 3])], "conn_id string, ts timestamp_ntz, path array<int>")
     assert FixedPathValidator().validate(p).count() == 0
+
+
+def test_one_pass_finds_what_the_detectors_find(spark, sf):
+    from palisade import queries as C
+    from palisade.operators import observations as O
+
+    o = C.observed(spark, sf)
+    s = O.rolling_score(o, C.TH)
+    apart = D.detect_all([D.detect_behavioral(s, C.TH), D.detect_http(s, C.TH), D.detect_port_scan(o, C.TH), D.detect_exfiltration(o, C.TH)])
+    both = [sorted(map(str, d.collect())) for d in (apart, D.detect_observations(s, C.TH))]
+    assert both[0] == both[1] and len(both[0]) > 20
+
+
+def test_full_run_scans_each_source_once(spark, sf):
+    from palisade import queries as C
+
+    plan = C._all(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") <= 8 and plan.count("Window [") <= 6
+
+
+def test_defense_status(spark):
+    q = spark.createDataFrame([("a", T0, "r", "t1"), ("b", T0, "r", "t2")], "source string, started_at timestamp, reason string, threat_id string")
+    assert sorted((r["source"], r["threat_id"], r["enabled"], r["auto_response"], r["quarantined_count"]) for r in Q.defense_status(q, auto_response=False).collect()) == [("a", "t1", True, False, 2), ("b", "t2", True, False, 2)]
+    none = one(Q.defense_status(q.limit(0), enabled=False))
+    assert none["source"] is None and none["quarantined_count"] == 0 and not none["enabled"]
+
+
+@pytest.mark.parametrize("host,port", [("h:0000000022", 22), ("h:00000000000080", 80), ("h:0", 0), ("h:99999", 443), ("h:123456", 443), ("h:+22", 22), ("h", 443), ("h:", 443)])
+def test_ports(spark, host, port):
+    assert spark.range(1).select(S.port_of(F.lit(host))).first()[0] == port
+
+
+def test_table_topology(spark):
+    from palisade.plans.protocols import TableTopology
+
+    t = TableTopology(spark.createDataFrame([("a", "primal")], "id string, node_type string"), spark.createDataFrame([("b",)], "id string"))
+    flows = spark.createDataFrame([("a", "b", "tcp"), ("a", "b", "tcp"), ("a", "x", "tcp")], "from string, to string, protocol string")
+    assert [(r["from"], r["to"], r["n_flows"]) for r in t.edges(t.nodes(), flows).collect()] == [("a", "b", 2)]
+
+
+def test_blocks_change_no_rate(spark):
+    from palisade.operators import observations as O
+
+    rows = [("h" if i % 3 else "g", T0 + dt.timedelta(seconds=i), i * 7 % 50, i % 4 != 0, i) for i in range(300)]
+    d = spark.createDataFrame(rows, "host string, ts timestamp, forks_total long, success boolean, event_id long").withColumn("channel", F.col("host"))
+    for f in (lambda b: O.counter_rate(d, block=b), lambda b: O.failure_rate(d, block=b), lambda b: O.metric_baseline(d, "host", "forks_total", ("ts",), block=b)):
+        plain, cut = f(None), f(100)
+        assert sorted(map(str, plain.collect())) == sorted(map(str, cut.select(plain.columns).collect()))

@@ -1,6 +1,8 @@
 import datetime as dt
 import json
+import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -47,6 +49,21 @@ def test_quarantine_snapshots(spark, tmp_path):
     assert io.load_quarantine(spark, path).count() == 2
 
 
+def test_quarantine_that_cannot_be_read_is_empty(spark, tmp_path):
+    row = lambda n: spark.createDataFrame([(f"s{n}", T0, "r", "t")], "source string, started_at timestamp, reason string, threat_id string")
+    path = f"file://{tmp_path}/q"
+    io.save_quarantine(row(1), path)
+    version = io.save_quarantine(row(2), path)
+    assert [r["source"] for r in io.load_quarantine(spark, path).collect()] == ["s2"]
+    for f in (tmp_path / "q" / "versions" / version).glob("*.parquet"):
+        f.write_bytes(b"broken")
+    for f in (tmp_path / "q" / "versions" / version).glob(".*.crc"):
+        f.unlink()
+    assert io.load_quarantine(spark, path).collect() == []
+    io.save_quarantine(row(3), path)
+    assert [r["source"] for r in io.load_quarantine(spark, path).collect()] == ["s3"]
+
+
 def test_export(spark, tmp_path):
     df = spark.createDataFrame([(1, "a")], "x int, y string")
     for fmt in ("json", "csv"):
@@ -133,3 +150,54 @@ def test_forwarding_delivers_to_both_and_retries(spark, files, tmp_path):
     jobs.forward_audit(stream, a.publish, flaky, f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination()
     n = A.min_severity(spark.read.parquet(f"file://{files}/audit"), "warn").count()
     assert spark.read.parquet(f"{tmp_path}/a").count() == n == spark.read.parquet(f"{tmp_path}/b").count()
+
+
+def test_rings_equal_moments_of_each_window():
+    rng = np.random.default_rng(0)
+    rows, ring = rng.normal(1e6, 1, (5000, 2)), rng.normal(1e6, 1, (7, 2))
+    rows[rng.random(5000) < 0.3, 1] = np.nan
+    rows[100:160, 0] = 5.0
+    every = np.concatenate([ring, rows])
+    for own in (True, False):
+        n, mean, std = jobs.over_ring(ring, rows, 20, own)
+        for i in (0, 1, 12, 13, 14, 150, 2047, 2048, 4999):
+            w = every[max(0, 7 + i + own - 20): 7 + i + own]
+            assert n[i] == len(w) and np.allclose(mean[i], np.nanmean(w, axis=0)) and np.allclose(std[i], np.nanstd(w, axis=0), atol=1e-9)
+        assert std[150, 0] == 0.0
+    n, mean, std = jobs.over_ring(np.zeros((0, 1)), np.array([[3.0]]), 5, False)
+    assert n[0] == 0 and np.isnan(mean[0, 0]) and np.isnan(std[0, 0])
+
+
+def test_sessions_are_forgotten(spark, tmp_path):
+    schema = "session_id string, id long, ts timestamp"
+
+    def call(i, *names):
+        spark.createDataFrame([(s, i, T0 + dt.timedelta(seconds=i)) for s in names], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/calls")
+        out = jobs.stream_sessions(spark.readStream.schema(schema).parquet(f"{tmp_path}/calls"), 4000)
+        q = out.writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/c").option("path", f"{tmp_path}/known").trigger(processingTime="1 second").start()
+        until = time.time() + 60
+        while time.time() < until and not any(p["numInputRows"] for p in q.recentProgress):
+            time.sleep(0.3)
+        q.stop()
+        return {r["session_id"]: r["known"] for r in spark.read.parquet(f"{tmp_path}/known").where(f"id = {i}").collect()}
+
+    assert call(1, "a", "b") == {"a": False, "b": False}
+    time.sleep(6)
+    assert call(2, "a", "c") == {"a": False, "c": False}
+
+
+def test_threat_intel_stream(spark, files, tmp_path):
+    sink = FileSink(f"{tmp_path}/intel")
+    jobs.threat_intel_stream(source(spark, files, "audit"), "n1", sink.publish, f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination()
+    want = A.threat_intel(spark.read.parquet(f"file://{files}/audit"), "n1")
+    got = spark.read.parquet(sink.path)
+    assert got.count() == want.count() > 0 and {r["source_node"] for r in got.select("source_node").distinct().collect()} == {"n1"}
+
+
+def test_late_rows_and_the_end_of_a_stream(spark, sf):
+    from palisade.queries import QUERIES
+
+    flushed = QUERIES["t3_stream_flush"](spark, sf)
+    assert flushed.count() == O.aggregate_windows(T.access_log(spark, sf), "1 day").count()
+    late = QUERIES["t2_late_rows"](spark, sf).first()
+    assert late["before"] == 0 < late["late"]
