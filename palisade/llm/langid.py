@@ -74,17 +74,18 @@ def _features(batches):
             ], names=["lang", "buckets", "counts"])
 
 
-def train(docs: DataFrame, sample_rows: int = 4000, steps: int = 600, seed: int = 1, rejected: float = 0.005) -> LanguageModel | None:
+def train(docs: DataFrame, sample_rows: int = 4000, steps: int = 600, seed: int = 1, rejected: float = 0.005, most_languages: int = 1000) -> LanguageModel | None:
     """Learn from rows with a text and a language. None if there are none.
 
     sample_rows bounds the rows that reach the driver (about sample_rows / languages of each language, chosen by
     a hash of doc_id); each carries at most 2^14 buckets, so the driver's share is bounded too. `rejected` is the
     share of good texts whose log-odds may lie below the value of which half is the threshold. Rows that repeat an id
-    all count.
+    all count. Only the most_languages most frequent labels are learned, which bounds the driver's share for a dirty column.
     """
     C.narrow_batches(docs.sparkSession)
     docs = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull())
-    counts = {r["lang"]: r["count"] for r in docs.groupBy("lang").count().collect()}  # one row a language
+    counts = docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages)
+    counts = {r["lang"]: r["count"] for r in counts.collect()}
     if not counts:
         return None
     each = max(1, sample_rows // len(counts))

@@ -150,3 +150,30 @@ def test_embeddings_recall_with_many_cells(spark, monkeypatch, cells):
     found = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in got}
     assert all(n in (0, 1) for n, _ in found.values())
     assert sum(found[i + 2000] == (1, i) for i in range(2000)) >= 0.99 * 2000
+
+
+def test_embeddings_query_equals_brute_force(spark, sf):
+    """The registered query over its table with planted near and exact copies: no link is false, and recall is measured."""
+    from palisade.llm import queries as Q
+
+    table = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
+    rng = np.random.default_rng(7)
+    near = [(10**6 + i, (np.array(v) + rng.normal(0, 0.03 * np.linalg.norm(v) / len(v) ** 0.5 * (1 + i % 9), len(v))).tolist()) for i, (_, v) in enumerate(table * 3)]
+    rows = table + near + [(2 * 10**6 + k, v) for k, v in table[:50]]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").selectExpr("*", "'own' as rep")
+    got = {r["vec_id"]: r for r in embed_dedup.near_duplicates(df, per_cell=16).collect()}
+    x = np.array([np.float32(v) for _, v in rows], float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    g = x @ x.T >= 0.95
+    np.fill_diagonal(g, False)
+    true = dict(zip((k for k, _ in rows), g.sum(1).tolist(), strict=True))
+    assert all(got[k]["n_links"] <= n for k, n in true.items())
+    assert sum(true.values()) > 1000 and sum(r["n_links"] for r in got.values()) >= 0.97 * sum(true.values())
+    plain = {r["vec_id"]: r["n_links"] for r in Q.op6_embed_dedup(spark, sf).collect()}
+    h = x[: len(table)] @ x[: len(table)].T >= 0.95
+    assert plain == {k: int(n) - 1 for (k, _), n in zip(table, h.sum(1), strict=True)}
+
+
+def test_embeddings_repeated_ids_and_ties(spark):
+    got = embed_dedup.near_duplicates(vectors(spark, [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [0.0, 1.0])])).collect()
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in got) == [(1, 2, 1, True), (1, 2, 1, True), (2, 2, 1, False), (3, 0, 3, True)]

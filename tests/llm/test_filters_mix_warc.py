@@ -109,6 +109,16 @@ def test_url_lists_in_any_case(spark, tmp_path):
     same(Q.op5_url_filter(spark, f"file://{tmp_path}"), pages.execute(Q.ORACLE_SQL["op5_url_filter"]).df())
 
 
+def test_url_lists_odd_rows(spark):
+    """Repeated captures come back as one, a very long url is matched by its keys, ties of verdicts go to allow."""
+    long = "http://deep." * 1 + "a." * 60 + "example/s/" + "x" * 200_000
+    cap = spark.createDataFrame([(1, "http://h.example/s", 5), (1, "http://h.example/s", 5), (2, long, 5), (3, "", 5)], "page_id long, url string, fetched_at long").selectExpr("*", "'own' as list", "'own' as verdict")
+    ent = spark.createDataFrame([("l", "h.example", "block", "add", 0), ("m", "h.example", "allow", "add", 0), ("m", "h.example", "allow", "add", 0), ("l", "a.example", "block", "add", 5)], "list string, key string, verdict string, action string, at long").selectExpr("*", "'own' as url")
+    got = sorted((r["page_id"], r["decision"], r["matched_key"], r["n_active"]) for r in url_filter.as_of(cap, ent).collect())
+    assert got == [(1, "allow", "h.example", 2), (2, "block", "a.example", 1), (3, "none", None, 0)]
+    assert url_filter.as_of(cap.limit(0), ent.limit(0)).count() == 0
+
+
 def test_targets(spark):
     s = spark.createDataFrame([("a", 100), ("b", 1), ("c", 100), (None, 50)], "source string, source_size long")
     got = {r["source"]: r["target"] for r in mixing.targets(s).collect()}
