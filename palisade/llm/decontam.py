@@ -55,45 +55,64 @@ def word(w: Column) -> Column:
     return F.when(F.substring(w, 1, 1) == _NAME, F.substring(w, 2, 1 << 30)).otherwise(w)
 
 
-def hashed(text: Column, sides: str) -> Column:
-    """Of every word: hashes of its template (t), of what that would be in small letters (p), and of the word itself (x)."""
-    made = {"t": lambda w: F.xxhash64(template(w)), "p": lambda w: F.xxhash64(plain(w)), "x": lambda w: F.xxhash64(F.lit("="), word(w))}
-    return F.transform(tokens(text), lambda w: F.struct(*[made[s](w).alias(s) for s in sides]))
+def itself(w: Column) -> Column:
+    return F.xxhash64(F.lit("="), word(w))
 
 
-def _window(i: Column, side: str, n: int = WINDOW) -> Column:
-    return F.xxhash64(*[F.get("_h", i + k)[side] for k in range(n)])
+def _hashed(texts: DataFrame, key: str, sides: str) -> DataFrame:
+    """texts (key, text) -> key, _w (the words), and for each side the array of the hashes of every WINDOW words.
+
+    Sides are hashes of a word's template (t), of what that would be in small letters (p), and of the word itself (x). A hash of two words, then of two of those, and so on: the last WINDOW - 1 elements lack words and mean nothing.
+    Each array is a column of its own; inside another expression it would be made again for every element.
+    """
+    h = texts.select(key, tokens(F.col("text")).alias("_w"))
+    h = h.select(key, "_w", F.transform("_w", lambda w: F.xxhash64(template(w))).alias("t"))
+    made = {"t": F.col("t"), "p": F.zip_with("_w", "t", lambda w, t: F.when(F.substring(w, 1, 1) == _NAME, F.xxhash64(plain(w))).otherwise(t)), "x": F.transform("_w", itself)}
+    h = h.select(key, "_w", *[made[s].alias(s) for s in sides])
+    step = 1
+    while step < WINDOW:
+        pair = lambda s, k=step: F.transform(s, lambda v, i: F.xxhash64(v, F.get(F.col(s), i + k))).alias(s)
+        h, step = h.select(key, "_w", *[pair(s) for s in sides]), 2 * step
+    return h
+
+
+def _starts(array: str) -> Column:
+    """The elements of an array that begin a whole window; null if there are none."""
+    return F.when(F.size("_w") >= WINDOW, F.slice(array, 1, F.size("_w") - WINDOW + 1))
 
 
 def windows(texts: DataFrame, exact: bool, lengths: list[int]) -> DataFrame:
     """(doc_id, pos, w): hashes of every WINDOW template words, of plain words where they differ, and if asked for, of
     the words themselves, also of so many words as `lengths` says. Texts with fewer words have none."""
-    h = texts.select("doc_id", hashed(F.col("text"), "tpx" if exact or lengths else "tp").alias("_h"))
-    # no filter on the length: it would be pushed below and make the words twice
-    least, n = min([WINDOW, *lengths]), F.size("_h")
-    starts = F.when(n >= least, F.sequence(F.lit(0), n - least))
+    h = _hashed(texts, "doc_id", "tpx" if exact else "tp")
+    p, more = lambda i: F.get(F.col("p"), i), lambda i: [F.get(F.col("x"), i)] if exact else []
+    all_ = lambda v, i: F.when(v == p(i), F.array(v, *more(i))).otherwise(F.array(v, p(i), *more(i)))
+    out = h.select("doc_id", F.posexplode(F.transform(_starts("t"), all_)).alias("pos", "_w")).select("doc_id", "pos", F.explode("_w").alias("w"))
+    if lengths:
+        x = texts.select("doc_id", tokens(F.col("text")).alias("_w")).select("doc_id", F.transform("_w", itself).alias("x"))
+        short = lambda v, i: F.array(*[F.when(i + k <= F.size("x"), _run("x", i, k)) for k in lengths])
+        x = x.select("doc_id", F.posexplode(F.transform("x", short)).alias("pos", "_w")).select("doc_id", "pos", F.explode("_w").alias("w"))
+        out = out.unionByName(x.where("w is not null"))
+    return out
 
-    def all_(i):
-        whole = [_window(i, side) for side in ("tpx" if exact else "tp")]
-        if least < WINDOW:
-            whole = [F.when(i + WINDOW <= n, w) for w in whole] + [F.when(i + k <= n, _window(i, "x", k)) for k in lengths]
-        return F.array(*whole)
 
-    at = h.select("doc_id", F.posexplode(F.transform(starts, all_)).alias("pos", "_w"))
-    return at.select("doc_id", "pos", F.explode(F.array_distinct("_w")).alias("w"))
+def _run(array: str, i: Column, n: int) -> Column:
+    """Hash of n elements from the i-th on."""
+    return F.xxhash64(*[F.get(F.col(array), i + k) for k in range(n)])
 
 
 def item_windows(items: DataFrame) -> DataFrame:
     """(item_id, at, n, exact, w): the windows of n words by which an item is found. Template and plain windows need
     LITERAL words; where the plain one lacks them, or the item is shorter than a window, the words themselves count."""
-    t = items.select("item_id", tokens(F.col("text")).alias("_t"), hashed(F.col("text"), "tpx").alias("_h")).where(F.size("_t") >= SHORT)
-    literal = lambda f: lambda i: F.size(F.filter(F.slice("_t", i + 1, WINDOW), lambda w: ~F.substring(f(w), 1, 1).isin(_NAME, _NUM, _UNIT)))
-    row = lambda i, ok, side: F.when(ok, F.struct(F.lit(side == "x").alias("exact"), _window(i, side).alias("w")))
-    at = lambda i: F.array_compact(F.array(row(i, literal(template)(i) >= LITERAL, "t"), row(i, literal(plain)(i) >= LITERAL, "p"), row(i, literal(plain)(i) < LITERAL, "x")))
-    long = t.where(F.size("_t") >= WINDOW).select("item_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.size("_t") - WINDOW), at)).alias("at", "_w"))
-    long = long.select("item_id", "at", F.lit(WINDOW).alias("n"), F.explode(F.array_distinct("_w")).alias("_w")).select("item_id", "at", "n", "_w.*").dropDuplicates(["item_id", "at", "w"])
-    whole = F.coalesce(*[F.when(F.size("_t") == k, _window(F.lit(0), "x", k)) for k in range(SHORT, WINDOW)])
-    return long.unionByName(t.where(F.size("_t") < WINDOW).select("item_id", F.lit(0).alias("at"), F.size("_t").alias("n"), F.lit(True).alias("exact"), whole.alias("w")))
+    t = _hashed(items, "item_id", "tpx")
+    literal = lambda f: lambda i: F.size(F.filter(F.slice("_w", i + 1, WINDOW), lambda w: ~F.substring(f(w), 1, 1).isin(_NAME, _NUM, _UNIT)))
+    row = lambda i, ok, side: F.when(ok, F.struct(F.lit(side == "x").alias("exact"), F.get(F.col(side), i).alias("w")))
+    at = lambda _, i: F.array_compact(F.array(row(i, literal(template)(i) >= LITERAL, "t"), row(i, literal(plain)(i) >= LITERAL, "p"), row(i, literal(plain)(i) < LITERAL, "x")))
+    long = t.select("item_id", F.posexplode(F.transform(_starts("t"), at)).alias("at", "_w"))
+    long = long.select("item_id", "at", F.lit(WINDOW).alias("n"), F.explode("_w").alias("_w")).select("item_id", "at", "n", "_w.*").dropDuplicates(["item_id", "at", "w"])
+    x = items.select("item_id", tokens(F.col("text")).alias("_w")).select("item_id", F.transform("_w", itself).alias("x"), F.size("_w").alias("n"))
+    whole = F.coalesce(*[F.when(F.col("n") == k, _run("x", F.lit(0), k)) for k in range(SHORT, WINDOW)])
+    return long.unionByName(x.where(F.col("n").between(SHORT, WINDOW - 1)).select("item_id", F.lit(0).alias("at"), "n", F.lit(True).alias("exact"), whole.alias("w")))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
