@@ -127,10 +127,10 @@ _MET = _EV + """, met AS (SELECT event_id, CAST(user_id AS VARCHAR) AS host, ts,
 
 @query(f"WITH {_MET} SELECT host, ts, round(load1, 9) AS load1, cpus, forks_total FROM met")
 def s10_host_metrics(spark, d):
-    """Samples written as JSON lines and read by the reader of host metrics."""
+    """Samples written as a table and read by the reader of host metrics."""
     path = folder(spark, "samples")
-    T.host_metrics(spark, d).select("host", F.col("ts").cast("timestamp").alias("ts"), "load1", "cpus", "forks_total").write.json(path)
-    return io.read_host_metrics(spark, path, "json").select("host", F.col("ts").cast("timestamp_ntz").alias("ts"), F.round("load1", 9).alias("load1"), "cpus", "forks_total")
+    T.host_metrics(spark, d).select("host", F.col("ts").cast("timestamp").alias("ts"), "load1", "cpus", "forks_total").write.parquet(path)
+    return io.read_host_metrics(spark, path).select("host", F.col("ts").cast("timestamp_ntz").alias("ts"), F.round("load1", 9).alias("load1"), "cpus", "forks_total")
 
 
 @query(f"WITH {_LOG} SELECT event_id, port, CASE WHEN status BETWEEN 400 AND 499 THEN '4xx' WHEN status >= 500 THEN '5xx' ELSE 'ok' END AS class FROM log")
