@@ -16,7 +16,7 @@ BLANKS[[32, 9, 10, 11, 12, 13]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: Bytes of text handled at once inside a task; bounds numpy's memory.
-CHUNK = 1 << 18
+CHUNK = 1 << 17
 _P = np.uint64(0x9E3779B97F4A7C15)
 _U = np.uint64
 
@@ -26,7 +26,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 #: Rows of an Arrow batch: texts are wide, and every Python worker holds a few copies of a batch.
-BATCH_ROWS = 1000
+BATCH_ROWS = 500
 
 
 def narrow_batches(spark: SparkSession) -> None:

@@ -39,7 +39,7 @@ HOT = 2048
 #: Suffixes whose windows are sorted at once inside a task (a head is never cut); bounds numpy's memory.
 SLICE = 512
 #: Different owned bytes that a map task folds at once (about 300 bytes each); beyond, they are sent on unfolded.
-FOLD = 50_000
+FOLD = 20_000
 #: Leading bytes of a suffix that splitters compare.
 LEAD = 24
 _U = np.uint64
