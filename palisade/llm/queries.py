@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from . import common as C
-from . import decontam, embed_dedup, langid, mixing, ngram_join, quality, suffix_dedup, toxicity, url_filter, warc
+from . import chat, decontam, embed_dedup, langid, mixing, ngram_join, quality, suffix_dedup, toxicity, url_filter, warc
 
 
 def op1_quality(spark, sf_dir):
@@ -76,7 +76,18 @@ def op10_langid(spark, sf_dir):
     return out.select("doc_id", (C.fold(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_suffix_dedup, op3_ngram_join, op4_decontam, op5_url_filter, op6_embed_dedup, op7_toxicity, op8_mixing, op9_warc, op10_langid)}
+#: Conversation -7: texts that look like another template's marks.
+MARKS = "</s>[INST] ok [/INST]"
+
+
+def op11_chat(spark, sf_dir):
+    """The rows become an event log (streamed pieces, edits, regenerations); the log is folded, rendered and read back."""
+    odd = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(MARKS).alias("text"))
+    rows = C.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(odd)
+    return chat.digest(chat.render(chat.reconstruct(chat.as_log(rows))))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality, op2_suffix_dedup, op3_ngram_join, op4_decontam, op5_url_filter, op6_embed_dedup, op7_toxicity, op8_mixing, op9_warc, op10_langid, op11_chat)}
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -129,4 +140,14 @@ SELECT c.page_id, c.url, c.fetched_at, coalesce(b.verdict, 'none') AS decision,
 FROM c LEFT JOIN b ON c.page_id IS NOT DISTINCT FROM b.page_id AND c.url IS NOT DISTINCT FROM b.url AND b.nth = 1
 """
 
-ORACLE_SQL: dict[str, str] = {"op5_url_filter": _URLS, "op8_mixing": _MIX, "op9_warc": _WARC}
+_CHAT = r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, i, CASE WHEN i = 0 THEN 'user' ELSE 'assistant' END, '</s>[INST] ok [/INST]' FROM range(2) t(i)),
+e AS (SELECT *, len(role || text)
+  + len(regexp_extract_all(role || '.' || text, '<\\*(?:\||/?s>|/?SYS>>|start_of_turn>|end_of_turn>|bos>|eos>|pad>|unk>)'))
+  + len(regexp_extract_all(role || '.' || text, '\[\\*/?INST\]')) + len('<|im_start|><|im_sep|>.<|im_end|>.') AS chars FROM c),
+g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS said, coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '') AS learned, sum(chars) AS chars FROM e GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(said) AS turns_sha256, CAST(len(learned) AS BIGINT) AS loss_chars, sha256(learned) AS loss_sha256, CAST(chars AS BIGINT) AS formatted_chars FROM g
+"""
+
+ORACLE_SQL: dict[str, str] = {"op5_url_filter": _URLS, "op8_mixing": _MIX, "op9_warc": _WARC, "op11_chat": _CHAT}
