@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from . import common as C
-from . import chat, decontam, embed_dedup, langid, mixing, ngram_join, quality, suffix_dedup, toxicity, url_filter, warc
+from . import chat, decontam, embed_dedup, filter_audit, langid, mixing, ngram_join, quality, suffix_dedup, toxicity, url_filter, warc
 
 
 def op1_quality(spark, sf_dir):
@@ -87,7 +87,11 @@ def op11_chat(spark, sf_dir):
     return chat.digest(chat.render(chat.reconstruct(chat.as_log(rows))))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_suffix_dedup, op3_ngram_join, op4_decontam, op5_url_filter, op6_embed_dedup, op7_toxicity, op8_mixing, op9_warc, op10_langid, op11_chat)}
+def op12_filter_audit(spark, sf_dir):
+    return filter_audit.audit(filter_audit.stream(spark, f"{sf_dir}/documents.parquet"), C.table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality, op2_suffix_dedup, op3_ngram_join, op4_decontam, op5_url_filter, op6_embed_dedup, op7_toxicity, op8_mixing, op9_warc, op10_langid, op11_chat, op12_filter_audit)}
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -150,4 +154,20 @@ g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text ||
 SELECT conv_id, n_turns, sha256(said) AS turns_sha256, CAST(len(learned) AS BIGINT) AS loss_chars, sha256(learned) AS loss_sha256, CAST(chars AS BIGINT) AS formatted_chars FROM g
 """
 
-ORACLE_SQL: dict[str, str] = {"op5_url_filter": _URLS, "op8_mixing": _MIX, "op9_warc": _WARC, "op11_chat": _CHAT}
+_AUDIT = rf"""
+WITH w AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{WORD}') AS words FROM documents),
+f AS (SELECT d.doc_id, part, len(words) < 200 AS a, 100 * len(list_distinct(words)) < 50 * len(words) AS b,
+  100 * len(regexp_extract_all(d.text, '[A-Z]')) > 3 * len(d.text) AS c, regexp_matches(d.text, '[#$%&*|]') AS d, coalesce(d.doc_id > min(d.doc_id) OVER (PARTITION BY d.text), false) AS e,
+  coalesce(l.good, false) AS good, coalesce(l.toxic, false) AS toxic FROM w d LEFT JOIN (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id) l ON d.doc_id = l.doc_id),
+m AS (SELECT part, good, toxic, map(['A', 'B', 'C', 'D', 'E'], [a, b, c, d, e]) AS fails, a::INT + b::INT + c::INT + d::INT + e::INT AS k, count(*) AS n FROM f GROUP BY ALL),
+x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM x a, x b, x c, x d, x e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+s AS (SELECT filter_order, step, filter_order[step] AS it, string_split(filter_order[1:step - 1], '') AS before FROM o, range(1, 6) t(step)),
+j AS (SELECT part, filter_order, step, n, good, toxic, k, fails[it] AS hit, step > 1 AND len(list_filter(before, lambda y: y <> '' AND fails[y])) > 0 AS gone FROM m, s)
+SELECT part, filter_order, CAST(step AS INT) AS step, {', '.join(f"CAST(coalesce(sum({v}) FILTER (WHERE {c}), 0) AS BIGINT) AS {k}" for k, v, c in (
+    ("kept", "n", "NOT hit AND NOT gone"), ("removed", "n", "hit AND NOT gone"), ("redundant", "n", "hit AND gone"), ("unique_fails", "n", "hit AND k = 1"),
+    ("good_lost", "n", "hit AND NOT gone AND good"), ("toxic_lost", "n", "hit AND NOT gone AND toxic"), ("shapley", "n * 120 // greatest(k, 1)", "hit")))}
+FROM j GROUP BY part, filter_order, step
+"""
+
+ORACLE_SQL: dict[str, str] = {"op5_url_filter": _URLS, "op8_mixing": _MIX, "op9_warc": _WARC, "op11_chat": _CHAT, "op12_filter_audit": _AUDIT}
