@@ -28,7 +28,7 @@ BIT = {f: 1 << i for i, f in enumerate(FILTERS)}
 COPY = BIT["E"]
 _UPPER, _REST, _ODD = bytes(range(65, 91)), bytes(range(0x80, 0xC0)), b"#$%&*|"
 #: Bytes of a text that are split into words at a time, and bytes of text for each pass over its distinct words.
-SLICE, PASS = 1 << 20, 64 << 20
+SLICE, PASS = 1 << 20, 8 << 20
 #: Rows of a task among which copies are looked for before the state is asked.
 LOCAL_ROWS = 1 << 15
 MASKS = "key string, doc_id long, part string, mask int, n long"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from . import common as C
-from . import chat, decontam, embed_dedup, filter_audit, langid, mixing, ngram_join, quality, suffix_dedup, toxicity, url_filter, warc
+from . import chat, decontam, divergence, embed_dedup, filter_audit, langid, mixing, ngram_join, quality, suffix_dedup, toxicity, url_filter, warc
 
 
 def op1_quality(spark, sf_dir):
@@ -91,7 +91,11 @@ def op12_filter_audit(spark, sf_dir):
     return filter_audit.audit(filter_audit.stream(spark, f"{sf_dir}/documents.parquet"), C.table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_suffix_dedup, op3_ngram_join, op4_decontam, op5_url_filter, op6_embed_dedup, op7_toxicity, op8_mixing, op9_warc, op10_langid, op11_chat, op12_filter_audit)}
+def op13_divergence(spark, sf_dir):
+    return divergence.audit(C.table(spark, sf_dir, "documents").select("lang", "source", "text"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality, op2_suffix_dedup, op3_ngram_join, op4_decontam, op5_url_filter, op6_embed_dedup, op7_toxicity, op8_mixing, op9_warc, op10_langid, op11_chat, op12_filter_audit, op13_divergence)}
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -170,4 +174,22 @@ SELECT part, filter_order, CAST(step AS INT) AS step, {', '.join(f"CAST(coalesce
 FROM j GROUP BY part, filter_order, step
 """
 
-ORACLE_SQL: dict[str, str] = {"op5_url_filter": _URLS, "op8_mixing": _MIX, "op9_warc": _WARC, "op11_chat": _CHAT, "op12_filter_audit": _AUDIT}
+_TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+
+_DIVERGENCE = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_TERM}') AS terms FROM documents),
+o AS (SELECT r, lang, source, unnest(terms) AS term FROM d),
+k AS (SELECT lang, term, count(*) AS total FROM o GROUP BY lang, term HAVING count(DISTINCT r) >= 3),
+v AS (SELECT lang, count(*) AS v, sum(total) AS n FROM k GROUP BY lang),
+c AS (SELECT lang, source, term, count(*) AS c FROM o JOIN k USING (lang, term) GROUP BY ALL),
+g AS (SELECT lang, source, coalesce(n, 0) AS n FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN (SELECT lang, source, sum(c) AS n FROM c GROUP BY ALL) USING (lang, source)),
+p AS (SELECT g.lang, g.source, k.term, total, coalesce(c.c, 0) AS c, 1 + 1000000000::HUGEINT * (coalesce(c.c, 0) + 1) // (g.n + v.v)::HUGEINT AS p, 1 + 1000000000::HUGEINT * (total + 1) // (v.n + v.v)::HUGEINT AS q
+  FROM g JOIN k USING (lang) JOIN v USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+f AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+u AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM p WHERE c > 0 AND p > q),
+z AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS rank FROM u)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INT) AS rank FROM z WHERE part = 'pair' OR rank <= 200
+"""
+
+ORACLE_SQL: dict[str, str] = {"op5_url_filter": _URLS, "op8_mixing": _MIX, "op9_warc": _WARC, "op11_chat": _CHAT, "op12_filter_audit": _AUDIT, "op13_divergence": _DIVERGENCE}
