@@ -124,23 +124,29 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     """(id_col, n_links, component_id, kept) for every row.
 
     Null, empty or zero vectors, and those with null or non-finite components, link with nothing; vectors of
-    different lengths never link. Rows that repeat an id count as one more equal vector. Cells grow in number with the
+    different lengths never link. Components may have any finite magnitude. Rows that repeat an id count as one more equal vector. Cells grow in number with the
     rows up to most_cells (2 million rows at the defaults); beyond, raise it (centroids are 8 bytes a component, sent to
     every executor), or cells grow in size and pairs with their square.
     """
     C.narrow_batches(vectors.sparkSession)
     v = F.col(vector_col)
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.transform(v, lambda x: x.cast("double") + F.lit(0.0)).alias("v"))
+    single = vectors.schema[vector_col].dataType.elementType.typeName() == "float"  # kept so: half the bytes, products are double
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.transform(v, lambda x: x + F.lit(0.0).cast("float") if single else x.cast("double") + F.lit(0.0)).alias("v"))
+    kind = "float" if single else "double"
     odd = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     good = F.coalesce(~odd & F.exists("v", lambda x: x != 0), F.lit(False)) & F.col("id").isNotNull()
-    rows = C.save(rows.withColumn("good", good), "vectors")
+    rows = rows.withColumn("good", good)
+    if not single:  # squares of very large or small components would be infinite or zero
+        most = F.array_max(F.transform("v", lambda x: F.abs(x)))
+        rows = rows.withColumn("v", F.when(F.col("good") & ~most.between(1e-20, 1e20), F.transform("v", lambda x: x / most)).otherwise(F.col("v")))
+    rows = C.save(rows, "vectors")
     folded = C.save(rows.where("good").groupBy("v").agg(F.min("id").alias("id"), F.count("*").alias("m")), "folded")
     n = folded.count()
     if n == 0:
         return rows.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
     spark = vectors.sparkSession
     cells = spark.sparkContext.broadcast(fit_cells(folded, n, sample_rows, per_cell, most_cells))  # at most most_cells centroids
-    placed = folded.mapInPandas(_places(cells), "v array<double>, id long, m long, near array<int>")
+    placed = folded.mapInPandas(_places(cells), f"v array<{kind}>, id long, m long, near array<int>")
     placed = placed.withColumn("len", F.size("v")).withColumn("cell", F.explode("near"))
     placed = C.save(placed, "cells")
     sizes = placed.groupBy("len", "cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))

@@ -177,3 +177,12 @@ def test_embeddings_query_equals_brute_force(spark, sf):
 def test_embeddings_repeated_ids_and_ties(spark):
     got = embed_dedup.near_duplicates(vectors(spark, [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [0.0, 1.0])])).collect()
     assert sorted((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in got) == [(1, 2, 1, True), (1, 2, 1, True), (2, 2, 1, False), (3, 0, 3, True)]
+
+
+def test_embeddings_of_any_magnitude(spark):
+    """Squares of these components are infinite or zero in double precision, or the components are infinite as floats."""
+    rows = [(1, [1e200, 0.0]), (2, [1e200, 1e198]), (3, [1e-200, 0.0]), (4, [1e-200, 1e-202]), (5, [1e39, 1e37]), (6, [0.0, -1e-310]), (7, [0.0, -1e300]), (8, [1.0, 1.0]), (9, [1e308, -1e308]), (10, [0.0, 0.0])]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embed_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {**{i: (4, 1) for i in (1, 2, 3, 4, 5)}, 6: (1, 6), 7: (1, 6), 8: (0, 8), 9: (0, 9), 10: (0, 10)}
+    floats = spark.createDataFrame([(1, [3e38, 0.0]), (2, [3e38, 3e36]), (3, [1e-40, 0.0]), (4, [0.0, 1.0])], "vec_id long, embedding array<float>")
+    assert {r["vec_id"]: r["n_links"] for r in embed_dedup.near_duplicates(floats).collect()} == {1: 2, 2: 2, 3: 2, 4: 0}
