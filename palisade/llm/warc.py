@@ -51,7 +51,7 @@ def record(kind: str, page_id: int | None, url: str | None, payload: bytes, dige
         head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_id(refers_to, digest)}", f"X-Refers-To-Page: {refers_to}"]
     else:
         body += payload
-    head += [f"X-Page: {'' if page_id is None else page_id}", f"X-Url: {'null' if url is None else 'text'}", f"X-Payload-Length: {len(payload)}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(body)}"]
+    head += [f"X-Page: {'' if page_id is None else page_id}", f"X-Url: {'null' if url is None else 'text' if url.split() else 'empty'}", f"X-Payload-Length: {len(payload)}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(body)}"]
     pack = zlib.compressobj(1, zlib.DEFLATED, 31)
     return pack.compress(("WARC/1.1\r\n" + "\r\n".join(head) + "\r\n\r\n").encode() + body + b"\r\n\r\n") + pack.flush()
 
@@ -65,7 +65,7 @@ def parse(member: bytes) -> tuple[dict[str, str], bytes]:
 
 def classify(pages: DataFrame) -> DataFrame:
     """(page_id, url, payload, date, digest, refers_to); refers_to is null for a response. Only digests that occur twice are joined back."""
-    date = F.date_format(F.col("date").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss'Z'") if "date" in pages.columns else F.lit(None).cast("string")
+    date = F.date_format(F.col("date").try_cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss'Z'") if "date" in pages.columns else F.lit(None).cast("string")
     p = pages.select(date.alias("date"), F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"))
     p = p.withColumn("digest", F.sha2("payload", 256))
     first = p.where(F.octet_length("payload") >= LEAST).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
@@ -76,7 +76,7 @@ def classify(pages: DataFrame) -> DataFrame:
 def write(pages: DataFrame, folder: str | None = None) -> DataFrame:
     """Write archives and return their index (a table in the scratch folder).
 
-    pages: page_id, url, html, and if there is one, a timestamp `date` (UTC in the session's time zone), else NO_DATE.
+    pages: page_id, url, html, and if there is one, a timestamp `date` (UTC in the session's time zone), else NO_DATE; so has a page whose `date` is no timestamp.
     A null url is read back as null, white space inside one is left out; a null html is an empty payload. Payloads of
     fewer than LEAST bytes are always responses. page_id should be unique; if it is not, equal ids with equal payloads are
     all responses, with the same record id.
@@ -148,9 +148,7 @@ def read(index: DataFrame, with_payload: bool = True, stretch: int = 8 << 20, ga
                 for i in range(a, b):
                     h, body = parse(data[offset[i] - offset[a]: ends[i] - offset[a]])
                     page = int(h["X-Page"]) if h["X-Page"] else None
-                    url = h["WARC-Target-URI"]
-                    if url.startswith("urn:page:"):
-                        url = None if h["X-Url"] == "null" else ""
+                    url = {"null": None, "empty": ""}.get(h["X-Url"], h["WARC-Target-URI"])
                     if h["WARC-Type"] == "revisit":
                         rows.append((page, url, "revisit", int(h["X-Refers-To-Page"]), int(h["X-Payload-Length"]), h["WARC-Payload-Digest"][7:], None))
                     else:
