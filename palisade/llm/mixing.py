@@ -46,8 +46,8 @@ def targets(sizes: DataFrame, cap: float = 3.0, cycle: int = 3) -> DataFrame:
 
 
 def uniform(key: Column) -> Column:
-    """A number in [0, 1) from the first 48 bits of md5 of the id: the same in every run."""
-    return F.conv(F.substring(F.md5(key.cast("string").cast("binary")), 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
+    """A number in [0, 1) from the first 48 bits of md5 of a string: the same in every run."""
+    return F.conv(F.substring(F.md5(key.cast("binary")), 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
 
 
 def copies(classes: DataFrame, goals: DataFrame, cap: float = 3.0) -> DataFrame:
@@ -72,23 +72,23 @@ def copies(classes: DataFrame, goals: DataFrame, cap: float = 3.0) -> DataFrame:
 def pareto_mix(docs: DataFrame, cap: float = 3.0, cycle: int = 3) -> DataFrame:
     """All columns of docs plus size, source_size, target and taken (words the mix takes of the document).
 
-    No row is dropped: documents that are not taken have taken = 0. A null text has size 0; rows that are equal are
-    told apart by doc_id only, so they share their random number and are taken together; a null id has none and gives
-    only its certain copies. A column of docs with the name of one of the four is replaced. The document that would go
+    No row is dropped: documents that are not taken have taken = 0. A null text has size 0. Rows that share an id have
+    random numbers of their own, by their text and, of equal rows, by a count; a null id has none and gives only its
+    certain copies. A column of docs with the name of one of the four is replaced. The document that would go
     over its source's target is not taken; of those after it, the one whose size is nearest to what is missing is, if
     that brings the source nearer to its target. A source's rows are never gathered: sums by bin of the rank find the
     bin in which the target is reached, and only that bin (1 / BINS of the source) is ordered exactly. All of that runs
     on (doc_id, source, size); the documents themselves only meet tables of a few rows a source.
     """
-    docs = docs.drop("source_size", "target", "taken")
-    counted = docs.withColumn("size", words(F.col("text")))
-    narrow = C.save(counted.select("doc_id", "source", "size"), "sizes")
+    docs = docs.drop("size", "source_size", "target", "taken")
+    counted = _keyed(docs)
+    narrow = C.save(counted.drop("doc"), "sizes")
     classes = C.save(narrow.groupBy("source", _bits().alias("bits")).agg(F.sum("size").alias("words")), "classes")
     goals = C.save(targets(classes.groupBy("source").agg(F.sum("words").alias("source_size")), cap, cycle), "targets")
     plan = C.save(copies(classes, goals, cap), "copies")
     rests = plan.groupBy(F.col("source").alias("_s")).agg((F.first("target") - F.sum(F.col("words") * F.col("whole"))).alias("_rest"))
     rests = C.save(rests, "rests")
-    live = _ranked(narrow, plan).where(F.col("_q").isNotNull() & (F.col("size") > 0)).select("source", "doc_id", "size", "_q")
+    live = _ranked(narrow, plan).where(F.col("_q").isNotNull() & (F.col("size") > 0)).select("source", "key", "size", "_q")
     live = live.withColumn("_bin", F.floor(F.col("_q") / (1 + F.col("_q")) * BINS))  # the same order on [0, 1]
     bins = live.groupBy("source", "_bin").agg(F.sum("size").alias("s"))
     upto = W.partitionBy("source").orderBy("_bin").rowsBetween(W.unboundedPreceding, 0)
@@ -97,25 +97,39 @@ def pareto_mix(docs: DataFrame, cap: float = 3.0, cycle: int = 3) -> DataFrame:
     edge = bins.join(C.small(rests), F.col("source").eqNullSafe(F.col("_s"))).where((F.col("_before") <= F.col("_rest")) & (F.col("_before") + F.col("s") > F.col("_rest")))
     edge = C.save(edge.select(F.col("source").alias("_s"), F.col("_bin").alias("_b"), "_before", "_rest"), "edges")
     border = live.join(C.small(edge), F.col("source").eqNullSafe(F.col("_s")) & (F.col("_bin") == F.col("_b")))
-    run = W.partitionBy("source").orderBy("_q", "doc_id").rowsBetween(W.unboundedPreceding, 0)
+    run = W.partitionBy("source").orderBy("_q", "key").rowsBetween(W.unboundedPreceding, 0)
     border = border.withColumn("_cum", F.col("_before") + F.sum("size").over(run))
     inside = F.col("_cum") <= F.col("_rest")
     cut = border.groupBy("source").agg(
-        F.max(F.when(inside, F.struct("_q", "doc_id"))).alias("_last"), F.coalesce(F.max(F.when(inside, F.col("_cum"))), F.min("_before")).alias("_got"), F.min(F.struct("_q", "doc_id")).alias("_first"), F.first("_rest").alias("_rest"))
+        F.max(F.when(inside, F.struct("_q", "key"))).alias("_last"), F.coalesce(F.max(F.when(inside, F.col("_cum"))), F.min("_before")).alias("_got"), F.min(F.struct("_q", "key")).alias("_first"), F.first("_rest").alias("_rest"))
     cut = C.save(cut.select(F.col("source").alias("_s"), "_last", "_got", "_first", "_rest"), "cuts")
     missing = F.col("_rest") - F.col("_got")
     away = F.abs(missing - F.col("size"))
     extra = live.join(C.small(cut), F.col("source").eqNullSafe(F.col("_s"))).where(~_before_cut() & (away < missing))
-    extra = extra.groupBy("source").agg(F.min(F.struct(away.alias("a"), "_q", "doc_id")).alias("_e")).select(F.col("source").alias("_x"), F.col("_e.doc_id").alias("_extra"))
+    extra = extra.groupBy("source").agg(F.min(F.struct(away.alias("a"), "_q", "key")).alias("_e")).select(F.col("source").alias("_x"), F.col("_e.key").alias("_extra"))
     cut = rests.join(cut.drop("_rest"), rests["_s"].eqNullSafe(cut["_s"]), "left").drop(cut["_s"])
     cut = C.save(cut.join(extra, F.col("_s").eqNullSafe(F.col("_x")), "left").drop("_x"), "cuts")
     goal = C.small(goals).toDF("_t", "source_size", "target")
     out = _ranked(counted, plan).join(goal, F.col("source").eqNullSafe(F.col("_t"))).drop("_t").join(C.small(cut), F.col("source").eqNullSafe(F.col("_s")), "left")
     # a source without a cut reaches its target with no document too many: all of it is inside
-    chosen = F.col("_q").isNotNull() & (F.col("_first").isNull() | _before_cut() | (F.col("doc_id") == F.col("_extra")))
+    chosen = F.col("_q").isNotNull() & (F.col("_first").isNull() | _before_cut() | (F.col("key") == F.col("_extra")))
     once = F.when(F.coalesce(chosen, F.lit(False)) & (F.col("_rest") > 0), 1).otherwise(0)
     taken = (F.col("size") * (F.coalesce("_whole", F.lit(0)) + once)).cast("long")
-    return out.select(*[c for c in docs.columns if c != "size"], "size", "source_size", "target", taken.alias("taken"))
+    return out.select("doc.*", "size", "source_size", "target", taken.alias("taken"))
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """(doc, source, size, key): a document as one column, so that no name of its own can clash, and what tells it from all
+    others: its id, and for the rows of an id that occurs more than once also a hash of the text and a count. Only those
+    rows are shuffled, by id and hash."""
+    d = docs.select(F.struct("*").alias("doc"), "source", words(F.col("text")).alias("size"), F.col("doc_id").cast("string").alias("key"))
+    repeated = C.save(docs.where("doc_id is not null").groupBy(F.col("doc_id").cast("string").alias("key")).count().where("count > 1").select("key"), "repeated")
+    if not repeated.count():
+        return d
+    again = d.join(C.small(repeated), "key", "left_semi").withColumn("h", F.xxhash64("doc.text", "source"))
+    nth = F.row_number().over(W.partitionBy("key", "h").orderBy("size"))
+    again = again.withColumn("key", F.concat_ws("/", "key", F.col("h").cast("string"), nth.cast("string")))
+    return d.join(C.small(repeated), "key", "left_anti").unionByName(again.select(*d.columns))
 
 
 def _bits() -> Column:
@@ -127,10 +141,10 @@ def _ranked(d: DataFrame, plan: DataFrame) -> DataFrame:
     """d plus whole copies and the rank: random odds over inclusion odds."""
     plan = C.small(plan).select(F.col("source").alias("_c"), F.col("bits").alias("_n"), F.col("whole").alias("_whole"), F.col("p").alias("_p"))
     d = d.join(plan, F.col("source").eqNullSafe(F.col("_c")) & (_bits() == F.col("_n")), "left").drop("_c", "_n")
-    p, u = F.col("_p"), uniform(F.col("doc_id"))
+    p, u = F.col("_p"), uniform(F.col("key"))
     return d.withColumn("_q", F.when(p > 0, (u / (1 - u)) / (p / (1 - p)))).drop("_p")
 
 
 def _before_cut() -> Column:
-    rank = F.struct(F.col("_q"), F.col("doc_id"))
+    rank = F.struct(F.col("_q"), F.col("key"))
     return F.when(F.col("_last").isNotNull(), rank <= F.col("_last")).otherwise(rank < F.col("_first"))

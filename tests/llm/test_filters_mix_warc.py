@@ -155,7 +155,28 @@ def test_mix_odd_rows(make_docs):
     own = docs.withColumns({"source_size": F.lit("own"), "target": F.lit("own"), "taken": F.lit("own"), "size": F.lit("own"), "bits": F.lit("own"), "words": F.lit("own")})
     out = mixing.pareto_mix(own).collect()
     assert len(out) == 53 and {r["bits"] for r in out} == {"own"} and {r["source_size"] for r in out} == {7, 200}
-    assert len({r["taken"] for r in out if r["doc_id"] == 1}) == 1
+
+
+def test_mix_names_of_its_own(make_docs):
+    """No column of the caller clashes with those used inside, nor is it changed."""
+    plain = make_docs([(i, "w " * (i % 30 + 1), None, ("a", "b", None)[i % 3]) for i in range(200)])
+    names = ("_s", "_c", "_n", "_t", "_x", "_b", "_whole", "_extra", "_rest", "_q", "_p", "_last", "_got", "_first", "key", "doc", "h", "g", "bits", "whole", "p", "count")
+    own = plain.withColumns({n: F.lit("own") for n in names})
+    out = mixing.pareto_mix(own)
+    assert out.columns == [*own.columns, "size", "source_size", "target", "taken"]
+    rows = out.collect()
+    assert all(r[n] == "own" for r in rows for n in names)
+    assert {(r["doc_id"], r["taken"]) for r in rows} == {(r["doc_id"], r["taken"]) for r in mixing.pareto_mix(plain).collect()}
+
+
+def test_mix_repeated_ids_meet_the_target(make_docs):
+    docs = make_docs([*[(7, "w " * 50, None, "a")] * 100, *[(8, f"{i} " * 50, None, "a") for i in range(100)], *[(i, "x " * 50, None, "b") for i in range(100, 140)]])
+    out = mixing.pareto_mix(docs).orderBy("doc_id", "text", "taken").collect()
+    assert len(out) == 240 and all(r["taken"] % 50 == 0 and r["taken"] <= 150 for r in out)
+    for source in "ab":
+        own = [r for r in out if r["source"] == source]
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 25
+    assert out == mixing.pareto_mix(docs.repartition(9)).orderBy("doc_id", "text", "taken").collect()
 
 
 def pages(spark):
@@ -223,3 +244,10 @@ def test_warc_repeated_ids(spark):
     p = spark.createDataFrame([(1, "u", "x" * 200), (1, "u", "x" * 200), (2, "u", "x" * 200), (1, "v", "y" * 200)], "page_id long, url string, html string")
     got = sorted((r["page_id"], r["record_type"], r["refers_to"], bytes(r["payload"] or b"")[:1]) for r in warc.read(warc.write(p)).collect())
     assert got == [(1, "response", None, b"x"), (1, "response", None, b"x"), (1, "response", None, b"y"), (2, "revisit", 1, b"")]
+
+
+def test_warc_odd_dates_and_urls(spark):
+    """A date that is none, and urls that look like the names that pages without a url get."""
+    df = spark.createDataFrame([(1, "urn:page:5", "x" * 120, "last week"), (2, None, "y", None), (3, " ", "z", "2024-05-01 10:00:00"), (4, "http://a.b/", "x" * 120, "soon")], "page_id long, url string, html string, date string")
+    out = {r["page_id"]: r for r in warc.read(warc.write(df)).collect()}
+    assert {k: r["url"] for k, r in out.items()} == {1: "urn:page:5", 2: None, 3: "", 4: "http://a.b/"} and out[4]["refers_to"] == 1
