@@ -19,7 +19,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from . import common as C
 
@@ -31,9 +31,14 @@ _UPPER, _REST, _ODD = bytes(range(65, 91)), bytes(range(0x80, 0xC0)), b"#$%&*|"
 SLICE, PASS = 1 << 20, 8 << 20
 #: Rows of a task among which copies are looked for before the state is asked.
 LOCAL_ROWS = 1 << 15
-MASKS = "key string, doc_id long, part string, mask int, n long"
-STATE = "low long, held string"
-DELTAS = "doc_id long, part string, mask int, n long"
+DELTAS = "doc_id long, known boolean, part string, mask int, n long"
+MASKS = f"key string, {DELTAS}"
+#: Settings of the state store while the stream runs: state on disk instead of the heap, logs of changes instead of whole
+#: files, and no disk set aside for stores that may be small.
+STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+         "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true", "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false"}
+#: Buckets of texts for each partition of the state.
+BUCKETS = 8
 
 
 def _slices(b: bytes, size: int) -> Iterator[bytes]:
@@ -84,11 +89,11 @@ def _features(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rows = 0
 
     def flush():
-        out = [(k, i, p, m, n) for k, (i, first) in held.items() for (p, m), n in first.items()] + sure + [("", None, p, m, n) for (p, m), n in nameless.items()]
+        out = [(k, i, True, p, m, n) for k, (i, first) in held.items() for (p, m), n in first.items()] + sure + [("", 0, False, p, m, n) for (p, m), n in nameless.items()]
         for x in (held, sure, nameless):
             x.clear()
-        cols = list(zip(*out)) if out else [()] * 5
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int64()))], ["key", "doc_id", "part", "mask", "n"])
+        cols = list(zip(*out)) if out else [()] * 6
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.bool_(), pa.string(), pa.int32(), pa.int64()))], ["key", "doc_id", "known", "part", "mask", "n"])
 
     for batch in batches:
         for doc, part, text in zip(*(batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "part", "text")), strict=True):
@@ -101,10 +106,10 @@ def _features(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             key = hashlib.sha256(b).hexdigest()
             low, first = held.get(key, (i, Counter()))
             if i > low:
-                sure.append(("", i, p, m | COPY, 1))
+                sure.append(("", i, True, p, m | COPY, 1))
                 continue
             if i < low:
-                sure += [("", low, q, x | COPY, k) for (q, x), k in first.items()]
+                sure += [("", low, True, q, x | COPY, k) for (q, x), k in first.items()]
                 first = Counter()
             first[p, m] += 1
             held[key] = (i, first)
@@ -114,31 +119,45 @@ def _features(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield flush()
 
 
-def _retract(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Changes (DELTAS) that the new rows of a text make; the state is its smallest id and what is counted for it."""
-    if not key[0]:
-        for pdf in pdfs:
-            yield pdf[["doc_id", "part", "mask", "n"]]
-        return
-    low, first = None, {}
-    if state.exists:
-        low, held = state.get
-        first = {(p, m): n for p, m, n in json.loads(held)}
-    for pdf in pdfs:
-        out: list[tuple] = []
-        for doc, part, m, n in zip(pdf["doc_id"].tolist(), pdf["part"].tolist(), pdf["mask"].tolist(), pdf["n"].tolist(), strict=True):
-            if low is not None and doc > low:
-                out.append((doc, part, m | COPY, n))
-                continue
-            if low is not None and doc < low:
-                for (p, x), k in first.items():
-                    out += [(low, p, x, -k), (low, p, x | COPY, k)]
-                first = {}
-            low = doc
-            first[part, m] = first.get((part, m), 0) + n
-            out.append((doc, part, m, n))
-        yield pd.DataFrame(out, columns=["doc_id", "part", "mask", "n"]).astype({"doc_id": "int64", "mask": "int32", "n": "int64"})
-    state.update((low, json.dumps([[p, m, n] for (p, m), n in first.items()])))
+class _Retract(StatefulProcessor):
+    """Changes (DELTAS) that new rows of a bucket of texts make. The state maps a text's digest to its smallest id and to
+    what is counted for that; each entry is a row of the state store, only those of the texts that come are read. Buckets
+    save calls into Python, which would cost far more than the work if each text were a group."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.texts = handle.getMapState("texts", "key string", "low long, held string")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        begun = self.texts.exists()
+        for pdf in rows:
+            out, here = [], {}
+            for text, doc, known, part, m, n in zip(*(pdf[c].tolist() for c in ("key", "doc_id", "known", "part", "mask", "n")), strict=True):
+                if not text:  # counted as it is
+                    out.append((doc, known, part, m, n))
+                    continue
+                if text not in here:
+                    old = self.texts.getValue((text,)) if begun else None
+                    here[text] = [None, {}, False] if old is None else [old[0], {(p, x): k for p, x, k in json.loads(old[1])}, False]
+                entry = here[text]
+                low, first, _ = entry
+                if low is not None and doc > low:
+                    out.append((doc, True, part, m | COPY, n))
+                    continue
+                if low is not None and doc < low:
+                    for (p, x), k in first.items():
+                        out += [(low, True, p, x, -k), (low, True, p, x | COPY, k)]
+                    first.clear()
+                first[part, m] = first.get((part, m), 0) + n
+                entry[0], entry[2] = doc, True
+                out.append((doc, True, part, m, n))
+            for text, (low, first, changed) in here.items():
+                if changed:
+                    self.texts.updateValue((text,), (low, json.dumps([[p, x, k] for (p, x), k in first.items()])))
+            begun = begun or bool(here)
+            yield pd.DataFrame(out, columns=["doc_id", "known", "part", "mask", "n"]).astype({"doc_id": "int64", "known": "bool", "mask": "int32", "n": "int64"})
+
+    def close(self) -> None:
+        pass
 
 
 def counters(docs: DataFrame, labels: DataFrame, folder: str | None = None) -> DataFrame:
@@ -154,23 +173,24 @@ def counters(docs: DataFrame, labels: DataFrame, folder: str | None = None) -> D
     C.narrow_batches(spark)
     known = labels.groupBy(F.col("doc_id").alias("id")).agg(F.max((F.col("quality") == 1).cast("int")).alias("good"), F.max((F.col("toxic") == 1).cast("int")).alias("toxic"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("part"), "text").mapInArrow(_features, MASKS)
-    # rows that need no state are dealt by their id; those without one are few sums, and apart (pandas has no null long)
-    group = F.when(F.col("key") != "", -1).when(F.col("doc_id").isNull(), -2).otherwise(F.pmod(F.hash("doc_id"), F.lit(16 * C.partitions(spark))))
-    changes = rows.withColumn("spread", group).groupBy("key", "spread").applyInPandasWithState(_retract, DELTAS, STATE, "append", "NoTimeout")
+    buckets = F.lit(BUCKETS * C.partitions(spark))
+    rows = rows.withColumn("bucket", F.pmod(F.when(F.col("key") != "", F.xxhash64("key")).otherwise(F.xxhash64("doc_id")), buckets))
+    changes = rows.groupBy("bucket").transformWithStateInPandas(statefulProcessor=_Retract(), outputStructType=DELTAS, outputMode="append", timeMode="None")
 
     def write(batch: DataFrame, number: int) -> None:
-        by = batch.groupBy("doc_id", "part", "mask").agg(F.sum("n").alias("n")).where("n != 0")
+        by = batch.groupBy(F.when(F.col("known"), F.col("doc_id")).alias("doc_id"), "part", "mask").agg(F.sum("n").alias("n")).where("n != 0")
         by = by.join(known, by["doc_id"] == known["id"], "left").groupBy("part", "mask", F.coalesce("good", F.lit(0)).alias("good"), F.coalesce("toxic", F.lit(0)).alias("toxic")).agg(F.sum("n").alias("n"))
         by.write.mode("overwrite").parquet(f"{folder}/counters/batch={number}")
 
-    provider = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(provider)
-    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")  # state on disk, not in the heap
+    before = {k: spark.conf.get(k, None) for k in STORE}
+    for k, v in STORE.items():
+        spark.conf.set(k, v)
     try:
         query = changes.writeStream.outputMode("append").option("checkpointLocation", f"{folder}/checkpoint").foreachBatch(write).trigger(availableNow=True).start()
         query.awaitTermination()
     finally:
-        spark.conf.set(provider, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     if not _exists(spark, f"{folder}/counters"):
         return spark.createDataFrame([], "part string, mask int, good int, toxic int, n long")
     return spark.read.schema("part string, mask int, good int, toxic int, n long").parquet(f"{folder}/counters/batch=*").groupBy("part", "mask", "good", "toxic").agg(F.sum("n").alias("n")).where("n != 0")
