@@ -10,7 +10,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from palisade.functions import scalars as S
-from palisade.plans.ordered import halo
+from palisade.plans.ordered import carried, halo
+from palisade.plans.scratch import save
 from palisade.thresholds import DEFAULTS, Thresholds
 
 CORE = ("connection_rate", "traffic_volume", "port_diversity")
@@ -45,22 +46,31 @@ def aggregate_windows(log: DataFrame, window: str = "60 seconds") -> DataFrame:
 def anchored_windows(log: DataFrame, seconds: float, by: str = "log_id") -> DataFrame:
     """Windows that open with the first event of a log: one at or after start + seconds closes it and opens the next.
 
-    A row dated before the open window belongs to it. Only distinct times of a log stream are folded, in order; one
-    log stream is one ordered task, so use this for parity and aligned windows for size.
+    A row dated before the open window belongs to it. A log of any size is cut up: each distinct time points to the first
+    one that would close a window opened there (a scan from the end); which of them do open one follows by pointer
+    doubling from the first, in as many rounds as the number of windows has binary digits. Rows without a time are in no
+    window.
     """
-    times = log.select(by, F.unix_micros(F.col("ts").cast("timestamp")).alias("t")).distinct()
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("t")
-        starts, start = [], None
-        for t in pdf["t"]:
-            if start is None or t >= start + seconds * 1_000_000:
-                start = t
-            starts.append(start)
-        return pdf.assign(start=starts)
-
-    opened = times.groupBy(by).applyInPandas(fold, f"{by} {log.schema[by].dataType.simpleString()}, t long, start long")
-    keyed = log.withColumn("t", F.unix_micros(F.col("ts").cast("timestamp"))).join(opened, [by, "t"])
+    keyed = log.withColumn("t", F.unix_micros(F.col("ts").cast("timestamp")))
+    times = save(keyed.where("t is not null").select(F.col(by).alias("k"), "t").distinct(), "times")
+    # from the end: at t + seconds, the last time passed is the first one not before it
+    at = times.select("k", (-F.col("t")).alias("o"), F.lit(0).alias("nth"), "t").unionByName(times.select("k", (-F.col("t") - int(seconds * 1_000_000)).alias("o"), F.lit(1).alias("nth"), "t"))
+    hops = carried(at, ["k"], ["o", "nth"], F.when(F.col("nth") == 0, F.col("t")), "to").where("nth = 1").select("k", "t", "to")
+    hops = save(hops.where("to is not null"), "hops")
+    starts = times.groupBy("k").agg(F.min("t").alias("t"))
+    while True:
+        starts = save(starts, "starts")
+        same = lambda a, b: a["k"].eqNullSafe(b["k"])
+        more = starts.alias("s").join(hops.alias("h"), same(starts, hops) & (starts["t"] == hops["t"])).select(F.col("s.k"), F.col("h.to").alias("t"))
+        more = save(more, "more")
+        if more.isEmpty():
+            break
+        starts = starts.unionByName(more)
+        next_, last = hops.toDF("k2", "t2", "to2"), hops
+        hops = save(last.join(next_, last["k"].eqNullSafe(next_["k2"]) & (last["to"] == next_["t2"])).select("k", "t", F.col("to2").alias("to")), "hops")
+    opened = times.join(starts.withColumn("start", F.col("t")).withColumnsRenamed({"k": "k2", "t": "t2"}), F.col("k").eqNullSafe(F.col("k2")) & (F.col("t") == F.col("t2")), "left")
+    opened = carried(opened.select("k", "t", "start"), ["k"], ["t"], F.col("start"), "opened").select("k", F.col("t").alias("_t"), F.col("opened").alias("start"))
+    keyed = keyed.join(opened, F.col(by).eqNullSafe(F.col("k")) & (F.col("t") == F.col("_t")))
     out = keyed.groupBy(by, "source", "start").agg(*_measures(seconds))
     return out.withColumn("ts", F.timestamp_micros("start").cast("timestamp_ntz")).drop("start")
 

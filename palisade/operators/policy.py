@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palisade.functions import scalars as S
+from palisade.plans.ordered import carried
 
 
 def cipher_policy(negotiations: DataFrame, floor: str = "null") -> DataFrame:
@@ -21,10 +22,14 @@ def role_violations(calls: DataFrame, roles: DataFrame) -> DataFrame:
 
 
 def apply_grace(threats: DataFrame, members: DataFrame) -> DataFrame:
-    """Threats without those of members in their grace time. members: (source, joined_at, grace_until)."""
-    m = members.select(F.col("source").alias("_s"), "joined_at", "grace_until")
-    on = (F.col("source") == F.col("_s")) & (F.col("joined_at") <= F.col("detected_at")) & (F.col("detected_at") < F.col("grace_until"))
-    return threats.join(m, on, "left_anti")
+    """Threats without those of members in their grace time. members: (source, joined_at, grace_until); times of a member
+    may overlap. The latest grace_until of what a source has joined so far is carried along its threats."""
+    kind = threats.schema["detected_at"].dataType
+    m = members.select(F.lit(None).alias("_row"), F.col("source").alias("_s"), F.col("joined_at").cast(kind).alias("_t"), F.lit(0).alias("_nth"), F.col("grace_until").cast(kind).alias("_until"))
+    t = threats.select(F.struct(*threats.columns).alias("_row"), F.col("source").alias("_s"), F.col("detected_at").alias("_t"), F.lit(1).alias("_nth"), F.lit(None).alias("_until"))
+    m = m.where("_s is not null and _t is not null")
+    c = carried(m.unionByName(t), ["_s"], ["_t", "_nth"], F.col("_until"), "_grace", how="max")
+    return c.where(F.col("_row").isNotNull() & ~F.coalesce(F.col("_t") < F.col("_grace"), F.lit(False))).select("_row.*")
 
 
 # --- rules: (rule_id, field, lo, hi); a rule fires where lo <= value < hi ----------------------

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from palisade.functions import scalars as S
 from palisade.operators import observations as O
+from palisade.plans.ordered import carried
 from palisade.thresholds import DEFAULTS, Thresholds
 
 
@@ -64,17 +64,27 @@ def drop_quarantined(calls: DataFrame, q: DataFrame) -> tuple[DataFrame, DataFra
 
 
 def quarantine_intervals(changes: DataFrame, order: tuple[str, ...] = ("ts", "event_id")) -> DataFrame:
-    """(source, start, end, threat_id) from enter and release rows: a new enter replaces the old, end is null if open."""
-    nxt = F.lead("ts").over(W.partitionBy("source").orderBy(*order))
-    return changes.withColumn("end", nxt).where("op = 'enter'").select("source", F.col("ts").alias("start"), "end", "threat_id")
+    """(source, start, end, threat_id) from enter and release rows: a new enter replaces the old, end is null if open.
+    `order` begins with the time, the rest are numbers. Read from the end, the time of the next change is carried along,
+    so one source may hold any number of changes."""
+    d = changes.select("source", "op", "threat_id", F.col(order[0]).alias("start"), (-F.unix_micros(F.col(order[0]).cast("timestamp"))).alias("_o0"), *[(-F.col(c)).alias(f"_o{i + 1}") for i, c in enumerate(order[1:])])
+    d = carried(d, ["source"], [f"_o{i}" for i in range(len(order))], F.col("start"), "end", inclusive=False)
+    return d.where("op = 'enter'").select("source", "start", "end", "threat_id")
 
 
 def quarantined_at(df: DataFrame, intervals: DataFrame) -> DataFrame:
     """df plus whether its source was in quarantine at ts, and by which threat. Intervals of a source do not overlap,
-    except that one may start in the instant in which another ends; it then has no length and never matches."""
-    i = intervals.select(F.col("source").alias("_s"), F.col("start").alias("_a"), F.col("end").alias("_b"), F.col("threat_id").alias("q_threat"))
-    on = (F.col("source") == F.col("_s")) & (F.col("_a") <= F.col("ts")) & (F.col("_b").isNull() | (F.col("ts") < F.col("_b")))
-    return df.join(i, on, "left").withColumn("quarantined", F.col("_s").isNotNull()).drop("_s", "_a", "_b")
+    except that one may start in the instant in which another ends; it then has no length and never matches.
+
+    An as-of join without a join: events and intervals in one order, the last interval carried along its source."""
+    kind = df.schema["ts"].dataType
+    of = lambda row, source, ts, nth, q: (row.alias("_row"), source.alias("_s"), ts.cast(kind).alias("_t"), nth.alias("_nth"), q.alias("_q"))
+    held = F.struct(F.col("end").cast(kind).alias("end"), "threat_id")
+    i = intervals.where("source is not null").select(*of(F.lit(None), F.col("source"), F.col("start"), F.when(F.col("end") <= F.col("start"), 0).otherwise(1), held))
+    rows = df.select(*of(F.struct(*df.columns), F.col("source"), F.col("ts"), F.lit(2), F.lit(None)))
+    c = carried(i.unionByName(rows), ["_s"], ["_t", "_nth"], F.col("_q"), "_held").where(F.col("_row").isNotNull())
+    hit = F.coalesce(F.col("_held").isNotNull() & F.col("_t").isNotNull() & (F.col("_held.end").isNull() | (F.col("_t") < F.col("_held.end"))), F.lit(False))
+    return c.select("_row.*", F.when(hit, F.col("_held.threat_id")).alias("q_threat"), hit.alias("quarantined"))
 
 
 def defense_status(q: DataFrame, enabled: bool = True, auto_response: bool = True) -> DataFrame:

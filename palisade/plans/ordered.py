@@ -38,3 +38,27 @@ def halo(df: DataFrame, key: list[str], order: list[str], size: int, columns: Ca
     both = d.withColumn("_halo", F.lit(False)).unionByName(tail)
     window = W.partitionBy(*key, "_b").orderBy("_r")
     return both.withColumns(columns(window)).where(~F.col("_halo")).drop("_r", "_b", "_halo")
+
+
+def carried(df: DataFrame, key: list[str], order: list[str], value: Column, name: str, how: str = "last", inclusive: bool = True) -> DataFrame:
+    """df plus `name`: the last value that is not null (or the greatest so far) among the rows of the key up to each row,
+    itself included or not. Rows with equal `order` should have equal values, or be told apart by it.
+
+    A segmented scan: rows are range-partitioned by key and order, so one key may fill many partitions; each is scanned by
+    itself, and what its earlier partitions carry into it is a second scan over one row for each key and partition. Only
+    keys that cross a border have such a row with a value, at most two for each partition.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    d = save(df.withColumn("_scan_v", value).repartitionByRange(n, *key, *order).withColumn("_scan_p", F.spark_partition_id()), "ranged")
+    scan = (lambda c, w: F.last(c, ignorenulls=True).over(w)) if how == "last" else (lambda c, w: F.max(c).over(w))
+    end = F.max_by("_scan_v", F.when(F.col("_scan_v").isNotNull(), F.struct(*order))) if how == "last" else F.max("_scan_v")
+    ends = d.groupBy(*key, "_scan_p").agg(end.alias("_scan_end"))
+    earlier = scan("_scan_end", W.partitionBy(*key).orderBy("_scan_p").rowsBetween(W.unboundedPreceding, -1))
+    ends = ends.select(*[F.col(k).alias(f"_scan_k{i}") for i, k in enumerate(key)], F.col("_scan_p").alias("_scan_q"), earlier.alias("_scan_earlier")).where(F.col("_scan_earlier").isNotNull())
+    on = F.col("_scan_p") == F.col("_scan_q")
+    for i, k in enumerate(key):
+        on = on & F.col(k).eqNullSafe(F.col(f"_scan_k{i}"))
+    inner = scan("_scan_v", W.partitionBy(*key, "_scan_p").orderBy(*order).rowsBetween(W.unboundedPreceding, 0 if inclusive else -1))
+    joined = d.withColumn("_scan_inner", inner).join(F.broadcast(ends), on, "left")
+    both = F.coalesce("_scan_inner", "_scan_earlier") if how == "last" else F.greatest("_scan_inner", "_scan_earlier")
+    return joined.withColumn(name, both).select(*df.columns, name)
