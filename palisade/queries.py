@@ -819,6 +819,7 @@ def s5_threat_ingest(spark, d):
 QUERIES |= SQ.QUERIES
 ORACLE_SQL |= {
     "s3_stream_log_tail": f"WITH {_GOOD} SELECT source, uri, status, size, ts FROM good",
+    "s3_tail_growing_logs": f"WITH {_GOOD} SELECT source, uri, status, size, ts FROM good",
     "s6_quarantine_snapshot": f"WITH {_HELD} SELECT * FROM held",
     "s7_forward_audit": f"WITH {_AUD} SELECT sink, seq, severity FROM seqd, (VALUES ('provenance'), ('attestation')) v(sink) WHERE severity <> 'Info'",
     "t1_t2_stream_windows": f"WITH {_OBS} SELECT source, ts, traffic_volume, path_diversity, method_diversity, round(error_rate_4xx, 6) AS error_rate_4xx FROM obs WHERE ts + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR",

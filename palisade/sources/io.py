@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from palisade import schemas
 from palisade.functions import scalars as S
+from palisade.sources.tail import Tail
 
 
 def parse_log(lines: DataFrame) -> DataFrame:
@@ -43,6 +44,13 @@ def stream_access_log(spark: SparkSession, folder: str, files_per_batch: int = 1
     return entries(parse_log(spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(folder)))
 
 
+def tail_access_log(spark: SparkSession, folder: str, range_bytes: int = 32 << 20) -> DataFrame:
+    """Log files that grow and are rotated in a folder: every whole line once, also over restarts with the same checkpoint,
+    whose offsets are byte positions. Rotate within the folder."""
+    spark.dataSource.register(Tail)
+    return entries(parse_log(spark.readStream.format("log_tail").option("path", folder).option("range_bytes", range_bytes).load()))
+
+
 def union_sources(**sources: DataFrame) -> DataFrame:
     """Entries of several log sources with their origin; missing columns are null."""
     frames = [d.withColumn("origin", F.lit(name)) for name, d in sources.items()]

@@ -74,6 +74,46 @@ def s3_stream_log_tail(spark, d):
     return ntz(out, "ts").select("source", "uri", "status", "size", "ts")
 
 
+def _write_logs(path: str, grown: bool):
+    """A task's lines (part, value; in order) as log files. At first those of part 0 and the beginning of another line; when
+    grown, those of part 1 as well, and every second file is rotated: part 2 stands in a new file of its name."""
+    def write(batches):
+        from pyspark import TaskContext
+
+        from palisade.sources.tail import _open
+
+        me = TaskContext.get().partitionId()
+        system, root = _open(path)
+        system.create_dir(root, recursive=True)
+        rotated = grown and me % 2
+        older = system.open_output_stream(f"{root}/{me}.log.1" if rotated else f"{root}/{me}.log")
+        newer = system.open_output_stream(f"{root}/{me}.log") if rotated else older
+        with older, newer:
+            for batch in batches:
+                for part, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    if part == 0 or grown:
+                        (newer if part == 2 else older).write(f"{value}\n".encode())
+            if not grown:
+                older.write(b'{"request": {"remote')
+        yield from ()
+
+    return write
+
+
+def s3_tail_growing_logs(spark, d):
+    """Log files that grow, and are rotated, between two runs of a stream that follows them by byte position."""
+    from palisade.plans.scratch import save
+    from palisade.queries import json_lines
+
+    path, out, checkpoint = folder(spark, "logs"), folder(spark, "out"), folder(spark, "checkpoint")
+    lines = save(json_lines(spark, d).select(F.pmod(F.hash("value"), F.lit(3)).alias("part"), "value").repartition(STATE_PARTITIONS), "lines").sortWithinPartitions("part", "value")
+    stream = io.tail_access_log(spark, path, 1 << 16)
+    for grown in (False, True):
+        lines.mapInArrow(_write_logs(path, grown), "part int").count()
+        run(stream, out, checkpoint)
+    return ntz(spark.read.schema(stream.schema).parquet(out), "ts").select("source", "uri", "status", "size", "ts")
+
+
 def s7_forward_audit(spark, d):
     """Audit events of Warn and above to two sinks; the rows of both."""
     audit = as_stream(A.with_seq(T.audit_events(spark, d), "ts", "event_id"), "audit")
@@ -159,4 +199,4 @@ def z15_export(spark, d):
     return spark.read.schema(e.schema).option("header", "true").csv(path)
 
 
-QUERIES = {f.__name__: f for f in (s3_stream_log_tail, s6_quarantine_snapshot, s7_forward_audit, t1_t2_stream_windows, t2_late_rows, t3_stream_flush, t4_stream_observations, t4_stream_profile, t5_stream_connectivity, t6_stream_counter_rate, t7_stream_quarantine, z15_export)}
+QUERIES = {f.__name__: f for f in (s3_stream_log_tail, s3_tail_growing_logs, s6_quarantine_snapshot, s7_forward_audit, t1_t2_stream_windows, t2_late_rows, t3_stream_flush, t4_stream_observations, t4_stream_profile, t5_stream_connectivity, t6_stream_counter_rate, t7_stream_quarantine, z15_export)}
