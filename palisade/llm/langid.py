@@ -9,6 +9,7 @@ all of those rows reach.
 
 from __future__ import annotations
 
+import pickle
 from dataclasses import dataclass
 
 import numpy as np
@@ -77,10 +78,10 @@ def _features(batches):
 def train(docs: DataFrame, sample_rows: int = 4000, steps: int = 600, seed: int = 1, rejected: float = 0.005, most_languages: int = 1000) -> LanguageModel | None:
     """Learn from rows with a text and a language. None if there are none.
 
-    sample_rows bounds the rows that reach the driver (about sample_rows / languages of each language, chosen by
-    a hash of doc_id); each carries at most 2^14 buckets, so the driver's share is bounded too. `rejected` is the
+    sample_rows bounds the rows that are learned from, in one task (about sample_rows / languages of each language, chosen by
+    a hash of doc_id); each carries at most 2^14 buckets, so that task's share is bounded too. `rejected` is the
     share of good texts whose log-odds may lie below the value of which half is the threshold. Rows that repeat an id
-    all count. Only the most_languages most frequent labels are learned, which bounds the driver's share for a dirty column.
+    all count. Only the most_languages most frequent labels are learned, which bounds the model for a dirty column.
     """
     C.narrow_batches(docs.sparkSession)
     docs = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull())
@@ -91,10 +92,21 @@ def train(docs: DataFrame, sample_rows: int = 4000, steps: int = 600, seed: int
     each = max(1, sample_rows // len(counts))
     parts = F.coalesce(*[F.when(F.col("lang") == k, F.lit(C.share(docs.sparkSession, n, each))) for k, n in counts.items()])
     chosen = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 30)) < parts * (1 << 30))
-    got = C.with_text_only(chosen, "doc_id", "lang").mapInArrow(_features, "lang string, buckets binary, counts binary").where("length(buckets) > 0").collect()
+    features = C.with_text_only(chosen, "doc_id", "lang").mapInArrow(_features, "lang string, buckets binary, counts binary").where("length(buckets) > 0")
     languages = tuple(sorted(counts))
-    if not got:
-        return None
+
+    def fit(batches):
+        """One task fits the model to the sample, so that the driver sees nothing but the model."""
+        got = [r for batch in batches for r in batch.to_pylist()]
+        if got:
+            yield pa.RecordBatch.from_pydict({"model": [pickle.dumps(_fit(got, languages, steps, seed, rejected))]})
+
+    fitted = features.repartition(1).mapInArrow(fit, "model binary").collect()
+    return pickle.loads(fitted[0]["model"]) if fitted else None
+
+
+def _fit(got: list[dict], languages: tuple[str, ...], steps: int, seed: int, rejected: float) -> LanguageModel:
+    """Stochastic gradient descent over the sampled rows (lang, buckets, counts), then temperature and threshold."""
     got.sort(key=lambda r: (r["lang"], r["buckets"], r["counts"]))  # the same model however the rows were partitioned
     code = {k: i for i, k in enumerate(languages)}
     y = np.array([code[r["lang"]] for r in got])
@@ -105,7 +117,7 @@ def train(docs: DataFrame, sample_rows: int = 4000, steps: int = 600, seed: int
     for r in got:
         c = np.frombuffer(r["counts"], np.int32)
         sparse.append((np.frombuffer(r["buckets"], np.uint16), (c / c.sum()).astype(np.float32)))
-    del got
+    got.clear()
 
     def dense(rows):
         x = np.zeros((len(rows), 1 << BITS), np.float32)
