@@ -202,7 +202,8 @@ def seasonal_baseline(obs: DataFrame, value: str, *key: str) -> DataFrame:
 
 
 def reset_baseline(obs: DataFrame, resets: DataFrame, seed: DataFrame | None = None) -> DataFrame:
-    """Observations after the last reset (source, reset_at) of their source, with optional seed rows."""
+    """Observations after the last reset (source, reset_at) of their source, with optional seed rows. Make seeds for the
+    sources of `resets`: one without rows after its reset starts from its seed alone."""
     last = resets.groupBy("source").agg(F.max("reset_at").alias("reset_at"))
     kept = obs.join(last, "source", "left").where("reset_at is null or ts > reset_at").drop("reset_at")
     return kept if seed is None else kept.unionByName(seed, allowMissingColumns=True)

@@ -587,13 +587,14 @@ def r6_audit_events(spark, d):
     return out.groupBy("kind", "severity").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"WITH {_OBS}, kept AS (SELECT source, traffic_volume FROM obs WHERE ts > TIMESTAMP '2024-01-15' OR source >= '10.0.0.5') SELECT source, count(*) + 12 AS n, CAST(sum(traffic_volume) + 31744 AS BIGINT) AS total FROM kept GROUP BY source")
+@query(f"WITH {_OBS}, kept AS (SELECT source, traffic_volume FROM obs WHERE ts > CASE WHEN source < '10.0.0.2' THEN TIMESTAMP '2030-01-01' WHEN source < '10.0.0.5' THEN TIMESTAMP '2024-01-15' ELSE TIMESTAMP '1970-01-01' END) SELECT s.source, count(k.source) + 12 AS n, CAST(coalesce(sum(k.traffic_volume), 0) + 31744 AS BIGINT) AS total FROM (SELECT DISTINCT source FROM obs) s LEFT JOIN kept k ON k.source = s.source GROUP BY s.source")
 def r7_reset_baseline(spark, d):
-    """Sources below 10.0.0.5 are reset in the middle of the month; all get seed rows."""
+    """Sources below 10.0.0.5 are reset in the middle of the month, those below 10.0.0.2 again after its end, so that none
+    of their rows is left; all get seed rows."""
     o = observed(spark, d)
-    resets = o.where("source < '10.0.0.5'").select("source", F.lit("2024-01-15").cast("timestamp_ntz").alias("reset_at"))
-    kept = O.reset_baseline(o, resets)
-    out = kept.unionByName(O.seed_observations(spark, kept), allowMissingColumns=True)
+    at = lambda below, t: o.where(F.col("source") < below).select("source", F.lit(t).cast("timestamp_ntz").alias("reset_at"))
+    resets = at("10.0.0.5", "2024-01-15").unionByName(at("10.0.0.2", "2030-01-01"))
+    out = O.reset_baseline(o, resets, O.seed_observations(spark, o.select("source").unionByName(resets.select("source"))))
     return out.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum("traffic_volume").cast("bigint").alias("total"))
 
 
