@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from math import isfinite
+
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,11 +38,58 @@ def apply_grace(threats: DataFrame, members: DataFrame) -> DataFrame:
 
 # --- rules: (rule_id, field, lo, hi); a rule fires where lo <= value < hi ----------------------
 
-def fired(rows: DataFrame, rules: DataFrame, key: list[str], fields: list[str]) -> DataFrame:
-    """(key, rule_id): an equi join on the field with the range as condition. Null bounds are open."""
-    long = rows.select(*key, *[F.col(f).cast("double").alias(f) for f in fields]).unpivot(key, fields, "field", "value").where("value is not null")
-    on = (F.col("field") == F.col("_f")) & (F.col("lo").isNull() | (F.col("value") >= F.col("lo"))) & (F.col("hi").isNull() | (F.col("value") < F.col("hi")))
-    return long.join(rules.select("rule_id", F.col("field").alias("_f"), "lo", "hi"), on).select(*key, "rule_id").distinct()
+def _place(c: Column) -> Column:
+    """A value's place in the order of cells: NaN stands above all numbers, as in comparisons, and zero has one sign."""
+    return F.when(F.isnan(c), float("inf")).when(c == 0, 0.0).otherwise(c)
+
+
+def _cut(df: DataFrame, columns: dict[str, str], splits: list[float]) -> DataFrame:
+    """df plus the cell of each column (from: to); a null has none."""
+    spread = df.withColumns({f"{to}_at": _place(F.col(c)) for c, to in columns.items()})
+    ends = [float("-inf"), *splits, float("inf")]
+    found = Bucketizer(splitsArray=[ends] * len(columns), inputCols=[f"{to}_at" for to in columns.values()], outputCols=list(columns.values()), handleInvalid="keep").transform(spread)
+    return found.withColumns({to: F.when(F.col(c).isNotNull(), F.col(to).cast("int")) for c, to in columns.items()}).drop(*[f"{to}_at" for to in columns.values()])
+
+
+def value_cells(values: DataFrame, fields: list[str], cells: int) -> list[tuple[list[float], list[int]]]:
+    """(splitters, ways) of each field: cells of about equally many values, and into how many ways each is divided. A value
+    that fills several quantiles is one cell of as many ways, so no (cell, way) holds much more than 1/cells of the rows.
+    At most `cells` numbers of a field come to the driver."""
+    placed = values.select([_place(F.col(f)).alias(f"_v{i}") for i, f in enumerate(fields)])
+    quantiles = placed.approxQuantile(placed.columns, [i / cells for i in range(1, cells)], 1 / (2 * cells))
+    out = []
+    for q in quantiles:
+        splits = sorted({v for v in q if isfinite(v)}) or [0.0]
+        ways = [0] * (len(splits) + 1)
+        for v in q:
+            ways[bisect_right(splits, v)] += 1
+        out.append((splits, [max(w, 1) for w in ways]))
+    return out
+
+
+def fired(rows: DataFrame, rules: DataFrame, key: list[str], fields: list[str], cells: int | None = None) -> DataFrame:
+    """(key, rule_id) of rows and rules that fire on them, each once. A null bound is open, a null value fires nothing, NaN
+    counts as above all numbers.
+
+    An interval index: each field's values are cut into cells of equal weight (`cells`, four for each shuffle partition), a
+    rule is entered in every cell that it touches, and rows are joined on their cell and a way within it. Inside a rule's
+    first and last cell an entry stands for as many hits as the cell has rows, so there are never many more entries
+    than hits, however wide rules are. `key` tells rows apart: ways are dealt by its hash."""
+    cells = cells or 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    values = rows.select(*key, *[F.col(f).cast("double").alias(f"_v{i}") for i, f in enumerate(fields)])
+    wanted = rules.select("rule_id", "field", F.col("lo").cast("double").alias("_lo"), F.col("hi").cast("double").alias("_hi")).where("_lo is null or _hi is null or _lo < _hi")
+    found, entered = [], None
+    for i, (splits, ways) in enumerate(value_cells(values, [f"_v{i}" for i in range(len(fields))], cells)):
+        values = _cut(values, {f"_v{i}": f"_c{i}"}, splits)
+        n_ways = F.get(F.lit(ways), F.col(f"_c{i}"))
+        found.append(F.struct(F.lit(i).alias("_f"), F.col(f"_v{i}").alias("_v"), F.col(f"_c{i}").alias("_c"), F.pmod(F.xxhash64(*key), n_ways).cast("int").alias("_w")))
+        r = _cut(wanted.where(F.col("field") == fields[i]), {"_lo": "_from", "_hi": "_to"}, splits)
+        r = r.withColumn("_c", F.explode(F.sequence(F.coalesce("_from", F.lit(0)), F.coalesce("_to", F.lit(len(splits))))))
+        r = r.withColumn("_w", F.explode(F.sequence(F.lit(0), F.get(F.lit(ways), F.col("_c")) - 1))).select(F.lit(i).alias("_f"), "_c", "_w", "_lo", "_hi", "rule_id")
+        entered = r if entered is None else entered.unionByName(r)
+    long = values.select(*key, F.inline(F.array(*found))).where("_v is not null")
+    inside = (F.col("_lo").isNull() | (F.col("_v") >= F.col("_lo"))) & (F.col("_hi").isNull() | (F.col("_v") < F.col("_hi")))
+    return long.join(entered, ["_f", "_c", "_w"]).where(inside).select(*key, "rule_id").distinct()
 
 
 def select_detectors(rules: DataFrame, own: DataFrame, key: list[str], fields: list[str]) -> DataFrame:
