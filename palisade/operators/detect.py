@@ -71,21 +71,39 @@ def detect_exfiltration(obs: DataFrame, th: Thresholds = DEFAULTS) -> DataFrame:
     return threats(d, "IntrusionAttempt", "exfil", ["source", "ts"], F.lit("Medium"), F.lit(th.exfil_confidence), F.col("source"), *_exfil_detail(F.col("ratio")))
 
 
+#: One finding of an observation before it becomes a threat: which detector, and what it saw.
+FINDING = "struct<kind: string, dimension: string, observed: double, mean: double, std_dev: double, z: double, ports: array<int>, ratio: double>"
+
+
 def detect_observations(scored: DataFrame, th: Thresholds = DEFAULTS) -> DataFrame:
-    """All detectors of scored observations in one pass over them: behavioral, http, port scan and exfiltration."""
-    source, ts = F.col("source"), F.col("ts")
+    """All detectors of scored observations in one pass over them: behavioral, http, port scan and exfiltration.
+    Findings are small structs; ids, texts and details are made once, for the rows that fired."""
+    f = lambda kind, *values: F.struct(F.lit(kind), *[F.lit(None) if v is None else v for v in values]).cast(FINDING)
     found = []
     for k in O.DIMENSIONS:
-        value, mean, std, z = F.col(k).cast("double"), F.col(f"{k}_mean"), F.col(f"{k}_std"), F.col(f"{k}_z")
+        z = F.col(f"{k}_z")
         hit = z.isNotNull() & S.exceeds(z, th.sigma)
-        away = F.when(z == float("inf"), -1.0).otherwise(z)
-        detail = F.struct(F.lit(k).alias("dimension"), value.alias("observed"), mean.alias("mean"), std.alias("std_dev"), away.alias("deviation"))
-        for category, prefix, target in (("BehavioralAnomaly", "behavioral", "network"), ("HttpBehavioralAnomaly", "http", "http"))[: 2 if k in O.HTTP else 1]:
-            found.append(F.when(hit, threat(category, prefix, [source, ts, F.lit(k)], S.severity_of(z, th), S.confidence(z, th), source, S.behavior_text(F.lit(k), value, mean, std), "deviation", detail, ts, target)))
+        for kind in ("behavioral", "http")[: 2 if k in O.HTTP else 1]:
+            found.append(F.when(hit, f(kind, F.lit(k), F.col(k).cast("double"), F.col(f"{k}_mean"), F.col(f"{k}_std"), z, None, None)))
     ports, ratio = S.suspicious_ports(F.col("ports_accessed"), th), S.bytes_per_conn(F.col("traffic_volume"), F.col("connection_rate"))
-    found.append(F.when(F.size(ports) >= 2, threat("IntrusionAttempt", "port-scan", [source, ts], F.lit("High"), F.lit(th.port_scan_confidence), source, *_scan_detail(ports), ts)))
-    found.append(F.when((F.col("traffic_volume") > th.exfil_volume) & (F.round(ratio, 9) > th.exfil_ratio), threat("IntrusionAttempt", "exfil", [source, ts], F.lit("Medium"), F.lit(th.exfil_confidence), source, *_exfil_detail(ratio), ts)))
-    return scored.select(F.explode(F.array_compact(F.array(*found))).alias("t")).select("t.*")
+    found.append(F.when(F.size(ports) >= 2, f("port-scan", None, None, None, None, None, ports, None)))
+    found.append(F.when((F.col("traffic_volume") > th.exfil_volume) & (F.round(ratio, 9) > th.exfil_ratio), f("exfil", None, None, None, None, None, None, ratio)))
+    d = scored.select("source", "ts", F.explode(F.array_compact(F.array(*found))).alias("f")).select("source", "ts", "f.*")
+
+    z, kind = F.col("z"), F.col("kind")
+    of = lambda deviation, scan, exfil: F.when(kind == "port-scan", scan).when(kind == "exfil", exfil).otherwise(deviation)
+    (scan_text, _, scan), (exfil_text, _, exfil) = _scan_detail(F.col("ports")), _exfil_detail(F.col("ratio"))
+    deviation = F.struct("dimension", "observed", "mean", "std_dev", F.when(z == float("inf"), -1.0).otherwise(z))
+    details = {"deviation": F.when(kind.isin("behavioral", "http"), deviation), "intrusion": F.when(kind == "port-scan", scan.cast(DETAIL["intrusion"])).when(kind == "exfil", exfil.cast(DETAIL["intrusion"]))}
+    severity = of(S.severity_of(z, th), F.lit("High"), F.lit("Medium"))
+    return d.select(
+        F.concat(kind, S.threat_id("", F.col("source"), F.col("ts"), F.col("dimension"))).alias("id"),
+        F.when(kind == "behavioral", "BehavioralAnomaly").when(kind == "http", "HttpBehavioralAnomaly").otherwise("IntrusionAttempt").alias("category"),
+        severity.alias("severity"), S.rank_of(severity, S.SEVERITY).alias("severity_rank"), F.col("source").cast("string").alias("source"),
+        F.when(kind == "behavioral", "network").when(kind == "http", "http").otherwise("local").alias("target"), F.col("ts").alias("detected_at"),
+        of(S.behavior_text(F.col("dimension"), F.col("observed"), F.col("mean"), F.col("std_dev")), scan_text, exfil_text).alias("description"),
+        of(S.confidence(z, th), F.lit(th.port_scan_confidence), F.lit(th.exfil_confidence)).cast("double").alias("confidence"),
+        F.struct(*[details.get(k, F.lit(None)).cast(t).alias(k) for k, t in DETAIL.items()]).alias("detail"))
 
 
 def _resource(load: Column, th: Thresholds) -> Column:

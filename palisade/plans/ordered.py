@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -14,15 +15,16 @@ from .scratch import save
 def global_rank(df: DataFrame, *order: str, name: str = "rank") -> DataFrame:
     """Rows numbered from 1 by `order`, which must be unique for a repeatable result.
 
-    Rows are range-partitioned and written with their partition's number; the rank is the number of rows in earlier
-    partitions (a table of one row a partition) plus the row number inside the own one.
+    One shuffle: rows are range-partitioned, sorted and written with their partition's number and their own in it; the rank
+    adds the rows of earlier partitions, a list of one number a partition.
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    d = save(df.repartitionByRange(n, *order).withColumn("_p", F.spark_partition_id()), "ranged")
-    counts = d.groupBy("_p").count()
-    before = counts.withColumn("_before", F.sum("count").over(W.partitionBy(F.lit(1)).orderBy("_p")) - F.col("count")).drop("count")
-    inner = F.row_number().over(W.partitionBy("_p").orderBy(*order))
-    return d.join(F.broadcast(before), "_p").withColumn(name, (F.col("_before") + inner).cast("long")).drop("_p", "_before")
+    inner = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))  # the row's number in its partition
+    d = df.repartitionByRange(n, *order).sortWithinPartitions(*order).select("*", F.spark_partition_id().alias("_rank_p"), inner.alias("_rank_n"))
+    d = save(d, "ranged")
+    sizes = {r["_rank_p"]: r["n"] for r in d.groupBy("_rank_p").agg(F.count(F.lit(1)).alias("n")).collect()}
+    before = [0, *accumulate(sizes.get(p, 0) for p in range(n))]
+    return d.withColumn(name, (F.get(F.lit(before), F.col("_rank_p")) + F.col("_rank_n") + 1).cast("long")).drop("_rank_p", "_rank_n")
 
 
 def halo(df: DataFrame, key: list[str], order: list[str], size: int, columns: Callable[[W], dict[str, Column]], block: int = 100_000) -> DataFrame:
@@ -33,11 +35,11 @@ def halo(df: DataFrame, key: list[str], order: list[str], size: int, columns: Ca
     """
     if block < size:
         raise ValueError("block must not be smaller than size")
-    d = global_rank(df, *key, *order, name="_r").withColumn("_b", F.floor((F.col("_r") - 1) / block))
-    tail = d.where(F.pmod(F.col("_r") - 1, F.lit(block)) >= block - size).withColumns({"_b": F.col("_b") + 1, "_halo": F.lit(True)})
-    both = d.withColumn("_halo", F.lit(False)).unionByName(tail)
+    d = global_rank(df, *key, *order, name="_r").withColumn("_own", F.floor((F.col("_r") - 1) / block))
+    ends = F.pmod(F.col("_r") - 1, F.lit(block)) >= block - size
+    both = d.select("*", F.explode(F.when(ends, F.array("_own", F.col("_own") + 1)).otherwise(F.array("_own"))).alias("_b"))
     window = W.partitionBy(*key, "_b").orderBy("_r")
-    return both.withColumns(columns(window)).where(~F.col("_halo")).drop("_r", "_b", "_halo")
+    return both.withColumns(columns(window)).where(F.col("_b") == F.col("_own")).drop("_r", "_b", "_own")
 
 
 def carried(df: DataFrame, key: list[str], order: list[str], value: Column, name: str, how: str = "last", inclusive: bool = True) -> DataFrame:

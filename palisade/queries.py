@@ -397,24 +397,44 @@ def j10_map_connections(spark, d):
 
 # --- detectors and response -----------------------------------------------------------------------------
 
-def _found(spark, d):
-    """All detectors over the given tables."""
-    o, m = observed(spark, d), T.host_metrics(spark, d)
-    s = O.rolling_score(o, TH)
-    expected, seen = T.config_snapshots(spark, d)
-    peers = T.peers(spark, d).withColumn("ts", F.lit("2024-01-31").cast("timestamp_ntz"))
-    return {
-        "genetic": D.detect_genetic(peers, T.lineage_roster(spark, d), TH), "behavioral": D.detect_behavioral(s, TH), "http": D.detect_http(s, TH), "scan": D.detect_port_scan(o, TH), "exfil": D.detect_exfiltration(o, TH), "observed": D.detect_observations(s, TH), "resource": D.detect_resource(m, TH), "host": D.detect_host(m, TH, ("ts", "event_id")),
-        "spawn": D.detect_spawn(m, TH, ("ts", "event_id")), "connectivity": D.detect_connectivity(T.probes(spark, d), TH, ("ts", "event_id")), "topology": D.detect_topology(T.connection_paths(spark, d), TH), "drift": D.detect_drift(expected.withColumn("ts", F.lit(None).cast("timestamp_ntz")), seen, TH)}
+#: Rows of one host or channel that are judged together; a key with more is cut up.
+BLOCK = 100_000
+
+
+def _peers(spark, d):
+    return T.peers(spark, d).withColumn("ts", F.lit("2024-01-31").cast("timestamp_ntz"))
 
 
+def _drift(spark, d):
+    expected, seen = T.config_snapshots(spark, d)
+    return D.detect_drift(expected.withColumn("ts", F.lit(None).cast("timestamp_ntz")), seen, TH)
+
+
+_EVENT_ORDER = ("ts", "event_id")
+#: Detectors over the given tables.
+_DETECTORS = {
+    "genetic": lambda s, d: D.detect_genetic(_peers(s, d), T.lineage_roster(s, d), TH),
+    "behavioral": lambda s, d: D.detect_behavioral(scored(s, d), TH),
+    "http": lambda s, d: D.detect_http(scored(s, d), TH),
+    "scan": lambda s, d: D.detect_port_scan(observed(s, d), TH),
+    "exfil": lambda s, d: D.detect_exfiltration(observed(s, d), TH),
+    "observed": lambda s, d: D.detect_observations(scored(s, d), TH),
+    "resource": lambda s, d: D.detect_resource(T.host_metrics(s, d), TH),
+    "host": lambda s, d: D.detect_host(T.host_metrics(s, d), TH, _EVENT_ORDER, BLOCK),
+    "spawn": lambda s, d: D.detect_spawn(T.host_metrics(s, d), TH, _EVENT_ORDER, BLOCK),
+    "connectivity": lambda s, d: D.detect_connectivity(T.probes(s, d), TH, _EVENT_ORDER, BLOCK),
+    "topology": lambda s, d: D.detect_topology(T.connection_paths(s, d), TH),
+    "drift": _drift}
 #: The detectors of a full run: those of observations in one pass over them, those of host samples in another, then the others.
 FULL = ("genetic", "observed", "host", "connectivity", "topology", "drift")
 
 
+def _found(spark, d, key):
+    return _DETECTORS[key](spark, d)
+
+
 def _all(spark, d, enabled=True):
-    found = _found(spark, d)
-    return D.detect_all([found[k] for k in FULL], enabled)
+    return D.detect_all([_found(spark, d, k) for k in FULL], enabled)
 
 
 _PATH = """pth AS (SELECT user_id || '-' || strftime(date_trunc('day', ts), '%Y%m%d') AS conn_id, date_trunc('day', ts) AS ts, list(CASE event_type WHEN 'view' THEN 0 WHEN 'click' THEN 1 WHEN 'signup' THEN 2 ELSE 3 END ORDER BY ts, event_id) AS path FROM events WHERE event_type IN ('view', 'click', 'signup', 'purchase') GROUP BY user_id, date_trunc('day', ts)),
@@ -460,7 +480,7 @@ def _details(t):
 
 def _detector(key: str, where: str):
     def run(spark, d):
-        return _details(_found(spark, d)[key])
+        return _details(_found(spark, d, key))
     run.__doc__ = f"The {key} detector over the given tables."
     QUERIES[f"d_{key}"] = run
     ORACLE_SQL[f"d_{key}"] = f"WITH {_DET} SELECT * REPLACE (round(confidence, 6) AS confidence, round(x1, 6) AS x1, round(x2, 6) AS x2, round(x3, 6) AS x3) FROM th WHERE {where}"
@@ -483,12 +503,12 @@ def p13_detection_off(spark, d):
 
 @query(f"WITH {_DET} SELECT id, category AS type, severity, source, round(confidence, 6) AS confidence FROM th WHERE category = 'BehavioralAnomaly'")
 def p14_threat_summary(spark, d):
-    return D.threat_summary(_found(spark, d)["behavioral"]).select("id", "type", "severity", "source", F.round("confidence", 6).alias("confidence"))
+    return D.threat_summary(_found(spark, d, "behavioral")).select("id", "type", "severity", "source", F.round("confidence", 6).alias("confidence"))
 
 
 @query(f"WITH {_PATH} SELECT conn_id, path, missed FROM topo", "path", "missed")
 def u2_bypassed_layers(spark, d):
-    t = _found(spark, d)["topology"]
+    t = _found(spark, d, "topology")
     return t.select(F.col("source").alias("conn_id"), F.col("detail.topology.actual").alias("path"), F.col("detail.topology.bypassed").alias("missed"))
 
 
@@ -516,7 +536,7 @@ query(f"WITH {_AN} SELECT source, ts AS detected_at, dimension, severity, round(
 
 @query(f"WITH {_HELD}, {_LIN}, new AS (SELECT peer_id AS source FROM lin WHERE severity = 'Critical' AND confidence > 0.9) SELECT source, reason FROM (SELECT source, reason FROM held WHERE source NOT IN (SELECT source FROM new) UNION ALL SELECT source, 'Critical GeneticViolation' FROM new)")
 def r2_apply_actions(spark, d):
-    return Q.apply_actions(Q.evaluate(_found(spark, d)["genetic"], TH), held(spark, d)).select("source", "reason")
+    return Q.apply_actions(Q.evaluate(_found(spark, d, "genetic"), TH), held(spark, d)).select("source", "reason")
 
 
 def _requests(spark, d):
@@ -740,12 +760,12 @@ def z8_prune(spark, d):
 
 @query(f"WITH {_AN} SELECT severity, 'BehavioralAnomaly' AS threat_type, ts AS detected_at FROM an")
 def z9_shareable(spark, d):
-    return A.shareable(_found(spark, d)["behavioral"]).select("severity", "threat_type", "detected_at")
+    return A.shareable(_found(spark, d, "behavioral")).select("severity", "threat_type", "detected_at")
 
 
 @query(f"WITH {_LIN} SELECT peer_id AS target, CASE WHEN severity = 'Critical' THEN 'Quarantine' ELSE 'MonitorAndAlert' END AS action_type, CASE WHEN severity = 'Critical' THEN 1 ELSE 100 END AS packets_per_second, CASE WHEN severity = 'Critical' THEN TIMESTAMP '2024-01-31 01:00:00' END AS expires_at FROM lin")
 def z10_response_plan(spark, d):
-    t = _found(spark, d)["genetic"]
+    t = _found(spark, d, "genetic")
     return Q.response_plan(Q.evaluate(t, TH), t).select("target", "action_type", "packets_per_second", "expires_at")
 
 
@@ -798,7 +818,7 @@ def z18_role_violations(spark, d):
 
 @query(f"WITH {_AN} SELECT source, ts AS detected_at, dimension FROM an WHERE NOT (source < '10.0.0.3' AND ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-20')")
 def z19_grace(spark, d):
-    t = _found(spark, d)["behavioral"]
+    t = _found(spark, d, "behavioral")
     m = observed(spark, d).where("source < '10.0.0.3'").select("source").distinct().select("source", F.lit("2024-01-10").cast("timestamp_ntz").alias("joined_at"), F.lit("2024-01-20").cast("timestamp_ntz").alias("grace_until"))
     return P.apply_grace(t, m).select("source", "detected_at", F.col("detail.deviation.dimension").alias("dimension"))
 
