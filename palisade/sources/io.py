@@ -113,22 +113,33 @@ def save_quarantine(q: DataFrame, path: str) -> str:
 VERSIONS = "at long, version string"
 
 
+def current_quarantine(spark: SparkSession, path: str) -> DataFrame:
+    """The newest version; an empty table before the first one. One that is named but cannot be read raises."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        last = spark.read.schema(VERSIONS).json(f"{path}/pointer").orderBy(F.desc("at"), "version").first()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        last = None
+    if last is None:
+        return spark.createDataFrame([], schemas.QUARANTINE)
+    return spark.read.schema(schemas.QUARANTINE).parquet(f"{path}/versions/{last['version']}")
+
+
 def load_quarantine(spark: SparkSession, path: str) -> DataFrame:
     """The newest version, or an empty table if there is none or it cannot be read (a warning is logged then)."""
     from py4j.protocol import Py4JJavaError
     from pyspark.errors import PySparkException
 
-    empty = spark.createDataFrame([], schemas.QUARANTINE)
     try:
-        last = spark.read.schema(VERSIONS).json(f"{path}/pointer").orderBy(F.desc("at"), "version").first()
-        if last is None:
-            return empty
-        q = spark.read.schema(schemas.QUARANTINE).parquet(f"{path}/versions/{last['version']}")
+        q = current_quarantine(spark, path)
         q.agg(*[F.count(c) for c in q.columns]).first()  # every column can be read
         return q
     except (PySparkException, Py4JJavaError) as e:
         logging.getLogger(__name__).warning("quarantine at %s cannot be read, starting empty: %s", path, str(e).split("\n")[0])
-        return empty
+        return spark.createDataFrame([], schemas.QUARANTINE)
 
 
 def export(df: DataFrame, fmt: str, path: str) -> None:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import logging
+import time
 import warnings
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.types import StructType
@@ -203,6 +206,22 @@ def stream_quarantine(changes: DataFrame, id_col: str = "event_id", ttl_ms: int
     return d.groupBy("source").transformWithStateInPandas(Held(ttl_ms), "source string, id long, ts timestamp, was_held boolean, held boolean", "Append", mode)
 
 
+def merge_quarantine(changes: DataFrame, path: str, checkpoint: str, id_col: str = "event_id", reason: str = "stream"):
+    """changes (source, ts, op, threat_id) of a stream -> snapshots below path: each batch sets its sources' last state in the
+    newest version and writes the next one. Batches count in the order of their arrival, changes of one batch in the order of
+    ts and id. A batch that comes again sets the same states, so it changes nothing. If the newest version cannot be read the
+    batch fails; nothing starts over from empty. Returns the writer; call start()."""
+    d = changes.select("source", F.col(id_col).alias("id"), F.col("ts").cast("timestamp").alias("started_at"), "op", "threat_id").where("source is not null and op in ('enter', 'release')")
+
+    def merge(batch: DataFrame, batch_id: int) -> None:
+        last = O.latest(batch, "source", ("started_at", "id"))
+        before = io.current_quarantine(batch.sparkSession, path)
+        entered = last.where("op = 'enter'").select("source", "started_at", F.lit(reason).alias("reason"), "threat_id")
+        io.save_quarantine(before.join(last.select("source"), "source", "left_anti").unionByName(entered), path)
+
+    return d.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
+
+
 class Session(StatefulProcessor):
     """Whether a session is known at each of its calls; it is forgotten when its time to live is over."""
 
@@ -244,5 +263,71 @@ def forward_audit(stream: DataFrame, sink_a: Callable[[DataFrame, int], None], s
     return stream.writeStream.foreachBatch(deliver).option("checkpointLocation", checkpoint)
 
 
+class Forwarder:
+    """Forwards audit events to two sinks with a cursor that stops before the first event that either did not take.
+
+    A sink takes (records, n) and returns (seq, delivered), one row for each record; a record without a row counts as failed,
+    and so does every record of a sink that raises. Events from the first failure on are kept below `path` and come again,
+    before the next batch's or by retry(), also those after it that were taken: at least once, never lost. The cursor and what
+    is kept are committed together in one row, after the deliveries; a batch that was committed is not delivered again.
+    """
+
+    STATE = "at long, batch long, cursor long, kept string"
+
+    def __init__(self, path: str, sink_a: Callable[[DataFrame, int], DataFrame], sink_b: Callable[[DataFrame, int], DataFrame], level: str = "Warn"):
+        self.path, self.sinks, self.level = path, ((sink_a, io.provenance_records), (sink_b, io.attestation_records)), level
+
+    def _log(self, spark: SparkSession) -> DataFrame:
+        try:
+            return spark.read.schema(self.STATE).json(f"{self.path}/cursor")
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return spark.createDataFrame([], self.STATE)
+
+    def state(self, spark: SparkSession) -> Row | None:
+        """The last commit: cursor (null if nothing was taken so far) and the folder of kept events (null if there are none)."""
+        return self._log(spark).orderBy(F.desc("at")).first()
+
+    def deliver(self, batch: DataFrame, batch_id: int | None) -> None:
+        spark = batch.sparkSession
+        if batch_id is not None and not self._log(spark).where(F.col("batch") == batch_id).isEmpty():
+            return
+        old, at = self.state(spark), time.time_ns()
+        if old is not None and old["kept"]:
+            kept = spark.read.schema(batch.schema).parquet(f"{self.path}/{old['kept']}")
+            batch = kept.unionByName(batch.join(kept.select("seq"), "seq", "left_anti"))
+        elif batch.isEmpty():
+            return
+        batch.write.parquet(f"{self.path}/batches/{at}")  # what is delivered, recorded and kept is one and the same
+        events = spark.read.schema(batch.schema).parquet(f"{self.path}/batches/{at}")
+        due, taken = A.min_severity(events, self.level), spark.createDataFrame([], "seq long")
+        for nth, (sink, records) in enumerate(self.sinks):
+            results = f"{self.path}/results/{at}-{nth}"
+            try:
+                sink(records(due), at).select(F.col("seq").cast("long"), "delivered").write.parquet(results)
+            except Exception:  # whatever a sink raises: its events stay
+                logging.getLogger(__name__).exception("sink %d took nothing", nth)
+                continue
+            every = spark.read.schema("seq long, delivered boolean").parquet(results).groupBy("seq").agg(F.min(F.coalesce("delivered", F.lit(False))).alias("ok"))
+            taken = taken.unionByName(every.where("ok").select("seq"))
+        both = taken.groupBy("seq").agg((F.count(F.lit(1)) == len(self.sinks)).alias("delivered"))
+        judged = events.select("seq", "severity").join(both, "seq", "left").withColumn("delivered", F.coalesce("delivered", F.lit(False)))
+        step = A.advance_cursor(judged, self.level).first()
+        failed, before = step["first_failed"], old["cursor"] if old is not None else None
+        if failed is not None:
+            events.where(F.col("seq") >= failed).write.parquet(f"{self.path}/kept/{at}")
+        cursor = max((c for c in (before, step["cursor"]) if c is not None), default=None)
+        spark.createDataFrame([(at, batch_id, cursor, f"kept/{at}" if failed is not None else None)], self.STATE).coalesce(1).write.mode("append").json(f"{self.path}/cursor")
+
+    def retry(self, spark: SparkSession, schema: StructType) -> None:
+        """Deliver what is kept, without a new batch."""
+        self.deliver(spark.createDataFrame([], schema), None)
+
+    def writer(self, stream: DataFrame, checkpoint: str):
+        """stream (seq, severity and the other audit columns, in order of seq). Call start() on what it returns."""
+        return stream.writeStream.foreachBatch(self.deliver).option("checkpointLocation", checkpoint)
+
+
 def threat_intel_stream(stream: DataFrame, node_id: str, publish: Callable[[DataFrame, int], None], checkpoint: str):
     return A.threat_intel(stream, node_id).writeStream.foreachBatch(publish).option("checkpointLocation", checkpoint)

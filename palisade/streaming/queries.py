@@ -192,6 +192,41 @@ def s6_quarantine_snapshot(spark, d):
     return ntz(io.load_quarantine(spark, path), "started_at")
 
 
+def t7_merge_quarantine(spark, d):
+    """Quarantine changes of a stream in two runs, merged into the snapshots; the newest one loaded again."""
+    changes = T.quarantine_changes(spark, d).withColumn("ts", F.col("ts").cast("timestamp"))
+    path, snapshots, checkpoint = folder(spark, "changes"), folder(spark, "snapshots"), folder(spark, "checkpoint")
+    for when in ("ts < '2024-01-16'", "ts >= '2024-01-16'"):
+        changes.where(when).write.mode("append").parquet(path)
+        stream = spark.readStream.schema(changes.schema).parquet(path)
+        jobs.merge_quarantine(stream, snapshots, checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return ntz(io.load_quarantine(spark, snapshots), "started_at").drop("reason")
+
+
+def t10_partial_delivery(spark, d):
+    """Audit events to two sinks, of which the second refuses every 50th at first. What each took, how often, and where the
+    cursor stood before and after the rest was delivered."""
+    audit = as_stream(A.with_seq(T.audit_events(spark, d), "ts", "event_id"), "audit")
+    a, b, refuses = FileSink(folder(spark, "a")), FileSink(folder(spark, "b")), [True]
+
+    def second(records: DataFrame, n: int) -> DataFrame:
+        seq = F.col("anchor.seq")
+        b.publish(records.where(seq % 50 != 0) if refuses else records, n)
+        return records.select(seq.alias("seq"), (seq % 50 != 0 if refuses else F.lit(True)).alias("delivered"))
+
+    def first(records: DataFrame, n: int) -> DataFrame:
+        a.publish(records, n)
+        return records.select("seq", F.lit(True).alias("delivered"))
+
+    f = jobs.Forwarder(folder(spark, "forwarder"), first, second)
+    f.writer(audit, folder(spark, "checkpoint")).trigger(availableNow=True).start().awaitTermination()
+    stopped = f.state(spark)["cursor"]
+    refuses.clear()
+    f.retry(spark, audit.schema)
+    took = spark.read.parquet(a.path).select(F.lit("provenance").alias("sink"), "seq").unionByName(spark.read.parquet(b.path).select(F.lit("attestation").alias("sink"), "anchor.seq"))
+    return took.groupBy("sink", "seq").agg(F.count(F.lit(1)).alias("n")).withColumns({"stopped": F.lit(stopped).cast("long"), "cursor": F.lit(f.state(spark)["cursor"]).cast("long")})
+
+
 def z15_export(spark, d):
     path = folder(spark, "export")
     e = T.table(spark, d, "events").select("event_id", "event_type", "value")
@@ -199,4 +234,4 @@ def z15_export(spark, d):
     return spark.read.schema(e.schema).option("header", "true").csv(path)
 
 
-QUERIES = {f.__name__: f for f in (s3_stream_log_tail, s3_tail_growing_logs, s6_quarantine_snapshot, s7_forward_audit, t1_t2_stream_windows, t2_late_rows, t3_stream_flush, t4_stream_observations, t4_stream_profile, t5_stream_connectivity, t6_stream_counter_rate, t7_stream_quarantine, z15_export)}
+QUERIES = {f.__name__: f for f in (s3_stream_log_tail, s3_tail_growing_logs, s6_quarantine_snapshot, s7_forward_audit, t1_t2_stream_windows, t2_late_rows, t3_stream_flush, t4_stream_observations, t4_stream_profile, t5_stream_connectivity, t6_stream_counter_rate, t7_merge_quarantine, t7_stream_quarantine, t10_partial_delivery, z15_export)}
