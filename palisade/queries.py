@@ -853,5 +853,6 @@ ORACLE_SQL |= {
     "t7_stream_quarantine": f"WITH {_QINT} SELECT event_id, source, coalesce(lag(op) OVER (PARTITION BY source ORDER BY ts, event_id) = 'enter', false) AS was_held, op = 'enter' AS held FROM ch",
     "t7_merge_quarantine": f"WITH {_HELD} SELECT source, started_at, threat_id FROM held",
     "t10_partial_delivery": f"WITH {_AUD}, due AS (SELECT seq, (SELECT min(seq) FROM seqd WHERE severity <> 'Info' AND seq % 50 = 0) AS failed FROM seqd WHERE severity <> 'Info') SELECT sink, seq, CASE WHEN seq >= failed AND NOT (sink = 'attestation' AND seq % 50 = 0) THEN 2 ELSE 1 END AS n, failed - 1 AS stopped, (SELECT max(seq) FROM seqd) AS cursor FROM due, (VALUES ('provenance'), ('attestation')) v(sink)",
+    "z8_retention": "SELECT event_id, (SELECT count(*) FROM events WHERE ts >= date_trunc('day', (SELECT max(ts) FROM events) - INTERVAL 48 HOUR)) AS stored FROM events WHERE ts > (SELECT max(ts) FROM events) - INTERVAL 48 HOUR",
     "z15_export": "SELECT event_id, event_type, value FROM events",
 }

@@ -13,7 +13,7 @@ from palisade.operators import observations as O
 from palisade.plans.protocols import FileSink
 from palisade.plans.scratch import folder
 from palisade.sources import adapters as T
-from palisade.sources import io
+from palisade.sources import io, retention
 from palisade.streaming import jobs
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -227,6 +227,17 @@ def t10_partial_delivery(spark, d):
     return took.groupBy("sink", "seq").agg(F.count(F.lit(1)).alias("n")).withColumns({"stopped": F.lit(stopped).cast("long"), "cursor": F.lit(f.state(spark)["cursor"]).cast("long")})
 
 
+def z8_retention(spark, d):
+    """Events in a store by day; old days dropped, then the rows of the last two days and how many the store still has."""
+    path = folder(spark, "store")
+    e = T.table(spark, d, "events").select("event_id", F.col("ts").cast("timestamp_ntz").alias("ts"))
+    retention.append(e, path)
+    now = F.lit(e.agg(F.max("ts").cast("string")).first()[0]).cast("timestamp_ntz")
+    retention.drop_expired(spark, path, now, 48)
+    left = spark.read.parquet(path).agg(F.count(F.lit(1)).alias("stored"))
+    return retention.recent(spark, path, now, 48).select("event_id").join(F.broadcast(left))
+
+
 def z15_export(spark, d):
     path = folder(spark, "export")
     e = T.table(spark, d, "events").select("event_id", "event_type", "value")
@@ -234,4 +245,4 @@ def z15_export(spark, d):
     return spark.read.schema(e.schema).option("header", "true").csv(path)
 
 
-QUERIES = {f.__name__: f for f in (s3_stream_log_tail, s3_tail_growing_logs, s6_quarantine_snapshot, s7_forward_audit, t1_t2_stream_windows, t2_late_rows, t3_stream_flush, t4_stream_observations, t4_stream_profile, t5_stream_connectivity, t6_stream_counter_rate, t7_merge_quarantine, t7_stream_quarantine, t10_partial_delivery, z15_export)}
+QUERIES = {f.__name__: f for f in (s3_stream_log_tail, s3_tail_growing_logs, s6_quarantine_snapshot, s7_forward_audit, t1_t2_stream_windows, t2_late_rows, t3_stream_flush, t4_stream_observations, t4_stream_profile, t5_stream_connectivity, t6_stream_counter_rate, t7_merge_quarantine, t7_stream_quarantine, t10_partial_delivery, z8_retention, z15_export)}
