@@ -854,5 +854,7 @@ ORACLE_SQL |= {
     "t7_merge_quarantine": f"WITH {_HELD} SELECT source, started_at, threat_id FROM held",
     "t10_partial_delivery": f"WITH {_AUD}, due AS (SELECT seq, (SELECT min(seq) FROM seqd WHERE severity <> 'Info' AND seq % 50 = 0) AS failed FROM seqd WHERE severity <> 'Info') SELECT sink, seq, CASE WHEN seq >= failed AND NOT (sink = 'attestation' AND seq % 50 = 0) THEN 2 ELSE 1 END AS n, failed - 1 AS stopped, (SELECT max(seq) FROM seqd) AS cursor FROM due, (VALUES ('provenance'), ('attestation')) v(sink)",
     "z8_retention": "SELECT event_id, (SELECT count(*) FROM events WHERE ts >= date_trunc('day', (SELECT max(ts) FROM events) - INTERVAL 48 HOUR)) AS stored FROM events WHERE ts > (SELECT max(ts) FROM events) - INTERVAL 48 HOUR",
+    "t8_stream_session_ends": "SELECT CAST(user_id AS VARCHAR) AS session_id, ended_at FROM (SELECT user_id, ts + INTERVAL 12 HOUR AS ended_at, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS next, max(ts) OVER () - INTERVAL 1 HOUR AS mark FROM events) WHERE next >= ended_at OR (next IS NULL AND ended_at <= mark)",
+    "z11_stream_approvals": "SELECT CAST(o_orderkey AS VARCHAR) AS threat_id, CASE WHEN o_orderkey % 5 = 0 THEN 'denied' ELSE 'auto-approved' END AS status, CAST(o_orderdate AS TIMESTAMP) + CASE WHEN o_orderkey % 5 = 0 THEN INTERVAL 1 MINUTE ELSE INTERVAL 5 MINUTE END AS ts FROM orders WHERE o_orderkey % 5 = 0 OR o_orderdate < (SELECT max(o_orderdate) FROM orders)",
     "z15_export": "SELECT event_id, event_type, value FROM events",
 }

@@ -249,6 +249,115 @@ def stream_sessions(calls: DataFrame, ttl_ms: int) -> DataFrame:
     return d.groupBy("session_id").transformWithStateInPandas(Session(ttl_ms), "session_id string, id long, ts timestamp, known boolean", "Append", "ProcessingTime")
 
 
+def micros(ts: pd.Series) -> list[int]:
+    return (ts.astype("datetime64[ns]").astype("int64") // 1000).tolist()
+
+
+def _moments(us: list[int]) -> pd.Series:
+    return pd.Series(us, dtype="int64").astype("datetime64[us]").astype("datetime64[ns]")
+
+
+def _timer(us: int) -> int:
+    """Timers count milliseconds: the first one not before a moment."""
+    return -(-us // 1000)
+
+
+class Approval(StatefulProcessor):
+    """A request waits for its decision until a timer of event time approves it."""
+
+    def __init__(self, wait_us: int):
+        self.wait_us = wait_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.due = handle, handle.getValueState("due", "us long")
+
+    def _rows(self, key, found: list[tuple[str, int]]) -> Iterator[pd.DataFrame]:
+        if found:
+            yield pd.DataFrame({"threat_id": str(key[0]), "status": [f[0] for f in found], "ts": _moments([f[1] for f in found])})
+
+    def handleInputRows(self, key, rows, timerValues):
+        due = self.due.get()[0] if self.due.exists() else None
+        set_before, found = due, []
+        for pdf in sorted_frames(rows):
+            for at, decision in zip(micros(pdf["ts"]), pdf["decision"], strict=True):
+                if due is not None and at >= due:
+                    found.append(("auto-approved", due))
+                    due = None
+                if decision is None:
+                    due = due if due is not None else at + self.wait_us
+                elif due is not None:
+                    found.append((decision, at))
+                    due = None
+        if due != set_before:
+            if set_before is not None:
+                self.handle.deleteTimer(_timer(set_before))
+                self.due.clear()
+            if due is not None:
+                self.handle.registerTimer(_timer(due))
+                self.due.update((due,))
+        yield from self._rows(key, found)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        due = self.due.get()[0]
+        self.due.clear()
+        yield from self._rows(key, [("auto-approved", due)])
+
+    def close(self) -> None:
+        pass
+
+
+def stream_approvals(events: DataFrame, minutes: int = 5, delay: str = "1 hour") -> DataFrame:
+    """events (threat_id, id, ts, decision; no decision: the request) -> threat_id, status, ts of what was decided, or approved
+    because the request had waited `minutes` of event time, as soon as the watermark says so. A decision in that instant or
+    later finds it approved; one without a request, and a request while another of its threat waits, change nothing."""
+    d = events.select(F.col("threat_id").cast("string").alias("threat_id"), F.col("id").cast("long").alias("id"), F.col("ts").cast("timestamp").alias("ts"), "decision")
+    d = d.where("threat_id is not null and ts is not null").withWatermark("ts", delay)
+    return d.groupBy("threat_id").transformWithStateInPandas(Approval(minutes * 60_000_000), "threat_id string, status string, ts timestamp", "Append", "EventTime")
+
+
+class Sweep(StatefulProcessor):
+    """When a session ends: its time to live after the last call, by a timer of event time."""
+
+    def __init__(self, ttl_us: int):
+        self.ttl_us = ttl_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.ends = handle, handle.getValueState("ends", "us long")
+
+    def handleInputRows(self, key, rows, timerValues):
+        before = self.ends.get()[0] if self.ends.exists() else None
+        calls = [t for pdf in sorted_frames(rows) for t in micros(pdf["ts"])]
+        over, last = [], before
+        for t in calls:
+            if last is not None and t >= last:
+                over.append(last)
+            last = t + self.ttl_us if last is None else max(last, t + self.ttl_us)
+        if last != before:
+            if before is not None:
+                self.handle.deleteTimer(_timer(before))
+            self.handle.registerTimer(_timer(last))
+            self.ends.update((last,))
+        if over:
+            yield pd.DataFrame({"session_id": str(key[0]), "ended_at": _moments(over)})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        end = self.ends.get()[0]
+        self.ends.clear()
+        yield pd.DataFrame({"session_id": [str(key[0])], "ended_at": _moments([end])})
+
+    def close(self) -> None:
+        pass
+
+
+def stream_session_ends(calls: DataFrame, ttl_ms: int, delay: str = "1 hour") -> DataFrame:
+    """calls (session_id, id, ts) -> session_id, ended_at: one row each time a session was without a call for ttl_ms of event
+    time. A call after that begins a new one. The state of a session is one number; ended ones have none. Unlike
+    stream_sessions this needs no clock, so the stream ends with its input; the last sessions stay open behind the watermark."""
+    d = calls.select(F.col("session_id").cast("string").alias("session_id"), F.col("id").cast("long").alias("id"), F.col("ts").cast("timestamp").alias("ts"))
+    d = d.where("session_id is not null and ts is not null").withWatermark("ts", delay)
+    return d.groupBy("session_id").transformWithStateInPandas(Sweep(ttl_ms * 1000), "session_id string, ended_at timestamp", "Append", "EventTime")
+
+
 def forward_audit(stream: DataFrame, sink_a: Callable[[DataFrame, int], None], sink_b: Callable[[DataFrame, int], None], checkpoint: str, level: str = "warn"):
     """Both projections of each batch to both sinks. If one raises, the batch comes again; sinks overwrite by batch id,
     so an event counts as delivered only when both have it. Returns the writer; call start()."""

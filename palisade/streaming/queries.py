@@ -227,6 +227,20 @@ def t10_partial_delivery(spark, d):
     return took.groupBy("sink", "seq").agg(F.count(F.lit(1)).alias("n")).withColumns({"stopped": F.lit(stopped).cast("long"), "cursor": F.lit(f.state(spark)["cursor"]).cast("long")})
 
 
+def t8_stream_session_ends(spark, d):
+    """Ends of the users' sessions: twelve hours without an event."""
+    e = T.table(spark, d, "events").select(F.col("user_id").cast("string").alias("session_id"), F.col("event_id").alias("id"), "ts")
+    return ntz(to_end(jobs.stream_session_ends(as_stream(e, "calls"), 12 * 3_600_000)), "ended_at")
+
+
+def z11_stream_approvals(spark, d):
+    """Each order asks for approval when it is placed; every fifth is denied a minute later, the others wait for the timer."""
+    o = T.table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("threat_id"), F.col("o_orderkey").alias("id"), F.col("o_orderdate").cast("timestamp").alias("ts"))
+    asked = o.withColumn("decision", F.lit(None).cast("string"))
+    denied = o.where("id % 5 = 0").select("threat_id", "id", (F.col("ts") + F.make_dt_interval(mins=F.lit(1))).alias("ts"), F.lit("denied").alias("decision"))
+    return ntz(to_end(jobs.stream_approvals(as_stream(asked.unionByName(denied), "approvals"))), "ts")
+
+
 def z8_retention(spark, d):
     """Events in a store by day; old days dropped, then the rows of the last two days and how many the store still has."""
     path = folder(spark, "store")
@@ -245,4 +259,4 @@ def z15_export(spark, d):
     return spark.read.schema(e.schema).option("header", "true").csv(path)
 
 
-QUERIES = {f.__name__: f for f in (s3_stream_log_tail, s3_tail_growing_logs, s6_quarantine_snapshot, s7_forward_audit, t1_t2_stream_windows, t2_late_rows, t3_stream_flush, t4_stream_observations, t4_stream_profile, t5_stream_connectivity, t6_stream_counter_rate, t7_merge_quarantine, t7_stream_quarantine, t10_partial_delivery, z8_retention, z15_export)}
+QUERIES = {f.__name__: f for f in (s3_stream_log_tail, s3_tail_growing_logs, s6_quarantine_snapshot, s7_forward_audit, t1_t2_stream_windows, t2_late_rows, t3_stream_flush, t4_stream_observations, t4_stream_profile, t5_stream_connectivity, t6_stream_counter_rate, t7_merge_quarantine, t7_stream_quarantine, t8_stream_session_ends, t10_partial_delivery, z8_retention, z11_stream_approvals, z15_export)}
