@@ -837,14 +837,26 @@ def s5_threat_ingest(spark, d):
 
 # --- streams and files ----------------------------------------------------------------------------------
 
+#: The mark that the second run of the late days is held to.
+_LATE = _OBS + ", mark AS (SELECT max(ts) - INTERVAL 1 HOUR AS until FROM log WHERE ts >= TIMESTAMP '2024-01-10')"
+#: Observations of each source behind its seeds, counted by resets before them.
+_RESET = _OBS + """,
+seed(i, connection_rate, traffic_volume, port_diversity) AS (VALUES (0, 3.2, 2048, 1), (1, 2.8, 1536, 2), (2, 4.1, 3072, 1), (3, 3.5, 2560, 2), (4, 5.0, 4096, 1), (5, 2.1, 1024, 1), (6, 4.8, 3584, 2), (7, 3.9, 2816, 1), (8, 2.5, 1280, 1), (9, 4.3, 3328, 1), (10, 3.0, 2048, 2), (11, 5.2, 4352, 1)),
+aged AS (SELECT source, ts, connection_rate, traffic_volume::DOUBLE AS traffic_volume, len(ports_accessed)::DOUBLE AS port_diversity, path_diversity::DOUBLE AS path_diversity,
+  CASE WHEN source < '10.0.0.5' AND ts > TIMESTAMP '2024-01-15' THEN 1 ELSE 0 END + CASE WHEN source < '10.0.0.2' AND ts > TIMESTAMP '2024-01-22' THEN 1 ELSE 0 END AS age FROM obs),
+fed AS (SELECT true AS own, * FROM aged UNION ALL
+  SELECT false, source, TIMESTAMP '1970-01-01' + to_seconds(i), connection_rate::DOUBLE, traffic_volume::DOUBLE, port_diversity::DOUBLE, NULL, age FROM (SELECT DISTINCT source, age FROM aged), seed)"""
+
 QUERIES |= SQ.QUERIES
 ORACLE_SQL |= {
+    "r7_stream_reset": f"WITH {_RESET} SELECT source, ts, n, rate_mean, volume_std, ports_mean, paths_mean FROM (SELECT own, source, ts, CAST(count(*) OVER w AS INT) AS n, round(avg(connection_rate) OVER w, 8) AS rate_mean, round(CASE WHEN min(traffic_volume) OVER w = max(traffic_volume) OVER w THEN 0.0 ELSE stddev_pop(traffic_volume) OVER w END, 6) AS volume_std, round(avg(port_diversity) OVER w, 8) AS ports_mean, round(avg(path_diversity) OVER w, 8) AS paths_mean FROM fed WINDOW w AS (PARTITION BY source, age ORDER BY ts ROWS BETWEEN 100 PRECEDING AND 1 PRECEDING)) WHERE own",
     "s3_stream_log_tail": f"WITH {_GOOD} SELECT source, uri, status, size, ts FROM good",
     "s3_tail_growing_logs": f"WITH {_GOOD} SELECT source, uri, status, size, ts FROM good",
     "s6_quarantine_snapshot": f"WITH {_HELD} SELECT * FROM held",
     "s7_forward_audit": f"WITH {_AUD} SELECT sink, seq, severity FROM seqd, (VALUES ('provenance'), ('attestation')) v(sink) WHERE severity <> 'Info'",
     "t1_t2_stream_windows": f"WITH {_OBS} SELECT source, ts, traffic_volume, path_diversity, method_diversity, round(error_rate_4xx, 6) AS error_rate_4xx FROM obs WHERE ts + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR",
-    "t2_late_rows": f"WITH {_OBS} SELECT CAST(0 AS BIGINT) AS before, count(*) AS late FROM obs WHERE ts < TIMESTAMP '2024-01-10'",
+    "t2_late_rows": f"WITH {_LATE}, late AS (SELECT event_id, source, ts, (SELECT count(*) FROM log WHERE ts < TIMESTAMP '2024-01-10') AS n FROM log, mark WHERE ts < TIMESTAMP '2024-01-10' AND date_trunc('day', ts) + INTERVAL 1 DAY <= until) SELECT *, count(*) OVER () AS n_late FROM late",
+    "t2_windows_in_time": f"WITH {_LATE} SELECT source, ts, traffic_volume, path_diversity, method_diversity FROM obs, mark WHERE ts >= TIMESTAMP '2024-01-10' AND ts + INTERVAL 1 DAY <= until",
     "t3_stream_flush": f"WITH {_OBS} SELECT * EXCLUDE (avg_duration_ms, n_requests) REPLACE (array_to_string(CAST(ports_accessed AS VARCHAR[]), ',') AS ports_accessed) FROM obs",
     "t4_stream_observations": f"WITH {_OBS}{_dims('100 PRECEDING AND 1 PRECEDING')} SELECT source, ts, dimension, {_R6}, severity, is_infinite FROM an",
     "t4_stream_profile": "SELECT event_id, CAST(count(*) OVER w AS INT) AS n, round(avg(value) OVER w, 8) AS mean, round(CASE WHEN min(value) OVER w = max(value) OVER w THEN 0.0 ELSE stddev_pop(value) OVER w END, 8) AS std_dev FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 99 PRECEDING AND CURRENT ROW)",

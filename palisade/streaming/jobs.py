@@ -10,10 +10,10 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
-from pyspark.sql.types import StructType
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 from palisade.functions import scalars as S
 from palisade.operators import audit as A
@@ -26,36 +26,112 @@ from palisade.thresholds import DEFAULTS, Thresholds
 def stream_observations(log: DataFrame, window: str = "60 seconds", delay: str = "60 seconds", exact: bool = True) -> DataFrame:
     """Tumbling windows of each source; rows later than `delay` behind the watermark are dropped.
 
-    Streams allow no exact distinct count, so paths are counted as the size of a set, or approximately.
-    A watermark never closes the last windows: with an availableNow trigger they come with the next run, or, at the end
-    of a stream, when end_of_stream() has been written. late_rows() counts what came too late.
+    Streams allow no exact distinct count, so windows are grouped twice: by each path, method and port first (a row of state
+    for each, whatever its number, spread over all tasks), then counted. exact=False counts paths approximately, in one
+    grouping. A watermark never closes the last windows: with an availableNow trigger they come with the next run, or, at the
+    end of a stream, by closing_rows(). LateRows keeps what came too late.
     """
-    sec = float(seconds_of(window))
-    n, total, status = F.count(F.lit(1)), F.sum("size"), S.status_class(F.col("status"))
-    uri = F.nullif(F.col("uri"), F.lit(""))
-    paths = F.size(F.collect_set(uri)) if exact else F.approx_count_distinct(uri)
-    g = log.withWatermark("ts", delay).groupBy("source", F.window("ts", window).alias("w"))
-    out = g.agg((n / sec).alias("connection_rate"), F.floor(total / sec).cast("bigint").alias("traffic_volume"), F.array_sort(F.collect_set(S.port_of(F.col("host")))).alias("ports_accessed"), (n / sec).alias("request_rate"),
-                (F.sum(F.when(status == "4xx", 1).otherwise(0)) / n).alias("error_rate_4xx"), (F.sum(F.when(status == "5xx", 1).otherwise(0)) / n).alias("error_rate_5xx"), paths.cast("int").alias("path_diversity"), F.floor(total / n).cast("bigint").alias("avg_payload_bytes"),
-                F.least(F.size(F.collect_set(F.nullif(F.col("method"), F.lit("")))), F.lit(255)).alias("method_diversity"))
-    return out.withColumn("ts", F.col("w.start")).drop("w")
+    sec, log = float(seconds_of(window)), log.withWatermark("ts", delay)
+    uri, method, port = F.nullif(F.col("uri"), F.lit("")), F.nullif(F.col("method"), F.lit("")), S.port_of(F.col("host"))
+    status = S.status_class(F.col("status"))
+    measured = {"n": F.count(F.lit(1)), "total": F.sum("size"), "c4": F.sum(F.when(status == "4xx", 1).otherwise(0)), "c5": F.sum(F.when(status == "5xx", 1).otherwise(0))}
+    if exact:
+        kinds = F.array(*[F.struct(F.lit(k).alias("kind"), v.cast("string").alias("item")) for k, v in (("uri", uri), ("method", method), ("port", port))])
+        rows = log.select("source", "ts", "size", "status", F.inline(kinds))
+        once = rows.groupBy("source", F.window("ts", window).alias("w"), "kind", "item").agg(*[c.alias(k) for k, c in measured.items()])
+        one = F.col("kind") == "uri"
+        distinct = lambda kind: F.sum(F.when((F.col("kind") == kind) & F.col("item").isNotNull(), 1).otherwise(0))
+        g = once.groupBy("source", F.window("w", window).alias("w")).agg(
+            *[F.sum(F.when(one, F.col(k))).alias(k) for k in measured], distinct("uri").alias("paths"), distinct("method").alias("methods"),
+            F.array_sort(F.collect_set(F.when(F.col("kind") == "port", F.col("item").cast("int")))).alias("ports_accessed"))
+    else:
+        g = log.groupBy("source", F.window("ts", window).alias("w")).agg(
+            *[c.alias(k) for k, c in measured.items()], F.approx_count_distinct(uri).alias("paths"), F.size(F.collect_set(method)).alias("methods"), F.array_sort(F.collect_set(port)).alias("ports_accessed"))
+    n, total = F.col("n"), F.col("total")
+    return g.select("source", (n / sec).alias("connection_rate"), F.floor(total / sec).cast("bigint").alias("traffic_volume"), "ports_accessed", (n / sec).alias("request_rate"),
+                    (F.col("c4") / n).alias("error_rate_4xx"), (F.col("c5") / n).alias("error_rate_5xx"), F.col("paths").cast("int").alias("path_diversity"), F.floor(total / n).cast("bigint").alias("avg_payload_bytes"),
+                    F.least("methods", F.lit(255)).cast("int").alias("method_diversity"), F.col("w.start").alias("ts"))
 
 
 #: Date of the row that ends a stream.
 END = "2200-01-01"
 
 
+def closing_rows(spark: SparkSession, schema: StructType, path: str) -> DataFrame:
+    """A stream of a folder of its own, empty at first, to be united with the stream that end_of_stream() is to end."""
+    spark.createDataFrame([], schema).write.mode("append").parquet(path)
+    return spark.readStream.schema(schema).parquet(path)
+
+
 def end_of_stream(spark: SparkSession, schema: StructType, path: str, ts: str = "ts") -> None:
-    """Add the last row of a stream of Parquet files to its folder. It is dated after everything else, so the next run
+    """Add the last row of a stream to the folder of its closing_rows(). It is dated after everything else, so the next run
     closes all open windows; its own window never closes, and rows that come after it are late."""
     row = [F.lit(END).cast(f.dataType).alias(f.name) if f.name == ts else F.lit(None).cast(f.dataType).alias(f.name) for f in schema]
     spark.range(1).select(*row).write.mode("append").parquet(path)
 
 
-def late_rows(query: StreamingQuery) -> int:
-    """How many rows the watermark has turned away, over the progress that the query still holds. A windowed stream
-    counts what is left of them after grouping: one for each source and window of a batch."""
-    return sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"])
+class LateRows:
+    """Divides the rows of a stream into those in time and those whose window was over, and keeps both below `path`.
+
+    A row is late if its window of `window` ends at or before the greatest ts of all earlier batches less `delay`; that mark
+    and the number of rows are committed once a batch is written. Each batch is read once, without a shuffle. A batch that
+    comes again after a failure is judged by the same mark and replaces its files; one that was committed is left alone.
+    Rows without ts are in time (they are in no window).
+
+    Read on_time() as the stream that windows are made of, with the same window and delay: they drop nothing then. Let its
+    runs follow those of writer(), not go on beside them, so that it sees whole batches. The batch tables late() and counts()
+    can be read at any time.
+    """
+
+    STATE = "batch long, mark long, n long, late long"
+    #: The partition column of the files: true holds late rows.
+    LATE = "_late"
+
+    def __init__(self, path: str, window: str, delay: str):
+        self.path, self.window_us, self.delay_us = path, seconds_of(window) * 1_000_000, seconds_of(delay) * 1_000_000
+
+    def counts(self, spark: SparkSession) -> DataFrame:
+        """(batch, mark, n, late): rows of each batch, late ones, and the mark in microseconds that the next ones are held to."""
+        try:
+            return spark.read.schema(self.STATE).json(f"{self.path}/commits")
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return spark.createDataFrame([], self.STATE)
+
+    def divide(self, batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        old = self.counts(spark).agg(F.max("mark").alias("mark"), F.max("batch").alias("batch")).first()
+        if old["batch"] is not None and batch_id <= old["batch"]:
+            return
+        us = F.unix_micros(F.col("ts").cast("timestamp"))
+        end = us - F.pmod(us, F.lit(self.window_us)) + self.window_us
+        late = F.coalesce(end <= F.lit(old["mark"]), F.lit(False))
+        seen = Observation()
+        rows = batch.withColumn(self.LATE, late).observe(seen, F.max(us).alias("last"), F.count(F.lit(1)).alias("n"), F.count_if(self.LATE).alias("late"))
+        rows.write.mode("overwrite").partitionBy(self.LATE).parquet(f"{self.path}/rows/batch={batch_id}")
+        got = seen.get
+        marks = [m for m in (old["mark"], None if got["last"] is None else got["last"] - self.delay_us) if m is not None]
+        spark.createDataFrame([(batch_id, max(marks, default=None), got["n"], got["late"])], self.STATE).coalesce(1).write.mode("append").json(f"{self.path}/commits")
+
+    def writer(self, stream: DataFrame, checkpoint: str):
+        """The writer that divides a stream with a column ts; call start()."""
+        return stream.writeStream.foreachBatch(self.divide).option("checkpointLocation", checkpoint)
+
+    def on_time(self, spark: SparkSession, schema: StructType) -> DataFrame:
+        """A stream of the rows in time."""
+        return spark.readStream.schema(schema).parquet(f"{self.path}/rows/batch=*/{self.LATE}=false")
+
+    def late(self, spark: SparkSession, schema: StructType) -> DataFrame:
+        """The late rows so far, with the number of the batch that brought them."""
+        full = StructType([*schema.fields, StructField("batch", LongType()), StructField(self.LATE, BooleanType())])
+        try:
+            rows = spark.read.schema(full).parquet(f"{self.path}/rows")
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            rows = spark.createDataFrame([], full)
+        return rows.where(self.LATE).drop(self.LATE).join(self.counts(spark).select("batch"), "batch", "left_semi")
 
 
 def over_ring(ring: np.ndarray, rows: np.ndarray, size: int, include_self: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -78,43 +154,72 @@ def over_ring(ring: np.ndarray, rows: np.ndarray, size: int, include_self: bool)
 
 
 class Ring(StatefulProcessor):
-    """Mean, spread and count of the last `size` rows of a key for each of `dims`, judged with or before their learning."""
+    """Mean, spread and count of the last `size` rows of a key for each of `dims`, judged with or before their learning. A row
+    marked as a reset leaves nothing of what was learned but `seed`, and is no value itself."""
 
-    def __init__(self, size: int, include_self: bool, dims: tuple[str, ...]):
+    def __init__(self, size: int, include_self: bool, dims: tuple[str, ...], seed: np.ndarray | None = None):
         self.size, self.include_self, self.dims = size, include_self, dims
+        self.seed = np.zeros((0, len(dims))) if seed is None else seed[-size:]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.ring = handle.getValueState("ring", "v array<double>")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        kept = np.array(self.ring.get()[0], float).reshape(-1, len(self.dims)) if self.ring.exists() else np.zeros((0, len(self.dims)))
-        for pdf in sorted_frames(rows):
-            new = pdf[list(self.dims)].to_numpy(float)
-            n, mean, std = over_ring(kept, new, self.size, self.include_self)
-            kept = np.concatenate([kept, new])[-self.size:]
-            out = {"key": str(key[0]), "id": pdf["id"].to_numpy(), "ts": pdf["ts"].to_numpy(), "n": n.astype(np.int32)}
-            for k, d in enumerate(self.dims):
-                out |= {d: new[:, k], f"{d}_mean": mean[:, k], f"{d}_std": std[:, k]}
-            yield pd.DataFrame(out)
+    def _learned(self) -> np.ndarray:
+        return np.array(self.ring.get()[0], float).reshape(-1, len(self.dims)) if self.ring.exists() else np.zeros((0, len(self.dims)))
+
+    def _learn(self, kept: np.ndarray) -> None:
         if len(kept):
             self.ring.update((kept.ravel().tolist(),))
+        elif self.ring.exists():
+            self.ring.clear()
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        rows = initialState.sort_values(["ts", "id"])[list(self.dims)].to_numpy(float)
+        self._learn(np.concatenate([self._learned(), rows])[-self.size:])
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        kept = self._learned()
+        for pdf in sorted_frames(rows):
+            resets = pdf["reset"].to_numpy(bool)
+            for part in np.split(np.arange(len(pdf)), np.flatnonzero(resets)):
+                if len(part) and resets[part[0]]:
+                    kept, part = self.seed, part[1:]
+                if not len(part):
+                    continue
+                d = pdf.iloc[part]
+                new = d[list(self.dims)].to_numpy(float)
+                n, mean, std = over_ring(kept, new, self.size, self.include_self)
+                kept = np.concatenate([kept, new])[-self.size:]
+                out = {"key": str(key[0]), "id": d["id"].to_numpy(), "ts": d["ts"].to_numpy(), "n": n.astype(np.int32)}
+                for k, c in enumerate(self.dims):
+                    out |= {c: new[:, k], f"{c}_mean": mean[:, k], f"{c}_std": std[:, k]}
+                yield pd.DataFrame(out)
+        self._learn(kept)
 
     def close(self) -> None:
         pass
 
 
 def sorted_frames(rows: Iterator[pd.DataFrame]) -> list[pd.DataFrame]:
-    """A key's rows of one micro-batch in order of time and id: a batch is bounded by the source's rate options."""
+    """A key's rows of one micro-batch in order of time (resets after other rows of their time) and id: a batch is bounded by
+    the source's rate options."""
     frames = list(rows)
-    return [pd.concat(frames).sort_values(["ts", "id"])] if frames else []
+    return [pd.concat(frames).sort_values(["ts", *(c for c in ("reset",) if c in frames[0]), "id"])] if frames else []
 
 
-def stream_profiles(values: DataFrame, dims: tuple[str, ...], size: int, include_self: bool = True) -> DataFrame:
+def stream_profiles(values: DataFrame, dims: tuple[str, ...], size: int, include_self: bool = True, initial: DataFrame | None = None, seed: np.ndarray | None = None) -> DataFrame:
     """values (key, id, ts, dims) -> key, id, ts, n, and value, mean and spread of each dimension. Needs the RocksDB state
-    store; the state of a key is its last `size` rows."""
-    d = values.select(F.col("key").cast("string").alias("key"), F.col("id").cast("long").alias("id"), F.col("ts").cast("timestamp").alias("ts"), *[F.col(k).cast("double").alias(k) for k in dims])
+    store; the state of a key is its last `size` rows.
+
+    `initial` (like values; no stream) is what keys have learned before the first batch. Where values have a column reset,
+    rows in which it is true are no values: what the key learned up to their time is forgotten, and `seed` (rows of dims)
+    stands in its place. Rows with an older time that come in a later batch than a reset are learned after it.
+    """
+    reset = F.coalesce(F.col("reset"), F.lit(False)) if "reset" in values.columns else F.lit(False)
+    cast = lambda d, *more: d.select(F.col("key").cast("string").alias("key"), F.col("id").cast("long").alias("id"), F.col("ts").cast("timestamp").alias("ts"), *more, *[F.col(k).cast("double").alias(k) for k in dims])
     out = "key string, id long, ts timestamp, n int, " + ", ".join(f"{k} double, {k}_mean double, {k}_std double" for k in dims)
-    return d.groupBy("key").transformWithStateInPandas(Ring(size, include_self, dims), out, "Append", "None")
+    known = None if initial is None else cast(initial).groupBy("key")
+    return cast(values, reset.alias("reset")).groupBy("key").transformWithStateInPandas(Ring(size, include_self, dims, seed), out, "Append", "None", known)
 
 
 def stream_profile(values: DataFrame, size: int, include_self: bool = True) -> DataFrame:
@@ -130,11 +235,22 @@ def stream_score(values: DataFrame, th: Thresholds = DEFAULTS, include_self: boo
     return p.withColumn("z", z).withColumn("anomalous", F.coalesce(S.exceeds(F.col("z"), th.sigma), F.lit(False)))
 
 
-def stream_observation_scores(obs: DataFrame, th: Thresholds = DEFAULTS, include_self: bool = False) -> DataFrame:
+def stream_observation_scores(obs: DataFrame, th: Thresholds = DEFAULTS, include_self: bool = False, resets: DataFrame | None = None, seeded: DataFrame | None = None) -> DataFrame:
     """Observations of a stream, scored in all six dimensions against the rolling profile of their source, then learned.
-    The rows are those of observations.rolling_score, so anomalies() and the detectors take them."""
-    d = O.with_dimensions(obs).withColumns({"key": F.col("source"), "id": F.lit(0)})
-    p = stream_profiles(d, O.DIMENSIONS, th.window, include_self).withColumnsRenamed({"key": "source", "n": "_n"}).drop("id")
+    The rows are those of observations.rolling_score, so anomalies() and the detectors take them.
+
+    resets (source, reset_at; a stream too): a source forgets what it learned up to then and starts from the ordinary
+    observations of seed_observations. Sources of `seeded` (a table) start from those from the beginning."""
+    d = O.with_dimensions(obs).select(F.col("source").alias("key"), F.lit(0).alias("id"), F.col("ts").cast("timestamp").alias("ts"), F.lit(False).alias("reset"), *[F.col(k).cast("double").alias(k) for k in O.DIMENSIONS])
+    seed = initial = None
+    if resets is not None:
+        at = resets.select(F.col("source").alias("key"), F.lit(0).alias("id"), F.col("reset_at").cast("timestamp").alias("ts"), F.lit(True).alias("reset"))
+        d = d.unionByName(at, allowMissingColumns=True)
+        ordinary = O.with_dimensions(O.seed_observations(obs.sparkSession, obs.sparkSession.createDataFrame([("",)], "source string"))).orderBy("ts")
+        seed = np.array([[np.nan if v is None else float(v) for v in r] for r in ordinary.select(*O.DIMENSIONS).collect()])
+    if seeded is not None:
+        initial = O.with_dimensions(O.seed_observations(obs.sparkSession, seeded)).withColumns({"key": F.col("source"), "id": F.lit(0)})
+    p = stream_profiles(d, O.DIMENSIONS, th.window, include_self, initial, seed).withColumnsRenamed({"key": "source", "n": "_n"}).drop("id")
     return O.with_z(p, th)
 
 

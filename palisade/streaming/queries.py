@@ -132,25 +132,41 @@ def t1_t2_stream_windows(spark, d):
 def t3_stream_flush(spark, d):
     """Daily windows of a stream that ends: those behind the watermark, then the open ones. All windows of the log."""
     log = T.access_log(spark, d).withColumn("ts", F.col("ts").cast("timestamp"))
-    path, out, checkpoint = folder(spark, "log"), folder(spark, "out"), folder(spark, "checkpoint")
+    path, end, out, checkpoint = (folder(spark, n) for n in ("log", "end", "out", "checkpoint"))
     log.write.parquet(path)
-    stream = jobs.stream_observations(spark.readStream.schema(log.schema).parquet(path), "1 day", "1 hour")
+    rows = spark.readStream.schema(log.schema).parquet(path).unionByName(jobs.closing_rows(spark, log.schema, end))
+    stream = jobs.stream_observations(rows, "1 day", "1 hour")
     run(stream, out, checkpoint)
-    jobs.end_of_stream(spark, log.schema, path)
+    jobs.end_of_stream(spark, log.schema, end)
     run(stream, out, checkpoint)
     return ntz(spark.read.schema(stream.schema).parquet(out), "ts").withColumn("ports_accessed", F.array_join(F.col("ports_accessed").cast("array<string>"), ","))
 
 
-def t2_late_rows(spark, d):
-    """Days before the 10th arrive after the end of the month: the watermark turns them away and counts them."""
+def _late_days(spark, d):
+    """Days before the 10th arrive after the end of the month, and are late."""
     log = T.access_log(spark, d).withColumn("ts", F.col("ts").cast("timestamp"))
-    path, out, checkpoint = folder(spark, "log"), folder(spark, "out"), folder(spark, "checkpoint")
-    late = []
+    path, checkpoint, split = folder(spark, "log"), folder(spark, "checkpoint"), jobs.LateRows(folder(spark, "split"), "1 day", "1 hour")
     for when in ("ts >= '2024-01-10'", "ts < '2024-01-10'"):
         log.where(when).write.mode("append").parquet(path)
-        stream = jobs.stream_observations(spark.readStream.schema(log.schema).parquet(path), "1 day", "1 hour")
-        late.append(jobs.late_rows(run(stream, out, checkpoint)))
-    return spark.createDataFrame([tuple(late)], "before long, late long")
+        split.writer(spark.readStream.schema(log.schema).parquet(path), checkpoint).trigger(availableNow=True).start().awaitTermination()
+        yield log.schema, split
+
+
+def t2_late_rows(spark, d):
+    """Late rows themselves, with the number of late rows and of all rows of their batch."""
+    for schema, split in _late_days(spark, d):
+        pass
+    counts = split.counts(spark).select("batch", "n", F.col("late").alias("n_late"))
+    return ntz(split.late(spark, schema).join(F.broadcast(counts), "batch"), "ts").select("event_id", "source", "ts", "n", "n_late")
+
+
+def t2_windows_in_time(spark, d):
+    """Daily windows of the rows in time: the late ones change none, and none is dropped."""
+    out, checkpoint = folder(spark, "out"), folder(spark, "checkpoint")
+    for schema, split in _late_days(spark, d):
+        stream = jobs.stream_observations(split.on_time(spark, schema), "1 day", "1 hour")
+        run(stream, out, checkpoint)
+    return ntz(spark.read.schema(stream.schema).parquet(out), "ts").select("source", "ts", "traffic_volume", "path_diversity", "method_diversity")
 
 
 def t4_stream_observations(spark, d):
@@ -162,6 +178,25 @@ def t4_stream_observations(spark, d):
     return rounded(ntz(found, "ts"), "observed", "mean", "std_dev", "deviation", "confidence")
 
 
+def r7_stream_reset(spark, d):
+    """All sources start from seeds; those below 10.0.0.5 are reset in the middle of the month, below 10.0.0.2 once more
+    on the 22nd, and start from seeds again. Observations and resets come in two runs."""
+    from palisade.queries import TH, observed
+
+    obs = observed(spark, d).withColumn("ts", F.col("ts").cast("timestamp"))
+    at = lambda below, day: obs.where(F.col("source") < below).select("source", F.lit(day).cast("timestamp").alias("reset_at")).distinct()
+    resets = at("10.0.0.5", "2024-01-15").unionByName(at("10.0.0.2", "2024-01-22"))
+    rows_in, resets_in, out, checkpoint = (folder(spark, n) for n in ("observations", "resets", "out", "checkpoint"))
+    for now in ("{} < '2024-01-18'", "{} >= '2024-01-18'"):
+        obs.where(now.format("ts")).write.mode("append").parquet(rows_in)
+        resets.where(now.format("reset_at")).write.mode("append").parquet(resets_in)
+        read = lambda schema, path: spark.readStream.schema(schema).parquet(path)
+        stream = jobs.stream_observation_scores(read(obs.schema, rows_in), TH, resets=read(resets.schema, resets_in), seeded=obs.select("source"))
+        run(stream, out, checkpoint)
+    scored = ntz(spark.read.schema(stream.schema).parquet(out), "ts")
+    return scored.select("source", "ts", F.col("_n").alias("n"), F.round("connection_rate_mean", 8).alias("rate_mean"), F.round("traffic_volume_std", 6).alias("volume_std"), F.round("port_diversity_mean", 8).alias("ports_mean"), F.round("path_diversity_mean", 8).alias("paths_mean"))
+
+
 def t4_stream_profile(spark, d):
     e = T.table(spark, d, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("id"), "ts", "value")
     p = to_end(jobs.stream_profile(as_stream(e, "values"), 100))
@@ -259,4 +294,4 @@ def z15_export(spark, d):
     return spark.read.schema(e.schema).option("header", "true").csv(path)
 
 
-QUERIES = {f.__name__: f for f in (s3_stream_log_tail, s3_tail_growing_logs, s6_quarantine_snapshot, s7_forward_audit, t1_t2_stream_windows, t2_late_rows, t3_stream_flush, t4_stream_observations, t4_stream_profile, t5_stream_connectivity, t6_stream_counter_rate, t7_merge_quarantine, t7_stream_quarantine, t8_stream_session_ends, t10_partial_delivery, z8_retention, z11_stream_approvals, z15_export)}
+QUERIES = {f.__name__: f for f in (r7_stream_reset, s3_stream_log_tail, s3_tail_growing_logs, s6_quarantine_snapshot, s7_forward_audit, t1_t2_stream_windows, t2_late_rows, t2_windows_in_time, t3_stream_flush, t4_stream_observations, t4_stream_profile, t5_stream_connectivity, t6_stream_counter_rate, t7_merge_quarantine, t7_stream_quarantine, t8_stream_session_ends, t10_partial_delivery, z8_retention, z11_stream_approvals, z15_export)}

@@ -194,10 +194,59 @@ def test_threat_intel_stream(spark, files, tmp_path):
     assert got.count() == want.count() > 0 and {r["source_node"] for r in got.select("source_node").distinct().collect()} == {"n1"}
 
 
-def test_late_rows_and_the_end_of_a_stream(spark, sf):
+def test_late_rows_over_batches(spark, tmp_path):
+    split = jobs.LateRows(f"file://{tmp_path}/split", "1 hour", "10 minutes")
+    rows = lambda *r: spark.createDataFrame([(i, T0 + dt.timedelta(minutes=m) if m is not None else None) for i, m in r], "id long, ts timestamp").coalesce(1)
+    schema = rows().schema
+    assert split.late(spark, schema).count() == 0 and split.counts(spark).count() == 0
+    split.divide(rows((1, 5), (2, 65), (3, None)), 0)  # mark 55: nothing was over before
+    split.divide(rows((4, 30), (5, 70)), 1)  # the first hour ends at 60, after the mark; then 60 is reached
+    split.divide(rows((6, 59), (7, 60), (8, None), (6, 59)), 2)
+    split.divide(rows((9, 1)), 2)  # comes again after its commit: nothing
+    split.divide(rows((10, 500)), 3)
+    split.divide(rows(), 4)
+    split.divide(rows((11, 479), (12, 480)), 5)  # mark 490: the hour from 420 is over, that from 480 is not
+    late = sorted((r["id"], r["batch"]) for r in split.late(spark, schema).collect())
+    assert late == [(6, 2), (6, 2), (11, 5)]
+    assert [(r["n"], r["late"]) for r in split.counts(spark).orderBy("batch").collect()] == [(3, 0), (2, 0), (4, 2), (1, 0), (0, 0), (2, 1)]
+    assert sorted(r["id"] for r in run(split.on_time(spark, schema), tmp_path, "on").collect()) == [1, 2, 3, 4, 5, 7, 8, 10, 12]
+
+
+def test_batch_that_failed_is_divided_again(spark, tmp_path, monkeypatch):
+    split = jobs.LateRows(f"file://{tmp_path}/split", "1 hour", "10 minutes")
+    d = spark.createDataFrame([(1, T0)], "id long, ts timestamp")
+    d.withColumn("_late", F.lit(True)).write.partitionBy("_late").parquet(f"{split.path}/rows/batch=0")  # written, not committed
+    assert split.late(spark, d.schema).count() == 0
+    split.divide(d, 0)
+    assert [r["id"] for r in run(split.on_time(spark, d.schema), tmp_path, "on").collect()] == [1]
+
+
+def test_end_of_a_stream_leaves_its_source_alone(spark, sf):
     from palisade.queries import QUERIES
 
-    flushed = QUERIES["t3_stream_flush"](spark, sf)
-    assert flushed.count() == O.aggregate_windows(T.access_log(spark, sf), "1 day").count()
-    late = QUERIES["t2_late_rows"](spark, sf).first()
-    assert late["before"] == 0 < late["late"]
+    assert QUERIES["t3_stream_flush"](spark, sf).count() == O.aggregate_windows(T.access_log(spark, sf), "1 day").count()
+
+
+def test_approximate_paths_near_exact_ones(spark, files, tmp_path):
+    exact, near = (run(jobs.stream_observations(source(spark, files, "log"), "1 day", "1 hour", e), tmp_path, f"w{e}") for e in (True, False))
+    drop = lambda d: sorted(map(str, d.drop("path_diversity").select(sorted(c for c in d.columns if c != "path_diversity")).collect()))
+    assert drop(exact) == drop(near) and exact.dtypes == near.dtypes
+    assert exact.join(near.withColumnRenamed("path_diversity", "about"), ["source", "ts"]).where("abs(path_diversity - about) > 0.2 * path_diversity + 1").count() == 0
+
+
+def test_resets_and_seeds_in_a_stream(spark, tmp_path):
+    ddl = "key string, id long, ts timestamp, value double, reset boolean"
+    row = lambda key, m, v, reset=None: (key, m, T0 + dt.timedelta(minutes=m), v, reset)
+    initial = spark.createDataFrame([row("a", -2, 1.0)[:4], row("a", -1, 3.0)[:4]], "key string, id long, ts timestamp, value double")
+
+    def put(name, *rows):
+        spark.createDataFrame(list(rows), ddl).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        s = spark.readStream.schema(ddl).parquet(f"{tmp_path}/in")
+        out = run(jobs.stream_profiles(s, ("value",), 3, False, initial, np.array([[10.0], [20.0]])), tmp_path, "out")
+        return {(r["key"], r["id"]): (r["n"], None if r["n"] == 0 else round(r["value_mean"], 6)) for r in out.collect()}
+
+    first = put("one", row("a", 1, 5.0), row("a", 2, 7.0), row("a", 3, None, True), row("a", 3, 9.0), row("a", 4, 1.0), row("b", 1, 2.0), row("c", 5, None, True))
+    # the value of the same moment as the reset goes with what is forgotten
+    assert first == {("a", 1): (2, 2.0), ("a", 2): (3, 3.0), ("a", 3): (3, 5.0), ("a", 4): (2, 15.0), ("b", 1): (0, None)}
+    second = put("two", row("c", 6, 0.0), row("a", 5, 0.0), row("b", 2, None, True), row("b", 3, 4.0))
+    assert {k: v for k, v in second.items() if k not in first} == {("c", 6): (2, 15.0), ("a", 5): (3, round(31 / 3, 6)), ("b", 3): (2, 15.0)}
