@@ -1,6 +1,9 @@
 """Benchmark decontamination by templates, with DataFrame functions only.
 
-Words are canonicalised: numbers, names (a capitalised word inside a sentence) and units become typed placeholders.
+Words are canonicalised: numbers (in digits or in words; number words in a row are one number), names (a capitalised word
+inside a sentence) and units (also glued to their number) become typed placeholders. Texts are read in two ways: with each
+name a word of its own, and, by templates only, with a run of capitalised words as one name, so that a name of two words
+meets one of a single word without a shift. Windows of one reading meet windows of the same.
 Windows of template words are joined by hash between documents and benchmark items, and beside them windows in which
 names are plain words, so that a copy in other letter case is found too. A window must have literal words to count; one
 that is all placeholders counts only with its own values, so numbers in a row do not match other numbers in a row. An
@@ -23,49 +26,72 @@ LITERAL = 2  # words of a window that are no placeholders
 SHORT = 4  # words of the shortest item that is looked for
 #: Words that count as units of measure.
 UNITS = ("mm", "cm", "m", "km", "inch", "inches", "foot", "feet", "mile", "miles", "mg", "g", "kg", "ounce", "ounces", "pound", "pounds", "ton", "tons", "ml", "l", "liter", "liters", "gallon", "gallons", "second", "seconds", "minute", "minutes", "hour", "hours", "day", "days", "week", "weeks", "month", "months", "year", "years", "percent", "dollar", "dollars", "euro", "euros", "cent", "cents", "degree", "degrees", "volt", "volts", "watt", "watts")
-#: Characters of the private use area: marks of names, numbers, units, and of a point inside a number.
-_NAME, _NUM, _UNIT, _MARK = "\ue000", "\ue001", "\ue002", "\ue003"
+#: Numbers as words, and what they stand for.
+NUMBERS = {w: n for n, w in enumerate(("zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve", "thirteen", "fourteen", "fifteen", "sixteen", "seventeen", "eighteen", "nineteen", "twenty"))}
+NUMBERS |= {"thirty": 30, "forty": 40, "fifty": 50, "sixty": 60, "seventy": 70, "eighty": 80, "ninety": 90, "hundred": 100, "thousand": 1000, "million": 1_000_000, "billion": 1_000_000_000}
+#: Characters of the private use area: marks of names, numbers, units, of a joint inside a number, and inside a name.
+_NAME, _NUM, _UNIT, _MARK, _RUN = "\ue000", "\ue001", "\ue002", "\ue003", "\ue004"
+_NUMBER_WORD = "(?i:" + "|".join(NUMBERS) + ")"
+_WORD_ENDS = r"(?![\p{L}\p{N}])"
 #: Benchmark windows up to this many rows (about 24 bytes each) are broadcast; beyond, both sides are shuffled.
 BROADCAST_ROWS = 500_000
 
 
-def tokens(text: Column) -> Column:
-    """Words in lower case; a name keeps a mark in front, a number with inner points stays one word."""
+def tokens(text: Column, runs: bool = False) -> Column:
+    """Words in lower case; a name keeps a mark in front, a number with inner points or of several words stays one word, a
+    unit glued to a number is a word of its own. With `runs`, capitalised words in a row are one word."""
     t = F.regexp_replace(F.coalesce(text, F.lit("")), r"(\d)[.,](?=\d)", "$1" + _MARK)
+    t = F.regexp_replace(t, rf"(\d)(?=(?i:{'|'.join(UNITS)}){_WORD_ENDS})", "$1 ")
+    t = F.regexp_replace(t, rf"(?<![\p{{L}}\p{{N}}])({_NUMBER_WORD})[\s-]+(?={_NUMBER_WORD}{_WORD_ENDS})", "$1" + _MARK)
     t = F.regexp_replace(t, r"([\p{Ll}\d,;]\s+[\"'`(\[{<]*)(?=\p{Lu})", "$1" + _NAME)
+    if runs:
+        t = F.regexp_replace(t, rf"(\p{{Lu}}[^\s\p{{Punct}}]*)\s+{_NAME}", "$1" + _RUN)
     return F.filter(F.split(F.lower(t), r"[\s\p{Punct}]+"), lambda w: w != "")
 
 
+def word(w: Column) -> Column:
+    return F.when(F.substring(w, 1, 1) == _NAME, F.substring(w, 2, 1 << 30)).otherwise(w)
+
+
+def is_number(w: Column) -> Column:
+    """In digits, or one or more number words, whatever their letter case."""
+    return F.substring(w, 1, 1).between("0", "9") | F.substring_index(word(w), _MARK, 1).isin(*NUMBERS)
+
+
+def is_name(w: Column) -> Column:
+    return (F.substring(w, 1, 1) == _NAME) | F.contains(w, F.lit(_RUN))
+
+
 def template(w: Column) -> Column:
-    c = F.substring(w, 1, 1)
-    return F.when(c == _NAME, _NAME).when(c.between("0", "9"), _NUM).when(w.isin(*UNITS), _UNIT).otherwise(w)
+    return F.when(is_number(w), _NUM).when(is_name(w), _NAME).when(w.isin(*UNITS), _UNIT).otherwise(w)
 
 
 def plain(w: Column) -> Column:
     """The template of a word that is no name: what it would be in small letters."""
-    return template(F.when(F.substring(w, 1, 1) == _NAME, F.substring(w, 2, 1 << 30)).otherwise(w))
+    return template(word(w))
 
 
 def is_slot(w: Column) -> Column:
-    c = F.substring(w, 1, 1)
-    return (c == _NAME) | c.between("0", "9") | w.isin(*UNITS)
+    return is_number(w) | is_name(w) | w.isin(*UNITS)
 
 
-def word(w: Column) -> Column:
-    return F.when(F.substring(w, 1, 1) == _NAME, F.substring(w, 2, 1 << 30)).otherwise(w)
+def value(w: Column) -> Column:
+    """What fills a slot: a name without its mark, a number word in digits."""
+    digits = F.create_map(*[F.lit(x) for k, n in NUMBERS.items() for x in (k, str(n))])
+    return F.coalesce(F.try_element_at(digits, word(w)), word(w))
 
 
 def itself(w: Column) -> Column:
     return F.xxhash64(F.lit("="), word(w))
 
 
-def _hashed(texts: DataFrame, key: str, sides: str) -> DataFrame:
+def _hashed(texts: DataFrame, key: str, sides: str, runs: bool = False) -> DataFrame:
     """texts (key, text) -> key, _w (the words), and for each side the array of the hashes of every WINDOW words.
 
     Sides are hashes of a word's template (t), of what that would be in small letters (p), and of the word itself (x). A hash of two words, then of two of those, and so on: the last WINDOW - 1 elements lack words and mean nothing.
     Each array is a column of its own; inside another expression it would be made again for every element.
     """
-    h = texts.select(key, tokens(F.col("text")).alias("_w"))
+    h = texts.select(key, tokens(F.col("text"), runs).alias("_w"))
     h = h.select(key, "_w", F.transform("_w", lambda w: F.xxhash64(template(w))).alias("t"))
     made = {"t": F.col("t"), "p": F.zip_with("_w", "t", lambda w, t: F.when(F.substring(w, 1, 1) == _NAME, F.xxhash64(plain(w))).otherwise(t)), "x": F.transform("_w", itself)}
     h = h.select(key, "_w", *[made[s].alias(s) for s in sides])
@@ -83,11 +109,13 @@ def _starts(array: str) -> Column:
 
 def windows(texts: DataFrame, exact: bool, lengths: list[int]) -> DataFrame:
     """(doc_id, pos, w): hashes of every WINDOW template words, of plain words where they differ, and if asked for, of
-    the words themselves, also of so many words as `lengths` says. Texts with fewer words have none."""
+    the words themselves, also of so many words as `lengths` says. Texts with fewer words have none. The other reading's
+    template hashes are told apart by turning their bits over."""
     h = _hashed(texts, "doc_id", "tpx" if exact else "tp")
     p, more = lambda i: F.get(F.col("p"), i), lambda i: [F.get(F.col("x"), i)] if exact else []
     all_ = lambda v, i: F.when(v == p(i), F.array(v, *more(i))).otherwise(F.array(v, p(i), *more(i)))
     out = h.select("doc_id", F.posexplode(F.transform(_starts("t"), all_)).alias("pos", "_w")).select("doc_id", "pos", F.explode("_w").alias("w"))
+    out = out.unionByName(_hashed(texts, "doc_id", "t", True).select("doc_id", F.posexplode(_starts("t")).alias("pos", "w")).withColumn("w", F.bitwise_not("w")))
     if lengths:
         x = texts.select("doc_id", tokens(F.col("text")).alias("_w")).select("doc_id", F.transform("_w", itself).alias("x"))
         short = lambda v, i: F.array(*[F.when(i + k <= F.size("x"), _run("x", i, k)) for k in lengths])
@@ -102,8 +130,8 @@ def _run(array: str, i: Column, n: int) -> Column:
 
 
 def item_windows(items: DataFrame) -> DataFrame:
-    """(item_id, at, n, exact, w): the windows of n words by which an item is found. Template and plain windows need
-    LITERAL words; where the plain one lacks them, or the item is shorter than a window, the words themselves count."""
+    """(item_id, runs, at, n, exact, w): the windows of n words by which an item is found, in both readings (runs: a run
+    of names is one word; templates only). Template and plain windows need LITERAL words; where the plain one lacks them, or the item is shorter than a window, the words themselves count."""
     t = _hashed(items, "item_id", "tpx")
     literal = lambda f: lambda i: F.size(F.filter(F.slice("_w", i + 1, WINDOW), lambda w: ~F.substring(f(w), 1, 1).isin(_NAME, _NUM, _UNIT)))
     row = lambda i, ok, side: F.when(ok, F.struct(F.lit(side == "x").alias("exact"), F.get(F.col(side), i).alias("w")))
@@ -112,7 +140,12 @@ def item_windows(items: DataFrame) -> DataFrame:
     long = long.select("item_id", "at", F.lit(WINDOW).alias("n"), F.explode("_w").alias("_w")).select("item_id", "at", "n", "_w.*").dropDuplicates(["item_id", "at", "w"])
     x = items.select("item_id", tokens(F.col("text")).alias("_w")).select("item_id", F.transform("_w", itself).alias("x"), F.size("_w").alias("n"))
     whole = F.coalesce(*[F.when(F.col("n") == k, _run("x", F.lit(0), k)) for k in range(SHORT, WINDOW)])
-    return long.unionByName(x.where(F.col("n").between(SHORT, WINDOW - 1)).select("item_id", F.lit(0).alias("at"), "n", F.lit(True).alias("exact"), whole.alias("w")))
+    r = _hashed(items, "item_id", "t", True)
+    some = lambda _, i: F.when(literal(template)(i) >= LITERAL, F.bitwise_not(F.get(F.col("t"), i)))
+    r = r.select("item_id", F.posexplode(F.transform(_starts("t"), some)).alias("at", "w")).where("w is not null")
+    r = r.select("item_id", F.lit(True).alias("runs"), "at", F.lit(WINDOW).alias("n"), F.lit(False).alias("exact"), "w")
+    apart = long.unionByName(x.where(F.col("n").between(SHORT, WINDOW - 1)).select("item_id", F.lit(0).alias("at"), "n", F.lit(True).alias("exact"), whole.alias("w")))
+    return apart.withColumn("runs", F.lit(False)).unionByName(r)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -120,26 +153,29 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     n_windows and n_slots are those of the longest match of the pair (the one with more slots at ties); exact is false
     where a slot has another value. Items of SHORT to WINDOW - 1 words match word for word. Null or empty texts, items
-    of fewer words and null ids match nothing; a repeated row changes nothing.
+    of fewer words and null ids match nothing; a repeated row changes nothing. A pair that matches in both readings of names
+    has one row, of the longer match. Slots compare by value: "twelve" is 12; numbers of several words compare as text.
     """
     items = benchmark.where("item_id is not null").select("item_id", "text").distinct()
     bench = C.save(item_windows(items), "items")
     n, exact, lengths = bench.agg(F.count("*"), F.max(F.col("exact") & (F.col("n") == WINDOW)), F.collect_set(F.when(F.col("n") < WINDOW, F.col("n")))).first()
     few = n <= BROADCAST_ROWS
-    bench = bench.select("item_id", "at", "w")
+    bench = bench.select("item_id", "runs", "at", "w")
     docs = docs.where("doc_id is not null")
     hits = windows(docs.select("doc_id", "text"), bool(exact), sorted(lengths)).join(F.broadcast(bench) if few else bench, "w")
-    runs = hits.select("doc_id", "item_id", (F.col("pos") - F.col("at")).alias("shift"), "at").distinct()
-    runs = runs.groupBy("doc_id", "item_id", "shift").agg(F.count("*").alias("n_windows"), F.min("at").alias("lo"), (F.max("at") + WINDOW).alias("hi"))
+    runs = hits.select("doc_id", "item_id", "runs", (F.col("pos") - F.col("at")).alias("shift"), "at").distinct()
+    runs = runs.groupBy("doc_id", "item_id", "runs", "shift").agg(F.count("*").alias("n_windows"), F.min("at").alias("lo"), (F.max("at") + WINDOW).alias("hi"))
+    read = lambda text: F.when(F.col("runs"), tokens(text, True)).otherwise(tokens(text))
     # every item here has a window, so there are at most WINDOW - 1 words more than windows for each
-    sizes = items.select("item_id", tokens(F.col("text")).alias("it")).where(F.size("it") >= SHORT).withColumn("need", F.greatest(F.lit(1), F.least(F.lit(LEAST - WINDOW + 1), F.size("it") - WINDOW + 1)))
-    runs = runs.join(F.broadcast(sizes) if few else sizes, "item_id").where("n_windows >= need").withColumn("hi", F.least("hi", F.size("it"))).drop("need", "it")
+    sizes = items.select("*", F.explode(F.array(F.lit(False), F.lit(True))).alias("runs")).select("item_id", "runs", read(F.col("text")).alias("it")).where(F.size("it") >= SHORT).withColumn("need", F.greatest(F.lit(1), F.least(F.lit(LEAST - WINDOW + 1), F.size("it") - WINDOW + 1)))
+    runs = runs.join(F.broadcast(sizes) if few else sizes, ["item_id", "runs"]).where("n_windows >= need").withColumn("hi", F.least("hi", F.size("it"))).drop("need", "it")
     runs = C.small(C.save(runs, "runs"))
-    words = docs.select("doc_id", "text").join(runs.select("doc_id", "item_id", "shift", "n_windows", "lo", "hi"), "doc_id").join(F.broadcast(sizes) if few else sizes, "item_id")
+    words = docs.select("doc_id", "text").join(runs.select("doc_id", "item_id", "runs", "shift", "n_windows", "lo", "hi"), "doc_id").join(F.broadcast(sizes) if few else sizes, ["item_id", "runs"])
     length = F.col("hi") - F.col("lo")
-    item, own = F.slice("it", F.col("lo") + 1, length), F.slice(tokens(F.col("text")), F.col("lo") + F.col("shift") + 1, length)
+    item, own = F.slice("it", F.col("lo") + 1, length), F.slice(read(F.col("text")), F.col("lo") + F.col("shift") + 1, length)
     # zip_with makes both arrays once a row; inside a transform the words would be made again for every element
     pairs = F.filter(F.zip_with(item, own, lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda p: is_slot(p["a"]) & is_slot(p["b"]))
+    pairs = F.transform(pairs, lambda p: F.struct(value(p["a"]).alias("a"), value(p["b"]).alias("b")))
     words = words.select("doc_id", "item_id", "n_windows", pairs.alias("slots"))
     # one value of the item stands for one value of the document, unless most values are the item's own
     one = F.size(F.array_distinct("slots")) == F.size(F.array_distinct(F.col("slots")["a"]))

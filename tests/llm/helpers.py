@@ -66,20 +66,36 @@ def jaccard_components(rows, n, percent):
 NAME, NUM, UNIT = "<name>", "<num>", "<unit>"
 
 
-def template_matches(docs, items, units, window=8, least=13, literal=2, short=4):
-    """{(doc, item): (windows, slots, exact)} by comparing every window of every document with every window of every item."""
-    def words(text):
+def template_matches(docs, items, units, numbers, window=8, least=13, literal=2, short=4):
+    """{(doc, item): (windows, slots, exact)} by comparing every window of every document with every window of every item, with
+    names apart (templates, plain words, the words themselves) and with runs of names as one (templates)."""
+    def words(text, runs):
         t = regex.sub(r"([0-9])[.,](?=[0-9])", "\\1\ue003", text or "")
+        t = regex.sub(r"([0-9])(?=([\p{L}\p{N}]+))", lambda m: m[1] + " " * (m[2].lower() in units), t)
+        pieces = regex.split(r"([\p{L}\p{N}]+)", t)  # every second one is a word
+        for i in range(1, len(pieces) - 2, 2):
+            if pieces[i].lower() in numbers and pieces[i + 2].lower() in numbers and regex.fullmatch(r"[- \t\n\x0b\f\r]+", pieces[i + 1]):
+                pieces[i + 1] = "\ue003"
+        t = "".join(pieces)
         names = {m.end() for m in regex.finditer(r"[\p{Ll}0-9,;][ \t\n\x0b\f\r]+[\"'`(\[{<]*(?=\p{Lu})", t)}
-        return [(m[0].lower(), m.start() in names) for m in regex.finditer(r"[^ \t\n\x0b\f\r!-/:-@\[-`{-~]+", t)]
+        found = []
+        for m in regex.finditer(r"[^ \t\n\x0b\f\r!-/:-@\[-`{-~]+", t):
+            named, before = m.start() in names, found and t[found[-1][2]:m.start()]
+            if runs and named and found and before.strip(" \t\n\x0b\f\r") == "" and regex.search(r"\p{Lu}[^ \t\n\x0b\f\r!-/:-@\[-`{-~]*$", t[found[-1][3]:found[-1][2]]):
+                found[-1] = [found[-1][0] + "\ue004" + m[0], True, m.end(), m.start()]
+            else:
+                found.append([m[0], named, m.end(), m.start()])
+        return [(w.lower(), named) for w, named, *_ in found]
 
     def kind(w, named):
-        return NAME if named else NUM if w[0] in "0123456789" else UNIT if w in units else w
+        if w[0] in "0123456789" or w.split("\ue003")[0] in numbers:
+            return NUM
+        return NAME if named else UNIT if w in units else w
 
     def slot(x):
         return x[1] or kind(*x) in (NUM, UNIT)
 
-    def keys(w, item):
+    def keys(w, item, runs):
         out = defaultdict(set)
         for i in range(len(w) - window + 1):
             part = w[i:i + window]
@@ -87,34 +103,40 @@ def template_matches(docs, items, units, window=8, least=13, literal=2, short=4)
             enough = lambda k: sum(v not in (NAME, NUM, UNIT) for v in k) >= literal
             if not item or enough(t):
                 out[t].add(i)
+            if runs:
+                continue
             if not item or enough(p):
                 out[p].add(i)
             if not item or not enough(p):
                 out["=", x].add(i)
         return out
 
+    def value(x):
+        return str(numbers.get(x[0], x[0]))
+
     found = {}
-    whole = {k: words(t) for k, t in items}
-    index = {k: keys(w, True) for k, w in whole.items()}
-    for d, text in docs:
-        w = words(text)
-        mine = keys(w, False)
-        for k, it in whole.items():
-            at = defaultdict(set)
-            if short <= len(it) < window:
-                for i in range(len(w) - len(it) + 1):
-                    if [v[0] for v in w[i:i + len(it)]] == [v[0] for v in it]:
-                        at[i].add(0)
-            for key, places in index[k].items():
-                for j in mine.get(key, ()):
-                    for i in places:
-                        at[j - i].add(i)
-            for shift, places in at.items():
-                if len(places) < max(1, min(least - window + 1, len(it) - window + 1)):
-                    continue
-                lo, hi = min(places), min(max(places) + window, len(it))
-                pairs = [(a[0] if not a[1] else NAME + a[0], b[0] if not b[1] else NAME + b[0]) for a, b in zip(it[lo:hi], w[lo + shift:hi + shift]) if slot(a) and slot(b)]
-                same = sum(a == b for a, b in pairs)
-                if len(set(pairs)) == len({a for a, _ in pairs}) or 2 * same > len(pairs):
-                    found[d, k] = max(found.get((d, k), (0, 0, False)), (len(places), len(pairs), same == len(pairs)))
+    for runs in (False, True):
+        whole = {k: words(t, runs) for k, t in items}
+        index = {k: keys(w, True, runs) for k, w in whole.items()}
+        for d, text in docs:
+            w = words(text, runs)
+            mine = keys(w, False, runs)
+            for k, it in whole.items():
+                at = defaultdict(set)
+                if not runs and short <= len(it) < window:
+                    for i in range(len(w) - len(it) + 1):
+                        if [v[0] for v in w[i:i + len(it)]] == [v[0] for v in it]:
+                            at[i].add(0)
+                for key, places in index[k].items():
+                    for j in mine.get(key, ()):
+                        for i in places:
+                            at[j - i].add(i)
+                for shift, places in at.items():
+                    if len(places) < max(1, min(least - window + 1, len(it) - window + 1)):
+                        continue
+                    lo, hi = min(places), min(max(places) + window, len(it))
+                    pairs = [(value(a), value(b)) for a, b in zip(it[lo:hi], w[lo + shift:hi + shift]) if slot(a) and slot(b)]
+                    same = sum(a == b for a, b in pairs)
+                    if len(set(pairs)) == len({a for a, _ in pairs}) or 2 * same > len(pairs):
+                        found[d, k] = max(found.get((d, k), (0, 0, False)), (len(places), len(pairs), same == len(pairs)))
     return found

@@ -43,6 +43,21 @@ def test_copies_in_other_case_and_lines(spark, make_docs):
     assert {r["doc_id"] for r in decontam.contaminated(make_docs([(1, wrapped[0].replace("April", "June").replace("May", "July"))]), bench).collect()} == {1}
 
 
+TWELVE = "Tom has twelve apples and gives three apples to Anna every day for two weeks, how many apples are left?"
+
+
+def test_numbers_in_words_and_runs_of_names(spark, make_docs):
+    """Questions asked again with other numbers, in words and digits, other names of more or fewer words, and glued units."""
+    names = "Last spring Mary Ann planted 8 trees before early June and then Mary Ann sold 5kg of fruit to her cousin"
+    bench = spark.createDataFrame([(1, TWELVE), (2, names)], "item_id long, text string")
+    other = lambda *n: TWELVE.replace("twelve", n[0]).replace("three", n[1]).replace("two", n[2])
+    docs = make_docs([(1, other("twenty", "seven", "five")), (2, other("20", "7", "5")), (3, other("Twenty-one", "forty two", "9")), (4, other("12", "3", "2")), (5, other("many", "some", "few")),
+                      (11, names.replace("Mary Ann", "Olga")), (12, names.replace("Mary Ann", "Jean Luc Picard").replace("5kg", "12 pounds")), (13, names.lower()), (14, names.replace("Mary Ann", "Olga", 1)), (15, names.replace("planted", "saw").replace("then", "yet").replace("fruit", "nuts"))])
+    got = {(r["doc_id"], r["item_id"]): r["exact"] for r in decontam.contaminated(docs, bench).collect()}
+    assert got.keys() >= {(1, 1), (2, 1), (3, 1), (4, 1), (11, 2), (12, 2), (13, 2)} and not got.keys() & {(5, 1), (15, 2)}
+    assert got[4, 1] and got[13, 2] and not got[1, 1] and not got[2, 1] and not got[12, 2]
+
+
 def test_slots_must_agree(spark, make_docs):
     item = "Buy 7 apples and sell 7 apples then count 7 apples again before the shop closes for good"
     bench = spark.createDataFrame([(1, item)], "item_id long, text string")
@@ -70,18 +85,18 @@ def test_templates_equal_brute_force(spark, sf, make_docs):
     """All documents of the table and copies of items with other numbers, names, letter case and lines; short items; numbers in a row."""
     rng = random.Random(8)
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
-    ask = [(10_000 + i, t) for i, t in enumerate([ITEM, "Tom has 12 apples and Anna has 7 pears, so how many kg do Tom and Anna carry home in 3 days", " ".join(str(i) for i in range(14)), "what is the answer here", "one two three", "A 5 km, 6 km, 7 km, 8 km, 9 km run takes Max 3 hours", ""])]
+    ask = [(10_000 + i, t) for i, t in enumerate([ITEM, "Tom has 12 apples and Anna has 7 pears, so how many kg do Tom and Anna carry home in 3 days", " ".join(str(i) for i in range(14)), "what is the answer here", "one two three", "A 5 km, 6 km, 7 km, 8 km, 9 km run takes Max 3 hours", "", "In May Mary Ann Lee baked twenty-five pies, and Tom Sawyer ate Thirty two of them within 40min, so who owes whom?", TWELVE])]
     texts = [r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     for _, t in rng.sample(items, 20) + ask:
         fresh = re.sub("[0-9]+", lambda m: str(rng.randint(1, 99)), t)
-        texts += [f"Before it. {fresh} After it.", t.upper(), t.replace(" ", "\n"), t[: len(t) // 2], fresh.replace("Tom", "Ben").replace("Anna", "Eva").replace("Maria", "Olaf"), "5 " + t + " " + t]
+        texts += [f"Before it. {fresh} After it.", t.upper(), t.replace(" ", "\n"), t[: len(t) // 2], fresh.replace("Tom", "Ben").replace("Anna", "Eva").replace("Maria", "Olaf"), fresh.replace("Mary Ann Lee", "Jo").replace("Sawyer", "van der Berg"), t.replace("twelve", "one hundred and 5").replace("three", "17").replace("two", "Twenty Six"), fresh.replace(" km", "KM").replace(" hours", "hours"), "5 " + t + " " + t]
     texts += [" ".join(str(rng.randint(0, 50)) for _ in range(3000)), "So what is THE answer, here?", None]
     rows = list(enumerate(texts))
     bench = spark.createDataFrame([*items, *ask, *ask[:1], (None, ITEM), (77, None)], "item_id long, text string")
     got = {(r["doc_id"], r["item_id"]): (r["n_windows"], r["n_slots"], r["exact"]) for r in decontam.contaminated(make_docs([*rows, rows[-2]]), bench).collect()}
-    want = helpers.template_matches(rows, [*items, *ask], decontam.UNITS)
+    want = helpers.template_matches(rows, [*items, *ask], decontam.UNITS, decontam.NUMBERS)
     assert got == want
-    assert {k for _, k in want} >= {10_000, 10_001, 10_002, 10_003, 10_005} and not {k for _, k in want} & {10_004, 10_006}
+    assert {k for _, k in want} >= {10_000, 10_001, 10_002, 10_003, 10_005, 10_007, 10_008} and not {k for _, k in want} & {10_004, 10_006}
 
 
 T0 = 1000
