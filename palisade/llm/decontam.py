@@ -29,41 +29,39 @@ UNITS = ("mm", "cm", "m", "km", "inch", "inches", "foot", "feet", "mile", "miles
 #: Numbers as words, and what they stand for.
 NUMBERS = {w: n for n, w in enumerate(("zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve", "thirteen", "fourteen", "fifteen", "sixteen", "seventeen", "eighteen", "nineteen", "twenty"))}
 NUMBERS |= {"thirty": 30, "forty": 40, "fifty": 50, "sixty": 60, "seventy": 70, "eighty": 80, "ninety": 90, "hundred": 100, "thousand": 1000, "million": 1_000_000, "billion": 1_000_000_000}
-#: Characters of the private use area: marks of names, numbers, units, of a joint inside a number, and inside a name.
+#: Characters of the private use area: marks of a name, a number, a unit, a joint inside a number, and a name after a name.
 _NAME, _NUM, _UNIT, _MARK, _RUN = "\ue000", "\ue001", "\ue002", "\ue003", "\ue004"
 _NUMBER_WORD = "(?i:" + "|".join(NUMBERS) + ")"
+_FIRST = "[" + "".join(sorted({c for w in NUMBERS for c in (w[0], w[0].upper())})) + "]"
 _WORD_ENDS = r"(?![\p{L}\p{N}])"
 #: Benchmark windows up to this many rows (about 24 bytes each) are broadcast; beyond, both sides are shuffled.
 BROADCAST_ROWS = 500_000
 
 
-def tokens(text: Column, runs: bool = False) -> Column:
-    """Words in lower case; a name keeps a mark in front, a number with inner points or of several words stays one word, a
-    unit glued to a number is a word of its own. With `runs`, capitalised words in a row are one word."""
+def tokens(text: Column) -> Column:
+    """Words in lower case; a name keeps a mark in front, and another one if it follows a capitalised word. A number with inner
+    points or of several words is one word that starts with a digit, a unit glued to a number is a word of its own."""
     t = F.regexp_replace(F.coalesce(text, F.lit("")), r"(\d)[.,](?=\d)", "$1" + _MARK)
     t = F.regexp_replace(t, rf"(\d)(?=(?i:{'|'.join(UNITS)}){_WORD_ENDS})", "$1 ")
-    t = F.regexp_replace(t, rf"(?<![\p{{L}}\p{{N}}])({_NUMBER_WORD})[\s-]+(?={_NUMBER_WORD}{_WORD_ENDS})", "$1" + _MARK)
+    t = F.regexp_replace(t, rf"(?={_FIRST})(?<![\p{{L}}\p{{N}}])({_NUMBER_WORD})[\s-]+(?={_NUMBER_WORD}{_WORD_ENDS})", f"0{_MARK}$1{_MARK}")
     t = F.regexp_replace(t, r"([\p{Ll}\d,;]\s+[\"'`(\[{<]*)(?=\p{Lu})", "$1" + _NAME)
-    if runs:
-        t = F.regexp_replace(t, rf"(\p{{Lu}}[^\s\p{{Punct}}]*)\s+{_NAME}", "$1" + _RUN)
+    t = F.regexp_replace(t, rf"(\p{{Lu}}[^\s\p{{Punct}}]*\s+){_NAME}", "$1" + _RUN)
     return F.filter(F.split(F.lower(t), r"[\s\p{Punct}]+"), lambda w: w != "")
 
 
-def word(w: Column) -> Column:
-    return F.when(F.substring(w, 1, 1) == _NAME, F.substring(w, 2, 1 << 30)).otherwise(w)
-
+def joined(words: Column) -> Column:
+    """The words in the other reading: of names in a row only the first."""
+    return F.filter(words, lambda w: F.substring(w, 1, 1) != _RUN)
 
-def is_number(w: Column) -> Column:
-    """In digits, or one or more number words, whatever their letter case."""
-    return F.substring(w, 1, 1).between("0", "9") | F.substring_index(word(w), _MARK, 1).isin(*NUMBERS)
 
-
-def is_name(w: Column) -> Column:
-    return (F.substring(w, 1, 1) == _NAME) | F.contains(w, F.lit(_RUN))
+def word(w: Column) -> Column:
+    return F.when(F.substring(w, 1, 1).isin(_NAME, _RUN), F.substring(w, 2, 1 << 30)).otherwise(w)
 
 
 def template(w: Column) -> Column:
-    return F.when(is_number(w), _NUM).when(is_name(w), _NAME).when(w.isin(*UNITS), _UNIT).otherwise(w)
+    c = F.substring(w, 1, 1)
+    named = F.when(F.substring(w, 2, 1 << 30).isin(*NUMBERS), _NUM).otherwise(_NAME)
+    return F.when(c.between("0", "9"), _NUM).when(c.isin(_NAME, _RUN), named).when(w.isin(*NUMBERS, *UNITS), F.when(w.isin(*UNITS), _UNIT).otherwise(_NUM)).otherwise(w)
 
 
 def plain(w: Column) -> Column:
@@ -72,7 +70,7 @@ def plain(w: Column) -> Column:
 
 
 def is_slot(w: Column) -> Column:
-    return is_number(w) | is_name(w) | w.isin(*UNITS)
+    return template(w).isin(_NAME, _NUM, _UNIT)
 
 
 def value(w: Column) -> Column:
@@ -85,15 +83,19 @@ def itself(w: Column) -> Column:
     return F.xxhash64(F.lit("="), word(w))
 
 
-def _hashed(texts: DataFrame, key: str, sides: str, runs: bool = False) -> DataFrame:
-    """texts (key, text) -> key, _w (the words), and for each side the array of the hashes of every WINDOW words.
+def _hashed(texts: DataFrame, key: str, sides: str) -> DataFrame:
+    """texts (key, text) -> key, _w (the words), and for each side the array of the hashes of
+    every WINDOW words.
 
-    Sides are hashes of a word's template (t), of what that would be in small letters (p), and of the word itself (x). A hash of two words, then of two of those, and so on: the last WINDOW - 1 elements lack words and mean nothing.
-    Each array is a column of its own; inside another expression it would be made again for every element.
+    Sides are hashes of a word's template (t), of what that would be in small letters (p), of the word itself (x), and of the
+    template in the other reading (r). A hash of two words, then of two of those, and so on: the last WINDOW - 1 elements
+    lack words and mean nothing. Each array is a column of its own; inside another expression it would be made again for
+    every element.
     """
-    h = texts.select(key, tokens(F.col("text"), runs).alias("_w"))
+    h = texts.select(key, tokens(F.col("text")).alias("_w"))
     h = h.select(key, "_w", F.transform("_w", lambda w: F.xxhash64(template(w))).alias("t"))
-    made = {"t": F.col("t"), "p": F.zip_with("_w", "t", lambda w, t: F.when(F.substring(w, 1, 1) == _NAME, F.xxhash64(plain(w))).otherwise(t)), "x": F.transform("_w", itself)}
+    first = lambda i: F.substring(F.get(F.col("_w"), i), 1, 1) != _RUN
+    made = {"t": F.col("t"), "p": F.zip_with("_w", "t", lambda w, t: F.when(F.substring(w, 1, 1).isin(_NAME, _RUN), F.xxhash64(plain(w))).otherwise(t)), "x": F.transform("_w", itself), "r": F.filter("t", lambda _, i: first(i))}
     h = h.select(key, "_w", *[made[s].alias(s) for s in sides])
     step = 1
     while step < WINDOW:
@@ -104,18 +106,23 @@ def _hashed(texts: DataFrame, key: str, sides: str, runs: bool = False) -> DataF
 
 def _starts(array: str) -> Column:
     """The elements of an array that begin a whole window; null if there are none."""
-    return F.when(F.size("_w") >= WINDOW, F.slice(array, 1, F.size("_w") - WINDOW + 1))
+    return F.when(F.size(array) >= WINDOW, F.slice(array, 1, F.size(array) - WINDOW + 1))
 
 
-def windows(texts: DataFrame, exact: bool, lengths: list[int]) -> DataFrame:
+def windows(texts: DataFrame, exact: bool, runs: bool, lengths: list[int]) -> DataFrame:
     """(doc_id, pos, w): hashes of every WINDOW template words, of plain words where they differ, and if asked for, of
     the words themselves, also of so many words as `lengths` says. Texts with fewer words have none. The other reading's
-    template hashes are told apart by turning their bits over."""
-    h = _hashed(texts, "doc_id", "tpx" if exact else "tp")
+    template hashes are told apart by turning their bits over; a text in which both readings are one has them only if some
+    item has a run of names (`runs`), as else its windows meet the same ones in both."""
+    h = _hashed(texts, "doc_id", "tprx" if exact else "tpr")
     p, more = lambda i: F.get(F.col("p"), i), lambda i: [F.get(F.col("x"), i)] if exact else []
     all_ = lambda v, i: F.when(v == p(i), F.array(v, *more(i))).otherwise(F.array(v, p(i), *more(i)))
-    out = h.select("doc_id", F.posexplode(F.transform(_starts("t"), all_)).alias("pos", "_w")).select("doc_id", "pos", F.explode("_w").alias("w"))
-    out = out.unionByName(_hashed(texts, "doc_id", "t", True).select("doc_id", F.posexplode(_starts("t")).alias("pos", "w")).withColumn("w", F.bitwise_not("w")))
+    # both readings in one array: those of the other one keep their own positions
+    apart = F.transform(_starts("t"), lambda v, i: F.struct(i.alias("pos"), all_(v, i).alias("_w")))
+    other = F.transform(_starts("r"), lambda v, i: F.struct(i.alias("pos"), F.array(F.bitwise_not(v)).alias("_w")))
+    needed = F.lit(True) if runs else F.size("r") < F.size("t")
+    both = F.concat(F.coalesce(apart, F.array()), F.when(needed, F.coalesce(other, F.array())).otherwise(F.array()))
+    out = h.select("doc_id", F.inline(both)).select("doc_id", "pos", F.explode("_w").alias("w"))
     if lengths:
         x = texts.select("doc_id", tokens(F.col("text")).alias("_w")).select("doc_id", F.transform("_w", itself).alias("x"))
         short = lambda v, i: F.array(*[F.when(i + k <= F.size("x"), _run("x", i, k)) for k in lengths])
@@ -140,9 +147,10 @@ def item_windows(items: DataFrame) -> DataFrame:
     long = long.select("item_id", "at", F.lit(WINDOW).alias("n"), F.explode("_w").alias("_w")).select("item_id", "at", "n", "_w.*").dropDuplicates(["item_id", "at", "w"])
     x = items.select("item_id", tokens(F.col("text")).alias("_w")).select("item_id", F.transform("_w", itself).alias("x"), F.size("_w").alias("n"))
     whole = F.coalesce(*[F.when(F.col("n") == k, _run("x", F.lit(0), k)) for k in range(SHORT, WINDOW)])
-    r = _hashed(items, "item_id", "t", True)
-    some = lambda _, i: F.when(literal(template)(i) >= LITERAL, F.bitwise_not(F.get(F.col("t"), i)))
-    r = r.select("item_id", F.posexplode(F.transform(_starts("t"), some)).alias("at", "w")).where("w is not null")
+    # a window of the other reading is made of as many words of its own
+    r = _hashed(items, "item_id", "r").withColumn("_w", joined(F.col("_w")))
+    some = lambda v, i: F.when(literal(template)(i) >= LITERAL, F.bitwise_not(v))
+    r = r.select("item_id", F.posexplode(F.transform(_starts("r"), some)).alias("at", "w")).where("w is not null")
     r = r.select("item_id", F.lit(True).alias("runs"), "at", F.lit(WINDOW).alias("n"), F.lit(False).alias("exact"), "w")
     apart = long.unionByName(x.where(F.col("n").between(SHORT, WINDOW - 1)).select("item_id", F.lit(0).alias("at"), "n", F.lit(True).alias("exact"), whole.alias("w")))
     return apart.withColumn("runs", F.lit(False)).unionByName(r)
@@ -159,13 +167,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     items = benchmark.where("item_id is not null").select("item_id", "text").distinct()
     bench = C.save(item_windows(items), "items")
     n, exact, lengths = bench.agg(F.count("*"), F.max(F.col("exact") & (F.col("n") == WINDOW)), F.collect_set(F.when(F.col("n") < WINDOW, F.col("n")))).first()
+    runs = not items.where(F.exists(tokens(F.col("text")), lambda w: F.substring(w, 1, 1) == _RUN)).isEmpty()
     few = n <= BROADCAST_ROWS
     bench = bench.select("item_id", "runs", "at", "w")
     docs = docs.where("doc_id is not null")
-    hits = windows(docs.select("doc_id", "text"), bool(exact), sorted(lengths)).join(F.broadcast(bench) if few else bench, "w")
+    hits = windows(docs.select("doc_id", "text"), bool(exact), runs, sorted(lengths)).join(F.broadcast(bench) if few else bench, "w")
     runs = hits.select("doc_id", "item_id", "runs", (F.col("pos") - F.col("at")).alias("shift"), "at").distinct()
     runs = runs.groupBy("doc_id", "item_id", "runs", "shift").agg(F.count("*").alias("n_windows"), F.min("at").alias("lo"), (F.max("at") + WINDOW).alias("hi"))
-    read = lambda text: F.when(F.col("runs"), tokens(text, True)).otherwise(tokens(text))
+    read = lambda text: F.when(F.col("runs"), joined(tokens(text))).otherwise(tokens(text))
     # every item here has a window, so there are at most WINDOW - 1 words more than windows for each
     sizes = items.select("*", F.explode(F.array(F.lit(False), F.lit(True))).alias("runs")).select("item_id", "runs", read(F.col("text")).alias("it")).where(F.size("it") >= SHORT).withColumn("need", F.greatest(F.lit(1), F.least(F.lit(LEAST - WINDOW + 1), F.size("it") - WINDOW + 1)))
     runs = runs.join(F.broadcast(sizes) if few else sizes, ["item_id", "runs"]).where("n_windows >= need").withColumn("hi", F.least("hi", F.size("it"))).drop("need", "it")

@@ -82,13 +82,13 @@ def template_matches(docs, items, units, numbers, window=8, least=13, literal=2,
         for m in regex.finditer(r"[^ \t\n\x0b\f\r!-/:-@\[-`{-~]+", t):
             named, before = m.start() in names, found and t[found[-1][2]:m.start()]
             if runs and named and found and before.strip(" \t\n\x0b\f\r") == "" and regex.search(r"\p{Lu}[^ \t\n\x0b\f\r!-/:-@\[-`{-~]*$", t[found[-1][3]:found[-1][2]]):
-                found[-1] = [found[-1][0] + "\ue004" + m[0], True, m.end(), m.start()]
+                found[-1][2:] = m.end(), m.start()  # of names in a row the first stands for all
             else:
                 found.append([m[0], named, m.end(), m.start()])
         return [(w.lower(), named) for w, named, *_ in found]
 
     def kind(w, named):
-        if w[0] in "0123456789" or w.split("\ue003")[0] in numbers:
+        if w[0] in "0123456789" or all(v in numbers for v in w.split("\ue003")):
             return NUM
         return NAME if named else UNIT if w in units else w
 
