@@ -6,6 +6,7 @@ import logging
 import time
 import warnings
 from collections.abc import Callable, Iterator
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -153,61 +154,74 @@ def over_ring(ring: np.ndarray, rows: np.ndarray, size: int, include_self: bool)
     return n, mean, std
 
 
+#: Buckets of keys of a stateful stream: one call into Python handles a bucket of a micro-batch, not a key, so their number
+#: times some milliseconds is what a batch costs besides its rows. A checkpoint keeps the number that it began with.
+BUCKETS = 256
+
+
+def bucketed(d: DataFrame, key: str, buckets: int):
+    """Rows grouped by the bucket of their key."""
+    return d.withColumn("bucket", F.pmod(F.hash(F.col(key)), F.lit(buckets))).groupBy("bucket")
+
+
+def by_key(rows: Iterator[pd.DataFrame], key: str) -> tuple[pd.DataFrame, list[tuple[str, int, int]]]:
+    """A bucket's rows of one micro-batch, key by key in order of time (resets after other rows of their time) and id, and
+    (key, from, to) of each. A batch is bounded by the source's rate options."""
+    frames = list(rows)
+    if not frames:
+        return pd.DataFrame(), []
+    d = pd.concat(frames, ignore_index=True)
+    codes, names = pd.factorize(d[key], use_na_sentinel=False)
+    d = d.assign(_key=codes).sort_values(["_key", "ts", *(c for c in ("reset",) if c in d), "id"], ignore_index=True)
+    starts = np.flatnonzero(np.diff(d["_key"].to_numpy(), prepend=-1)).tolist()
+    return d, [(names[d["_key"].iat[a]], a, b) for a, b in zip(starts, [*starts[1:], len(d)], strict=True)]
+
+
 class Ring(StatefulProcessor):
     """Mean, spread and count of the last `size` rows of a key for each of `dims`, judged with or before their learning. A row
-    marked as a reset leaves nothing of what was learned but `seed`, and is no value itself."""
+    marked as a reset leaves nothing of what was learned but `seed`, and is no value itself. The state of a bucket is a map
+    from its keys to their rows, of which only those of the batch's keys are touched."""
 
     def __init__(self, size: int, include_self: bool, dims: tuple[str, ...], seed: np.ndarray | None = None):
         self.size, self.include_self, self.dims = size, include_self, dims
         self.seed = np.zeros((0, len(dims))) if seed is None else seed[-size:]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.ring = handle.getValueState("ring", "v array<double>")
-
-    def _learned(self) -> np.ndarray:
-        return np.array(self.ring.get()[0], float).reshape(-1, len(self.dims)) if self.ring.exists() else np.zeros((0, len(self.dims)))
-
-    def _learn(self, kept: np.ndarray) -> None:
-        if len(kept):
-            self.ring.update((kept.ravel().tolist(),))
-        elif self.ring.exists():
-            self.ring.clear()
+        self.rings = handle.getMapState("rings", "key string", "v array<double>")
 
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
-        rows = initialState.sort_values(["ts", "id"])[list(self.dims)].to_numpy(float)
-        self._learn(np.concatenate([self._learned(), rows])[-self.size:])
+        for name, learned in zip(initialState["key"], initialState["learned"], strict=True):
+            self.rings.updateValue((name,), (np.asarray(learned, float).tolist(),))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        kept = self._learned()
-        for pdf in sorted_frames(rows):
-            resets = pdf["reset"].to_numpy(bool)
-            for part in np.split(np.arange(len(pdf)), np.flatnonzero(resets)):
-                if len(part) and resets[part[0]]:
-                    kept, part = self.seed, part[1:]
-                if not len(part):
-                    continue
-                d = pdf.iloc[part]
-                new = d[list(self.dims)].to_numpy(float)
-                n, mean, std = over_ring(kept, new, self.size, self.include_self)
-                kept = np.concatenate([kept, new])[-self.size:]
-                out = {"key": str(key[0]), "id": d["id"].to_numpy(), "ts": d["ts"].to_numpy(), "n": n.astype(np.int32)}
-                for k, c in enumerate(self.dims):
-                    out |= {c: new[:, k], f"{c}_mean": mean[:, k], f"{c}_std": std[:, k]}
-                yield pd.DataFrame(out)
-        self._learn(kept)
+        d, parts = by_key(rows, "key")
+        if not parts:
+            return
+        new, resets = d[list(self.dims)].to_numpy(float), d["reset"].to_numpy(bool)
+        n, mean, std = np.zeros(len(d), np.int32), np.empty(new.shape), np.empty(new.shape)
+        for name, first, end in parts:
+            known = self.rings.getValue((name,))
+            kept = np.zeros((0, len(self.dims))) if known is None else np.array(known[0], float).reshape(-1, len(self.dims))
+            for a, b in pairwise([first, *(first + np.flatnonzero(resets[first:end])).tolist(), end]):
+                if a < b and resets[a]:
+                    kept, a = self.seed, a + 1
+                if a < b:
+                    n[a:b], mean[a:b], std[a:b] = over_ring(kept, new[a:b], self.size, self.include_self)
+                    kept = np.concatenate([kept, new[a:b]])[-self.size:]
+            if len(kept):
+                self.rings.updateValue((name,), (kept.ravel().tolist(),))
+            elif known is not None:
+                self.rings.removeKey((name,))
+        out = {"key": d["key"], "id": d["id"], "ts": d["ts"], "n": n}
+        for k, c in enumerate(self.dims):
+            out |= {c: new[:, k], f"{c}_mean": mean[:, k], f"{c}_std": std[:, k]}
+        yield pd.DataFrame(out)[~resets]
 
     def close(self) -> None:
         pass
 
 
-def sorted_frames(rows: Iterator[pd.DataFrame]) -> list[pd.DataFrame]:
-    """A key's rows of one micro-batch in order of time (resets after other rows of their time) and id: a batch is bounded by
-    the source's rate options."""
-    frames = list(rows)
-    return [pd.concat(frames).sort_values(["ts", *(c for c in ("reset",) if c in frames[0]), "id"])] if frames else []
-
-
-def stream_profiles(values: DataFrame, dims: tuple[str, ...], size: int, include_self: bool = True, initial: DataFrame | None = None, seed: np.ndarray | None = None) -> DataFrame:
+def stream_profiles(values: DataFrame, dims: tuple[str, ...], size: int, include_self: bool = True, initial: DataFrame | None = None, seed: np.ndarray | None = None, buckets: int = BUCKETS) -> DataFrame:
     """values (key, id, ts, dims) -> key, id, ts, n, and value, mean and spread of each dimension. Needs the RocksDB state
     store; the state of a key is its last `size` rows.
 
@@ -218,8 +232,11 @@ def stream_profiles(values: DataFrame, dims: tuple[str, ...], size: int, include
     reset = F.coalesce(F.col("reset"), F.lit(False)) if "reset" in values.columns else F.lit(False)
     cast = lambda d, *more: d.select(F.col("key").cast("string").alias("key"), F.col("id").cast("long").alias("id"), F.col("ts").cast("timestamp").alias("ts"), *more, *[F.col(k).cast("double").alias(k) for k in dims])
     out = "key string, id long, ts timestamp, n int, " + ", ".join(f"{k} double, {k}_mean double, {k}_std double" for k in dims)
-    known = None if initial is None else cast(initial).groupBy("key")
-    return cast(values, reset.alias("reset")).groupBy("key").transformWithStateInPandas(Ring(size, include_self, dims, seed), out, "Append", "None", known)
+    known = None
+    if initial is not None:  # one row a key
+        last = O.last_n(cast(initial), size, ["key"], ["ts", "id"]).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("ts", "id", F.array(*dims).alias("v")))).alias("rows"))
+        known = bucketed(last.select("key", F.flatten("rows.v").alias("learned")), "key", buckets)
+    return bucketed(cast(values, reset.alias("reset")), "key", buckets).transformWithStateInPandas(Ring(size, include_self, dims, seed), out, "Append", "None", known)
 
 
 def stream_profile(values: DataFrame, size: int, include_self: bool = True) -> DataFrame:
@@ -266,28 +283,29 @@ class Previous(StatefulProcessor):
     """Increase per second since the previous sample of a key."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "ts long, value double")
+        self.last = handle.getMapState("last", "key string", "ts long, value double")
 
     def handleInputRows(self, key, rows, timerValues):
-        before = self.last.get() if self.last.exists() else None
-        for pdf in sorted_frames(rows):
-            rates = []
-            for ts, v in zip(pdf["ts"], pdf["value"], strict=True):
-                t = pd.Timestamp(ts).value // 1000  # microseconds
-                ok = before is not None and v >= before[1] and t > before[0]
-                rates.append((v - before[1]) / ((t - before[0]) / 1e6) if ok else 0.0)
-                before = (t, float(v))
-            yield pd.DataFrame({"key": str(key[0]), "id": pdf["id"].to_numpy(), "ts": pdf["ts"].to_numpy(), "rate": rates})
-        if before is not None:
-            self.last.update(before)
+        d, parts = by_key(rows, "key")
+        if not parts:
+            return
+        at, value = np.array(micros(d["ts"])), d["value"].to_numpy(float)
+        at_before, before = np.roll(at, 1), np.roll(value, 1)
+        for name, a, b in parts:
+            last = self.last.getValue((name,))
+            at_before[a], before[a] = (at[a], np.nan) if last is None else last
+            self.last.updateValue((name,), (int(at[b - 1]), float(value[b - 1])))
+        ok = (value >= before) & (at > at_before)
+        rate = np.where(ok, (value - before) / np.where(ok, (at - at_before) / 1e6, 1.0), 0.0)
+        yield pd.DataFrame({"key": d["key"], "id": d["id"], "ts": d["ts"], "rate": rate})
 
     def close(self) -> None:
         pass
 
 
-def stream_counter_rate(metrics: DataFrame, id_col: str = "event_id", counter: str = "forks_total") -> DataFrame:
+def stream_counter_rate(metrics: DataFrame, id_col: str = "event_id", counter: str = "forks_total", buckets: int = BUCKETS) -> DataFrame:
     d = metrics.select(F.col("host").cast("string").alias("key"), F.col(id_col).cast("long").alias("id"), F.col("ts").cast("timestamp").alias("ts"), F.col(counter).cast("double").alias("value"))
-    return d.groupBy("key").transformWithStateInPandas(Previous(), "key string, id long, ts timestamp, rate double", "Append", "None")
+    return bucketed(d, "key", buckets).transformWithStateInPandas(Previous(), "key string, id long, ts timestamp, rate double", "Append", "None")
 
 
 class Held(StatefulProcessor):
@@ -297,29 +315,31 @@ class Held(StatefulProcessor):
         self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.threat = handle.getValueState("threat", "threat_id string", self.ttl_ms) if self.ttl_ms else handle.getValueState("threat", "threat_id string")
+        self.threat = handle.getMapState("threat", "source string", "threat_id string", self.ttl_ms)
 
     def handleInputRows(self, key, rows, timerValues):
-        for pdf in sorted_frames(rows):
-            out = []
-            for op, threat in zip(pdf["op"], pdf["threat_id"], strict=True):
-                was = self.threat.exists()
-                if op == "enter":
-                    self.threat.update((threat,))
-                elif was:
-                    self.threat.clear()
-                out.append((was, op == "enter"))
-            yield pd.DataFrame({"source": str(key[0]), "id": pdf["id"].to_numpy(), "ts": pdf["ts"].to_numpy(), "was_held": [o[0] for o in out], "held": [o[1] for o in out]})
+        d, parts = by_key(rows, "source")
+        if not parts:
+            return
+        held = (d["op"] == "enter").to_numpy(bool)
+        was, threats = np.roll(held, 1), d["threat_id"].tolist()
+        for name, a, b in parts:
+            was[a] = self.threat.containsKey((name,))
+            if held[b - 1]:
+                self.threat.updateValue((name,), (threats[b - 1],))
+            elif was[a]:
+                self.threat.removeKey((name,))
+        yield pd.DataFrame({"source": d["source"], "id": d["id"], "ts": d["ts"], "was_held": was, "held": held})
 
     def close(self) -> None:
         pass
 
 
-def stream_quarantine(changes: DataFrame, id_col: str = "event_id", ttl_ms: int | None = None) -> DataFrame:
+def stream_quarantine(changes: DataFrame, id_col: str = "event_id", ttl_ms: int | None = None, buckets: int = BUCKETS) -> DataFrame:
     """changes (source, ts, op, threat_id) -> state before and after each."""
     d = changes.select("source", F.col(id_col).cast("long").alias("id"), F.col("ts").cast("timestamp").alias("ts"), "op", "threat_id")
     mode = "ProcessingTime" if ttl_ms else "None"
-    return d.groupBy("source").transformWithStateInPandas(Held(ttl_ms), "source string, id long, ts timestamp, was_held boolean, held boolean", "Append", mode)
+    return bucketed(d, "source", buckets).transformWithStateInPandas(Held(ttl_ms), "source string, id long, ts timestamp, was_held boolean, held boolean", "Append", mode)
 
 
 def merge_quarantine(changes: DataFrame, path: str, checkpoint: str, id_col: str = "event_id", reason: str = "stream"):
@@ -345,24 +365,28 @@ class Session(StatefulProcessor):
         self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getValueState("seen", "ts long", self.ttl_ms)
+        self.seen = handle.getMapState("seen", "session_id string", "ts long", self.ttl_ms)
 
     def handleInputRows(self, key, rows, timerValues):
-        for pdf in sorted_frames(rows):
-            known = self.seen.exists()
-            self.seen.update((pd.Timestamp(pdf["ts"].iloc[-1]).value // 1000,))
-            yield pd.DataFrame({"session_id": str(key[0]), "id": pdf["id"].to_numpy(), "ts": pdf["ts"].to_numpy(), "known": [known] + [True] * (len(pdf) - 1)})
+        d, parts = by_key(rows, "session_id")
+        if not parts:
+            return
+        known, at = np.ones(len(d), bool), micros(d["ts"])
+        for name, a, b in parts:
+            known[a] = self.seen.containsKey((name,))
+            self.seen.updateValue((name,), (at[b - 1],))
+        yield pd.DataFrame({"session_id": d["session_id"], "id": d["id"], "ts": d["ts"], "known": known})
 
     def close(self) -> None:
         pass
 
 
-def stream_sessions(calls: DataFrame, ttl_ms: int) -> DataFrame:
+def stream_sessions(calls: DataFrame, ttl_ms: int, buckets: int = BUCKETS) -> DataFrame:
     """calls (session_id, id, ts) -> whether the session was known before each. State lives for ttl_ms of processing time
     after the last call. A stream whose state expires by the clock does not end by itself: run it with a processing-time
     trigger and stop it."""
     d = calls.select(F.col("session_id").cast("string").alias("session_id"), F.col("id").cast("long").alias("id"), F.col("ts").cast("timestamp").alias("ts"))
-    return d.groupBy("session_id").transformWithStateInPandas(Session(ttl_ms), "session_id string, id long, ts timestamp, known boolean", "Append", "ProcessingTime")
+    return bucketed(d, "session_id", buckets).transformWithStateInPandas(Session(ttl_ms), "session_id string, id long, ts timestamp, known boolean", "Append", "ProcessingTime")
 
 
 def micros(ts: pd.Series) -> list[int]:
@@ -378,100 +402,119 @@ def _timer(us: int) -> int:
     return -(-us // 1000)
 
 
-class Approval(StatefulProcessor):
+class Waiting(StatefulProcessor):
+    """Keys that wait for a moment of event time. The state of a bucket is those that wait, and one timer for the first."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.state = handle, handle.getValueState("waiting", "key array<string>, us array<long>")
+
+    def _waiting(self) -> dict[str, int]:
+        return dict(zip(*self.state.get(), strict=True)) if self.state.exists() else {}
+
+    def _wait(self, waiting: dict[str, int], timer: int | None) -> None:
+        """Keep what waits; `timer` is the one that is set."""
+        first = _timer(min(waiting.values())) if waiting else None
+        if first != timer:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            if first is not None:
+                self.handle.registerTimer(first)
+        if waiting:
+            self.state.update((list(waiting), list(waiting.values())))
+        else:
+            self.state.clear()
+
+    def handleInputRows(self, key, rows, timerValues):
+        waiting = self._waiting()
+        before, timer = dict(waiting), _timer(min(waiting.values())) if waiting else None
+        out = self.changed(rows, waiting)
+        if waiting != before:
+            self._wait(waiting, timer)
+        if len(out):
+            yield out
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        timer = expiredTimerInfo.getExpiryTimeInMs()
+        until = max(timer + 1, timerValues.getCurrentWatermarkInMs())
+        waiting = self._waiting()
+        over = {k: us for k, us in waiting.items() if _timer(us) < until}
+        self._wait({k: us for k, us in waiting.items() if k not in over}, timer)
+        if over:
+            yield self.over(list(over), list(over.values()))
+
+    def close(self) -> None:
+        pass
+
+
+class Approval(Waiting):
     """A request waits for its decision until a timer of event time approves it."""
 
     def __init__(self, wait_us: int):
         self.wait_us = wait_us
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle, self.due = handle, handle.getValueState("due", "us long")
-
-    def _rows(self, key, found: list[tuple[str, int]]) -> Iterator[pd.DataFrame]:
-        if found:
-            yield pd.DataFrame({"threat_id": str(key[0]), "status": [f[0] for f in found], "ts": _moments([f[1] for f in found])})
-
-    def handleInputRows(self, key, rows, timerValues):
-        due = self.due.get()[0] if self.due.exists() else None
-        set_before, found = due, []
-        for pdf in sorted_frames(rows):
-            for at, decision in zip(micros(pdf["ts"]), pdf["decision"], strict=True):
-                if due is not None and at >= due:
-                    found.append(("auto-approved", due))
+    def changed(self, rows, waiting: dict[str, int]) -> pd.DataFrame:
+        d, parts = by_key(rows, "threat_id")
+        at, decisions, found = micros(d["ts"]) if parts else [], d["decision"].tolist() if parts else [], []
+        for name, a, b in parts:
+            due = waiting.pop(name, None)
+            for t, decision in zip(at[a:b], decisions[a:b], strict=True):
+                if due is not None and t >= due:
+                    found.append((name, "auto-approved", due))
                     due = None
                 if decision is None:
-                    due = due if due is not None else at + self.wait_us
+                    due = due if due is not None else t + self.wait_us
                 elif due is not None:
-                    found.append((decision, at))
+                    found.append((name, decision, t))
                     due = None
-        if due != set_before:
-            if set_before is not None:
-                self.handle.deleteTimer(_timer(set_before))
-                self.due.clear()
             if due is not None:
-                self.handle.registerTimer(_timer(due))
-                self.due.update((due,))
-        yield from self._rows(key, found)
+                waiting[name] = due
+        return self._rows(*zip(*found, strict=True)) if found else pd.DataFrame()
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        due = self.due.get()[0]
-        self.due.clear()
-        yield from self._rows(key, [("auto-approved", due)])
+    def over(self, keys: list[str], us: list[int]) -> pd.DataFrame:
+        return self._rows(keys, ["auto-approved"] * len(keys), us)
 
-    def close(self) -> None:
-        pass
+    def _rows(self, keys, status, us) -> pd.DataFrame:
+        return pd.DataFrame({"threat_id": list(keys), "status": list(status), "ts": _moments(list(us))})
 
 
-def stream_approvals(events: DataFrame, minutes: int = 5, delay: str = "1 hour") -> DataFrame:
+def stream_approvals(events: DataFrame, minutes: int = 5, delay: str = "1 hour", buckets: int = BUCKETS) -> DataFrame:
     """events (threat_id, id, ts, decision; no decision: the request) -> threat_id, status, ts of what was decided, or approved
     because the request had waited `minutes` of event time, as soon as the watermark says so. A decision in that instant or
     later finds it approved; one without a request, and a request while another of its threat waits, change nothing."""
     d = events.select(F.col("threat_id").cast("string").alias("threat_id"), F.col("id").cast("long").alias("id"), F.col("ts").cast("timestamp").alias("ts"), "decision")
     d = d.where("threat_id is not null and ts is not null").withWatermark("ts", delay)
-    return d.groupBy("threat_id").transformWithStateInPandas(Approval(minutes * 60_000_000), "threat_id string, status string, ts timestamp", "Append", "EventTime")
+    return bucketed(d, "threat_id", buckets).transformWithStateInPandas(Approval(minutes * 60_000_000), "threat_id string, status string, ts timestamp", "Append", "EventTime")
 
 
-class Sweep(StatefulProcessor):
+class Sweep(Waiting):
     """When a session ends: its time to live after the last call, by a timer of event time."""
 
     def __init__(self, ttl_us: int):
         self.ttl_us = ttl_us
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle, self.ends = handle, handle.getValueState("ends", "us long")
-
-    def handleInputRows(self, key, rows, timerValues):
-        before = self.ends.get()[0] if self.ends.exists() else None
-        calls = [t for pdf in sorted_frames(rows) for t in micros(pdf["ts"])]
-        over, last = [], before
-        for t in calls:
-            if last is not None and t >= last:
-                over.append(last)
-            last = t + self.ttl_us if last is None else max(last, t + self.ttl_us)
-        if last != before:
-            if before is not None:
-                self.handle.deleteTimer(_timer(before))
-            self.handle.registerTimer(_timer(last))
-            self.ends.update((last,))
-        if over:
-            yield pd.DataFrame({"session_id": str(key[0]), "ended_at": _moments(over)})
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        end = self.ends.get()[0]
-        self.ends.clear()
-        yield pd.DataFrame({"session_id": [str(key[0])], "ended_at": _moments([end])})
+    def changed(self, rows, waiting: dict[str, int]) -> pd.DataFrame:
+        d, parts = by_key(rows, "session_id")
+        at, found = micros(d["ts"]) if parts else [], []
+        for name, a, b in parts:
+            last = waiting.get(name)
+            for t in at[a:b]:
+                if last is not None and t >= last:
+                    found.append((name, last))
+                last = t + self.ttl_us if last is None else max(last, t + self.ttl_us)
+            waiting[name] = last
+        return self.over(*zip(*found, strict=True)) if found else pd.DataFrame()
 
-    def close(self) -> None:
-        pass
+    def over(self, keys, us) -> pd.DataFrame:
+        return pd.DataFrame({"session_id": list(keys), "ended_at": _moments(list(us))})
 
 
-def stream_session_ends(calls: DataFrame, ttl_ms: int, delay: str = "1 hour") -> DataFrame:
+def stream_session_ends(calls: DataFrame, ttl_ms: int, delay: str = "1 hour", buckets: int = BUCKETS) -> DataFrame:
     """calls (session_id, id, ts) -> session_id, ended_at: one row each time a session was without a call for ttl_ms of event
     time. A call after that begins a new one. The state of a session is one number; ended ones have none. Unlike
     stream_sessions this needs no clock, so the stream ends with its input; the last sessions stay open behind the watermark."""
     d = calls.select(F.col("session_id").cast("string").alias("session_id"), F.col("id").cast("long").alias("id"), F.col("ts").cast("timestamp").alias("ts"))
     d = d.where("session_id is not null and ts is not null").withWatermark("ts", delay)
-    return d.groupBy("session_id").transformWithStateInPandas(Sweep(ttl_ms * 1000), "session_id string, ended_at timestamp", "Append", "EventTime")
+    return bucketed(d, "session_id", buckets).transformWithStateInPandas(Sweep(ttl_ms * 1000), "session_id string, ended_at timestamp", "Append", "EventTime")
 
 
 def forward_audit(stream: DataFrame, sink_a: Callable[[DataFrame, int], None], sink_b: Callable[[DataFrame, int], None], checkpoint: str, level: str = "warn"):
