@@ -1,5 +1,6 @@
 """Stateful streams handle buckets of keys: many keys cost few calls into Python, and no key learns from another."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from palisade.plans.scratch import folder
@@ -29,3 +30,23 @@ def test_approvals_share_the_state_and_timer_of_a_bucket(spark):
     run(stream, out, checkpoint)
     rows = spark.read.schema(stream.schema).parquet(out).collect()
     assert len(rows) == len({r["threat_id"] for r in rows}) == 600
+
+
+def after(spark, job, ddl, *batches):
+    """All rows of a stream that is run after each batch of rows."""
+    path, out, checkpoint = (folder(spark, n) for n in ("in", "out", "checkpoint"))
+    for rows in batches:
+        stream = job(fed(spark.createDataFrame(rows, ddl).withColumn("ts", F.timestamp_seconds("ts")), path))
+        run(stream, out, checkpoint)
+    return spark.read.schema(stream.schema).parquet(out).collect()
+
+
+def test_profiles_of_one_bucket_keep_their_keys_apart(spark):
+    rows = [(k, 10 * t + k, t, float(k + t)) for k in range(5) for t in range(1, 7)]
+    job = lambda d: jobs.stream_profiles(d, ("value",), 3, include_self=False, buckets=1)
+    got = after(spark, job, "key int, id long, ts long, value double", rows[::2], [(k, i, t + 100, v) for k, i, t, v in rows[1::2]])
+    for k in range(5):
+        values = [v for v in [float(k + t) for t in (1, 3, 5)] + [float(k + t) for t in (2, 4, 6)]]
+        mine = sorted((r for r in got if r["key"] == str(k)), key=lambda r: r["ts"])
+        assert [r["value"] for r in mine] == values and [r["n"] for r in mine] == [0, 1, 2, 3, 3, 3]
+        assert [r["value_mean"] for r in mine[1:]] == [sum(values[max(0, i - 3):i]) / min(i, 3) for i in range(1, 6)]
