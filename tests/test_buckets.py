@@ -50,3 +50,11 @@ def test_profiles_of_one_bucket_keep_their_keys_apart(spark):
         mine = sorted((r for r in got if r["key"] == str(k)), key=lambda r: r["ts"])
         assert [r["value"] for r in mine] == values and [r["n"] for r in mine] == [0, 1, 2, 3, 3, 3]
         assert [r["value_mean"] for r in mine[1:]] == [sum(values[max(0, i - 3):i]) / min(i, 3) for i in range(1, 6)]
+
+
+def test_seeds_and_resets_of_one_bucket_keep_their_keys_apart(spark):
+    initial = spark.createDataFrame([(k, i, i, float(100 * k + i)) for k in range(3) for i in range(5)], "key int, id long, ts long, value double").withColumn("ts", F.timestamp_seconds("ts"))
+    job = lambda d: jobs.stream_profiles(d, ("value",), 3, False, initial, np.array([[7.0], [9.0]]), buckets=1)
+    got = after(spark, job, "key int, id long, ts long, value double, reset boolean", [(0, 1, 50, 1.0, False), (1, 1, 50, 1.0, False), (1, 2, 60, None, True), (1, 3, 70, 1.0, False), (2, 1, 40, None, True)], [(2, 1, 90, 1.0, False), (3, 1, 90, 1.0, False)])
+    assert sorted((r["key"], r["n"], r["value_mean"]) for r in got if r["n"]) == [("0", 3, 3.0), ("1", 2, 8.0), ("1", 3, 103.0), ("2", 2, 8.0)]
+    assert [r["key"] for r in got if not r["n"]] == ["3"]
