@@ -58,3 +58,9 @@ def test_seeds_and_resets_of_one_bucket_keep_their_keys_apart(spark):
     got = after(spark, job, "key int, id long, ts long, value double, reset boolean", [(0, 1, 50, 1.0, False), (1, 1, 50, 1.0, False), (1, 2, 60, None, True), (1, 3, 70, 1.0, False), (2, 1, 40, None, True)], [(2, 1, 90, 1.0, False), (3, 1, 90, 1.0, False)])
     assert sorted((r["key"], r["n"], r["value_mean"]) for r in got if r["n"]) == [("0", 3, 3.0), ("1", 2, 8.0), ("1", 3, 103.0), ("2", 2, 8.0)]
     assert [r["key"] for r in got if not r["n"]] == ["3"]
+
+
+def test_quarantine_of_one_bucket_keeps_its_sources_apart(spark):
+    job = lambda d: jobs.stream_quarantine(d, buckets=1)
+    got = after(spark, job, "source string, event_id long, ts long, op string, threat_id string", [("a", 1, 1, "enter", "t"), ("b", 2, 2, "release", None), ("c", 3, 3, "enter", "t"), ("c", 4, 4, "release", None)], [("a", 5, 5, "release", None), ("b", 6, 6, "enter", "t"), ("c", 7, 7, "enter", "t"), ("a", 8, 8, "release", None)])
+    assert sorted((r["id"], r["was_held"], r["held"]) for r in got) == [(1, False, True), (2, False, False), (3, False, True), (4, True, False), (5, True, False), (6, False, True), (7, False, True), (8, False, False)]
