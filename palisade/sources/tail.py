@@ -14,8 +14,9 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
-#: Bytes read at a time.
+#: Bytes read at a time, at most; short reads begin with FIRST and double.
 STEP = 1 << 20
+FIRST = 1 << 12
 
 
 def _open(folder: str):
@@ -27,25 +28,26 @@ def _open(folder: str):
 def _head(f) -> str | None:
     """Digest of the first line; None as long as it has no end."""
     f.seek(0)
-    digest = hashlib.md5(usedforsecurity=False)
-    while data := f.read(STEP):
+    digest, step = hashlib.md5(usedforsecurity=False), FIRST
+    while data := f.read(step):
         line, end, _ = data.partition(b"\n")
         digest.update(line)
         if end:
             return digest.hexdigest()
+        step = min(2 * step, STEP)
     return None
 
 
 def _last_end(f, size: int) -> int:
     """Position after the last line end."""
-    at = size
+    at, step = size, FIRST
     while at > 0:
-        begin = max(0, at - STEP)
+        begin = max(0, at - step)
         f.seek(begin)
         found = f.read(at - begin).rfind(b"\n")
         if found >= 0:
             return begin + found + 1
-        at = begin
+        at, step = begin, min(2 * step, STEP)
     return 0
 
 
@@ -130,17 +132,22 @@ class TailReader(DataSourceStreamReader):
             if at > partition.begin:  # the line that goes on here belongs to the range before
                 at -= 1
                 f.seek(at)
+                step = FIRST
                 while True:
-                    data = f.read(STEP)
+                    data = f.read(step)
+                    step = min(2 * step, STEP)
                     found = data.find(b"\n")
                     at += found + 1 if found >= 0 else len(data)
                     if found >= 0 or not data:
                         break
             f.seek(at)
-            where = at
+            where, step = at, FIRST
             while where < partition.to:
-                data = rest + f.read(STEP)
-                if len(data) == len(rest):
+                left = partition.to - where - len(rest)  # beyond the range only the end of its last line is read
+                more = f.read(min(left, STEP) if left > 0 else step)
+                step = step if left > 0 else min(2 * step, STEP)
+                data = rest + more
+                if not more:
                     break
                 *lines, rest = data.split(b"\n")
                 places, texts = [], []

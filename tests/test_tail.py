@@ -88,3 +88,43 @@ def test_ranges_of_any_size_and_small_steps(tmp_path, monkeypatch, size):
     assert [v for _, v in rows] == lines
     text = (tmp_path / "a").read_bytes()
     assert all(text[at:].startswith(v.encode() + b"\n") for at, v in rows)
+
+
+def test_a_range_reads_little_more_than_its_bytes(tmp_path, monkeypatch):
+    from pyarrow import fs
+
+    line = b"x" * 99 + b"\n"
+    (tmp_path / "a.log").write_bytes(line * 20_000)
+    taken = []
+
+    class Counted:
+        def __init__(self, f):
+            self.f = f
+
+        def read(self, n):
+            data = self.f.read(n)
+            taken.append(len(data))
+            return data
+
+        def __getattr__(self, name):
+            return getattr(self.f, name)
+
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *_):
+            self.f.close()
+
+    class System:
+        def __getattr__(self, name):
+            return getattr(fs.LocalFileSystem(), name)
+
+        def open_input_file(self, path):
+            return Counted(fs.LocalFileSystem().open_input_file(path))
+
+    monkeypatch.setattr(tail, "_open", lambda folder: (System(), folder))
+    reader = tail.TailReader(str(tmp_path), 64 << 10)
+    parts = reader.partitions({}, reader.latestOffset())
+    assert len(parts) == 31
+    assert sum(b.num_rows for p in parts for b in reader.read(p)) == 20_000
+    assert sum(taken) < 1.5 * 2_000_000
