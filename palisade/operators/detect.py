@@ -16,14 +16,18 @@ DETAIL = {
     "connectivity": "struct<failure_rate: double, failures: int, probes: int>", "topology": "struct<expected: array<int>, actual: array<int>, bypassed: array<int>>", "drift": "struct<field: string, expected: string, observed: string>"}
 
 
-def threat(category: str, prefix: str, keys: list[Column], severity: Column, confidence: Column, source: Column, description: Column, child: str, detail: Column, ts: Column, target: str = "local") -> Column:
-    """One row of the threat table as a struct."""
+def threat(category: str, prefix: str, keys: list[Column], severity: Column, confidence: Column, source: Column, description: Column, child: str, detail: Column, ts: Column, target: str = "local") -> dict[str, Column]:
+    """The columns of the threat table."""
     parts = [(detail if k == child else F.lit(None)).cast(t).alias(k) for k, t in DETAIL.items()]
-    return F.struct(S.threat_id(prefix, *keys).alias("id"), F.lit(category).alias("category"), severity.alias("severity"), S.rank_of(severity, S.SEVERITY).alias("severity_rank"), source.cast("string").alias("source"), F.lit(target).alias("target"), ts.alias("detected_at"), description.alias("description"), confidence.cast("double").alias("confidence"), F.struct(*parts).alias("detail"))
+    return {"id": S.threat_id(prefix, *keys), "category": F.lit(category), "severity": severity, "severity_rank": S.rank_of(severity, S.SEVERITY), "source": source.cast("string"), "target": F.lit(target), "detected_at": ts, "description": description, "confidence": confidence.cast("double"), "detail": F.struct(*parts)}
+
+
+def _rows(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    return df.select(*[c.alias(k) for k, c in columns.items()])
 
 
 def threats(df: DataFrame, category: str, prefix: str, keys: list[str], severity: Column, confidence: Column, source: Column, description: Column, child: str, detail: Column, ts: str = "ts", target: str = "local") -> DataFrame:
-    return df.select(threat(category, prefix, [F.col(k) for k in keys], severity, confidence, source, description, child, detail, F.col(ts), target).alias("t")).select("t.*")
+    return _rows(df, threat(category, prefix, [F.col(k) for k in keys], severity, confidence, source, description, child, detail, F.col(ts), target))
 
 
 def lineage_check(peers: DataFrame, roster: DataFrame, th: Thresholds = DEFAULTS) -> DataFrame:
@@ -106,29 +110,31 @@ def detect_observations(scored: DataFrame, th: Thresholds = DEFAULTS) -> DataFra
         F.struct(*[details.get(k, F.lit(None)).cast(t).alias(k) for k, t in DETAIL.items()]).alias("detail"))
 
 
-def _resource(load: Column, th: Thresholds) -> Column:
+def _resource(load: Column, th: Thresholds) -> dict[str, Column]:
     return threat("DenialOfService", "dos", [F.col("host"), F.col("ts")], F.lit("High"), F.lit(th.load_confidence), F.col("host"), F.format_string("load %.2f", load), "load", F.struct(load.alias("current"), F.lit(th.load).alias("limit")), F.col("ts"))
 
 
-def _spawn(th: Thresholds, order: tuple[str, ...]) -> Column:
+def _spawn(th: Thresholds, order: tuple[str, ...]) -> dict[str, Column]:
     rate = F.col("rate")
     return threat("ProcessSpawnAnomaly", "spawn-rate", [F.col(c) for c in ("host", *order)], F.lit("High"), F.lit(th.spawn_confidence), F.col("host"), F.format_string("%.1f new processes a second", rate), "spawn", F.struct(rate.alias("rate"), F.lit(th.spawn_rate).alias("limit")), F.col("ts"))
 
 
 def detect_resource(metrics: DataFrame, th: Thresholds = DEFAULTS) -> DataFrame:
     load = S.norm_load(F.col("load1"), F.col("cpus"))
-    return metrics.where(load > th.load).select(_resource(load, th).alias("t")).select("t.*")
+    return _rows(metrics.where(load > th.load), _resource(load, th))
 
 
 def detect_spawn(metrics: DataFrame, th: Thresholds = DEFAULTS, order: tuple[str, ...] = ("ts",), block: int | None = None) -> DataFrame:
-    return O.counter_rate(metrics, order=order, block=block).where(F.col("rate") > th.spawn_rate).select(_spawn(th, order).alias("t")).select("t.*")
+    return O.counter_rate(metrics, order=order, block=block).where(F.col("rate") > th.spawn_rate).transform(_rows, _spawn(th, order))
 
 
 def detect_host(metrics: DataFrame, th: Thresholds = DEFAULTS, order: tuple[str, ...] = ("ts",), block: int | None = None) -> DataFrame:
-    """Resource and spawn-rate detectors in one pass over host samples."""
+    """Resource and spawn-rate detectors in one pass over host samples. What fired is a name, from which the columns are made."""
     load = S.norm_load(F.col("load1"), F.col("cpus"))
-    both = F.array(F.when(load > th.load, _resource(load, th)), F.when(F.col("rate") > th.spawn_rate, _spawn(th, order)))
-    return O.counter_rate(metrics, order=order, block=block).select(F.explode(F.array_compact(both)).alias("t")).select("t.*")
+    both = F.array(F.when(load > th.load, "load"), F.when(F.col("rate") > th.spawn_rate, "spawn"))
+    found = O.counter_rate(metrics, order=order, block=block).withColumn("_fired", F.explode(F.array_compact(both)))
+    spawn = _spawn(th, order)
+    return _rows(found, {k: F.when(F.col("_fired") == "load", c).otherwise(spawn[k]) for k, c in _resource(load, th).items()})
 
 
 def detect_connectivity(probes: DataFrame, th: Thresholds = DEFAULTS, order: tuple[str, ...] = ("ts",), block: int | None = None) -> DataFrame:

@@ -19,17 +19,28 @@ HTTP = ("request_rate", "path_diversity", "error_rate_4xx")
 DIMENSIONS = CORE + HTTP
 
 
-def _measures(seconds: float) -> list[Column]:
-    """Aggregates of one source and window. Rates divide by the whole window, also when it is partial."""
+def _measured(log: DataFrame, key: list[str], seconds: float) -> DataFrame:
+    """One row for each key (a source and its window) of log rows. Rates divide by the whole window, also when it is partial.
+
+    Sets are no aggregates here: collect_set makes an object for each group before the shuffle, where most groups have a row or
+    two. Rows are counted by path, method and port instead (plain sums, so a busy source spreads over its paths), and what is
+    left of a key is put together by windows over it, which spill.
+    """
     status = S.status_class(F.col("status"))
-    n, total = F.count(F.lit(1)), F.sum("size")
-    share = lambda cls: F.sum(F.when(status == cls, 1).otherwise(0)) / F.greatest(n, F.lit(1))
-    return [
-        (n / F.lit(float(seconds))).alias("connection_rate"), F.floor(total / F.lit(float(seconds))).cast("bigint").alias("traffic_volume"),
-        F.array_sort(F.collect_set(S.port_of(F.col("host")))).alias("ports_accessed"), (n / F.lit(float(seconds))).alias("request_rate"),
-        share("4xx").alias("error_rate_4xx"), share("5xx").alias("error_rate_5xx"), F.count_distinct(F.nullif(F.col("uri"), F.lit(""))).cast("int").alias("path_diversity"),
-        F.floor(total / n).cast("bigint").alias("avg_payload_bytes"), F.least(F.size(F.collect_set(F.nullif(F.col("method"), F.lit("")))), F.lit(255)).alias("method_diversity"),
-        F.round(F.avg("duration") * 1000, 6).alias("avg_duration_ms"), n.alias("n_requests")]
+    of = lambda cls: F.sum(F.when(status == cls, 1).otherwise(0))
+    path, method = F.nullif(F.col("uri"), F.lit("")).alias("_path"), F.nullif(F.col("method"), F.lit("")).alias("_method")
+    sums = {"n_requests": F.count(F.lit(1)), "_total": F.sum("size"), "_c4": of("4xx"), "_c5": of("5xx"), "_time": F.sum("duration"), "_timed": F.count("duration")}
+    once = log.groupBy(*key, path, method, S.port_of(F.col("host")).alias("_port")).agg(*[c.alias(k) for k, c in sums.items()])
+    by_path = W.partitionBy(*key).orderBy("_path")
+    whole = by_path.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    d = once.withColumns({
+        "_row": F.row_number().over(by_path), "_paths": F.dense_rank().over(by_path), **{k: F.sum(k).over(whole) for k in sums}, "_rows": F.count(F.lit(1)).over(whole),
+        "_no_path": F.max(F.col("_path").isNull().cast("int")).over(whole), "_ports": F.collect_set("_port").over(whole), "_methods": F.collect_set("_method").over(whole)}).where("_row = _rows")
+    n, total = F.col("n_requests"), F.col("_total")
+    return d.select(
+        *key, (n / F.lit(float(seconds))).alias("connection_rate"), F.floor(total / F.lit(float(seconds))).cast("bigint").alias("traffic_volume"), F.array_sort("_ports").alias("ports_accessed"), (n / F.lit(float(seconds))).alias("request_rate"),
+        (F.col("_c4") / n).alias("error_rate_4xx"), (F.col("_c5") / n).alias("error_rate_5xx"), (F.col("_paths") - F.col("_no_path")).cast("int").alias("path_diversity"),
+        F.floor(total / n).cast("bigint").alias("avg_payload_bytes"), F.least(F.size("_methods"), F.lit(255)).alias("method_diversity"), F.round(F.col("_time") / F.nullif(F.col("_timed"), F.lit(0)) * 1000, 6).alias("avg_duration_ms"), "n_requests")
 
 
 def seconds_of(window: str) -> int:
@@ -39,8 +50,8 @@ def seconds_of(window: str) -> int:
 
 def aggregate_windows(log: DataFrame, window: str = "60 seconds") -> DataFrame:
     """One row for each source and tumbling window; ts is the window's start. A busy source spreads over its windows."""
-    out = log.groupBy("source", F.window("ts", window).alias("w")).agg(*_measures(seconds_of(window)))
-    return out.withColumn("ts", F.col("w.start")).drop("w")
+    out = _measured(log.withColumn("_ts", F.window("ts", window)["start"]), ["source", "_ts"], seconds_of(window))
+    return out.withColumn("ts", F.col("_ts")).drop("_ts")
 
 
 def anchored_windows(log: DataFrame, seconds: float, by: str = "log_id") -> DataFrame:
@@ -71,7 +82,7 @@ def anchored_windows(log: DataFrame, seconds: float, by: str = "log_id") -> Data
     opened = times.join(starts.withColumn("start", F.col("t")).withColumnsRenamed({"k": "k2", "t": "t2"}), F.col("k").eqNullSafe(F.col("k2")) & (F.col("t") == F.col("t2")), "left")
     opened = carried(opened.select("k", "t", "start"), ["k"], ["t"], F.col("start"), "opened").select("k", F.col("t").alias("_t"), F.col("opened").alias("start"))
     keyed = keyed.join(opened, F.col(by).eqNullSafe(F.col("k")) & (F.col("t") == F.col("_t")))
-    out = keyed.groupBy(by, "source", "start").agg(*_measures(seconds))
+    out = _measured(keyed, [by, "source", "start"], seconds)
     return out.withColumn("ts", F.timestamp_micros("start").cast("timestamp_ntz")).drop("start")
 
 

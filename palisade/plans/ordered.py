@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame
@@ -30,11 +31,25 @@ def global_rank(df: DataFrame, *order: str, name: str = "rank") -> DataFrame:
 def halo(df: DataFrame, key: list[str], order: list[str], size: int, columns: Callable[[W], dict[str, Column]], block: int = 100_000) -> DataFrame:
     """`columns(window)` over frames that look back at most `size` rows of the same key, in parallel within a key.
 
-    The global order (key, order) is cut into blocks; each block also gets the `size` rows before it, which are
-    dropped again. One key, or none at all, may hold every row.
+    A key of at most `block` rows is one group. The others, which are counted first, are cut up: their global order
+    (key, order) is divided into blocks; each block also gets the `size` rows before it, which are dropped again. One key,
+    or none at all, may hold every row.
     """
     if block < size:
         raise ValueError("block must not be smaller than size")
+    if not key:
+        return _in_blocks(df, key, order, size, columns, block)
+    large = df.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > block)
+    large = save(large.select(*[F.col(k).alias(f"_large{i}") for i, k in enumerate(key)]), "large")
+    whole = lambda d: d.withColumns(columns(W.partitionBy(*key).orderBy(*order)))
+    if large.isEmpty():
+        return whole(df)
+    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_large{i}")) for i, k in enumerate(key)])
+    rows = lambda how: df.join(F.broadcast(large), on, how)  # noqa: E731  (one row for each `block` rows at most)
+    return whole(rows("left_anti")).unionByName(_in_blocks(rows("left_semi"), key, order, size, columns, block))
+
+
+def _in_blocks(df: DataFrame, key: list[str], order: list[str], size: int, columns: Callable[[W], dict[str, Column]], block: int) -> DataFrame:
     d = global_rank(df, *key, *order, name="_r").withColumn("_own", F.floor((F.col("_r") - 1) / block))
     ends = F.pmod(F.col("_r") - 1, F.lit(block)) >= block - size
     both = d.select("*", F.explode(F.when(ends, F.array("_own", F.col("_own") + 1)).otherwise(F.array("_own"))).alias("_b"))

@@ -34,8 +34,9 @@ def probes(spark, sf_dir) -> DataFrame:
 
 def host_metrics(spark, sf_dir) -> DataFrame:
     """forks_total is the running sum of k of the user."""
-    w = W.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(W.unboundedPreceding, 0)
-    return _events(spark, sf_dir).select("event_id", F.col("user_id").cast("string").alias("host"), "ts", (F.col("value") / 100).alias("load1"), F.lit(4).alias("cpus"), F.sum("k").over(w).cast("bigint").alias("forks_total"))
+    w = W.partitionBy("host").orderBy("ts", "event_id").rowsBetween(W.unboundedPreceding, 0)
+    e = _events(spark, sf_dir).withColumn("host", F.col("user_id").cast("string"))
+    return e.select("event_id", "host", "ts", (F.col("value") / 100).alias("load1"), F.lit(4).alias("cpus"), F.sum("k").over(w).cast("bigint").alias("forks_total"))
 
 
 def connection_paths(spark, sf_dir) -> DataFrame:
