@@ -28,3 +28,16 @@ def test_windows_need_no_object_aggregates(spark):
     assert (a["error_rate_4xx"], a["error_rate_5xx"], a["avg_duration_ms"], a["connection_rate"]) == (0.2, 0.2, 300.0, 5 / 86400)
     b = got["b", 1]
     assert (b["ports_accessed"], b["path_diversity"], b["method_diversity"], b["avg_duration_ms"]) == ([443], 0, 0, None)
+
+
+def test_only_large_keys_are_cut_up(spark):
+    small = spark.range(400).select((F.col("id") % 20).cast("string").alias("k"), "id")
+    large = spark.range(1000, 1500).select(F.lit(None).cast("string").alias("k"), "id")
+    over = lambda w: {"s": F.sum("id").over(w.rowsBetween(-3, 0))}
+    one = halo(small, ["k"], ["id"], 4, over, 50)
+    assert "Scan parquet" not in plan(one)  # nothing was ranked and written
+    both = small.unionByName(large)
+    want = both.withColumns(over(W.partitionBy("k").orderBy("id")))
+    got = halo(both, ["k"], ["id"], 4, over, 50)
+    assert "Scan parquet" in plan(got)
+    assert sorted(got.collect(), key=lambda r: r["id"]) == sorted(want.collect(), key=lambda r: r["id"])
