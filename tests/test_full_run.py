@@ -41,3 +41,15 @@ def test_only_large_keys_are_cut_up(spark):
     got = halo(both, ["k"], ["id"], 4, over, 50)
     assert "Scan parquet" in plan(got)
     assert sorted(got.collect(), key=lambda r: r["id"]) == sorted(want.collect(), key=lambda r: r["id"])
+
+
+def test_host_findings_are_names_until_read(spark):
+    rows = [("h", 1, datetime(2024, 1, 1), 4.0, 4, 0), ("h", 2, datetime(2024, 1, 1, 0, 0, 1), 0.1, 4, 100), ("h", 3, datetime(2024, 1, 1, 0, 0, 2), 3.9, 4, 200), ("g", 4, datetime(2024, 1, 1), 0.1, 4, 0)]
+    m = spark.createDataFrame(rows, "host string, event_id long, ts timestamp_ntz, load1 double, cpus int, forks_total long")
+    order = ("ts", "event_id")
+    found = D.detect_host(m, order=order)
+    assert "sha2" in plan(found) and "sha2" not in plan(found.groupBy("category").count())
+    apart = D.detect_resource(m).unionByName(D.detect_spawn(m, order=order))
+    assert found.schema == apart.schema
+    assert sorted(map(str, found.collect())) == sorted(map(str, apart.collect()))
+    assert sorted((r["category"], r["source"]) for r in apart.collect()) == [("DenialOfService", "h")] * 2 + [("ProcessSpawnAnomaly", "h")] * 2
