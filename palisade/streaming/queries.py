@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from palisade.operators import audit as A
 from palisade.operators import observations as O
 from palisade.plans.protocols import FileSink
-from palisade.plans.scratch import folder
+from palisade.plans.scratch import folder, save
 from palisade.sources import adapters as T
 from palisade.sources import io, retention
 from palisade.streaming import jobs
@@ -102,7 +102,6 @@ def _write_logs(path: str, grown: bool):
 
 def s3_tail_growing_logs(spark, d):
     """Log files that grow, and are rotated, between two runs of a stream that follows them by byte position."""
-    from palisade.plans.scratch import save
     from palisade.queries import json_lines
 
     path, out, checkpoint = folder(spark, "logs"), folder(spark, "out"), folder(spark, "checkpoint")
@@ -183,7 +182,7 @@ def r7_stream_reset(spark, d):
     on the 22nd, and start from seeds again. Observations and resets come in two runs."""
     from palisade.queries import TH, observed
 
-    obs = observed(spark, d).withColumn("ts", F.col("ts").cast("timestamp"))
+    obs = save(observed(spark, d).withColumn("ts", F.col("ts").cast("timestamp")), "observed")
     at = lambda below, day: obs.where(F.col("source") < below).select("source", F.lit(day).cast("timestamp").alias("reset_at")).distinct()
     resets = at("10.0.0.5", "2024-01-15").unionByName(at("10.0.0.2", "2024-01-22"))
     rows_in, resets_in, out, checkpoint = (folder(spark, n) for n in ("observations", "resets", "out", "checkpoint"))
