@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import logging
 import time
-import warnings
 from collections.abc import Callable, Iterator
 from itertools import pairwise
 
@@ -135,23 +134,36 @@ class LateRows:
         return rows.where(self.LATE).drop(self.LATE).join(self.counts(spark).select("batch"), "batch", "left_semi")
 
 
+def over_windows(values: np.ndarray, ends: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(mean, spread) of the n[i] rows of `values` before the ends[i]-th, column by column; NaN is no value. Windows are taken
+    in order of their length, so a block of them is as wide as its longest."""
+    mean, std = np.full((len(n), values.shape[1]), np.nan), np.full((len(n), values.shape[1]), np.nan)
+    order = np.argsort(n, kind="stable")
+    for at in range(0, len(order), 2048):
+        i = order[at: at + 2048]
+        back = np.arange(n[i[-1]])
+        if not len(back):
+            continue
+        inside = back < n[i, None]
+        view = values[np.where(inside, ends[i, None] - 1 - back, 0)]
+        view[~inside] = np.nan
+        seen = ~np.isnan(view)
+        count = seen.sum(axis=1)
+        with np.errstate(invalid="ignore"):  # windows without any value
+            mean[i] = np.where(seen, view, 0.0).sum(axis=1) / count
+            off = np.where(seen, view - mean[i][:, None], 0.0)
+            spread = np.sqrt((off * off).sum(axis=1) / count)
+        spread[np.fmin.reduce(view, axis=1) == np.fmax.reduce(view, axis=1)] = 0.0
+        std[i] = spread
+    return mean, std
+
+
 def over_ring(ring: np.ndarray, rows: np.ndarray, size: int, include_self: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(n, mean, spread) of the last `size` rows before each of `rows` (with itself, if include_self), column by column.
-
-    `ring` holds the rows before the first; NaN is no value. All windows of a block are views of one array.
-    """
-    n = np.minimum(np.arange(len(rows)) + len(ring) + include_self, size)
-    mean, std = np.empty(rows.shape), np.empty(rows.shape)
-    ext = np.concatenate([np.full((size, rows.shape[1]), np.nan), ring, rows])
-    for at in range(0, len(rows), 2048):
-        to = min(at + 2048, len(rows))
-        first = len(ring) + include_self + at
-        view = np.lib.stride_tricks.sliding_window_view(ext[first: first + to - at + size - 1], size, axis=0)
-        with warnings.catch_warnings(), np.errstate(invalid="ignore"):
-            warnings.simplefilter("ignore", RuntimeWarning)  # windows without any value
-            mean[at:to], std[at:to] = np.nanmean(view, axis=2), np.nanstd(view, axis=2)
-            std[at:to][np.nanmin(view, axis=2) == np.nanmax(view, axis=2)] = 0.0
-    return n, mean, std
+    `ring` holds the rows before the first."""
+    ends = np.arange(len(rows)) + len(ring) + include_self
+    n = np.minimum(ends, size)
+    return n, *over_windows(np.concatenate([ring, rows]), ends, n)
 
 
 #: Buckets of keys of a stateful stream: one call into Python handles a bucket of a micro-batch, not a key, so their number
@@ -180,38 +192,49 @@ def by_key(rows: Iterator[pd.DataFrame], key: str) -> tuple[pd.DataFrame, list[t
 class Ring(StatefulProcessor):
     """Mean, spread and count of the last `size` rows of a key for each of `dims`, judged with or before their learning. A row
     marked as a reset leaves nothing of what was learned but `seed`, and is no value itself. The state of a bucket is a map
-    from its keys to their rows, of which only those of the batch's keys are touched."""
+    from its keys to their rows (as bytes), of which only those of the batch's keys are touched, and none is read before there
+    is any. All keys of a bucket are judged in one pass over arrays."""
 
     def __init__(self, size: int, include_self: bool, dims: tuple[str, ...], seed: np.ndarray | None = None):
         self.size, self.include_self, self.dims = size, include_self, dims
         self.seed = np.zeros((0, len(dims))) if seed is None else seed[-size:]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.rings = handle.getMapState("rings", "key string", "v array<double>")
+        self.rings = handle.getMapState("rings", "key string", "v binary")
 
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
         for name, learned in zip(initialState["key"], initialState["learned"], strict=True):
-            self.rings.updateValue((name,), (np.asarray(learned, float).tolist(),))
+            self.rings.updateValue((name,), (np.asarray(learned, float).tobytes(),))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         d, parts = by_key(rows, "key")
         if not parts:
             return
         new, resets = d[list(self.dims)].to_numpy(float), d["reset"].to_numpy(bool)
-        n, mean, std = np.zeros(len(d), np.int32), np.empty(new.shape), np.empty(new.shape)
+        some, cuts = self.rings.exists(), resets.any()
+        pieces, runs, at = [], [], 0  # what keys knew and learn, one after another; rows that learn without a reset between
         for name, first, end in parts:
-            known = self.rings.getValue((name,))
-            kept = np.zeros((0, len(self.dims))) if known is None else np.array(known[0], float).reshape(-1, len(self.dims))
-            for a, b in pairwise([first, *(first + np.flatnonzero(resets[first:end])).tolist(), end]):
+            known = self.rings.getValue((name,)) if some else None
+            kept = np.zeros((0, len(self.dims))) if known is None else np.frombuffer(known[0]).reshape(-1, len(self.dims))
+            for a, b in pairwise([first, *((first + np.flatnonzero(resets[first:end])).tolist() if cuts else ()), end]):
                 if a < b and resets[a]:
                     kept, a = self.seed, a + 1
                 if a < b:
-                    n[a:b], mean[a:b], std[a:b] = over_ring(kept, new[a:b], self.size, self.include_self)
+                    runs.append((a, b - a, len(kept), at))
+                    pieces += [kept, new[a:b]]
+                    at += len(kept) + b - a
                     kept = np.concatenate([kept, new[a:b]])[-self.size:]
             if len(kept):
-                self.rings.updateValue((name,), (kept.ravel().tolist(),))
+                self.rings.updateValue((name,), (kept.tobytes(),))
             elif known is not None:
                 self.rings.removeKey((name,))
+        n, mean, std = np.zeros(len(d), np.int32), np.empty(new.shape), np.empty(new.shape)
+        if runs:
+            first, length, before, at = np.array(runs).T
+            nth = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
+            row, past = np.repeat(first, length) + nth, np.repeat(before, length) + nth + self.include_self
+            n[row] = np.minimum(past, self.size)
+            mean[row], std[row] = over_windows(np.concatenate(pieces), np.repeat(at, length) + past, n[row])
         out = {"key": d["key"], "id": d["id"], "ts": d["ts"], "n": n}
         for k, c in enumerate(self.dims):
             out |= {c: new[:, k], f"{c}_mean": mean[:, k], f"{c}_std": std[:, k]}

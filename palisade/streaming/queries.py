@@ -17,7 +17,8 @@ from palisade.sources import io, retention
 from palisade.streaming import jobs
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-#: State partitions of a registered stream: each holds a Python process while it runs. A job of your own sets its own.
+#: State partitions of a registered stream, or as many as there are cores: each holds a Python process while it runs. A
+#: checkpoint keeps the number that it began with. A job of your own sets its own.
 STATE_PARTITIONS = 8
 
 
@@ -46,7 +47,7 @@ def as_stream(df: DataFrame, name: str) -> DataFrame:
 
 def run(stream: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
     """Run a stream over all that is there since the checkpoint."""
-    with settings(stream.sparkSession, **{"spark.sql.streaming.stateStore.providerClass": ROCKS, "spark.sql.shuffle.partitions": str(STATE_PARTITIONS)}):
+    with settings(stream.sparkSession, **{"spark.sql.streaming.stateStore.providerClass": ROCKS, "spark.sql.shuffle.partitions": str(max(STATE_PARTITIONS, stream.sparkSession.sparkContext.defaultParallelism))}):
         q = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
         q.awaitTermination()
     return q

@@ -1,6 +1,7 @@
 """Stateful streams handle buckets of keys: many keys cost few calls into Python, and no key learns from another."""
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from palisade.plans.scratch import folder
@@ -64,3 +65,44 @@ def test_quarantine_of_one_bucket_keeps_its_sources_apart(spark):
     job = lambda d: jobs.stream_quarantine(d, buckets=1)
     got = after(spark, job, "source string, event_id long, ts long, op string, threat_id string", [("a", 1, 1, "enter", "t"), ("b", 2, 2, "release", None), ("c", 3, 3, "enter", "t"), ("c", 4, 4, "release", None)], [("a", 5, 5, "release", None), ("b", 6, 6, "enter", "t"), ("c", 7, 7, "enter", "t"), ("a", 8, 8, "release", None)])
     assert sorted((r["id"], r["was_held"], r["held"]) for r in got) == [(1, False, True), (2, False, False), (3, False, True), (4, True, False), (5, True, False), (6, False, True), (7, False, True), (8, False, False)]
+
+
+class Known(dict):
+    """A map state that counts its reads."""
+
+    reads = 0
+    exists = dict.__len__
+
+    def getValue(self, key):
+        self.reads += 1
+        return self.get(key)
+
+    updateValue, removeKey = dict.__setitem__, dict.pop
+
+
+def test_a_bucket_reads_no_state_before_there_is_any_and_is_judged_in_one_pass(monkeypatch):
+    rng, passes = np.random.default_rng(5), []
+    r = jobs.Ring(7, False, ("u", "v"), np.array([[1.0, np.nan], [3.0, 2.0]]))
+    r.rings = Known()
+    of = jobs.over_windows
+    monkeypatch.setattr(jobs, "over_windows", lambda *a: passes.append(len(a[1])) or of(*a))
+    known = {}
+    for batch, most in enumerate((12, 3, 12)):
+        rows = [(str(k), i, pd.Timestamp(batch, unit="D") + pd.Timedelta(seconds=i), k % 4 == 1 and i == 2, *rng.choice([1.0, 2.0, 2.5, np.nan], 2)) for k in range(50) for i in range(k % most + 1)]
+        d = pd.DataFrame(rows, columns=["key", "id", "ts", "reset", "u", "v"]).sample(frac=1, random_state=1)
+        got = {(g.key, g.id): g for g in pd.concat(r.handleInputRows((0,), iter([d[:40], d[40:]]), None)).itertuples()}
+        assert passes == [int((~d["reset"]).sum())] and r.rings.reads == (50 if batch else 0)
+        passes.clear()
+        r.rings.reads = 0
+        for k, i, _, reset, *uv in rows:
+            if reset:
+                known[k] = [[1.0, np.nan], [3.0, 2.0]]
+                continue
+            past, g = np.array(known.setdefault(k, [])[-7:]).reshape(-1, 2), got.pop((k, i))
+            assert g.n == len(past)
+            for c, mean, std in ((0, g.u_mean, g.u_std), (1, g.v_mean, g.v_std)):
+                x = past[~np.isnan(past[:, c]), c]
+                assert np.isnan(mean) and np.isnan(std) if not len(x) else np.allclose((mean, std), (x.mean(), x.std()), atol=1e-12)
+                assert len(set(x)) != 1 or std == 0
+            known[k].append(uv)
+        assert not got
