@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from palisade.functions import scalars as S
@@ -71,28 +72,31 @@ def detect_port_scan(obs: DataFrame, th: Thresholds = DEFAULTS) -> DataFrame:
 
 def detect_exfiltration(obs: DataFrame, th: Thresholds = DEFAULTS) -> DataFrame:
     ratio = S.bytes_per_conn(F.col("traffic_volume"), F.col("connection_rate"))
-    d = obs.withColumn("ratio", ratio).where((F.col("traffic_volume") > th.exfil_volume) & (F.round("ratio", 9) > th.exfil_ratio))
+    d = obs.withColumn("ratio", ratio).where((F.col("traffic_volume") > th.exfil_volume) & S.exceeds(F.col("ratio"), th.exfil_ratio))
     return threats(d, "IntrusionAttempt", "exfil", ["source", "ts"], F.lit("Medium"), F.lit(th.exfil_confidence), F.col("source"), *_exfil_detail(F.col("ratio")))
 
 
-#: One finding of an observation before it becomes a threat: which detector, and what it saw.
-FINDING = "struct<kind: string, dimension: string, observed: double, mean: double, std_dev: double, z: double, ports: array<int>, ratio: double>"
+def fired(df: DataFrame, rules: list[Column], name: str = "_fired") -> DataFrame:
+    """df once for each rule that holds, with the rule's number. The array of numbers is plain, not compacted by a lambda:
+    so the explosion is compiled, and rules that do not hold cost no row."""
+    return df.withColumn(name, F.explode(F.array(*[F.when(r, F.lit(i)) for i, r in enumerate(rules)]))).where(F.col(name).isNotNull())
 
 
 def detect_observations(scored: DataFrame, th: Thresholds = DEFAULTS) -> DataFrame:
     """All detectors of scored observations in one pass over them: behavioral, http, port scan and exfiltration.
-    Findings are small structs; ids, texts and details are made once, for the rows that fired."""
-    f = lambda kind, *values: F.struct(F.lit(kind), *[F.lit(None) if v is None else v for v in values]).cast(FINDING)
-    found = []
-    for k in O.DIMENSIONS:
-        z = F.col(f"{k}_z")
-        hit = z.isNotNull() & S.exceeds(z, th.sigma)
-        for kind in ("behavioral", "http")[: 2 if k in O.HTTP else 1]:
-            found.append(F.when(hit, f(kind, F.lit(k), F.col(k).cast("double"), F.col(f"{k}_mean"), F.col(f"{k}_std"), z, None, None)))
-    ports, ratio = S.suspicious_ports(F.col("ports_accessed"), th), S.bytes_per_conn(F.col("traffic_volume"), F.col("connection_rate"))
-    found.append(F.when(F.size(ports) >= 2, f("port-scan", None, None, None, None, None, ports, None)))
-    found.append(F.when((F.col("traffic_volume") > th.exfil_volume) & (F.round(ratio, 9) > th.exfil_ratio), f("exfil", None, None, None, None, None, None, ratio)))
-    d = scored.select("source", "ts", F.explode(F.array_compact(F.array(*found))).alias("f")).select("source", "ts", "f.*")
+    Findings are numbers of rules; ids, texts and details are made once, for the rows that fired."""
+    rules = [(kind, k) for k in O.DIMENSIONS for kind in ("behavioral", "http")[: 2 if k in O.HTTP else 1]]
+    deviates = [F.col(f"{k}_z").isNotNull() & S.exceeds(F.col(f"{k}_z"), th.sigma) for _, k in rules]
+    seen, per_conn = S.suspicious_ports(F.col("ports_accessed"), th), S.bytes_per_conn(F.col("traffic_volume"), F.col("connection_rate"))
+    exfil = (F.col("traffic_volume") > th.exfil_volume) & S.exceeds(per_conn, th.exfil_ratio)
+    # a lambda among the rules would keep the explosion from being compiled
+    found = fired(scored.withColumn("_scan", F.size(seen) >= 2), [*deviates, F.col("_scan"), exfil])
+    nth = F.col("_fired")
+    of_rule = lambda value: F.coalesce(*[F.when(nth == i, value(k)) for i, (_, k) in enumerate(rules)])
+    d = found.select(
+        "source", "ts", F.when(nth == len(rules), "port-scan").when(nth == len(rules) + 1, "exfil").when(nth.isin(*[i for i, (kind, _) in enumerate(rules) if kind == "http"]), "http").otherwise("behavioral").alias("kind"),
+        of_rule(F.lit).alias("dimension"), *[of_rule(lambda k, x=x: F.col(k + x).cast("double")).alias(name) for name, x in (("observed", ""), ("mean", "_mean"), ("std_dev", "_std"), ("z", "_z"))],
+        F.when(nth == len(rules), seen).alias("ports"), F.when(nth == len(rules) + 1, per_conn).alias("ratio"))
 
     z, kind = F.col("z"), F.col("kind")
     of = lambda deviation, scan, exfil: F.when(kind == "port-scan", scan).when(kind == "exfil", exfil).otherwise(deviation)
@@ -129,12 +133,11 @@ def detect_spawn(metrics: DataFrame, th: Thresholds = DEFAULTS, order: tuple[str
 
 
 def detect_host(metrics: DataFrame, th: Thresholds = DEFAULTS, order: tuple[str, ...] = ("ts",), block: int | None = None) -> DataFrame:
-    """Resource and spawn-rate detectors in one pass over host samples. What fired is a name, from which the columns are made."""
+    """Resource and spawn-rate detectors in one pass over host samples. What fired is a number, from which the columns are made."""
     load = S.norm_load(F.col("load1"), F.col("cpus"))
-    both = F.array(F.when(load > th.load, "load"), F.when(F.col("rate") > th.spawn_rate, "spawn"))
-    found = O.counter_rate(metrics, order=order, block=block).withColumn("_fired", F.explode(F.array_compact(both)))
+    found = fired(O.counter_rate(metrics, order=order, block=block), [load > th.load, F.col("rate") > th.spawn_rate])
     spawn = _spawn(th, order)
-    return _rows(found, {k: F.when(F.col("_fired") == "load", c).otherwise(spawn[k]) for k, c in _resource(load, th).items()})
+    return _rows(found, {k: F.when(F.col("_fired") == 0, c).otherwise(spawn[k]) for k, c in _resource(load, th).items()})
 
 
 def detect_connectivity(probes: DataFrame, th: Thresholds = DEFAULTS, order: tuple[str, ...] = ("ts",), block: int | None = None) -> DataFrame:
@@ -152,20 +155,42 @@ def detect_topology(paths: DataFrame, th: Thresholds = DEFAULTS) -> DataFrame:
 FIELDS = ("features_json", "lineage_id", "topology_configured", "threshold_fingerprint")
 
 
+def _changes(d: DataFrame, prefix: str = "_") -> DataFrame:
+    """One row for each field that differs from the one named with the prefix; null equals null."""
+    shown = lambda f, c: S.debug_option(c.cast("string")) if f == "lineage_id" else c.cast("string")
+    of_field = lambda value: F.coalesce(*[F.when(F.col("_fired") == i, value(f)) for i, f in enumerate(FIELDS)])
+    d = fired(d, [~F.col(f).eqNullSafe(F.col(prefix + f)) for f in FIELDS])
+    return d.select("component_id", "ts", of_field(F.lit).alias("field"), of_field(lambda f: shown(f, F.col(prefix + f))).alias("expected"), of_field(lambda f: shown(f, F.col(f))).alias("observed"))
+
+
 def config_drift(expected: DataFrame, observed: DataFrame) -> DataFrame:
     """One row for each field that differs between two snapshots of a component; null equals null."""
     e = expected.select("component_id", *[F.col(f).alias(f"_{f}") for f in FIELDS])
-    shown = lambda f, c: S.debug_option(c.cast("string")) if f == "lineage_id" else c.cast("string")
-    rows = [F.when(~F.col(f).eqNullSafe(F.col(f"_{f}")), F.struct(F.lit(f).alias("field"), shown(f, F.col(f"_{f}")).alias("expected"), shown(f, F.col(f)).alias("observed"))) for f in FIELDS]
-    return observed.join(e, "component_id").select("component_id", "ts", F.explode(F.array_compact(F.array(*rows))).alias("c")).select("component_id", "ts", "c.*")
+    return _changes(observed.join(e, "component_id"))
 
 
-def detect_drift(expected: DataFrame, observed: DataFrame, th: Thresholds = DEFAULTS) -> DataFrame:
-    d = config_drift(expected, observed)
+def config_history_drift(history: DataFrame, key: str, order: tuple[str, ...]) -> DataFrame:
+    """config_drift of each snapshot against the one before it of the same key: one sort of the history instead of a join
+    with its shifted copy. `order` must be unique within a key. A key's first snapshot has nothing to differ from, and one
+    without a component_id is compared with nothing."""
+    w = W.partitionBy(key).orderBy(*order)
+    before = {f"_{f}": F.lag(f).over(w) for f in ("component_id", *FIELDS)}
+    return _changes(history.withColumns(before).where("component_id is not null and _component_id is not null"))
+
+
+def _drift(d: DataFrame, th: Thresholds) -> DataFrame:
     sev = F.when(F.col("field").isin("features_json", "lineage_id"), "High").otherwise("Medium")
     return threats(d, "ConfigurationDrift", "drift", ["component_id", "ts", "field"], sev, F.lit(th.drift_confidence), F.col("component_id"), F.concat_ws(" ", F.lit("changed:"), "field"), "drift", F.struct("field", "expected", "observed"))
 
 
+def detect_drift(expected: DataFrame, observed: DataFrame, th: Thresholds = DEFAULTS) -> DataFrame:
+    return _drift(config_drift(expected, observed), th)
+
+
+def detect_history_drift(history: DataFrame, key: str, order: tuple[str, ...], th: Thresholds = DEFAULTS) -> DataFrame:
+    return _drift(config_history_drift(history, key, order), th)
+
+
 def detect_all(found: list[DataFrame], enabled: bool = True) -> DataFrame:
     """Union of detectors; switched off, the same schema without rows."""
     out = found[0]

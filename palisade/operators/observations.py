@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -98,14 +99,15 @@ def _stats(window, dims=DIMENSIONS) -> dict[str, Column]:
     return out
 
 
-def rolling_score(obs: DataFrame, th: Thresholds = DEFAULTS, include_self: bool = True, key: list[str] | None = None, order: tuple[str, ...] = ("ts",), block: int | None = None) -> DataFrame:
+def rolling_score(obs: DataFrame, th: Thresholds = DEFAULTS, include_self: bool = True, key: list[str] | None = None, order: tuple[str, ...] = ("ts",), block: int | None = None, stored: bool = False) -> DataFrame:
     """Mean and spread of the last `window` observations, and the z-score of each dimension against them.
 
     include_self scores a row against a window that holds it (z is then at most sqrt(n - 1)); without, the row is
     judged before it is learned. Nothing is scored until min_observations rows are known. `order` must be unique
     within a key. key=[] is one global profile. Windowed observations have at most one row a window for each source,
     so a source's rows are bounded by the time that the table spans; where a key may hold more, give `block`: keys of
-    any size are then cut into parallel blocks.
+    any size are then cut into parallel blocks. stored=True says that obs is a table, cheap to read twice: keys are counted
+    first, and those of at most `window` rows get frames that only grow, which cost a step a row instead of a frame a row.
     """
     key = ["source"] if key is None else key
     d = with_dimensions(obs)
@@ -113,10 +115,22 @@ def rolling_score(obs: DataFrame, th: Thresholds = DEFAULTS, include_self: bool
     if block or not key:
         d = halo(d, key, list(order), th.window, lambda w: _stats(w.rowsBetween(*frame)), block or 100_000)
     else:
-        d = d.withColumns(_stats(W.partitionBy(*key).orderBy(*order).rowsBetween(*frame)))
+        w = W.partitionBy(*key).orderBy(*order)
+        slid = lambda x: x.withColumns(_stats(w.rowsBetween(*frame)))
+        d = _grown(d, key, th.window, lambda x: x.withColumns(_stats(w.rowsBetween(W.unboundedPreceding, frame[1]))), slid) if stored else slid(d)
     return with_z(d, th)
 
 
+def _grown(d: DataFrame, key: list[str], window: int, grown: Callable[[DataFrame], DataFrame], slid: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """grown(d) for keys of at most `window` rows, slid(d) for the others. Both give the same: no frame has left a row behind."""
+    large = d.groupBy(*key).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > window)
+    large = save(large.select(*[F.col(k).alias(f"_large{i}") for i, k in enumerate(key)]), "large")
+    if large.isEmpty():
+        return grown(d)
+    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_large{i}")) for i, k in enumerate(key)])
+    return grown(d.join(large, on, "left_anti")).unionByName(slid(d.join(large, on, "left_semi")))
+
+
 def with_z(d: DataFrame, th: Thresholds = DEFAULTS) -> DataFrame:
     """Rows with count (_n), mean and spread -> plus `established` and the z-score of each dimension."""
     known = F.col("_n") >= th.min_observations
@@ -192,9 +206,12 @@ def counter_rate(df: DataFrame, key: str = "host", counter: str = "forks_total",
 
 
 def failure_rate(probes: DataFrame, th: Thresholds = DEFAULTS, key: str = "channel", order: tuple[str, ...] = ("ts",), block: int | None = None) -> DataFrame:
-    """Failures, probes and failure rate over the last failure_window probes of a channel."""
-    bad = F.when(F.col("success"), 0).otherwise(1)
-    d = over_last(probes, key, order, (-(th.failure_window - 1), 0), lambda w: {"failures": F.sum(bad).over(w).cast("int"), "probes": F.count(F.lit(1)).over(w).cast("int")}, block)
+    """Failures, probes and failure rate over the last failure_window probes of a channel. Counts up to a row less those up
+    to the row that the window has left: two frames that only grow."""
+    bad, n = F.when(F.col("success"), 0).otherwise(1), th.failure_window
+    upto = lambda w, last: w.rowsBetween(W.unboundedPreceding, last)
+    columns = lambda w: {"failures": (F.sum(bad).over(upto(w, 0)) - F.coalesce(F.sum(bad).over(upto(w, -n)), F.lit(0))).cast("int"), "probes": F.least(F.count(F.lit(1)).over(upto(w, 0)), F.lit(n)).cast("int")}
+    d = over_last(probes, key, order, (-(n - 1), 0), columns, block)
     return d.withColumn("failure_rate", F.col("failures") / F.col("probes"))
 
 

@@ -18,14 +18,16 @@ def _events(spark, sf_dir) -> DataFrame:
 def access_log(spark, sf_dir) -> DataFrame:
     """events as access-log rows: event_id, source, host, uri, method, status, size, duration, ts."""
     e, k = _events(spark, sf_dir), F.col("k")
-    kind = F.col("event_type")
+    kind, cents = F.col("event_type"), F.col("value") * 100
+    # round() goes by decimal objects; halves are exact here, so this is the same
+    whole = F.when(cents.between(0, 1e15), F.floor(cents) + F.when(cents - F.floor(cents) >= 0.5, 1).otherwise(0)).otherwise(F.round(cents).cast("bigint"))
     return e.select(
         "event_id", F.concat(F.lit("10.0."), F.expr("user_id div 256").cast("string"), F.lit("."), (F.col("user_id") % 256).cast("string")).alias("source"),
         F.when(k % 5 == 0, "app.example").when(k % 5 == 1, "app.example:8443").when(k % 5 == 2, "db.example:22").when(k % 5 == 3, "db.example:23").otherwise("db.example:bad").alias("host"),
         F.concat(F.lit("/"), kind, F.lit("/"), (k % 10).cast("string")).alias("uri"),
         F.when(kind == "purchase", "POST").when(kind == "signup", "PUT").otherwise("GET").alias("method"),
         F.when((kind == "error") & (k < 50), 404).when(kind == "error", 500).otherwise(200).alias("status"),
-        (F.round(F.col("value") * 100).cast("bigint") * 1000).alias("size"), (F.col("value") / 1000).alias("duration"), "ts")
+        (whole * 1000).alias("size"), (F.col("value") / 1000).alias("duration"), "ts")
 
 
 def probes(spark, sf_dir) -> DataFrame:
@@ -43,7 +45,7 @@ def connection_paths(spark, sf_dir) -> DataFrame:
     """One path for each user and day: layers of the events in order."""
     layer = F.when(F.col("event_type") == "view", 0).when(F.col("event_type") == "click", 1).when(F.col("event_type") == "signup", 2).when(F.col("event_type") == "purchase", 3)
     e = _events(spark, sf_dir).withColumns({"layer": layer, "day": F.date_trunc("day", "ts")}).where("layer is not null")
-    g = e.groupBy("user_id", "day").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "layer"))).alias("x"))
+    g = e.groupBy("user_id", "day").agg(F.sort_array(F.collect_list(F.struct("ts", "event_id", "layer"))).alias("x"))
     return g.select(F.concat_ws("-", F.col("user_id").cast("string"), F.date_format("day", "yyyyMMdd")).alias("conn_id"), F.col("day").alias("ts"), F.col("x")["layer"].alias("path"))
 
 
@@ -57,17 +59,26 @@ def peers(spark, sf_dir) -> DataFrame:
     return o.select(F.when(F.col("o_custkey") % 50 == 0, F.col("o_custkey") + 100_000_000).otherwise(F.col("o_custkey")).cast("string").alias("peer_id"))
 
 
+def _snapshot() -> list:
+    """An order as a snapshot of a configuration."""
+    return [F.col("o_orderpriority").alias("features_json"), F.nullif(F.col("o_orderstatus"), F.lit("P")).alias("lineage_id"), (F.col("o_totalprice") > 150000).alias("topology_configured"), F.floor(F.col("o_totalprice") / 100000).cast("string").alias("threshold_fingerprint")]
+
+
 def config_snapshots(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """(expected, observed): consecutive orders of a customer."""
     o = table(spark, sf_dir, "orders")
     w = W.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
-    snap = lambda f: [f(F.col("o_orderpriority")).alias("features_json"), f(F.nullif(F.col("o_orderstatus"), F.lit("P"))).alias("lineage_id"), f(F.col("o_totalprice") > 150000).alias("topology_configured"), f(F.floor(F.col("o_totalprice") / 100000).cast("string")).alias("threshold_fingerprint")]
     keyed = o.select("o_custkey", "o_orderkey", "o_orderdate", "o_orderpriority", "o_orderstatus", "o_totalprice", F.lag("o_orderkey").over(w).alias("prev")).where("prev is not null")
-    observed = keyed.select(F.col("o_orderkey").cast("string").alias("component_id"), F.col("o_orderdate").alias("ts"), *snap(lambda c: c))
-    expected = o.withColumn("next", F.lead("o_orderkey").over(w)).where("next is not null").select(F.col("next").cast("string").alias("component_id"), *snap(lambda c: c))
+    observed = keyed.select(F.col("o_orderkey").cast("string").alias("component_id"), F.col("o_orderdate").alias("ts"), *_snapshot())
+    expected = o.withColumn("next", F.lead("o_orderkey").over(w)).where("next is not null").select(F.col("next").cast("string").alias("component_id"), *_snapshot())
     return expected, observed
 
 
+def config_history(spark, sf_dir) -> DataFrame:
+    """The same snapshots in one table: every order, with its customer and its number."""
+    return table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.col("o_orderkey").cast("string").alias("component_id"), F.col("o_orderdate").alias("ts"), *_snapshot())
+
+
 def announcements(spark, sf_dir) -> DataFrame:
     """Suppliers announce the part brands of each ship month; months divisible by 7 take the entry back."""
     l, p = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
